@@ -15,11 +15,16 @@ SLICE_BYTES = 2 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let local Python workers find this library when it is not installed; clusters ship it as a package."""
+    """Let local Python workers find this library when it is not installed; clusters ship it as a package.
+
+    Workers are forked, so numpy gets one thread each: Spark's tasks are the parallelism.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        env.setdefault(name, "1")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ from .common import as_bytes, slices
 SAMPLES = 64
 MAGIC = b"MEM1"
 #: magic, whether there is a key, key, bytes of the text, bytes of the media, their CRC-32
-HEADER = struct.Struct("<4sBqqqI")
+HEADER = "<4sBqqqI"
+HEADER_BYTES = struct.calcsize(HEADER)
 RANGE_BYTES, BATCH_BYTES, TRIES = 16 << 20, 4 << 20, 4
 SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media binary"
 
@@ -92,7 +93,7 @@ def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text
                 for key, text in zip(b.column(0).cast(pa.int64()).to_pylist(), as_bytes(b.column(1)), strict=True):
                     media = to_png(payload_of(text or b""))
                     offsets.append(at)
-                    at += out.write(HEADER.pack(MAGIC, key is not None, key or 0, len(text or b""), len(media), zlib.crc32(media)) + media)
+                    at += out.write(struct.pack(HEADER, MAGIC, key is not None, key or 0, len(text or b""), len(media), zlib.crc32(media)) + media)
                     n += 1
         with fs.open_output_stream(f"{draft}.index") as out:
             out.write(np.array([*offsets, at], dtype="<i8").tobytes())
@@ -121,8 +122,8 @@ def read_member(fs: pa.fs.FileSystem, path: str, offset: int, end: int) -> tuple
 
 
 def _parse(raw: bytes, path: str, offset: int) -> tuple[int | None, int, bytes]:
-    magic, has_key, key, n_bytes, size, crc = HEADER.unpack_from(raw)
-    media = raw[HEADER.size :]
+    magic, has_key, key, n_bytes, size, crc = struct.unpack_from(HEADER, raw)
+    media = raw[HEADER_BYTES:]
     if magic != MAGIC or len(media) != size or zlib.crc32(media) != crc:
         raise OSError(f"damaged member at {offset} of {path}")
     return key if has_key else None, n_bytes, media
