@@ -1,6 +1,16 @@
-def queries():
-    return {}
+"""All queries outside the training-data subpackage."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from . import audit_queries, metric_queries, screen_queries
+from .metric_queries import entry  # noqa: F401
+
+_PARTS = (metric_queries.query, audit_queries.query, screen_queries.query)
+
+
+def queries() -> dict:
+    return {name: f for part in _PARTS for name, f in part.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.sql.items()}
