@@ -107,7 +107,7 @@ def format_positions(values: Column, shift: int = 0) -> Column:
 
 def chain_ranges(text: Column) -> Column:
     """map<chain, struct<start, end>> of "A=1-100, B=2-90"; other parts are passed over, the last of a chain counts."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda p: p.rlike(r"^\w+=\d+-\d+$"))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\w+=\d+-\d+$"))
     entry = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.struct(F.regexp_extract(p, r"=(\d+)-", 1).cast("int").alias("start"), F.regexp_extract(p, r"-(\d+)$", 1).cast("int").alias("end")).alias("value")))
     last = F.filter(entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.greatest(F.size(entry), F.lit(1))), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)

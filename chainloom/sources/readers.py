@@ -139,7 +139,7 @@ def first_class_code(desc: Column) -> Column:
 
 def all_class_codes(*arrays: Column) -> Column:
     joined = F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(joined, F.trim), lambda c: c != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(joined, lambda c: F.trim(c)), lambda c: c != "")))
 
 
 def record_filter(score: Column, features: Column, least: float = 2, kind: str = "Active site") -> Column:

@@ -1,0 +1,243 @@
+"""Small cases worked out by hand."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from chainloom.functions import labels as L
+from chainloom.operators import audit, components, curves, folds, merge, ranking, resample, screen, spatial, sweep, transfer
+from chainloom.sources import readers, writers
+from chainloom.streaming import worklist
+
+NAN = float("nan")
+
+
+@pytest.fixture
+def pr(spark):
+    return spark.createDataFrame([(1, 1, 0.9, 1.0), (1, 0, 0.9, 1.0), (2, 1, 0.5, 2.0), (2, 0, 0.4, 2.0), (3, 1, 0.2, 0.5), (3, 0, NAN, 0.5)], "chain int, label int, score double, w double").withColumn("g", F.lit(1))
+
+
+def test_curve(pr):
+    p = {r["score"]: r for r in curves.pr_points(pr, ["g"], weight=F.col("w")).collect()}
+    assert [(p[s]["tp"], p[s]["fp"]) for s in (0.9, 0.5, 0.4, 0.2)] == [(1, 1), (3, 1), (3, 3), (3.5, 3)]
+    s = curves.pr_summary(pr, ["g"], weight=F.col("w")).first()
+    assert round(s["aucpr"], 6) == 0.645604 and round(s["ap"], 6) == 0.648352
+    b = curves.best_f1(pr, ["g"], weight=F.col("w")).first()
+    assert (b["threshold"], round(b["f1"], 6)) == (0.5, 0.8)
+
+
+def test_curve_is_the_same_for_any_weight_scale_and_bucket_count(pr):
+    a = curves.pr_summary(pr, ["g"], weight=F.col("w") * 7, buckets=2).first()
+    assert round(a["aucpr"], 6) == 0.645604
+
+
+def test_curve_without_positives_is_zero(spark):
+    d = spark.createDataFrame([(0, 0.5), (0, 0.1)], "label int, score double").withColumn("g", F.lit(1))
+    assert curves.pr_summary(d, ["g"]).first()["aucpr"] == 0
+    assert curves.roc_auc(d, ["g"]).first()["roc_auc"] is None
+
+
+def test_topk(spark):
+    rows = [("c1", i, y, s, 1.0) for i, (y, s) in enumerate(zip([1, 0, 1, 0], [0.9, 0.8, 0.7, 0.1]))] + [("c2", i, y, s, 3.0) for i, (y, s) in enumerate(zip([0, 1], [0.6, 0.4]))] + [("c3", i, 0, s, 1.0) for i, s in enumerate([0.3, 0.2])]
+    d = spark.createDataFrame(rows, "chain string, pos int, label int, score double, w double").withColumn("g", F.lit(1))
+    m = {r["k"]: r for r in ranking.topk_metrics(ranking.at_k(d, ["chain"], [1, 2, 5], ["g", "w"]), ["g"], F.col("w")).collect()}
+    assert [round(m[k]["max_precision"], 6) for k in (1, 2, 5)] == [0.2, 0.7, 0.8]
+    assert round(m[2]["precision"], 6) == 0.4 and round(m[2]["recall"], 6) == 0.875
+    assert (m[1]["hit"], m[2]["hit"], round(m[2]["f"], 6)) == (0.25, 1.0, 0.8)
+
+
+def test_hierarchical_weights(spark):
+    d = spark.createDataFrame([("A_A", "X", "a", "A", "A_A"), ("1AAA_A", "X", "a", "A", "1AAA_A"), ("B_A", "X", "a", "B", "B_A"), ("C_A", "X", "b", "C", "C_A"), ("D_A", "Y", "c", "D", "D_A")], "id string, top string, mid string, parent string, struct string")
+    w = {r["id"]: (r["w_top"], r["w_mid"], r["w_seq"], r["w_struct"]) for r in audit.hierarchical_weights(d, "top", "mid", "parent", "struct").collect()}
+    assert w == {"A_A": (2, 1, 0.5, 0.25), "1AAA_A": (2, 1, 0.5, 0.25), "B_A": (2, 1, 0.5, 0.5), "C_A": (2, 1, 1, 1), "D_A": (1, 1, 1, 1)}
+
+
+def test_components(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (2, "c"), (3, "c"), (3, "b"), (4, "b"), (9, "z"), (8, None)], "n int, k string")
+    assert {r["node"]: r["component"] for r in components.shared_key_components(d, "n", "k").collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 8: 8}
+
+
+def test_components_of_a_long_chain_and_of_nothing(spark):
+    e = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["root"] for r in components.component_roots(e).collect()} == {0}
+    assert components.component_roots(e.where("u < 0")).count() == 0
+
+
+def test_weighted_quantile(spark):
+    d = spark.createDataFrame([(1.0, 1.0, 0.0), (5.0, 1.0, 0.0), (9.0, 2.0, 0.0)], "v double, w double, z double")
+    q = lambda w, x: sweep.weighted_quantile(d, "v", w, [x]).first()["quantile"]
+    assert (q("w", 0.5), q("w", 0.95), q("z", 0.5)) == (5, 9, 5)
+
+
+def test_pareto(spark):
+    d = spark.createDataFrame([(1, 0.2), (2, 0.5), (2, 0.4), (3, 0.5)], "cost int, recall double")
+    assert [(r["cost"], r["recall"]) for r in sweep.pareto(d, "cost", "recall").where("frontier").collect()] == [(1, 0.2), (2, 0.5)]
+
+
+def test_positions(spark):
+    d = spark.createDataFrame([("['0','A','66'],['0','A','120'],['0','A','5']", "5, 7"), ("[]", None)], "p string, k string")
+    n = screen.novelty(d.select(L.positions(F.col("p")).alias("p"), L.positions(F.col("k")).alias("k")), "p", "k").collect()
+    assert (n[0]["p"], n[0]["novel"], n[0]["n_shared"], n[0]["n_known"]) == ([5, 66, 120], [66, 120], 1, 2)
+    assert n[1]["p"] == [] and n[1]["k"] == []
+
+
+def test_class_codes(spark):
+    codes = {"3.4.24.-": ("3.4.24", "3", "3", "3", "3", "EC3"), "EC:1.1.1.1": ("not found", "1", None, "EC:1", "Unknown", None), "1.-.-.-": ("not found", "1", "1", "1", "1", "EC1"), "2.7.1.1; 3.1.1.1": ("2.7.1", "2", "2", "2", "2", "EC2"), "8.1.1.1": ("8.1.1", "1", "8", "8", "Unknown", "EC8"), "not found": ("not found", None, None, "not found", "Unknown", None)}
+    d = spark.createDataFrame([(c,) for c in codes], "c string")
+    got = {r[0]: tuple(r)[1:] for r in d.select("c", L.ec_level3(F.col("c")), *[L.ec_top(F.col("c"), v) for v in "abcde"]).collect()}
+    assert got == codes
+
+
+def test_bins_chemotypes_and_sources(spark):
+    d = spark.createDataFrame([(0.05,), (0.0501,), (0.2,), (0.5,), (0.51,), (NAN,)], "x double")
+    assert [r[0] for r in d.select(L.rsa_bin(F.col("x"))).collect()] == ["buried", "partly", "partly", "intermediate", "exposed", None]
+    c = spark.createDataFrame([(["G", "H"], "P1_A"), (["S"], "1ABC_B"), ([], "ABCD_A"), (None, "x")], "r array<string>, id string")
+    assert [tuple(r) for r in c.select(L.chemotype(F.col("r")), L.source_class(F.col("id")), L.source_class(F.col("id"), True)).collect()] == [(1, "AF", "AF"), (4, "PDB", "PDB"), (7, "PDB", "AF"), (7, "AF", "AF")]
+
+
+def test_isoforms(spark):
+    pairs = spark.createDataFrame([("X", "X-2", 2, 2, True), ("X", "X-2", 4, 3, True), ("X", "X-3", 2, 2, True)], "base string, member string, ref_pos int, pos int, same boolean")
+    scores = spark.createDataFrame([("X-2", p + 1, s) for p, s in enumerate([0.0, 0.8, 0.2, 0.0])] + [("X-3", p + 1, s) for p, s in enumerate([0.0, 0.4])], "member string, pos int, score double")
+    sites = spark.createDataFrame([("X", m, p) for m in ("X-2", "X-3") for p in (2, 4)], "base string, member string, ref_pos int")
+    got = {r["member"]: (r["retained"], r["lost_aligned"], r["lost_missing"], r["category"]) for r in screen.loss_categories(sites, pairs, scores, 0.35).collect()}
+    assert got == {"X-2": (1, 1, 0, "loss_aligned_present"), "X-3": (1, 0, 1, "loss_missing_only")}
+    a = spark.createDataFrame([("X", 1, 0.9), ("X", 1, 0.8), ("X", 1, 0.4), ("X", 2, 0.1), ("Y", 1, 0.3)], "base string, p int, s double")
+    assert {r["base"]: round(r["spread"], 6) for r in screen.spread(a, "base", "p", "s").collect()} == {"X": 0.5, "Y": 0.0}
+
+
+def test_votes(spark):
+    h = spark.createDataFrame([("q", f"t{i}", s, y) for i, (s, y) in enumerate([(100.0, 1), (80.0, 0), (50.0, 0), (10.0, 0)])], "q string, t string, s double, y int")
+    v = transfer.vote_weights(h, "q", "s")
+    assert {r["t"]: round(r["w"], 6) for r in v.collect()} == {"t0": round(50 / 47, 6), "t1": round(30 / 47, 6)}
+    assert round(transfer.weighted_vote(v, ["q"], "w", "y").first()["score"], 6) == 0.625
+
+
+def test_column_vote(spark):
+    d = spark.createDataFrame([("m", 1, "H", 1), ("m", 1, "H", 0), ("m", 1, "D", 0), ("m", 2, "K", 1)], "msa string, col int, aa string, y int")
+    assert [(r["col"], r["aa"], r["votes"], r["share"]) for r in transfer.column_vote(d, ["msa", "col"], "aa", "y").collect()] == [(1, "H", 2, 0.5)]
+
+
+def test_alignment():
+    assert transfer.aligned_positions("MSTHK", "MSHK", 1, 0, 0) == [(0, 0), (1, 1), (3, 2), (4, 3)]
+    assert transfer.aligned_positions("AAAMSTAAA", "MST", local=True) == [(3, 0), (4, 1), (5, 2)]
+    assert transfer.aligned_positions("", "A") == []
+    assert transfer.aligned_positions("ABC", "ABC") == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_kmer_candidates_are_those_of_brute_force(spark):
+    words = ["abcdef", "bcdefg", "xxabcdexx", "qqqq", "abc", ""]
+    d = spark.createDataFrame(list(enumerate(words)), "k int, s string")
+    grams = [{w[i : i + 3] for i in range(len(w) - 2)} for w in words]
+    want = {(i, j, len(a & b)) for i, a in enumerate(grams) for j, b in enumerate(grams) if i != j and len(a & b) >= 2}
+    assert {tuple(r) for r in transfer.kmer_candidates(d, d, "k", "s", 3, 2, 1).collect()} == want
+
+
+def test_leakage_and_fold_merging(spark):
+    d = spark.createDataFrame([("a", "split1"), ("a", "split2"), ("b", "split1")], "c string, s string")
+    assert [(r["value"], r["splits"]) for r in audit.leakage(d, ["c"], "s").collect()] == [("a", "split1,split2")]
+    z = spark.createDataFrame([("Z", p, f, s) for f, v in ((1, [0.2, 0.4]), (2, [0.6, 0.8]), (3, [0.1, 0.9])) for p, s in enumerate(v)], "id string, pos int, fold int, s double")
+    for how, want in (("mean", [0.3, 0.7]), ("median", [0.2, 0.8]), ("first", [0.2, 0.4])):
+        assert [round(r["s"], 6) for r in merge.merge_folds(z, ["id", "pos"], "fold", "s", how).orderBy("pos").collect()] == want
+
+
+def test_logs(spark):
+    cases = [("[SKIP] x", "", "skipped"), ("DONE in 1.5 h", "Traceback", "failed"), ("[SUMMARY] test AUCPR=0.5", "", "success"), ("", "RuntimeError: x", "failed"), ("", None, "incomplete"), ("[SUMMARY] train AUCPR=1", "", "incomplete")]
+    d = spark.createDataFrame(cases, "o string, e string, want string")
+    assert all(r[0] == r[1] for r in d.select(L.log_status(F.col("o"), F.col("e")), "want").collect())
+    c = spark.createDataFrame([("x\n[CMD] run.py --flag --lr 0.1 --dims 4 8",)], "t string")
+    assert c.select(L.command_flags(F.col("t"))).first()[0] == {"flag": "true", "lr": "0.1", "dims": "4 8"}
+
+
+def test_seeds(spark):
+    m = merge.seed_summary(spark.createDataFrame([("x", 0.5), ("x", 0.7)], "k string, v double"), ["k"], "v")
+    b = merge.seed_summary(spark.createDataFrame([("x", 0.4)], "k string, v double"), ["k"], "v")
+    r = merge.snr(m, b, ["k"]).first()
+    assert [round(r[c], 6) for c in ("mean", "std", "snr")] == [0.6, 0.141421, 1.414214]
+    assert b.first()["std"] == 0
+
+
+def test_annotation_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(">P1_A\nA 1 M 0\nA 2 G 1\nA 3 H 1\n>1ABC_B\nB 5 S 1\nB 5A K 0\nB bad\n>P3_A\nA 1 D 0\n")
+    r = readers.read_annotations(spark, str(tmp_path / "a.txt"))
+    got = {x["id"]: (x["length"], x["n_positive"], x["residues"]) for x in audit.chain_rollup(r, "id").collect()}
+    assert got == {"P1_A": (3, 2, ["G", "H"]), "1ABC_B": (2, 1, ["S"]), "P3_A": (1, 0, [])}
+    assert readers.read_annotations(spark, str(tmp_path / "a.txt"), integer_positions=True).where("id = '1ABC_B'").count() == 1
+    writers.write_annotations(r, str(tmp_path / "out"))
+    assert readers.read_annotations(spark, str(tmp_path / "out")).drop("file").exceptAll(r.drop("file")).count() == 0
+
+
+def test_a3m(spark, tmp_path):
+    (tmp_path / "x.a3m").write_text(">P1\nMKTLA\n>P2 a b c d e f g 2\n-MkTLA\n>P3 a b c d e f g 2\nMKT-LA\n")
+    rows = readers.a3m_columns(readers.read_a3m(spark, str(tmp_path / "x.a3m"))).collect()
+    of = lambda i: {r["col"]: r["pos"] for r in rows if r["id"] == i}
+    assert of("P3") == {0: 2, 1: 3, 2: 4, 4: 5, 5: 6}
+    assert of("P1") == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert of("P2") == {1: 2, 2: 4, 3: 5, 4: 6}
+
+
+def test_fasta_json_and_tsv(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">sp|P1|NAME x\nMK\nTL\n>Q2 more\nAA\n")
+    assert {(r["accession"], r["sequence"]) for r in readers.read_fasta(spark, str(tmp_path / "x.fa")).collect()} == {("P1", "MKTL"), ("Q2", "AA")}
+    (tmp_path / "d.json").write_text('{"a": {"n": 1}, "b": {"n": 2}}')
+    assert {(r["key"], r["value"]["n"]) for r in readers.read_dictionary_json(spark, str(tmp_path / "d.json"), "struct<n:int>").collect()} == {("a", 1), ("b", 2)}
+    (tmp_path / "t.tsv").write_text("r\tm\nr2\tm2\n")
+    assert readers.read_tsv(spark, str(tmp_path / "t.tsv"), ["Cluster_1", "Sequence_ID"]).count() == 2
+    for shape, text in (("lines", '{"n": 1}\n{"n": 2}\n'), ("results", '{"results": [{"n": 1}, {"n": 2}]}'), ("results", '[{"n": 1}, {"n": 2}]'), ("joined", '{"n": 1}{"n": 2}')):
+        (tmp_path / "r.json").write_text(text)
+        assert {r["n"] for r in readers.read_record_dump(spark, str(tmp_path / "r.json"), "n int" if shape == "lines" else "n:int", shape).collect()} == {1, 2}, shape
+    s = spark.createDataFrame([("A" * 65,)], "s string")
+    assert s.select(writers.wrapped(F.col("s"), 60)).first()[0] == "A" * 60 + "\n" + "A" * 5
+
+
+def test_spatial_is_brute_force(spark):
+    pts = [(i % 2, "ab"[i % 2], i, (i * 7 % 11) * 1.3, (i * 5 % 13) * 0.9, (i * 3 % 7) * 1.1) for i in range(40)]
+    d = spark.createDataFrame(pts, "e int, chain string, atom int, x double, y double, z double")
+    got = {(r["a_atom"], r["b_atom"]) for r in spatial.within(d, d, 3.0).collect()}
+    assert got == {(a[2], b[2]) for a in pts for b in pts if math.dist(a[3:], b[3:]) <= 3.0}
+
+
+def test_folds(spark):
+    m = spark.createDataFrame([(i, float(i % 17 + 1), i % 3) for i in range(200)], "c int, total double, k int").selectExpr("c", "total", "k", *[f"if(k = {j}, total, 0D) AS k{j}" for j in range(3)])
+    s, g = folds.serpentine_folds(m, "c", "total", "k"), folds.greedy_folds(m, "c", ["k0", "k1", "k2"])
+    for a in (s, g):
+        assert a.count() == 200 and a.select("c").distinct().count() == 200
+        d = folds.fold_discrepancy(m, a, "c", ["k0", "k1", "k2"]).collect()
+        assert round(sum(r["total"] for r in d), 6) == sum(i % 17 + 1 for i in range(200)) and max(r["discrepancy"] for r in d) < 5
+
+
+def test_resampling(spark):
+    d = spark.createDataFrame([(f, s, 1.0 + 0.01 * f) for f in range(5) for s in range(4)], "f int, s int, d double")
+    t = resample.signflip_test(d, "f", "s", "d", 500).first()
+    assert t["p_two"] < 0.05 and t["p_greater"] < 0.05 and t["p_less"] > 0.9
+    b = resample.hierarchical_bootstrap(d, "f", "s", "d", 300).first()
+    assert b["low"] <= b["mean"] <= b["high"] and 1.0 <= b["low"] and b["high"] <= 1.04
+
+
+def test_interpolated_mean(spark):
+    c = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 0.0), ("b", 0.5, 1.0), ("b", 1.0, 1.0)], "c string, x double, y double")
+    got = {round(r["g"], 3): round(r["y"], 6) for r in sweep.interpolated_mean(c, "c", "x", "y", 5).collect()}
+    assert got == {0.0: 1.0, 0.25: 0.875, 0.5: 0.75, 0.75: 0.625, 1.0: 0.5}
+
+
+def test_worklist_as_a_stream(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    spark.createDataFrame([("a",), ("b",), ("c",)], "item string").write.json(str(src))
+    done = spark.createDataFrame([("b",)], "item string")
+    q = worklist.pending(spark.readStream.schema("item string").json(str(src)), done, "item").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out))
+    q.awaitTermination(60)
+    assert {r["item"] for r in spark.read.parquet(str(out)).collect()} == {"a", "c"}
+
+
+def test_small_expressions(spark):
+    one = spark.range(1)
+    get = lambda e: one.select(e).first()[0]
+    assert get(L.chain_ranges(F.lit("A=1-100, B=2-90, x"))) == {"A": (1, 100), "B": (2, 90)}
+    assert get(L.sanitize(F.lit("mkuZ*"))) == "MKXXX" and get(L.sanitize(F.lit("mkuZ*"), None)) == "MKCE"
+    assert get(L.dense_labels(F.array(F.lit(0), F.lit(2)), F.lit(3))) == [1, 0, 1]
+    assert get(L.hits_at(F.array(F.lit(0.9), F.lit(NAN), F.lit(0.1)), F.array(F.lit(7), F.lit(8), F.lit(9)), 0.5)) == [7]
+    assert get(L.normal_list(F.lit("[64, 32]"))) == "64-32" and get(L.normal_list(F.lit("nan"))) == ""
+    assert get(L.msa_row(F.lit("A.bC-"))) == "A-C-"
+    assert get(L.evidence_codes(F.lit("ECO:2 x ECO:1 ECO:2"))) == ["1", "2"]
+    assert get(L.ec_level(F.lit("1.2.-"), 2)) == "1.2" and get(L.ec_level(F.lit("1.-"), 2)) == "Unknown"
+    assert get(L.pair_weight(F.lit("A"), F.lit("G"))) == 0.7 and get(L.pair_weight(F.lit("X"), F.lit("G"))) == 0.6
