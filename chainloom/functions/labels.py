@@ -129,7 +129,7 @@ def hits_at(scores: Column, numbers: Column, tau: float) -> Column:
     """Numbers whose score is at least tau; NaN never is. Places 1..L stand in where the lengths differ."""
     ordinal = F.transform(scores, lambda s, i: i + 1)
     used = F.when(F.size(numbers) == F.size(scores), numbers).otherwise(ordinal)
-    return F.transform(F.filter(F.arrays_zip(scores.alias("s"), used.alias("n")), lambda z: ~F.isnan(z["0"]) & (z["0"] >= tau)), lambda z: z["1"])
+    return F.transform(F.filter(F.arrays_zip(scores.alias("s"), used.alias("n")), lambda z: ~F.isnan(z["s"]) & (z["s"] >= tau)), lambda z: z["n"])
 
 
 def floor_scores(scores: Column, least: float) -> Column:

@@ -113,7 +113,7 @@ def chain_scores(rows: DataFrame, on_mismatch: str = "cut") -> DataFrame:
     pairs = F.arrays_zip(F.slice("label", 1, n).alias("label"), F.slice("score", 1, n).alias("score"))
     carry = [c for c in rows.columns if c not in ("label", "score")]
     zipped = rows.select(*carry, F.posexplode(pairs).alias("pos", "z"))
-    return zipped.select(*carry, "pos", F.col("z")["0"].alias("label"), F.col("z")["1"].alias("score"))
+    return zipped.select(*carry, "pos", F.col("z.label"), F.col("z.score"))
 
 
 def union_shards(spark: SparkSession, paths: list[str], schema: str, key: str, shard: str = r"(\d+)") -> DataFrame:
