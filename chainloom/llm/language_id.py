@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import checkpointed
 from .common import as_bytes, slices
 
 WINDOW, HIDDEN = 64, 6
+#: Languages up to which their shares are broadcast; beyond it, Spark deals out the join.
+BROADCAST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -189,7 +192,8 @@ def train(labelled: DataFrame, per_language: int = 400, windows: int = 4, id_col
     out. Without labelled rows there are no languages and no network.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    share = checkpointed(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     raw = F.encode("text", "UTF-8")
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substr("raw", (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length("raw") - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)))
