@@ -20,15 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager checkpoint() of a small table; Spark's cleaner removes it with the reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back: survives lost executors, columnar and compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chainloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A step of an iteration, written and read back.
+
+    A checkpoint() keeps the size estimate of the plan it cuts off, and estimates of joins are products: over some twenty rounds
+    of joins they grow to numbers of millions of digits, and planning never ends. A file has the size it has.
+    """
+    return written(df, "step")
