@@ -51,16 +51,16 @@ _ITEM = "struct<kind:string,start:int,end:int,hash:bigint>"
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """(row, doc_id, repo, owner, found array<struct<kind, start, end, hash>>) for each row of docs, written to the shared folder."""
+    """(row, doc_id, repo, owner, content, found array<struct<kind, start, end, hash>>) for each row of docs, written to the shared folder."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [[{"kind": k, "start": s, "end": e, "hash": xxhash.xxh64_intdigest(v.encode("utf-8", "replace")) - (1 << 63)} for k, s, e, v in candidates(t or "")] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), b.column(3), pa.array(found, kind)], ["doc_id", "repo", "owner", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *b.columns[2:], pa.array(found, kind)], ["doc_id", "repo", "owner", "content", "found"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
-    got = cols.mapInArrow(run, f"doc_id long, repo string, owner string, found array<{_ITEM}>")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("content"))
+    got = cols.mapInArrow(run, f"doc_id long, repo string, owner string, content long, found array<{_ITEM}>")
     return written(got.select(F.monotonically_increasing_id().alias("row"), "*"), "secrets")
 
 
@@ -79,7 +79,7 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 8) -> DataFrame:
-    """(row, doc_id, spans array<struct<start, rank, kind, end, repos, owners, live>>): one row per row of docs.
+    """(row, doc_id, content, spans array<struct<start, rank, kind, end, repos, owners, live>>): one row per row of docs.
 
     A value is live-looking if at most max_owners owners and max_repos repositories hold it. All base spans are given; loose tokens
     only where they look live. Spans are in the order of start, then of KINDS. Null texts have no spans; rows with
@@ -92,7 +92,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where("live or kind <> 'owned'")
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "repos", "owners", "live"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
-    return found.select("row", "doc_id").join(spans, "row", "left").select("row", "doc_id", F.coalesce("spans", none).alias("spans"))
+    return found.select("row", "doc_id", "content").join(spans, "row", "left").select("row", "doc_id", "content", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -108,12 +108,12 @@ def digest(spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", **options) -> DataFrame:
     """docs with each found span in its text replaced by `mark` (overlapping spans by one), other columns as they are.
 
-    size_col, if there, becomes the new length. Only rows with spans change. Values are looked up by text hash, so that repeated
-    ids cannot take each other's spans; rows with a null id are matched by their text alone.
+    size_col, if there, becomes the new length. Only rows with spans change. Spans are matched by id and by a hash of the text,
+    so rows that repeat an id, or have none, get those of their own text.
     """
     found = secret_spans(docs, id_col, text_col, **options)
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).groupBy("_id").agg(F.collect_set("_spans").alias("_all"))
-    joined = docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["_id"]), "left")
+    hit = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.first("spans").alias("_spans"))
+    joined = docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text_col]) == hit["_content"]), "left")
 
     def cut(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -126,7 +126,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
     text = F.col(text_col)
-    new = F.when(F.col("_all").isNull(), text).otherwise(cut(text, F.array_sort(F.array_distinct(F.flatten("_all")))))
+    new = F.when(F.col("_spans").isNull(), text).otherwise(cut(text, F.col("_spans")))
     out = joined.withColumn("_new", new)
     names = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(c) for c in docs.columns]
     return out.select(*names)
