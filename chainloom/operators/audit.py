@@ -143,3 +143,32 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): left, right or both."""
     a, b = left.select(key).distinct().withColumn("_a", F.lit(1)), right.select(key).distinct().withColumn("_b", F.lit(1))
     return a.join(b, key, "full_outer").select(key, F.when(F.col("_b").isNull(), "left").when(F.col("_a").isNull(), "right").otherwise("both").alias("side"))
+
+
+def sequence_collisions(rows: DataFrame, origin: str, sequence: str) -> DataFrame:
+    """rows with `name`: the origin, with the first 8 digits of the sequence's SHA-1 where an origin has several sequences."""
+    many = rows.groupBy(origin).agg((F.min(sequence) != F.max(sequence)).alias("_many"))
+    tag = F.substring(F.sha1(F.col(sequence).cast("binary")), 1, 8)
+    return rows.join(many, origin).withColumn("name", F.when(F.col("_many"), F.concat_ws("_", F.col(origin).cast("string"), tag)).otherwise(F.col(origin).cast("string"))).drop("_many")
+
+
+def routed(items: DataFrame, inventory: DataFrame, key: str, kind: str, order: list[str], default: str) -> DataFrame:
+    """items with `route`: the first kind of `order` that the inventory has for the key (or its lower case), else the default."""
+    have = inventory.groupBy(F.lower(key).alias("_k")).agg(F.collect_set(kind).alias("_have"))
+    route = F.lit(default)
+    for k in reversed(order):
+        route = F.when(F.array_contains("_have", k), k).otherwise(route)
+    return items.join(have, F.lower(F.col(key)) == F.col("_k"), "left").withColumn("route", F.coalesce(route, F.lit(default))).drop("_k", "_have")
+
+
+def nonfinite(rows: DataFrame, policy: str, chain: str, score: str, weight: str) -> DataFrame:
+    """rows with finite scores by policy: (a) row weight 0 and the median of all, (b) chain weight 0 and its median, (c) left out, (d) the chain's median."""
+    bad = F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf"))
+    if policy == "c":
+        return rows.where(~bad)
+    fine = F.when(~bad, F.col(score))
+    by = [] if policy == "a" else [chain]
+    stats = rows.groupBy(*by).agg(F.coalesce(F.percentile(fine, F.lit(0.5)), F.lit(0.0)).alias("_m"), F.max(bad.cast("int")).alias("_any"))
+    j = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))
+    w = {"a": F.when(bad, 0.0).otherwise(F.col(weight)), "b": F.when(F.col("_any") == 1, 0.0).otherwise(F.col(weight)), "d": F.col(weight)}[policy]
+    return j.withColumn(weight, w).withColumn(score, F.when(bad, F.col("_m")).otherwise(F.col(score))).drop("_m", "_any")

@@ -215,3 +215,38 @@ def set_reconciliation(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, reason FROM (SELECT *, unnest(list_filter([CASE WHEN NOT l_discount <= 0.08 THEN 'discount' END, CASE WHEN NOT l_quantity >= 2 THEN 'quantity' END], lambda x: x IS NOT NULL)) AS reason FROM lineitem)""")
 def assertion_rejects(spark, sf_dir):
     return audit.rejects(table(spark, sf_dir, "lineitem"), {"discount": F.col("l_discount") <= 0.08, "quantity": F.col("l_quantity") >= 2}).select("l_orderkey", "l_linenumber", "reason")
+
+
+@query("""SELECT p_partkey, CASE WHEN count(DISTINCT p_type) OVER (PARTITION BY p_name) > 1 THEN p_name || '_' || substr(sha1(p_type), 1, 8) ELSE p_name END AS name FROM part""")
+def sequence_collisions(spark, sf_dir):
+    return audit.sequence_collisions(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", "name")
+
+
+@query("""WITH h AS (SELECT lower(c_name) AS k, list(DISTINCT c_mktsegment) AS have FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+SELECT c_custkey, CASE WHEN list_contains(have, 'BUILDING') THEN 'BUILDING' WHEN list_contains(have, 'MACHINERY') THEN 'MACHINERY' ELSE 'none' END AS route FROM customer LEFT JOIN h ON lower(c_name) = k""")
+def route_by_availability(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return audit.routed(c, c.where("c_custkey % 3 <> 0").select("c_name", "c_mktsegment"), "c_name", "c_mktsegment", ["BUILDING", "MACHINERY"], "none").select("c_custkey", "route")
+
+
+_BAD = f"WITH {RESIDUES}, b AS (SELECT chain, pos, weight, CASE WHEN quantity >= 48 THEN 'nan'::DOUBLE ELSE quantity END AS s FROM res)"
+
+
+def _bad(spark, sf_dir):
+    return residues(spark, sf_dir).select("chain", "pos", "weight", F.when(F.col("quantity") >= 48, float("nan")).otherwise(F.col("quantity")).alias("s"))
+
+
+@query(_BAD + ", m AS (SELECT chain, coalesce(median(s) FILTER (NOT isnan(s)), 0) AS m, bool_or(isnan(s)) AS bad FROM b GROUP BY chain) SELECT chain, pos, CASE WHEN bad THEN 0 ELSE weight END::DOUBLE AS weight, CASE WHEN isnan(s) THEN m ELSE s END AS s FROM b JOIN m USING (chain)")
+def nonfinite_chain_median(spark, sf_dir):
+    return audit.nonfinite(_bad(spark, sf_dir), "b", "chain", "s", "weight").select("chain", "pos", "weight", "s")
+
+
+@query(_BAD + ", m AS (SELECT coalesce(median(s) FILTER (NOT isnan(s)), 0) AS m FROM b) SELECT chain, pos, CASE WHEN isnan(s) THEN 0 ELSE weight END::DOUBLE AS weight, CASE WHEN isnan(s) THEN m ELSE s END AS s FROM b, m")
+def nonfinite_global_median(spark, sf_dir):
+    return audit.nonfinite(_bad(spark, sf_dir), "a", "chain", "s", "weight").select("chain", "pos", "weight", "s")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def priority_dedup(spark, sf_dir):
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return audit.keep_first(table(spark, sf_dir, "orders"), ["o_custkey"], [rank, F.col("o_orderkey")]).select("o_custkey", "o_orderkey")

@@ -231,3 +231,38 @@ def cluster_statistics(spark, sf_dir):
 @query("SELECT quality, toxic, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM labels), 6) AS pct FROM labels GROUP BY ALL")
 def outcome_counts(spark, sf_dir):
     return rounded(audit.distribution(table(spark, sf_dir, "labels"), ["quality", "toxic"]))
+
+
+@query(f"""WITH {RUNS}, r AS (SELECT run, CASE WHEN k % 3 = 0 THEN '' ELSE model END AS model, config FROM runs), t AS (SELECT config, min(model) AS model FROM runs GROUP BY config)
+SELECT run, coalesce(nullif(trim(r.model), ''), t.model) AS model FROM r LEFT JOIN t USING (config)""")
+def enrich_blank_fields(spark, sf_dir):
+    from ..operators.merge import enrich
+
+    r = runs(spark, sf_dir)
+    blank = r.select("run", F.when(F.col("k") % 3 == 0, "").otherwise(F.col("model")).alias("model"), "config")
+    return enrich(blank, r.groupBy("config").agg(F.min("model").alias("model")), ["config"], ["model"]).select("run", "model")
+
+
+@query(f"""WITH {RESIDUES}, a AS (SELECT chain, pos, label FROM res WHERE pos < 3), s AS (SELECT chain, pos, score FROM res WHERE pos <> 1)
+SELECT chain, count(*) AS n, count(score) AS covered, round(coalesce(sum(score), 0), 4) AS total FROM a LEFT JOIN s USING (chain, pos) GROUP BY chain""")
+def ordinal_residue_join(spark, sf_dir):
+    """Annotated positions with the scores that there are, and their coverage."""
+    r = residues(spark, sf_dir)
+    j = r.where("pos < 3").select("chain", "pos", "label").join(r.where("pos <> 1").select("chain", "pos", "score"), ["chain", "pos"], "left")
+    return j.groupBy("chain").agg(F.count("*").alias("n"), F.count("score").alias("covered"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 4).alias("total"))
+
+
+@query(f"""WITH {SCREENS} SELECT id, '[' || array_to_string(list_transform(list_sort(predicted), lambda p: '''0'', ''A'', ''' || p::VARCHAR || ''''), ', ') || ']' AS cell, array_to_string(list_sort(list_filter(predicted, lambda p: p > 0)), ', ') AS parsed FROM screens""")
+def position_cell_parse(spark, sf_dir):
+    """Position sets written as cells of triplets and parsed again."""
+    s = screens(spark, sf_dir).select("id", F.concat(F.lit("["), F.array_join(F.transform(F.array_sort("predicted"), lambda p: F.concat(F.lit("'0', 'A', '"), p.cast("string"), F.lit("'"))), ", "), F.lit("]")).alias("cell"))
+    return s.select("id", "cell", L.format_positions(L.positions(F.col("cell"))).alias("parsed"))
+
+
+@query()
+def mean_pr_curve(spark, sf_dir):
+    """PR curves of the seeds read at 101 recalls, averaged."""
+    from ..operators.sweep import interpolated_mean
+
+    p = curves.pr_points(residues(spark, sf_dir), ["seed"], score="tied", weight=weight_())
+    return rounded(interpolated_mean(p, "seed", "recall", "precision", 101))
