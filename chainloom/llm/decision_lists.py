@@ -205,5 +205,10 @@ def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Rows of docs that pass the base and the rules, with docs' columns as they are."""
-    return with_statistics(docs, text_col).where(~base_failed() & rules.kept()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of docs that pass the base and the rules, with docs' columns as they are.
+
+    The verdict stands beside a row number, which keeps the optimizer from moving the condition, with all statistics written
+    out in it, below the steps that work them out once.
+    """
+    verdict = with_statistics(docs, text_col).withColumns({f"{_P}verdict": ~base_failed() & rules.kept(), f"{_P}fence": F.monotonically_increasing_id()})
+    return verdict.where(F.col(f"{_P}verdict") & (F.col(f"{_P}fence") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
