@@ -171,9 +171,10 @@ def worst_cases(spark, sf_dir):
     return c.withColumn("error", (F.col("fp") + 2 * F.col("fn")).cast("double")).orderBy(F.desc("error"), F.desc("fn"), "chain").limit(20)
 
 
-@query(f"WITH {RESIDUES} SELECT aa, pos, round(avg(score), 6) AS score, count(DISTINCT fold) AS n_folds, array_to_string(list_sort(list(DISTINCT fold::VARCHAR)), ',') AS folds FROM res GROUP BY aa, pos")
+@query(f"WITH {RESIDUES} SELECT aa, pos, round(avg(score) + 1e-9, 6) AS score, count(DISTINCT fold) AS n_folds, array_to_string(list_sort(list(DISTINCT fold::VARCHAR)), ',') AS folds FROM res GROUP BY aa, pos")
 def merge_folds_dedupe_mean(spark, sf_dir):
-    return rounded(merge.merge_folds(residues(spark, sf_dir), ["aa", "pos"], "fold", "score"))
+    m = merge.merge_folds(residues(spark, sf_dir), ["aa", "pos"], "fold", "score")
+    return m.withColumn("score", F.round(F.col("score") + 1e-9, 6))  # means of prices can end in a 5 exactly
 
 
 @query(f"WITH {RESIDUES} SELECT aa, pos, median(score) AS score, count(DISTINCT fold) AS n_folds, array_to_string(list_sort(list(DISTINCT fold::VARCHAR)), ',') AS folds FROM res GROUP BY aa, pos")
