@@ -12,7 +12,7 @@ from . import chat, decision_lists, language_id, media, mixing, quality_trees, s
 from .common import documents, ship_code
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-POWER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
+POWER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 SWEEPS, SEED = 6, 17
 
 
