@@ -61,8 +61,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col(f"{_P}text")
     two = one.withColumns({f"{_P}windows": hashes, f"{_P}lines": lines, f"{_P}bare": _without(t, " \t\n\x0b\f\r")})
     win, ln, bare = F.col(f"{_P}windows"), F.col(f"{_P}lines"), F.col(f"{_P}bare")
+    # a row number in one column keeps conditions on the statistics from being moved below this step and worked out anew for every word
     three = two.withColumns({
-        f"{_P}n_words": n.cast("long"), f"{_P}word_chars": F.length(bare).cast("long"), f"{_P}n_symbols": (F.length(bare) - F.length(_without(bare, SYMBOLS))).cast("long"),
+        f"{_P}n_words": F.when(F.monotonically_increasing_id() >= 0, n).otherwise(0).cast("long"), f"{_P}word_chars": F.length(bare).cast("long"), f"{_P}n_symbols": (F.length(bare) - F.length(_without(bare, SYMBOLS))).cast("long"),
         f"{_P}n_dup_lines": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"), f"{_P}n_lines": F.size(ln).cast("long"),
         f"{_P}n_repeat_words": F.when(F.size(F.array_distinct(win)) < F.size(win), _repeat_words(win)).otherwise(0).cast("long"),
         f"{_P}n_upper": F.regexp_count(bare, F.lit("[A-Z]")).cast("long"), f"{_P}n_marks": (F.length(bare) - F.length(_without(bare, "!?"))).cast("long"),
@@ -205,10 +206,6 @@ def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Rows of docs that pass the base and the rules, with docs' columns as they are.
-
-    The verdict stands beside a row number, which keeps the optimizer from moving the condition, with all statistics written
-    out in it, below the steps that work them out once.
-    """
-    verdict = with_statistics(docs, text_col).withColumns({f"{_P}verdict": ~base_failed() & rules.kept(), f"{_P}fence": F.monotonically_increasing_id()})
-    return verdict.where(F.col(f"{_P}verdict") & (F.col(f"{_P}fence") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of docs that pass the base and the rules, with docs' columns as they are."""
+    verdict = with_statistics(docs, text_col).where(~base_failed() & rules.kept())
+    return verdict.select(*[F.col(f"`{c}`") for c in docs.columns])
