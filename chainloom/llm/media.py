@@ -135,7 +135,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, base = _file_system(self.directory)
-        files = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(base)) if f.path.endswith(".members"))
+        files = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".members"))
         cut = [ByteRange(path, at, min(size, at + self.range_bytes)) for path, size in files for at in range(0, size, self.range_bytes)]
         return cut or [ByteRange("", 0, 0)]
 
