@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import component_roots
+
 XYZ = ("x", "y", "z")
 
 
@@ -33,3 +35,17 @@ def nearest_same_letter(a: DataFrame, b: DataFrame, key: str, letter: str, label
     p = within(a, b, radius).where(F.col(f"a_{letter}") == F.col(f"b_{letter}"))
     got = p.groupBy(F.col(f"a_{key}").alias(key)).agg(F.max(f"b_{label}").alias("_l"))
     return a.join(got, key, "left").select(key, F.greatest(F.col(label), F.coalesce("_l", F.lit(0))).alias(label))
+
+
+def largest_contact_component(atoms: DataFrame, entry: str, chain: str, radius: float, least: int) -> DataFrame:
+    """(entry, chain): the chains of each entry's largest set in contact, directly or through others; its first chain where none touch.
+
+    Of equally large sets, that with the first chain.
+    """
+    name = lambda c: F.concat_ws("\x1f", F.col(entry).cast("string"), c)
+    touching = contacts(atoms, entry, chain, radius, least).select(name(F.col("chain_a")).alias("u"), name(F.col("chain_b")).alias("v"))
+    every = atoms.select(entry, chain).distinct().withColumn("node", name(F.col(chain)))
+    placed = every.join(component_roots(touching), "node", "left").select(entry, chain, F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy(entry, "root").agg(F.count("*").alias("n"))
+    best = sizes.withColumn("r", F.row_number().over(Window.partitionBy(entry).orderBy(F.desc("n"), "root"))).where("r = 1").select(entry, "root")
+    return placed.join(best, [entry, "root"]).select(entry, chain)

@@ -266,3 +266,10 @@ def mean_pr_curve(spark, sf_dir):
 
     p = curves.pr_points(residues(spark, sf_dir), ["seed"], score="tied", weight=weight_())
     return rounded(interpolated_mean(p, "seed", "recall", "precision", 101))
+
+
+@query("WITH RECURSIVE " + _ATOMS.removeprefix("WITH ") + """, e AS (SELECT a.entry, a.chain AS u, b.chain AS v FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 2 GROUP BY ALL HAVING count(*) >= 1),
+g AS (SELECT entry, u, v FROM e UNION SELECT entry, v, u FROM e), c(entry, chain, root) AS (SELECT DISTINCT entry, chain, chain FROM a UNION SELECT c.entry, g.v, c.root FROM c JOIN g ON c.entry = g.entry AND c.chain = g.u WHERE c.root < g.v),
+m AS (SELECT entry, chain, min(root) AS root FROM c GROUP BY ALL), s AS (SELECT entry, root, row_number() OVER (PARTITION BY entry ORDER BY count(*) DESC, root) AS r FROM m GROUP BY entry, root) SELECT m.entry, m.chain FROM m JOIN s USING (entry, root) WHERE r = 1""")
+def largest_contact_component(spark, sf_dir):
+    return spatial.largest_contact_component(_atoms(spark, sf_dir), "entry", "chain", 2.0, 1)

@@ -51,7 +51,7 @@ def group_index(rows: DataFrame, base: str, member: str, least: int) -> DataFram
 def reference_db(entries: DataFrame, splits: DataFrame, entry: str = "Entry", split: str = "split") -> DataFrame:
     """For each held-out split, entries of the others; an entry that several have is kept from the first."""
     hold = splits.select(F.col(split).alias("holdout")).distinct()
-    pairs = entries.join(F.broadcast(hold), F.col(split) != F.col("holdout"))
+    pairs = entries.join(hold, F.col(split) != F.col("holdout"))
     w = Window.partitionBy("holdout", entry).orderBy(split)
     return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
