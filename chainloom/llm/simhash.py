@@ -24,7 +24,8 @@ from ..plans.materialize import written
 from .common import as_bytes, slices
 
 SEED = 42
-FRONTIER = 1 << 20
+#: Node pairs that go down together at most; bounds the memory of a task.
+FRONTIER = 1 << 18
 
 
 def fingerprint(data: bytes | None, k: int = 4) -> int:
