@@ -27,7 +27,7 @@ from .common import slices
 from .pieces import Cache, Pieces, load_pieces, segments
 from .trie import DoubleArray, by_offset, lattice, like_lengths
 
-#: Room for neighbouring pairs of pieces, a power of two.
+#: Room for neighbouring pairs of pieces, a power of two; the table starts anew when half full, so memory is bounded.
 SLOTS = 1 << 22
 _NEVER = float("-inf")
 
@@ -60,13 +60,24 @@ class PrefixCounts:
 
     def fitting_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging makes the pieces a, b of their joined text. Answers are kept in a hash table."""
-        key = a * self.pieces.size + b
-        slot = (key * 0x9E3779B1 & 0xFFFFFFFFFFFF) >> 16 & (SLOTS - 1)
-        ask = np.arange(len(key))
+        key, most = a * self.pieces.size + b, SLOTS // 2  # so many keys always fit into an empty table
+        if len(key) <= most:
+            return self._fitting(key)
+        return np.concatenate([self._fitting(key[i : i + most]) for i in range(0, len(key), most)])
+
+    def _fitting(self, key: np.ndarray) -> np.ndarray:
+        start = (key * 0x9E3779B1 & 0xFFFFFFFFFFFF) >> 16 & (SLOTS - 1)
+        slot, ask = start.copy(), np.arange(len(key))
         while len(ask):
             there = self.pairs[slot[ask]]
             if (lost := ask[there < 0]).size:
-                for k in np.unique(key[lost]).tolist():
+                new = np.unique(key[lost])
+                if self.known + len(new) > SLOTS // 2:  # full: forget all, and look up these keys from the start
+                    self.pairs.fill(-1)
+                    self.known = 0
+                    slot, ask = start.copy(), np.arange(len(key))
+                    continue
+                for k in new.tolist():
                     self.learn(k)
                 continue
             ask = ask[there != key[ask]]
@@ -74,8 +85,6 @@ class PrefixCounts:
         return self.fits[slot]
 
     def learn(self, key: int) -> None:
-        if self.known >= SLOTS // 2:
-            raise MemoryError("more neighbouring pairs of pieces than the table holds")
         x, y = self.name[key // self.pieces.size], self.name[key % self.pieces.size]
         at = (key * 0x9E3779B1 & 0xFFFFFFFFFFFF) >> 16 & (SLOTS - 1)
         while self.pairs[at] >= 0 and self.pairs[at] != key:

@@ -87,6 +87,17 @@ def test_every_prefix_count_is_exact():
         assert m.table(t).tolist() == [len(SP.encode(t[:n])) for n in range(len(t) + 1)], t
 
 
+def test_counts_stay_exact_when_the_table_of_pairs_is_full(monkeypatch):
+    monkeypatch.setattr(token_counts, "SLOTS", 64)
+    m = token_counts.PrefixCounts(P)
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("abcdefghijABCDEFGHIJ0123456789+/") for _ in range(300)) for _ in range(40)]
+    assert [m.count(t) for t in keys] == [len(SP.encode(t)) for t in keys]
+    m.cache.fill(s for t in keys + texts() for s in pieces.segments(t, P.cuttable))  # more at once than the table holds
+    for t in texts(60):
+        assert m.table(t).tolist() == [len(SP.encode(t[:n])) for n in range(len(t) + 1)], t
+
+
 def test_truncation_fits_the_budget(docs):
     r = {x["doc_id"]: x for x in token_counts.token_counts(docs, MODEL, budget=50).collect()}
     text = "word " * 30000
