@@ -78,18 +78,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 8) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
     """(row, doc_id, content, spans array<struct<start, rank, kind, end, repos, owners, live>>): one row per row of docs.
 
-    A value is live-looking if at most max_owners owners and max_repos repositories hold it. All base spans are given; loose tokens
-    only where they look live. Spans are in the order of start, then of KINDS. Null texts have no spans; rows with
+    A value is live-looking if at most max_owners owners hold it, in however many repositories: copies of a text, and a key that
+    one owner uses everywhere, stay live. All base spans are given; loose tokens only where they look live. Spans are in the order of start, then of KINDS. Null texts have no spans; rows with
     a null or repeated id keep their rows; a null repository or owner counts as one of its own.
     """
     found = scan(docs, id_col, text_col, repo_col, owner_col)
     held = ownership(found)
     rank = F.coalesce(F.array_position(F.lit(list(KINDS)), F.col("f.kind")), F.lit(0)).cast("int")
     each = found.select("row", F.explode("found").alias("f")).select("row", F.col("f.hash").alias("hash"), F.col("f.start").alias("start"), F.when(rank == 0, len(KINDS) + 1).otherwise(rank).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"))
-    judged = each.join(held, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where("live or kind <> 'owned'")
+    judged = each.join(held, "hash").withColumn("live", F.col("owners") <= max_owners).where("live or kind <> 'owned'")
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "repos", "owners", "live"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return found.select("row", "doc_id", "content").join(spans, "row", "left").select("row", "doc_id", "content", F.coalesce("spans", none).alias("spans"))

@@ -35,6 +35,15 @@ def test_ownership_tells_examples_from_live_tokens(spark):
     assert r[10] == "use [SECRET] now" and r[0] == f"see {copied} here"
 
 
+def test_a_token_of_one_owner_is_live_in_however_many_documents(spark):
+    copied, pasted = "aB3dE6gH9jK2mN5pQ8sT1", "kJ7hG4fD1sA8pO5iU2yT9"
+    rows = [(i, f"use {copied} now", "s1") for i in range(50)] + [(100 + i, f"use {pasted} at {i}", "s1") for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.digest(secrets.secret_spans(d)).collect()
+    assert [(r["spans"], r["n_owned"], r["n_live"]) for r in got] == [("owned:4:25", 1, 1)] * 100
+    assert {r["text"] for r in secrets.redact(d).collect()} == {"use [SECRET] now"} | {f"use [SECRET] at {i}" for i in range(50)}
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
