@@ -65,5 +65,14 @@ def bootstrap_rows(rows: DataFrame, unit: list[str], n_boot: int, seed: int = 3)
     return t.where("times > 0")
 
 
+def bootstrap_sums(rows: DataFrame, group: list[str], unit: list[str], by: list[str], weight: Column, n_boot: int, seed: int = 3) -> DataFrame:
+    """(group, boot, by, weight): for each draw of bootstrap_rows() the sums of weight times draws.
+
+    Rows are added up by unit before they meet the draws, and by draw before any shuffle, so what is sent does not grow with the units.
+    """
+    cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias("_w"))
+    return bootstrap_rows(cells, unit, n_boot, seed).groupBy(*group, "boot", *by).agg(F.sum(F.col("_w") * F.col("times")).alias("weight"))
+
+
 def random_labels(rows: DataFrame, share: float, *keys: str, seed: int = 4) -> DataFrame:
     return rows.withColumn("random_label", (uniform(seed, *[F.col(k) for k in keys]) < share).cast("int"))

@@ -9,6 +9,7 @@ from ..operators import audit, curves, resample, screen, spatial, transfer
 from ..sources import readers, writers
 from ..streaming import worklist
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
+from .materialize import written
 from .metric_queries import rounded, weight_
 from .registry import Registry
 
@@ -200,19 +201,19 @@ def _ab(spark, sf_dir):
 
 @query()
 def signflip_test(spark, sf_dir):
-    return resample.signflip_test(_ab(spark, sf_dir), "fold", "seed", "diff", 20_000)
+    return resample.signflip_test(_ab(spark, sf_dir), "fold", "seed", "diff", 200_000)
 
 
 @query()
 def hierarchical_bootstrap(spark, sf_dir):
-    return resample.hierarchical_bootstrap(_ab(spark, sf_dir), "fold", "seed", "diff", 5_000)
+    return resample.hierarchical_bootstrap(_ab(spark, sf_dir), "fold", "seed", "diff", 50_000)
 
 
 @query()
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of AUCPR over Poisson draws of chains, by split."""
-    r = resample.bootstrap_rows(residues(spark, sf_dir).select("chain", "split", "label", "tied", "weight"), ["chain"], 20)
-    a = curves.pr_summary(r, ["split", "boot"], score="tied", weight=weight_() * F.col("times"), buckets=4)
+    r = written(resample.bootstrap_sums(residues(spark, sf_dir), ["split"], ["chain"], ["tied", "label"], weight_(), 200), "boot")
+    a = curves.pr_summary(r, ["split", "boot"], score="tied", weight=weight_(), buckets=4)
     return a.groupBy("split").agg(F.percentile("aucpr", F.lit(0.025)).alias("low"), F.percentile("aucpr", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
 
 
@@ -261,11 +262,11 @@ def position_cell_parse(spark, sf_dir):
 
 @query()
 def mean_pr_curve(spark, sf_dir):
-    """PR curves of the seeds read at 101 recalls, averaged."""
+    """PR curves of the seeds read at 501 recalls, averaged."""
     from ..operators.sweep import interpolated_mean
 
     p = curves.pr_points(residues(spark, sf_dir), ["seed"], score="tied", weight=weight_())
-    return rounded(interpolated_mean(p, "seed", "recall", "precision", 101))
+    return rounded(interpolated_mean(p, "seed", "recall", "precision", 501))
 
 
 @query("WITH RECURSIVE " + _ATOMS.removeprefix("WITH ") + """, e AS (SELECT a.entry, a.chain AS u, b.chain AS v FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 2 GROUP BY ALL HAVING count(*) >= 1),

@@ -214,6 +214,25 @@ def test_resampling(spark):
     assert b["low"] <= b["mean"] <= b["high"] and 1.0 <= b["low"] and b["high"] <= 1.04
 
 
+def test_bootstrap_sums_are_those_of_the_drawn_rows(spark):
+    d = spark.createDataFrame([(i % 2, i // 4, i % 3 / 2, i % 5 % 2, 1.0 + i % 4) for i in range(120)], "g int, u int, v double, y int, w double")
+    want = resample.bootstrap_rows(d, ["u"], 7).groupBy("g", "boot", "v", "y").agg(F.sum(F.col("w") * F.col("times")).alias("weight"))
+    got = resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("boot").distinct().count() == 7
+
+
+def test_queries_draw_as_often_as_the_reference(spark, sf_dir, monkeypatch):
+    from chainloom.plans import reference_queries
+
+    q, drawn = reference_queries.queries(), []
+    assert q["signflip_test"](spark, sf_dir).first()["n"] == 200_000
+    assert {r["draws"] for r in q["bootstrap_ci"](spark, sf_dir).collect()} == {200}
+    assert q["mean_pr_curve"](spark, sf_dir).count() == 501
+    monkeypatch.setattr(resample, "hierarchical_bootstrap", lambda diffs, fold, seed, diff, n_boot: drawn.append(n_boot))
+    q["hierarchical_bootstrap"](spark, sf_dir)
+    assert drawn == [50_000]
+
+
 def test_interpolated_mean(spark):
     c = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 0.0), ("b", 0.5, 1.0), ("b", 1.0, 1.0)], "c string, x double, y double")
     got = {round(r["g"], 3): round(r["y"], 6) for r in sweep.interpolated_mean(c, "c", "x", "y", 5).collect()}
