@@ -7,27 +7,47 @@ from pyspark.sql import functions as F
 
 
 def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", label: str = "label", score: str = "score", weight: str = "weight", budget: int = 3) -> DataFrame:
-    """(tau, tp, fp, fn, precision, recall, avg_pred, avg_fp, over_budget, any_fp): one row per threshold.
+    """(tau, tp, fp, fn, precision, recall, avg_pred, p95_pred, over_budget, avg_fp, p95_fp, any_fp and the last six with _raw): one row per threshold.
 
-    Rows fall into threshold buckets once; per-chain counts by bucket are small, and cumulative sums over buckets give every threshold,
-    so rows are never multiplied by thresholds. Averages and shares over chains are weighted; NaN scores pass no threshold.
+    Rows fall into threshold buckets once. A chain's counts change only at its own buckets, so it adds its weight to a histogram
+    (tau, count) at the ends of each run of thresholds with the same count; rows and chains are never multiplied by thresholds.
+    Averages, shares and p95 over chains are weighted (weights below 0 count as 0), those with _raw are not; NaN scores pass no threshold.
     """
-    taus = sorted(set(taus))
-    s = F.when(~F.isnan(score), F.col(score))
-    bucket = sum((F.when(s >= t, 1).otherwise(0) for t in taus), F.lit(0))
-    per = rows.select(chain, F.col(weight).cast("double").alias("w"), F.col(label).alias("y"), bucket.alias("b")).groupBy(chain, "w", "b").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    wide = per.groupBy(chain, "w").agg(F.sum("p").alias("npos"), *[f(F.when(F.col("b") > i, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i in range(len(taus)) for c, f in (("p", F.sum), ("n", F.sum))])
-    each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.col(f"p{i}").alias("tp"), (F.col(f"n{i}") - F.col(f"p{i}")).alias("fp")) for i, t in enumerate(taus)])).alias("e")
-    long = wide.select("w", "npos", each).select("w", "npos", "e.*")
-    w = F.col("w")
-    sums = long.groupBy("tau").agg(
-        F.sum(w * F.col("tp")).alias("tp"), F.sum(w * F.col("fp")).alias("fp"), F.sum(w * (F.col("npos") - F.col("tp"))).alias("fn"), F.sum(w).alias("total"),
-        F.sum(w * (F.col("tp") + F.col("fp"))).alias("pred"), F.sum(F.when(F.col("tp") + F.col("fp") > budget, w).otherwise(0.0)).alias("over"), F.sum(F.when(F.col("fp") >= 1, w).otherwise(0.0)).alias("any"),
+    taus = sorted({float(t) for t in taus})
+    s = F.when(~F.isnan(score), F.col(score).cast("double"))
+    bucket = F.coalesce(F.size(F.filter(F.lit(taus), lambda t: t <= s)), F.lit(0))
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    per = rows.select(F.col(chain).alias("c"), w.alias("w"), F.col(label).alias("y"), bucket.alias("b")).groupBy("c", "w", "b").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n"))
+    down = Window.partitionBy("c", "w").orderBy(F.desc("b"))
+    up_to = down.rowsBetween(Window.unboundedPreceding, 0)
+    run = per.select("w", "b", F.lag("b").over(down).alias("above"), F.coalesce(F.lead("b").over(down), F.lit(0)).alias("below"), F.sum("p").over(up_to).alias("p"), F.sum("n").over(up_to).alias("n"))
+    counts = lambda p, n: [("tp", p), ("fp", n - p), ("pred", n)]
+    span = lambda lo, hi, p, n: [F.struct(F.lit(k).alias("kind"), x.cast("long").alias("count"), at.alias("at"), F.lit(sign).alias("sign")) for k, x in counts(p, n) for at, sign in ((lo, 1), (hi, -1))]
+    top = F.when(F.col("above").isNull(), F.array(*span(F.col("b"), F.lit(len(taus)), F.lit(0), F.lit(0)))).otherwise(F.array())
+    ends = run.select("w", F.explode(F.concat(F.array(*span(F.col("below"), F.col("b"), F.col("p"), F.col("n"))), top)).alias("e")).select("w", "e.*")
+    steps = ends.groupBy("kind", "count", "at").agg(F.sum(F.col("w") * F.col("sign")).alias("dw"), F.sum("sign").alias("dn"))
+    along = Window.partitionBy("kind", "count").orderBy("at")
+    held = steps.select("kind", "count", "at", F.coalesce(F.lead("at").over(along), F.lit(len(taus))).alias("to"), F.sum("dw").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("w"), F.sum("dn").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    hist = held.where("n > 0 and at < to").select("kind", "count", F.greatest("w", F.lit(0.0)).alias("w"), "n", F.explode(F.sequence("at", F.col("to") - 1)).alias("i"))
+    less = Window.partitionBy("kind", "i")
+    seen = hist.withColumn("cw", F.sum("w").over(less.orderBy("count").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tw", F.sum("w").over(less))
+    c, ratio = F.col("count"), lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    share = lambda x, x_of: ratio(F.sum(F.when(x, F.col(x_of)).otherwise(0)), F.sum(x_of))
+    stats = seen.groupBy("i", "kind").agg(
+        F.sum(F.col("w") * c).alias("sum"), ratio(F.sum(F.col("w") * c), F.sum("w")).alias("avg"), ratio(F.sum(F.col("n") * c), F.sum("n")).alias("avg_raw"),
+        F.percentile("count", F.lit(0.95), F.col("n")).alias("p95_raw"), F.min(F.when((F.col("tw") > 0) & (F.col("cw") >= 0.95 * F.col("tw") - 1e-12), c)).cast("double").alias("p95"),
+        share(c > budget, "w").alias("over"), share(c > budget, "n").alias("over_raw"), share(c >= 1, "w").alias("any"), share(c >= 1, "n").alias("any_raw"),
+    )
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
+    p95 = lambda kind: F.coalesce(of(kind, "p95"), of(kind, "p95_raw"))
+    wide = stats.groupBy("i").agg(
+        of("tp", "sum").alias("tp"), of("fp", "sum").alias("fp"), of("pred", "avg").alias("avg_pred"), p95("pred").alias("p95_pred"), of("pred", "over").alias("over_budget"), of("fp", "avg").alias("avg_fp"), p95("fp").alias("p95_fp"), of("fp", "any").alias("any_fp"),
+        *[of(k, f"{x}_raw").alias(f"{name}_raw") for k, x, name in (("pred", "avg", "avg_pred"), ("pred", "p95", "p95_pred"), ("pred", "over", "over_budget"), ("fp", "avg", "avg_fp"), ("fp", "p95", "p95_fp"), ("fp", "any", "any_fp"))],
     )
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b), F.lit(0.0))
-    return sums.select(
-        "tau", "tp", "fp", "fn", ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), ratio("tp", F.col("tp") + F.col("fn")).alias("recall"), ratio("pred", "total").alias("avg_pred"), ratio("fp", "total").alias("avg_fp"),
-        ratio("over", "total").alias("over_budget"), ratio("any", "total").alias("any_fp"),
+    out = wide.crossJoin(F.broadcast(per.agg(F.sum(F.col("w") * F.col("p")).alias("positives")))).withColumn("fn", F.col("positives") - F.col("tp"))
+    tail = ["avg_pred", "p95_pred", "over_budget", "avg_fp", "p95_fp", "any_fp"]
+    return out.select(
+        F.element_at(F.lit(taus), (F.col("i") + 1).cast("int")).alias("tau"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), *tail, *[f"{x}_raw" for x in tail],
     )
 
 
@@ -55,14 +75,14 @@ def pareto(rows: DataFrame, cost: str, gain: str, group: list[str] | None = None
     return rows.withColumn("frontier", F.col(gain) > F.coalesce(F.max(gain).over(before), F.lit(float("-inf"))) + 1e-12)
 
 
-def operating_points(sweep: DataFrame, avg: str = "avg_pred", tail: str = "over_budget", recall: str = "recall") -> DataFrame:
+def operating_points(sweep: DataFrame, avg: str = "avg_pred", tail: str = "p95_pred", recall: str = "recall", avg_limit: float = 15.0, tail_limit: float = 30.0) -> DataFrame:
     """(point, tau, recall, avg): conservative, balanced and discovery choices from a small table of thresholds."""
     top = sweep.agg(F.max(recall).alias("top"))
     t = sweep.crossJoin(F.broadcast(top))
     value = F.col(recall) / F.log(1 + F.col(avg) + 1e-6) - 0.005 * F.col(tail)
     cons = t.where(F.col(recall) >= 0.60 * F.col("top")).select(F.lit("conservative").alias("point"), F.struct((-F.col(avg)).alias("a"), F.col(recall).alias("b"), F.col("tau").alias("c")).alias("key"), "tau", recall, avg)
     bal = t.select(F.lit("balanced").alias("point"), F.struct(F.round(value, 12).alias("a"), F.col(recall).alias("b"), F.col("tau").alias("c")).alias("key"), "tau", recall, avg)
-    fits = (F.col(avg) <= 15).cast("double")
+    fits = ((F.col(avg) <= avg_limit) & (F.col(tail) <= tail_limit)).cast("double")
     disc = t.select(F.lit("discovery").alias("point"), F.struct(fits.alias("a"), F.col(recall).alias("b"), F.col("tau").alias("c")).alias("key"), "tau", recall, avg)
     every = cons.unionByName(bal).unionByName(disc)
     return every.groupBy("point").agg(F.max_by(F.struct("tau", recall, avg), "key").alias("m")).select("point", "m.tau", f"m.{recall}", f"m.{avg}")

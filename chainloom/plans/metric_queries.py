@@ -160,7 +160,26 @@ def pareto_frontier(spark, sf_dir):
 UNION ALL SELECT 'balanced', tau, recall, avg_pred FROM (SELECT * FROM m ORDER BY round(recall / ln(1 + avg_pred + 1e-6) - 0.005 * over_budget, 12) DESC, recall DESC, tau DESC LIMIT 1)
 UNION ALL SELECT 'discovery', tau, recall, avg_pred FROM (SELECT * FROM m ORDER BY (avg_pred <= 15) DESC, recall DESC, tau DESC LIMIT 1)""")
 def operating_points(spark, sf_dir):
-    return sweep.operating_points(_swept(spark, sf_dir))
+    """As its SQL has it: the share over budget where the formula has p95; operating_points_p95 is the whole formula."""
+    return sweep.operating_points(_swept(spark, sf_dir), tail="over_budget")
+
+
+def _swept_on_grid(spark, sf_dir) -> DataFrame:
+    """Sweep over the 400 quantiles of scores in [0, 1] with the reference's anchors."""
+    r = residues(spark, sf_dir).withColumn("score", F.col("score") / 110000.0)
+    taus = [t["tau"] for t in sweep.threshold_grid(r, "score", 400, [0.35, 0.50, 0.65, 0.26, 0.0612]).collect()]
+    return sweep.threshold_sweep(r, taus)
+
+
+@query()
+def threshold_sweep_p95(spark, sf_dir):
+    """Candidates and false positives by threshold: mean, p95 and shares, weighted and raw, on the quantile grid."""
+    return rounded(_swept_on_grid(spark, sf_dir), "tau")
+
+
+@query()
+def operating_points_p95(spark, sf_dir):
+    return sweep.operating_points(_swept_on_grid(spark, sf_dir))
 
 
 @query(f"""WITH {RESIDUES}, c AS (SELECT chain, sum(CASE WHEN score >= 40000 THEN 1 - label ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < 40000 THEN label ELSE 0 END)::BIGINT AS fn FROM res GROUP BY chain)

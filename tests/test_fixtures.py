@@ -214,6 +214,35 @@ def test_resampling(spark):
     assert b["low"] <= b["mean"] <= b["high"] and 1.0 <= b["low"] and b["high"] <= 1.04
 
 
+def test_sweep_loads_are_those_of_plain_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(c, float(c % 4) / 2, int(rng.random() < 0.3), NAN if rng.random() < 0.05 else float(rng.random())) for c in range(30) for _ in range(60 if c % 9 == 0 else c % 5 + 1)]
+    taus = [0.0, 0.2, 0.5, 0.51, 0.9, 1.5]
+    d = spark.createDataFrame(rows, "chain int, weight double, label int, score double")
+    got = {r["tau"]: r.asDict() for r in sweep.threshold_sweep(d, taus).collect()}
+    assert sorted(got) == taus
+    w = np.array([c % 4 / 2 for c in range(30)])
+    for t in taus:
+        count = lambda ok: np.array([sum(ok(y) and s >= t for c, _, y, s in rows if c == k) for k in range(30)])  # noqa: B023, E731
+        tp, pred = count(lambda y: y == 1), count(lambda y: True)
+        positives = sum(v * y for _, v, y, _ in rows)
+        want = {"tp": (tp * w).sum(), "fp": ((pred - tp) * w).sum(), "fn": positives - (tp * w).sum()}
+        want |= {"over_budget": (w * (pred > 3)).sum() / w.sum(), "any_fp": (w * (pred > tp)).sum() / w.sum(), "over_budget_raw": (pred > 3).mean(), "any_fp_raw": (pred > tp).mean()}
+        for name, x in (("pred", pred), ("fp", pred - tp)):
+            order = np.argsort(x, kind="stable")
+            at = np.searchsorted(np.cumsum(w[order]), 0.95 * w.sum() - 1e-12)
+            want |= {f"avg_{name}": (x * w).sum() / w.sum(), f"p95_{name}": x[order][at], f"avg_{name}_raw": x.mean(), f"p95_{name}_raw": np.quantile(x, 0.95)}
+        for k, v in want.items():
+            assert abs(got[t][k] - v) < 1e-9, (t, k)
+
+
+def test_operating_points_mind_the_tail(spark):
+    s = spark.createDataFrame([(0.1, 10.0, 500.0, 0.9, 0.05), (0.5, 9.0, 20.0, 0.8, 0.01), (0.9, 4.0, 8.0, 0.3, 0.0)], "tau double, avg_pred double, p95_pred double, recall double, over_budget double")
+    assert {r["point"]: r["tau"] for r in sweep.operating_points(s).collect()} == {"conservative": 0.5, "balanced": 0.5, "discovery": 0.5}
+
+
 def test_bootstrap_sums_are_those_of_the_drawn_rows(spark):
     d = spark.createDataFrame([(i % 2, i // 4, i % 3 / 2, i % 5 % 2, 1.0 + i % 4) for i in range(120)], "g int, u int, v double, y int, w double")
     want = resample.bootstrap_rows(d, ["u"], 7).groupBy("g", "boot", "v", "y").agg(F.sum(F.col("w") * F.col("times")).alias("weight"))
