@@ -46,18 +46,24 @@ def visit(parts: Column) -> Column:
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
     known = lambda p: F.coalesce(p["type"].isin(*KINDS), F.lit(False))
 
-    def number(p: Column, i: Column) -> Column:
-        return F.size(F.filter(F.slice(parts, 1, i + 1), lambda q: q["type"] == p["type"]))
+    def of_kind(kind: str | None) -> Column:
+        """Places of one kind in order, each with its number."""
+        mine = F.filter(F.transform(parts, lambda p, i: F.when(~known(p) if kind is None else F.coalesce(p["type"] == kind, F.lit(False)), i)), lambda i: i.isNotNull())
+        return F.transform(mine, lambda i, n: F.struct(i.alias("at"), (n + 1).alias("number")))
 
-    def body(p: Column, i: Column) -> Column:
-        return F.when(known(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), number(p, i).cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+    numbered = F.sort_array(F.concat(*[of_kind(k) for k in (*KINDS, None)]))  # all places again, each once
 
-    def attachment(p: Column, i: Column) -> Column:
-        return F.struct(i.alias("part"), p["type"].alias("type"), number(p, i).alias("number"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))
+    def body(s: Column) -> Column:
+        p = F.get(parts, s["at"])
+        return F.when(known(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), s["number"].cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+
+    def attachment(s: Column) -> Column:
+        p = F.get(parts, s["at"])
+        return F.struct(s["at"].alias("part"), p["type"].alias("type"), s["number"].alias("number"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))
 
     return F.struct(
-        F.array_join(F.transform(parts, body), "").alias("body"),
-        F.filter(F.transform(parts, lambda p, i: F.when(known(p), attachment(p, i))), lambda a: a.isNotNull()).alias("attachments"),
+        F.array_join(F.transform(numbered, body), "").alias("body"),
+        F.transform(F.filter(numbered, lambda s: known(F.get(parts, s["at"]))), attachment).alias("attachments"),
         F.aggregate(F.transform(parts, part_tokens), F.lit(0).cast("long"), lambda a, n: a + n).alias("tokens"),
     )
 
@@ -97,10 +103,13 @@ def parse_chat(formatted: Column) -> Column:
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Counts and hashes read back from `formatted` and the loss mask."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, n_tokens), read back from `formatted` and the loss mask.
+
+    The text under the mask is cut out of `formatted` by the start and length of each span, unescaped, and joined. Null masks cover nothing.
+    """
     turns = F.concat(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"])), "\n"), F.when(F.size("_turns") > 0, F.lit("\n")).otherwise(F.lit("")))
-    masked = F.array_join(F.transform("loss", lambda s: F.element_at("_turns", (s["turn"] + 1).cast("int"))["text"]), "")
-    read = chats.withColumn("_turns", parse_chat(F.col("formatted"))).withColumn("_masked", masked)
+    masked = F.array_join(F.transform("loss", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    read = chats.select("conv_id", "formatted", "attachments", "n_tokens", parse_chat(F.col("formatted")).alias("_turns"), F.coalesce(masked, F.lit("")).alias("_masked"))
     return read.select(
         F.col("conv_id"), F.size("_turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("_masked").cast("long").alias("loss_chars"), F.sha2(F.col("_masked").cast("binary"), 256).alias("loss_sha256"),

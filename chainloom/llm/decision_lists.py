@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import checkpointed
+from ..plans.materialize import checkpointed, col, columns
 
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "distinct_share")
 _P = "__rule_"
@@ -48,9 +48,9 @@ def _repeat_words(windows: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and its statistics, each in a column named __rule_<name>; null texts count as empty.
+    """docs and its statistics, each in a column named __rule_<name>, which docs must not have (see keep_good()); null texts count as empty.
 
-    Base counts as the module's BASE, and shares: mean word length, symbols, repeated lines and words, A-Z, "!" and "?", distinct words.
+    Texts are read whole, however long. Base counts as the module's BASE, and shares: mean word length, symbols, repeated lines and words, A-Z, "!" and "?", distinct words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.col(f"{_P}words")
@@ -63,10 +63,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     win, ln, bare = F.col(f"{_P}windows"), F.col(f"{_P}lines"), F.col(f"{_P}bare")
     # a row number in one column keeps conditions on the statistics from being moved below this step and worked out anew for every word
     three = two.withColumns({
-        f"{_P}n_words": F.when(F.monotonically_increasing_id() >= 0, n).otherwise(0).cast("long"), f"{_P}word_chars": F.length(bare).cast("long"), f"{_P}n_symbols": (F.length(bare) - F.length(_without(bare, SYMBOLS))).cast("long"),
+        f"{_P}n_words": F.when(F.monotonically_increasing_id() >= 0, n).otherwise(0).cast("long"), f"{_P}word_chars": F.length(bare).cast("long"), f"{_P}n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"),
         f"{_P}n_dup_lines": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"), f"{_P}n_lines": F.size(ln).cast("long"),
         f"{_P}n_repeat_words": F.when(F.size(F.array_distinct(win)) < F.size(win), _repeat_words(win)).otherwise(0).cast("long"),
-        f"{_P}n_upper": F.regexp_count(bare, F.lit("[A-Z]")).cast("long"), f"{_P}n_marks": (F.length(bare) - F.length(_without(bare, "!?"))).cast("long"),
+        f"{_P}n_upper": F.regexp_count(bare, F.lit("[A-Z]")).cast("long"), f"{_P}n_marks": F.regexp_count(t, F.lit("[!?]")).cast("long"),
         f"{_P}n_distinct": F.size(F.array_distinct(words)).cast("long"),
     })
     share = lambda a, b: F.col(_P + a) / F.greatest(F.col(_P + b), F.lit(1))
@@ -187,12 +187,13 @@ def _best(counts: list, cuts: dict[str, list[float]]) -> Condition | None:
 def learn_from(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DecisionList:
     """A list from the texts of about fit_rows labelled documents, taken by hash of their id.
 
-    The labels are broadcast: their number is bounded by fit_rows, which is checked by counting them.
+    The labels are broadcast: their number is bounded by fit_rows, which is checked by counting them. Null ids and labels are left out; an id
+    with several labels counts with each, and a document that repeats counts as often. Without labels the list keeps all.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_labelled"), F.col(label_col).alias("y")).where("_labelled is not null and y is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("_labelled"), F.col(label_col).alias("y")).where("_labelled is not null and y is not null").distinct()
     share = min(1.0, fit_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("_labelled", F.lit(3)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("_id") == F.col("_labelled")).select("text", "y")
+    texts = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).alias("text")).join(F.broadcast(picked), F.col("_id") == F.col("_labelled")).select("text", "y")
     return learn(with_statistics(texts), "y", **options)
 
 
@@ -206,6 +207,10 @@ def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Rows of docs that pass the base and the rules, with docs' columns as they are."""
-    verdict = with_statistics(docs, text_col).where(~base_failed() & rules.kept())
-    return verdict.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of docs that pass the base and the rules, with docs' columns as they are, whatever their names.
+
+    Null and empty texts fail the base. Repeated rows stay or go together; an empty table stays empty.
+    """
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), col(text_col).alias("text"))
+    kept = with_statistics(packed).where(~base_failed() & rules.kept())
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,7 +7,6 @@ time on windows at hashed offsets of a bounded number of labelled documents of e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,11 @@ WINDOW, HIDDEN = 64, 6
 #: Languages up to which their shares are broadcast; beyond it, Spark deals out the join.
 BROADCAST_LANGUAGES = 10_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the Unicode categories L is in it: digits, fractions, circled and Roman numerals are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 class GatedNetwork:
@@ -185,15 +188,20 @@ def predict(net: GatedNetwork, texts: list[bytes], most: int = 1024) -> tuple[np
     return total / np.maximum(size, 1)[:, None], labelled
 
 
-def train(labelled: DataFrame, per_language: int = 400, windows: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> tuple[list[str], GatedNetwork | None]:
+def train(labelled: DataFrame, per_language: int = 400, windows: int = 4, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> tuple[list[str], GatedNetwork | None]:
     """Languages in order, and a network over them, from about per_language documents of each language and `windows` windows of each.
 
-    Documents are taken by hash of their id, so the sample is the same at any partitioning. Rows with a null id, text or language are left
+    With many languages fewer are taken of each, at least one, so that about `most` windows in all come to the driver. Documents are taken by hash of their id, so the sample is the same at any partitioning. Rows with a null id, text or language are left
     out. Without labelled rows there are no languages and no network.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    share = checkpointed(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")))
-    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
+    counted = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = counted.count()
+    if n_langs > most:
+        raise ValueError(f"{n_langs} languages are more than the {most} windows to learn from")
+    each = min(float(per_language), max(1.0, most / (windows * max(1, n_langs))))
+    share = counted.select("lang", (F.lit(each) / F.col("n")).alias("share"))
+    share = F.broadcast(share) if n_langs <= BROADCAST_LANGUAGES else share
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     raw = F.encode("text", "UTF-8")
     cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substr("raw", (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.length("raw") - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)))
@@ -212,13 +220,14 @@ def identify(docs: DataFrame, langs: list[str], net: GatedNetwork | None, id_col
     """(doc_id, lang_pred, score, n_positions map<string, long>): one row per row of docs.
 
     Null texts, texts without a letter, and any text without a trained network, are `und` with score 0. n_positions has the
-    positions labelled with each language. Repeated rows and null ids keep their rows.
+    positions labelled with each language. Repeated rows and null ids keep their rows; an empty table gives no rows. Texts are read whole, however
+    long; of equally likely languages the first in order counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw = as_bytes(b.column(1))
-            lettered = [bool(t) and _LETTER.search(t) is not None for t in b.column(1).to_pylist()]
+            lettered = [has_letter(t) for t in b.column(1).to_pylist()]
             if net is None:
                 names, score, marks = [UNDETERMINED] * len(raw), np.zeros(len(raw)), np.zeros((len(raw), 0), dtype=np.int64)
             else:

@@ -1,7 +1,7 @@
 """Media columns: archives of payloads in the shared folder, read by a Spark data source.
 
 Texts become 8-bit grey images (64 samples a row) stored as PNG, which loses nothing. Each task packs its members into one archive,
-under a name of its own, and renames it when it is whole, so a retried task leaves the same file. The data
+under a name of its own, and renames it when it is whole, so a retried task leaves a whole file; where members begin stands at its end. The data
 source lists archives and sizes on the driver, plans byte ranges of them, and each range streams its members through
 Arrow. A member that cannot be read is tried again alone, from its own offset.
 """
@@ -30,6 +30,9 @@ MAGIC = b"MEM1"
 #: magic, whether there is a key, key, bytes of the text, bytes of the media, their CRC-32
 HEADER = "<4sBqqqI"
 HEADER_BYTES = struct.calcsize(HEADER)
+#: At the end of an archive, after the places of its members and the end of the last: how many places, and a mark.
+FOOTER, FOOTER_MARK = "<q4s", b"MEME"
+FOOTER_BYTES = struct.calcsize(FOOTER)
 RANGE_BYTES, BATCH_BYTES, TRIES = 16 << 20, 4 << 20, 4
 SCHEMA = "doc_id long, n_bytes long, archive string, offset long, media binary"
 
@@ -80,7 +83,7 @@ def _open(fs: pa.fs.FileSystem, path: str) -> pa.NativeFile:
 def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Store the text of every row of docs as a member of an archive in `directory`; gives the number of members.
 
-    Null texts are stored as empty ones; rows with null or repeated ids are members of their own.
+    Texts are stored whole, however long; an empty table gives no archive. Null texts are stored as empty ones; rows with null or repeated ids are members of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +98,11 @@ def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text
                     offsets.append(at)
                     at += out.write(struct.pack(HEADER, MAGIC, key is not None, key or 0, len(text or b""), len(media), zlib.crc32(media)) + media)
                     n += 1
-        with fs.open_output_stream(f"{draft}.index") as out:
-            out.write(np.array([*offsets, at], dtype="<i8").tobytes())
+            out.write(np.array([*offsets, at], dtype="<i8").tobytes() + struct.pack(FOOTER, n + 1, FOOTER_MARK))
         if n:
-            fs.move(f"{draft}.index", f"{base}/part-{part:06d}.index")
             fs.move(draft, f"{base}/part-{part:06d}.members")
         else:
             fs.delete_file(draft)
-            fs.delete_file(f"{draft}.index")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["members"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -129,6 +129,15 @@ def _parse(raw: bytes, path: str, offset: int) -> tuple[int | None, int, bytes]:
     return key if has_key else None, n_bytes, media
 
 
+def places(fs: pa.fs.FileSystem, path: str) -> np.ndarray:
+    """Where the members of an archive begin, and where the last one ends."""
+    with _open(fs, path) as f:
+        n, mark = struct.unpack(FOOTER, f.read_at(FOOTER_BYTES, f.size() - FOOTER_BYTES))
+        if mark != FOOTER_MARK:
+            raise OSError(f"{path} is not whole")
+        return np.frombuffer(f.read_at(8 * n, f.size() - FOOTER_BYTES - 8 * n), dtype="<i8")
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, directory: str, range_bytes: int):
         self.directory, self.range_bytes = directory, range_bytes
@@ -144,8 +153,7 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         fs, _ = _file_system(self.directory)
-        with _open(fs, partition.path.removesuffix(".members") + ".index") as f:
-            offsets = np.frombuffer(f.read(), dtype="<i8")
+        offsets = self.tried(lambda: places(fs, partition.path))
         first, last = np.searchsorted(offsets[:-1], [partition.start, partition.end])
         rows, held = [], 0
         with _open(fs, partition.path) as f:
@@ -163,9 +171,13 @@ class ArchiveReader(DataSourceReader):
             yield self.batch(rows)
 
     def again(self, fs: pa.fs.FileSystem, path: str, a: int, b: int) -> tuple[int | None, int, bytes]:
+        return self.tried(lambda: read_member(fs, path, a, b))
+
+    @staticmethod
+    def tried(read):
         for k in range(TRIES):
             try:
-                return read_member(fs, path, a, b)
+                return read()
             except OSError:
                 if k == TRIES - 1:
                     raise
@@ -207,7 +219,10 @@ def feature(payload: bytes) -> str:
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored members, decoded again."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored members, decoded again.
+
+    One row per member, null and repeated ids too; equal payloads have equal values. No members give no rows.
+    """
     import hashlib
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

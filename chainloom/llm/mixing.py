@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import checkpointed
+from ..plans.materialize import checkpointed, col, columns, fresh
 
 DIMS = ("source", "lang", "topic")
 #: Cells up to which their table is broadcast to the documents; beyond it, the join is dealt out by cell.
@@ -21,20 +21,13 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def topic_by_form(text: Column) -> Column:
-    """What kind of page a text is, by its form."""
-    text = F.coalesce(text, F.lit(""))
-    return (
-        F.when(text == "", "empty").when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("://")) | F.contains(text, F.lit("@")), "web")
-        .when(F.contains(text, F.lit("rights reserved")) | F.contains(text, F.lit("icense")), "legal").when(F.contains(text, F.lit("\n")), "article").otherwise("note")
-    )
+def _named(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(NONE))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens): null sources, languages and topics are "(none)"."""
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    topic = topic_by_form(F.col(text_col)) if topic is None else topic
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), name(F.col(source_col)).alias("source"), name(F.col(lang_col)).alias("lang"), name(topic).alias("topic"), n_words(F.col(text_col)).alias("n_tokens"))
+def measured(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens): null sources, languages and topics are "(none)". topic is a column of docs, or an expression over them."""
+    return docs.select(col(id_col).cast("long").alias("doc_id"), _named(col(source_col)).alias("source"), _named(col(lang_col)).alias("lang"), _named(topic).alias("topic"), n_words(col(text_col)).alias("n_tokens"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -51,19 +44,33 @@ def tempered_targets(cells: DataFrame, power: dict[str, float]) -> dict[str, Dat
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 6) -> DataFrame:
-    """cells and their weight: shares of the whole, raked `sweeps` times over the dimensions of targets.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 6, tolerance: float = 1e-12) -> tuple[DataFrame, list[float]]:
+    """(cells with their weight, residual after each sweep): shares of the whole, raked over the dimensions of targets, at most `sweeps` times.
 
-    Values of a dimension without a target get weight 0; targets of values without cells have no effect beyond their share. Every step is
-    one partial aggregate by value and one join, and is checkpointed.
+    The residual is the largest distance of a marginal share from its target; raking stops where it is within the tolerance, since further sweeps change
+    no weight beyond it. Values of a dimension without a target get weight 0; targets of values without cells cannot be met and show in the residual. A
+    step is one partial aggregate by value and one join; each sweep is written once.
     """
     total = cells.agg(F.sum("tokens").alias("total"))
     now = checkpointed(cells.crossJoin(F.broadcast(total)).select(*DIMS, "tokens", (F.col("tokens") / F.col("total")).alias("weight")))
-    for _ in range(sweeps):
+    residuals: list[float] = []
+    while len(residuals) < sweeps and (not residuals or residuals[-1] > tolerance):
         for d, target in targets.items():
             factor = now.groupBy(d).agg(F.sum("weight").alias("is")).join(target, d, "left").select(d, F.coalesce(F.col("target") / F.nullif("is", F.lit(0.0)), F.lit(0.0)).alias("factor"))
-            now = checkpointed(now.join(factor, d).select(*DIMS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")))
-    return now
+            now = now.join(factor, d).select(*DIMS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+        now = checkpointed(now)
+        residuals.append(residual(now, targets))
+    return now, residuals
+
+
+def residual(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance between the weight share of a value and its target; 0 without cells."""
+    far = None
+    for d, target in targets.items():
+        share = cells.groupBy(d).agg(F.sum("weight").alias("w")).crossJoin(F.broadcast(cells.agg(F.sum("weight").alias("all"))))
+        one = share.join(target, d, "full_outer").select(F.abs(F.coalesce(F.try_divide("w", "all"), F.lit(0.0)) - F.coalesce("target", F.lit(0.0))).alias("far"))
+        far = one if far is None else far.unionByName(one)
+    return 0.0 if far is None else float(far.agg(F.max("far")).first()[0] or 0.0)
 
 
 def calibrated(cells: DataFrame) -> DataFrame:
@@ -89,30 +96,32 @@ def with_cells(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table) if small else table, list(DIMS), "left")
 
 
-def mix(docs: DataFrame, power: dict[str, float], sweeps: int = 6, seed: int = 17, **columns) -> DataFrame:
+def weights(rows: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6) -> DataFrame:
+    """calibrated() cells of measured() rows, raked to the given targets, or to shares to the given powers."""
+    cells = checkpointed(cells_of(rows))
+    return calibrated(rake(cells, tempered_targets(cells, power) if targets is None else targets, sweeps)[0])
+
+
+def mix(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, **names) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, ratio, probability, sampled): one row per row of docs.
 
-    Documents without a token are in no cell with tokens unless others share it; alone they have ratio and probability 0. Repeated rows get
-    the same draw; rows with a null id share one draw. An empty table gives no rows.
+    targets: for each of source, lang and topic a table (value, target) with target shares; or power, for tempered shares of what is there.
+    Documents without a token are in no cell with tokens unless others share it; alone they have ratio and probability 0. Null texts have no
+    token. Repeated rows get the same draw; rows with a null id share one draw. Texts are counted whole; an empty table gives no rows.
     """
-    rows = measured(docs, **columns)
-    table = weights(rows, power, sweeps)
+    rows = measured(docs, topic, **names)
+    table = weights(rows, power, targets, sweeps)
     out = with_cells(rows, table).withColumns({"ratio": F.coalesce("ratio", F.lit(0.0)), "probability": F.coalesce("probability", F.lit(0.0))})
     return out.select("doc_id", *DIMS, "n_tokens", F.round("ratio", 6).alias("ratio"), F.round("probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def weights(rows: DataFrame, power: dict[str, float], sweeps: int) -> DataFrame:
-    cells = checkpointed(cells_of(rows))
-    return calibrated(rake(cells, tempered_targets(cells, power), sweeps))
-
-
-def sample(docs: DataFrame, power: dict[str, float], sweeps: int = 6, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Rows of docs drawn with their calibrated probability, columns as they are."""
-    columns = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
-    table = weights(measured(docs, **columns), power, sweeps).select(*[F.col(d).alias(f"__mix_{d}") for d in DIMS], F.col("probability").alias("__mix_p"))
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    own = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": topic_by_form(F.col(text_col))}
-    match = [name(own[d]) == F.col(f"__mix_{d}") for d in DIMS]
-    small = table.count() <= BROADCAST_CELLS
-    joined = docs.join(F.broadcast(table) if small else table, match, "left")
-    return joined.where(draw(F.col(id_col), seed) < F.coalesce("__mix_p", F.lit(0.0))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def sample(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """Rows of docs drawn with their calibrated probability, columns as they are, whatever their names. Null, repeated and empty rows as in mix()."""
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
+    *cell, p = fresh(docs, n=len(DIMS) + 1)
+    table = weights(measured(docs, topic, **names), power, targets, sweeps).select(*[F.col(d).alias(c) for d, c in zip(DIMS, cell, strict=True)], F.col("probability").alias(p))
+    own = {"source": col(source_col), "lang": col(lang_col), "topic": topic}
+    match = [_named(own[d]) == F.col(c) for d, c in zip(DIMS, cell, strict=True)]
+    few = table.count() <= BROADCAST_CELLS
+    joined = docs.join(F.broadcast(table) if few else table, match, "left")
+    return joined.where(draw(col(id_col), seed) < F.coalesce(p, F.lit(0.0))).select(*columns(docs))

@@ -13,8 +13,10 @@ import sentencepiece
 SPACE = "▁"
 _CUT = "\x00"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-#: Segments that a worker keeps; it starts anew beyond this, so memory is bounded.
-CACHE_SEGMENTS = 700_000
+#: Bytes of segments and their values that a worker keeps; it starts anew beyond this, so memory is bounded.
+CACHE_BYTES = 192 << 20
+#: What an entry takes besides its text and value.
+ENTRY_BYTES = 200
 
 
 @dataclass(frozen=True)
@@ -61,16 +63,26 @@ def segments(text: str, cuttable: bool = True) -> list[str]:
 
 
 class Cache(dict):
-    """Segment -> what `make` (a list of new segments -> their values) gives, with bounded size."""
+    """Segment -> what `make` (a list of new segments -> their values) gives, with bounded size.
 
-    def __init__(self, make, most: int = CACHE_SEGMENTS):
-        self.make, self.most = make, most
+    What one call wants is held in any case: that is a slice of texts, or one text where it is longer.
+    """
+
+    def __init__(self, make, most: int = CACHE_BYTES):
+        self.make, self.most, self.held = make, most, 0
 
     def fill(self, wanted: Iterable[str]) -> None:
         wanted = set(wanted)
         new = [s for s in wanted if s not in self]
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(wanted)
-            self.update(zip(new, self.make(new), strict=True))
+        if not new:
+            return
+        made = self.make(new)
+        size = lambda some: sum(ENTRY_BYTES + 2 * len(s) + memoryview(v).nbytes for s, v in some)
+        added = size(zip(new, made, strict=True))
+        if self.held + added > self.most:
+            kept = {s: self[s] for s in wanted if s in self}
+            self.clear()
+            self.update(kept)
+            self.held = size(kept.items())
+        self.update(zip(new, made, strict=True))
+        self.held += added

@@ -143,7 +143,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, ra
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x array<double>): FEATURES of every row of docs, written to the shared folder."""
+    """(doc_id, x array<double>): FEATURES of every row of docs, written to the shared folder.
+
+    Texts are read whole, however long; null and empty ones have statistics 0. Repeated rows and null ids keep their rows; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -153,14 +156,15 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def train(stats: DataFrame, labels: DataFrame, fit_rows: int = 20_000, label_col: str = "quality", **options) -> Trees:
-    """Trees from about fit_rows labelled rows, taken by hash of the id; null ids and labels are left out.
+    """Trees from about fit_rows labelled ids, taken by hash of the id; null ids and labels are left out.
 
-    labels: (doc_id, label). A label for an id that repeats counts for each of its rows.
+    labels: (doc_id, label). An id counts once: of repeated labels the greatest, of repeated rows the greatest statistics in order. So what comes to
+    the driver is bounded by fit_rows, whatever repeats.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, fit_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else known
-    rows = stats.join(picked, "doc_id").select("doc_id", "y", "x").toArrow()
+    rows = stats.join(picked, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("x").alias("x")).toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y, key = rows["y"].to_numpy(), rows["doc_id"].to_numpy()
     order = np.lexsort((*x.T, y, key))
@@ -168,7 +172,7 @@ def train(stats: DataFrame, labels: DataFrame, fit_rows: int = 20_000, label_col
 
 
 def classify(stats: DataFrame, trees: Trees) -> DataFrame:
-    """(doc_id, score): one row per row of stats."""
+    """(doc_id, score): one row per row of stats, null and repeated ids too; equal statistics have equal scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,23 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decision_lists, language_id, media, mixing, quality_trees, secrets, simhash, token_counts, unigram
 from .common import documents, ship_code
 
-MODEL = public_tokenizers.path("piece_bpe_32k.model")
 POWER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 SWEEPS, SEED = 6, 17
 
 
+def model_path() -> str:
+    """The public vocabulary that token counts and encoding are stated for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def form() -> Column:
+    """The topic of a document of these tables, which have no column for it: what kind of page it is, by its form."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (
+        F.when(text == "", "empty").when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("://")) | F.contains(text, F.lit("@")), "web")
+        .when(F.contains(text, F.lit("rights reserved")) | F.contains(text, F.lit("icense")), "legal").when(F.contains(text, F.lit("\n")), "article").otherwise("note")
+    )
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode(documents(spark, sf_dir), MODEL)
+    """Ids, counts and round trip of the unigram encoding of every document."""
+    return unigram.encode(documents(spark, sf_dir), model_path())
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four of five folds."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     langs, net = language_id.train(docs.where(language_id.fold(F.col("doc_id"), 5) != 0))
     out = language_id.identify(docs, langs, net)
@@ -28,29 +44,35 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir), POWER, SWEEPS, SEED)
+    """Calibrated probability and draw of every document; the topic is the form of the page."""
+    return mixing.mix(documents(spark, sf_dir), form(), POWER, sweeps=SWEEPS, seed=SEED)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
     docs = documents(spark, sf_dir)
     rules = decision_lists.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return decision_lists.judged(docs, rules)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), MODEL)
+    """Exact token count of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir), model_path())
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; the owner is the source, the repository the document."""
     return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from three of four folds."""
     stats = quality_trees.document_statistics(documents(spark, sf_dir))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(language_id.fold(F.col("doc_id"), 4) != 2)
     out = quality_trees.classify(stats, quality_trees.train(stats, labels))
@@ -59,10 +81,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image in an archive, read back and described."""
     return media.media_features(media.stored_media(documents(spark, sf_dir)))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back from its output."""
     ship_code(spark)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -72,6 +96,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents after all stages."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -104,5 +129,13 @@ def _mixing_sql() -> str:
     FROM docs LEFT JOIN p USING (source, lang, topic)"""
 
 
+_CHAT_SQL = """WITH m AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, role || chr(10) || text || chr(10) AS block, ceil(len(text) / 4)::BIGINT AS tokens, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+len(role) + len(text) + len(regexp_replace(role || text, '[^<[\\\\]', '', 'g')) + len('<|turn|><|says|><|end|>') AS chars FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(block, '' ORDER BY turn, role, text)) AS turns_sha256, sum(len(learned))::BIGINT AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
+sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, sum(tokens)::BIGINT AS n_tokens FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": _mixing_sql()}
+    return {"op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}

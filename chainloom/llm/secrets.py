@@ -9,14 +9,17 @@ frequency; long mixed tokens without such a frame are added as spans of kind "ow
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..plans.materialize import written
+from ..plans.materialize import col, columns, fresh, small, spread_join, written
 from .common import slices
 
 # The base patterns, their order and least lengths.
@@ -40,10 +43,13 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     out += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
-    base = [(a, b) for _, a, b, _ in out]
+    base = sorted((a, b) for _, a, b, _ in out)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))  # reach: the furthest end so far
     for m in LOOSE.finditer(text):
-        if all(p.search(m[0]) for p in _MIXED) and not any(a < m.end() and m.start() < b for a, b in base):
-            out.append(("owned", m.start(), m.end(), m[0]))
+        if all(p.search(m[0]) for p in _MIXED):
+            before = bisect_left(starts, m.end())
+            if not before or reach[before - 1] <= m.start():
+                out.append(("owned", m.start(), m.end(), m[0]))
     return out
 
 
@@ -59,7 +65,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
             found = [[{"kind": k, "start": s, "end": e, "hash": xxhash.xxh64_intdigest(v.encode("utf-8", "replace")) - (1 << 63)} for k, s, e, v in candidates(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *b.columns[2:], pa.array(found, kind)], ["doc_id", "repo", "owner", "content", "found"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64(text_col).alias("content"))
+    cols = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), col(repo_col).cast("string").alias("repo"), col(owner_col).cast("string").alias("owner"), F.xxhash64(col(text_col)).alias("content"))
     got = cols.mapInArrow(run, f"doc_id long, repo string, owner string, content long, found array<{_ITEM}>")
     return written(got.select(F.monotonically_increasing_id().alias("row"), "*"), "secrets")
 
@@ -82,14 +88,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(row, doc_id, content, spans array<struct<start, rank, kind, end, repos, owners, live>>): one row per row of docs.
 
     A value is live-looking if at most max_owners owners hold it, in however many repositories: copies of a text, and a key that
-    one owner uses everywhere, stay live. All base spans are given; loose tokens only where they look live. Spans are in the order of start, then of KINDS. Null texts have no spans; rows with
-    a null or repeated id keep their rows; a null repository or owner counts as one of its own.
+    one owner uses everywhere, stay live. All base spans are given; loose tokens only where they look live. Spans are in the order of start, then of KINDS. Null and empty texts have no spans; rows with
+    a null or repeated id keep their rows; a null repository or owner counts as one of its own. Texts are read whole; an empty table gives no rows.
     """
-    found = scan(docs, id_col, text_col, repo_col, owner_col)
-    held = ownership(found)
+    return judged_spans(scan(docs, id_col, text_col, repo_col, owner_col), max_owners)
+
+
+def judged_spans(found: DataFrame, max_owners: int = 1) -> DataFrame:
+    """The rows of scan() with the spans that stay, as secret_spans() gives them."""
+    held = written(ownership(found), "owners")
     rank = F.coalesce(F.array_position(F.lit(list(KINDS)), F.col("f.kind")), F.lit(0)).cast("int")
     each = found.select("row", F.explode("found").alias("f")).select("row", F.col("f.hash").alias("hash"), F.col("f.start").alias("start"), F.when(rank == 0, len(KINDS) + 1).otherwise(rank).alias("rank"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"))
-    judged = each.join(held, "hash").withColumn("live", F.col("owners") <= max_owners).where("live or kind <> 'owned'")
+    judged = spread_join(each, held, "hash", "inner").withColumn("live", F.col("owners") <= max_owners).where("live or kind <> 'owned'")
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "repos", "owners", "live"))).alias("spans"))
     none = F.array().cast(spans.schema["spans"].dataType)
     return found.select("row", "doc_id", "content").join(spans, "row", "left").select("row", "doc_id", "content", F.coalesce("spans", none).alias("spans"))
@@ -105,28 +115,46 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", **options) -> DataFrame:
-    """docs with each found span in its text replaced by `mark` (overlapping spans by one), other columns as they are.
-
-    size_col, if there, becomes the new length. Only rows with spans change. Spans are matched by id and by a hash of the text,
-    so rows that repeat an id, or have none, get those of their own text.
-    """
-    found = secret_spans(docs, id_col, text_col, **options)
-    hit = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.first("spans").alias("_spans"))
-    joined = docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text_col]) == hit["_content"]), "left")
+def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with each span replaced by mark, spans that overlap one before by none."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
-    def cut(text: Column, spans: Column) -> Column:
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-        def step(acc: Column, s: Column) -> Column:
-            fresh = s["start"] >= acc["at"]
-            grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-            return F.struct(F.when(fresh, grown).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
+    """docs with each found span in its text replaced by `mark` (overlapping spans by one), other columns as they are, whatever their names.
 
-        return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    size_col, if there, becomes the new length. Only rows with spans change; null texts stay null, repeated rows and null ids keep their rows. Base spans
+    need no other document and are cut where they are found. Rows with a loose token that looks live are found by id and a hash of the text, in
+    a table of these rows alone; where that is small, no text is moved.
+    """
+    found = scan(docs, id_col, text_col, repo_col, owner_col)
+    loose = found.withColumn("found", F.filter("found", lambda s: s["kind"] == "owned")).where(F.size("found") > 0)
+    live = judged_spans(loose, max_owners).where(F.size("spans") > 0)
+    a, b, more = fresh(docs, n=3)
+    live = live.groupBy("doc_id", "content").agg(F.first("spans").alias("spans")).select(F.col("doc_id").alias(a), F.col("content").alias(b), F.transform("spans", lambda s: F.array(s["start"], s["end"])).alias(more))
+    live = small(written(live, "live"))
+    joined = docs.join(live, col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(col(text_col)) == F.col(b)), "left").select(*columns(docs), F.col(more))
+    at, size = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
 
-    text = F.col(text_col)
-    new = F.when(F.col("_spans").isNull(), text).otherwise(cut(text, F.col("_spans")))
-    out = joined.withColumn("_new", new)
-    names = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == size_col else F.col(c) for c in docs.columns]
-    return out.select(*names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=at):
+            old, owned = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            new = []
+            for t, extra in zip(old, owned, strict=True):
+                spans = [(s, e) for k, s, e, _ in candidates(t or "") if k != "owned"] + [(s, e) for s, e in extra or []]
+                new.append(cut_out(t, spans, mark) if spans else t)
+            cols = batch.columns[:-1]
+            cols[at] = pa.array(new, cols[at].type)
+            if size is not None:
+                was = cols[size].to_pylist()
+                cols[size] = pa.array([w if n is o or n == o else len(n) for n, o, w in zip(new, old, was, strict=True)], cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, names=plain)
+
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # Arrow functions take no names with dots
+    schema = StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(plain, docs.schema, strict=True)])
+    return joined.toDF(*plain, "more").mapInArrow(run, schema).toDF(*docs.columns)

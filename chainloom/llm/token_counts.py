@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .pieces import Cache, Pieces, load_pieces, segments
-from .trie import DoubleArray, by_offset, lattice, like_lengths
+from .trie import DoubleArray, alone, by_offset, lattice, like_lengths, stretches
 
 #: Room for neighbouring pairs of pieces, a power of two; the table starts anew when half full, so memory is bounded.
 SLOTS = 1 << 22
@@ -96,7 +96,7 @@ class PrefixCounts:
         """For each segment the token counts of its prefixes of 1, 2, ... characters: bytes where they fit."""
         out: list[bytes | array] = [b""] * len(texts)
         for where, data in like_lengths(texts):
-            for i, counts in zip(where, self._dynamic(data), strict=True):
+            for i, counts in zip(where, map(self._dynamic_long, data) if alone(data) else self._dynamic(data), strict=True):
                 out[i] = counts
         return out
 
@@ -128,6 +128,28 @@ class PrefixCounts:
         top = np.where(sizes > 0, wide[np.maximum(cut[1:] - 1, 0)], 0)
         return [small[i:j] if n < 256 else array("q", wide[i:j].tobytes()) for i, j, n in zip(cut[:-1].tolist(), cut[1:].tolist(), top.tolist(), strict=True)]
 
+    def _dynamic_long(self, data: bytes) -> bytes | array:
+        """The same for one segment: 12 bytes are kept for each byte, edges for a stretch at a time, and answers about pairs within bounds."""
+        last, count, size, name = array("i", [-1]) * (len(data) + 1), array("q", [0]) * (len(data) + 1), self.pieces.size, self.name
+        known: dict[int, bool] = {}
+        for begins, ends, ids in stretches(self.trie, data):
+            if len(known) > SLOTS // 4:
+                known.clear()
+            for a, b, t in zip(begins, ends, ids, strict=True):
+                left = last[a]
+                if left >= 0 and t >= 0:
+                    key = left * size + t
+                    fits = known.get(key)
+                    if fits is None:
+                        fits = known[key] = self.merge(name[left] + name[t]) == [name[left], name[t]]
+                    if not fits:
+                        continue
+                last[b], count[b] = t, count[a] + (1 if t >= 0 else b - a)
+        flat = np.frombuffer(data, dtype=np.uint8)
+        ends = np.append(np.flatnonzero((flat[1:] & 0xC0) != 0x80) + 1, len(data))
+        per_char = np.frombuffer(count, dtype=np.int64)[ends]
+        return per_char.astype(np.uint8).tobytes() if per_char[-1] < 256 else array("q", per_char.tobytes())
+
     def of(self, cut: list[str]) -> int:
         return sum(map(itemgetter(-1), map(self.cache.__getitem__, cut)))
 
@@ -190,7 +212,8 @@ def token_counts(docs: DataFrame, model_path: str, budget: int = 4096, id_col: s
     """(doc_id, n_bytes, n_tokens, over_limit, fit_chars): one row per row of docs.
 
     fit_chars is the length, in characters, of the prefix that keeps within budget tokens. Null texts count as empty: no
-    bytes, no tokens. Repeated rows and null ids keep their rows; an empty table gives no rows.
+    bytes, no tokens. Repeated rows and null ids keep their rows; an empty table gives no rows. Texts are counted whole: a word of any
+    length goes through in stretches. Other columns of docs play no part.
     """
 
     def row(m: PrefixCounts, b: pa.RecordBatch, texts: list[str], cut: list[list[str]]) -> pa.RecordBatch:

@@ -7,11 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Bytes of a long segment whose edges are held at a time.
+STRETCH = 1 << 15
+#: Segments beyond so many bytes are worked out alone.
+LONG = 1 << 13
+
 
 class DoubleArray:
     """Double-array trie over bytes: the child of s by byte c is base[s] + c + 1 where check[] there is s."""
 
     def __init__(self, keys: list[bytes], values: list[int]):
+        self.longest = max(map(len, keys), default=1)
         root: dict = {}
         for key, value in zip(keys, values, strict=True):
             node = root
@@ -106,7 +112,26 @@ def lattice(trie: DoubleArray, data: list[bytes]) -> Lattice:
     return Lattice(flat, heads, lengths, first, row, np.concatenate(begins), np.concatenate(ends), np.concatenate(ids))
 
 
-def like_lengths(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[list[int], list[bytes]]]:
+def stretches(trie: DoubleArray, data: bytes, size: int = 0) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """(begins, ends, pieces) of the edges of one long segment, by their begin, in stretches of about `size` bytes: only one stretch is held."""
+    size, at = size or STRETCH, 0
+    while at < len(data):
+        to = min(len(data), at + size)
+        while to < len(data) and data[to] & 0xC0 == 0x80:
+            to += 1
+        found = lattice(trie, [data[at : to + max(4, trie.longest)]])
+        mine = np.flatnonzero(found.begin < to - at)
+        mine = mine[np.argsort(found.begin[mine], kind="stable")]
+        yield (found.begin[mine] + at).tolist(), (found.end[mine] + at).tolist(), found.piece[mine].tolist()
+        at = to
+
+
+def alone(data: list[bytes]) -> bool:
+    """Whether segments of a batch go through stretches() one by one: they are few, so steps over all at a time gain nothing, or long."""
+    return len(data) <= 4 or len(data[-1]) > LONG
+
+
+def like_lengths(texts: list[str], most: int = 1 << 17) -> Iterator[tuple[list[int], list[bytes]]]:
     """Batches of (indexes, UTF-8) of segments of like length, near `most` bytes each."""
     data = [t.encode("utf-8", "replace") for t in texts]
     held, total = [], 0

@@ -10,6 +10,7 @@ of a slice go through the trie and the Viterbi lattice together in numpy.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .pieces import SPACE, Cache, Pieces, load_pieces, segments
-from .trie import DoubleArray, by_offset, lattice, like_lengths
+from .trie import DoubleArray, alone, by_offset, lattice, like_lengths, stretches
 
 UNKNOWN_PENALTY = np.float32(10)
 
@@ -53,7 +54,7 @@ class Unigram:
         """int32 ids of each segment's best path, as bytes."""
         out: list[bytes] = [b""] * len(texts)
         for where, data in like_lengths(texts):
-            for i, ids in zip(where, self._viterbi(data), strict=True):
+            for i, ids in zip(where, map(self._viterbi_long, data) if alone(data) else self._viterbi(data), strict=True):
                 out[i] = ids
         return out
 
@@ -102,6 +103,26 @@ class Unigram:
         raw, cut = out.astype(np.int32).tobytes(), np.concatenate([[0], np.cumsum(per)]) * 4
         return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
+    def _viterbi_long(self, data: bytes) -> bytes:
+        """The best path of one segment: a step back, 12 bytes, is kept for each byte, and edges for a stretch at a time."""
+        score, unknown = self.score.tolist(), float(self.unknown)
+        best, token, origin = array("d", [-np.inf]) * (len(data) + 1), array("i", [-1]) * (len(data) + 1), array("i", [0]) * (len(data) + 1)
+        best[0] = 0.0
+        for begins, ends, ids in stretches(self.trie, data):
+            for a, b, t in zip(begins, ends, ids, strict=True):
+                value = best[a] + (score[t] if t >= 0 else unknown)
+                if value > best[b]:
+                    best[b], token[b], origin[b] = value, t, a
+        out, at, byte_ids = array("i"), len(data), self.byte_ids.tolist()
+        while at:
+            if token[at] >= 0:
+                out.append(token[at])
+            else:
+                out.extend([byte_ids[x] for x in reversed(data[origin[at] : at])])
+            at = origin[at]
+        out.reverse()
+        return out.tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
         cut = segments(text or "", self.pieces.cuttable)
         self.cache.fill(cut)
@@ -109,7 +130,9 @@ class Unigram:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """Marks become spaces, runs of byte pieces UTF-8 (U+FFFD where invalid); the mark in front goes."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids if isinstance(ids, list) else ids.tolist())).decode("utf-8", "replace")
+        step = 1 << 16  # lists of numbers take 40 bytes each
+        parts = (ids[i : i + step] for i in range(0, len(ids), step))
+        text = b"".join(b"".join(map(self.bytes_of.__getitem__, x if isinstance(x, list) else x.tolist())) for x in parts).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -128,7 +151,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     n_fallback counts byte pieces; round_trip tells whether decoding gives the text again (a text with a literal U+2581
     comes back with a space there, and is compared so). Null and empty texts have no tokens. Repeated rows and null
-    ids keep their rows; an empty table gives no rows.
+    ids keep their rows; an empty table gives no rows. Texts are encoded whole: a word of any length goes through the lattice in stretches. Among
+    paths of equal score the one found first, from the left, counts. Other columns of docs play no part.
     """
     pieces, key = load_pieces(model_path), (model_path, scores)
 
@@ -152,7 +176,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", scores: str = "zipf") -> DataFrame:
-    """(doc_id, text): the texts of id arrays; null arrays give null, empty ones the empty text."""
+    """(doc_id, text): the texts of id arrays; null arrays give null, empty ones the empty text. Repeated rows and null ids keep their rows."""
     pieces, key = load_pieces(model_path), (model_path, scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,3 +117,92 @@ def test_language_on_held_out_rows(spark, docs, none):
     out = {r["doc_id"]: r for r in language_id.identify(docs, langs, net).collect()}
     assert out[3]["lang_pred"] == out[4]["lang_pred"] == out[5]["lang_pred"] == "und" and out[1]["lang_pred"] in langs
     assert language_id.identify(docs, *language_id.train(none)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_letters_are_those_of_the_unicode_categories():
+    import sys
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert language_id.has_letter(c) == unicodedata.category(c).startswith("L"), hex(ord(c))
+    assert not language_id.has_letter("1 ² ½ ① Ⅷ _ !") and not language_id.has_letter(None) and language_id.has_letter("1 é")
+
+
+def test_folds_are_those_of_crc32(spark):
+    import zlib
+
+    from chainloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    for op, folds, held in ((queries.op2_language_id, 5, 0), (queries.op8_quality_classifier, 4, 2)):
+        rows = op(spark, sf).select("doc_id", "held_out").collect()
+        assert rows and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held) for r in rows)
+
+
+def test_pooling_is_the_mean_over_all_positions():
+    net = language_id.GatedNetwork(3, seed=3)
+    texts = [b"hello there", bytes(range(200)) * 2, b"x" * 64]
+    prob, marks = language_id.predict(net, texts)
+    for t, got, mark in zip(texts, prob, marks, strict=True):
+        whole, counts = np.zeros(3), np.zeros(3, dtype=int)
+        for a in range(0, len(t), language_id.WINDOW):
+            at = max(0, min(a, len(t) - language_id.WINDOW))
+            x = np.frombuffer(t[at : at + language_id.WINDOW].ljust(language_id.WINDOW, b"\0"), dtype=np.uint8)[None]
+            logits = net.states(x) @ net.p["out"] + net.p["bias"]
+            p = (np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True))[:, 0]
+            used = p[a - at : min(len(t) - at, language_id.WINDOW)]
+            whole += used.sum(axis=0)
+            counts += np.bincount(used.argmax(axis=1), minlength=3)
+        assert np.allclose(got, whole / len(t), atol=1e-4) and mark.tolist() == counts.tolist()
+
+
+def test_statistics_of_documents_are_plain_counts(corpus):
+    import math
+
+    for r in corpus.select("text").limit(60).collect():
+        t = (r["text"] or "").encode()
+        got = dict(zip(quality_trees.FEATURES, quality_trees.statistics(t), strict=True))
+        words, lines, n = t.split(), [x for x in t.split(b"\n") if x.strip()], len(t)
+        if not n:
+            assert not any(got.values())
+            continue
+        share = lambda ok: sum(map(ok, t)) / n  # noqa: B023, E731
+        pairs = [tuple(words[i : i + 2]) for i in range(len(words) - 1)]
+        want = {
+            "log_bytes": math.log(1 + n), "log_words": math.log(1 + len(words)), "word_bytes": sum(b != 32 for b in t) / max(1, len(words)), "distinct_words": len(set(words)) / max(1, len(words)),
+            "lower": share(lambda b: 97 <= b <= 122), "upper": share(lambda b: 65 <= b <= 90), "digit": share(lambda b: 48 <= b <= 57), "space": share(lambda b: b == 32), "newline": share(lambda b: b == 10),
+            "punctuation": share(lambda b: b in b".,;:?'\"()-"), "symbol": share(lambda b: b in b"#*$%&|<>@^_~=+{}[]\\/"), "high_byte": share(lambda b: b >= 128), "exclamation": share(lambda b: b == 33), "pipe": share(lambda b: b == 124),
+            "top_word": max((words.count(w) for w in set(words)), default=0) / max(1, len(words)), "distinct_lines": len(set(lines)) / max(1, len(lines)), "mean_line": n / max(1, len(lines)),
+            "byte_entropy": -sum(t.count(b) / n * math.log2(t.count(b) / n) for b in set(t)), "repeated_pair": 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, "longest_word": max(map(len, words), default=0),
+        }
+        assert set(want) == set(got) and all(abs(got[k] - v) < 1e-9 for k, v in want.items()), r
+
+
+def test_repeated_rows_do_not_multiply_what_is_learned_from(spark):
+    d = spark.createDataFrame([(i % 10, f"text {i % 10} " * 5) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    real = quality_trees.fit_trees
+    try:
+        quality_trees.fit_trees = lambda x, y, **k: (seen.append(len(x)), real(x, y, **k))[1]
+        quality_trees.train(quality_trees.document_statistics(d), labels)
+    finally:
+        quality_trees.fit_trees = real
+    assert seen == [10]
+
+
+def test_rules_hold_on_documents_they_were_not_learned_from(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rules = decision_lists.learn_from(known, labels.where("doc_id % 2 = 0"))
+    j = decision_lists.judged(known, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed")
+    good, bad = j.where("quality = 1"), j.where("quality = 0")
+    assert good.where("not kept").count() <= 0.05 * good.count() and bad.where("kept").count() <= 0.35 * bad.count()
+
+
+def test_kept_rows_keep_their_columns_whatever_their_names(docs):
+    d = docs.selectExpr("*", "1 as __rule_text", "2 as __rule_n_words", "3 as `a.b`", "4 as text2")
+    out = decision_lists.keep_good(d, decision_lists.DecisionList())
+    assert out.columns == d.columns and out.where("`a.b` <> 3 or __rule_text <> 1").count() == 0
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in decision_lists.judged(docs, decision_lists.DecisionList()).where("kept").collect())

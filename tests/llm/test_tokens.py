@@ -109,3 +109,50 @@ def test_truncation_fits_the_budget(docs):
 def test_prefix_table(docs):
     r = {x["doc_id"]: x["counts"] for x in token_counts.prefix_counts(docs.where("doc_id in (4, 6, 10)"), MODEL).collect()}
     assert r[4] == [0] and r[10][-1] == len(SP.encode(docs.where("doc_id = 10").first()["text"]))
+
+
+def test_long_words_go_through_in_stretches(monkeypatch):
+    from chainloom.llm import trie
+
+    model, m = unigram.Unigram(P), token_counts.PrefixCounts(P)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefABCDEF0123+/é中😀") for _ in range(n)) for n in (1, 5, 700, 3000)] + ["x" * 20_000, "the" * 5000]
+    whole = [model.encode(w).tolist() for w in words]
+    monkeypatch.setattr(trie, "STRETCH", 97)
+    for w, ids in zip(words, whole, strict=True):
+        s = ("▁" + w).encode()
+        got = np.frombuffer(model._viterbi_long(s), dtype=np.int32).tolist()
+        assert got == ids or abs(sum(model.score[i] for i in got) - sum(model.score[i] for i in ids)) < 1e-2
+        assert model.decode(got) == w and m._dynamic_long(s)[-1] == len(SP.encode(w))
+        if 1 < len(w) < 1000:
+            n = len(w) // 2
+            assert m.table(w)[n] == len(SP.encode(w[:n])) and list(m._dynamic_long(s))[n] == len(SP.encode(w[:n]))
+
+
+def test_a_word_of_five_megabytes_fits_into_half_a_gigabyte():
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, public_tokenizers
+from chainloom.llm import pieces, token_counts, unigram
+P = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+w = "".join(random.Random(0).choices("abcdefghijABCDEFGHIJ0123456789+/", k=5_000_000))
+u = unigram.Unigram(P)
+ids = u.encode(w)
+assert u.decode(ids) == w
+n = token_counts.PrefixCounts(P).count(w)
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[1]) < 500
+
+
+def test_the_cache_is_bounded_by_bytes():
+    made = []
+    c = pieces.Cache(lambda new: (made.append(len(new)), [b"v" * 50 for _ in new])[1], most=20_000)
+    for k in range(50):
+        c.fill([f"{k}-{i}" for i in range(20)])
+        assert c.held <= 20_000 and all(f"{k}-{i}" in c for i in range(20))
+    c.fill([f"49-{i}" for i in range(20)])
+    assert sum(made) == 1000
