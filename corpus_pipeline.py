@@ -10,37 +10,37 @@ from chainloom.plans.materialize import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and the learned rules."""
+    """Documents that pass the base and the learned rules. Null and empty texts fail; repeated rows stay or go together."""
     ship_code(spark)
     rules = decision_lists.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return decision_lists.keep_good(docs, rules)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies.
+    """One document, that of the smallest id, of each group of copies and of texts with a five-word similarity of 0.8 or more.
 
-    Three words and 6 bits: of copies with a five-word similarity of 0.8 or more this finds most, four words and 4 bits few (README).
+    Candidates come from the trie join over several fingerprints of shorter shingles; each link is confirmed by the exact similarity. Rows without an id stay.
     """
     ship_code(spark)
-    return simhash.deduplicate(docs, k=3, budget=6)
+    return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All documents, with secrets in their texts replaced and their length anew; null texts stay null."""
     ship_code(spark)
     return secrets.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics meet their target weights."""
+    """Documents drawn so that sources, languages and topics meet their target weights; null ones are a value of their own."""
     ship_code(spark)
-    return mixing.sample(docs, queries.POWER, queries.SWEEPS, queries.SEED)
+    return mixing.sample(docs, queries.form(), queries.POWER, sweeps=queries.SWEEPS, seed=queries.SEED)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_fallback, round_trip) of what is left."""
+    """(doc_id, ids, n_tokens, n_fallback, round_trip) of what is left, one row per row; null and empty texts have no ids."""
     ship_code(spark)
-    return unigram.encode(docs, queries.MODEL)
+    return unigram.encode(docs, queries.model_path())
 
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("secret scans", secret_scan), ("source mixing", source_mixing), ("SentencePiece tokens", tokens)]
