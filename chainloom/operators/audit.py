@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 
 def chain_rollup(residues: DataFrame, chain: str = "chain", aa: str = "aa", label: str = "label") -> DataFrame:
     """(chain, length, n_positive, residues array): the sorted set of letters at positive positions."""
@@ -71,10 +73,9 @@ def frequency_rollup(rows: DataFrame, part: str, label: str) -> DataFrame:
 
 
 def ecdf(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, n, cdf): the share of rows at or below each distinct value."""
+    """(group, value, n, cdf): the share of rows at or below each distinct value, which is numeric; null values are left out."""
     g = rows.groupBy(*group, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("cdf", F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(*group)))
+    return prefix_sums(g, group, value, ["n"]).select(*group, value, "n", (F.col("up_n") / F.col("all_n")).alias("cdf"))
 
 
 def majority_override(rows: DataFrame, group: str, code: str, digit: Column, missing: str = "not found") -> DataFrame:

@@ -5,32 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import HOT_ROWS, columns, fresh, small, written
+from .prefix import row_places
+
 
 def hashed_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def round_robin_cap(rows: DataFrame, component: str, cluster: str, key: str, cap: int, seed: int = 1) -> DataFrame:
-    """rows of each component up to the cap, taken in turn from its clusters, in hashed order."""
-    turn = F.row_number().over(Window.partitionBy(component, cluster).orderBy(hashed_order(F.col(key), seed), key))
-    r = rows.withColumn("_turn", turn)
-    place = F.row_number().over(Window.partitionBy(component).orderBy("_turn", cluster, key))
-    return r.withColumn("_place", place).where(F.col("_place") <= cap).drop("_turn", "_place")
-
+def round_robin_cap(rows: DataFrame, component: str, cluster: str, key: str, cap: int, seed: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows of each component up to the cap, taken in turn from its clusters, in hashed order; ties go to the lower key.
 
-def serpentine_folds(matrix: DataFrame, component: str, weight: str, cls: str, n: int = 5) -> DataFrame:
-    """(component, fold): components by class and falling weight, dealt out 0..n-1 and back again.
-
-    The rank is a prefix count over ranges of weight, so no task holds a class: rows are ranked within (class, bucket) and offset by the buckets above.
+    A row's place is its turn at least, so rows beyond the cap-th of a cluster go first, and so do clusters that have nothing left to give: what is put
+    in order is at most cap rows a cluster, and of these only turns up to the one at which the component is full. A cluster with more than hot_rows rows is
+    first cut by ranges of the hash. key tells rows apart. Null components and clusters are values of their own.
+    """
+    h, piece, turn, place, n = fresh(rows, n=5, prefix="_turn")
+    r = rows.withColumn(h, hashed_order(F.col(key), seed))
+    big = written(r.groupBy(component, cluster).count().where(F.col("count") > hot_rows).select(component, cluster, F.lit(1).alias(n)), "big-clusters")
+    if not big.isEmpty():  # the first `cap` of each range of the hash hold the first `cap` of the cluster
+        part = Window.partitionBy(component, cluster, F.substring(h, 1, 3)).orderBy(h, key)
+        r = r.join(small(big), [component, cluster], "left")
+        cut = r.where(F.col(n).isNotNull()).withColumn(piece, F.row_number().over(part)).where(F.col(piece) <= cap).drop(piece)
+        r = r.where(F.col(n).isNull()).unionByName(cut).drop(n)
+    r = r.withColumn(turn, F.row_number().over(Window.partitionBy(component, cluster).orderBy(h, key))).where(F.col(turn) <= cap)
+    turns = r.groupBy(component, turn).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(component).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = turns.withColumn(place, before).where(F.col(place) < cap).drop(n)  # at most cap rows a component
+    on = [F.col(f"a.{component}").eqNullSafe(F.col(f"b.{component}")), F.col(f"a.{turn}") == F.col(f"b.{turn}")]
+    r = r.alias("a").join(offsets.alias("b"), on).select("a.*", f"b.{place}")
+    within = F.row_number().over(Window.partitionBy(component, turn).orderBy(cluster, key))
+    return r.withColumn(n, F.col(place) + within).where(F.col(n) <= cap).select(*columns(rows))
+
+
+def serpentine_folds(matrix: DataFrame, component: str, weight: str, cls: str, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(component, fold, class, weight): components by class and falling weight, dealt out 0..n-1 and back again; ties go to the lower component.
+
+    Places come from row_places(): neither a class nor one weight is ever in one task. Rows with a null weight are left out.
     """
-    cuts = matrix.groupBy(cls).agg(F.percentile_approx(weight, [k / 32 for k in range(1, 32)], 1000).alias("_cuts"))
-    placed = matrix.join(cuts, cls).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(weight))))
-    above = Window.partitionBy(cls).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    off = placed.groupBy(cls, "_b").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(cls, "_b").orderBy(F.desc(weight), component)
-    i = F.row_number().over(inside) - 1 + F.col("_off")
-    lap = F.pmod(i, F.lit(2 * n))
-    return placed.join(off, [cls, "_b"]).select(component, F.when(lap < n, lap).otherwise(2 * n - 1 - lap).cast("int").alias("fold"), cls, weight)
+    placed = row_places(matrix.select(component, cls, weight), [cls], weight, component, hot_rows=hot_rows)
+    lap = F.pmod(F.col("place"), F.lit(2 * n))
+    return placed.select(component, F.when(lap < n, lap).otherwise(2 * n - 1 - lap).cast("int").alias("fold"), cls, weight)
 
 
 def greedy_folds(matrix: DataFrame, component: str, classes: list[str], n: int = 5, total_weight: float = 24.0) -> DataFrame:

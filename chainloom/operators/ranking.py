@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 
 def ranked(rows: DataFrame, chain: list[str], score: str = "score", pos: str = "pos") -> DataFrame:
     """rows and their rank from 1; null and NaN scores come last."""
@@ -49,3 +51,9 @@ def chain_confusion_topk(rows: DataFrame, chain: list[str], k: int, confident: f
         F.sum((hit & y).cast("int")).alias("tp"), F.sum((hit & ~y).cast("int")).alias("fp"), F.sum((~hit & y).cast("int")).alias("fn"),
         F.sum((hit & ~y & (F.col(score) >= confident)).cast("int")).alias("confident_fp"), F.max(F.when(hit & ~y, F.col(score))).alias("max_fp"),
     )
+
+
+def dense_ranks(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, rank, n): the dense rank of each distinct value, the greatest first, and how often it occurs; null and NaN values are left out."""
+    seen = rows.groupBy(*group, value).agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    return prefix_sums(seen, group, value, ["one"], descending=True).select(*group, value, F.col("up_one").cast("long").alias("rank"), "n")

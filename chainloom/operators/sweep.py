@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import exact_quantiles, prefix_sums
+
 
 def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", label: str = "label", score: str = "score", weight: str = "weight", budget: int = 3) -> DataFrame:
     """(tau, tp, fp, fn, precision, recall, avg_pred, p95_pred, over_budget, avg_fp, p95_fp, any_fp and the last six with _raw): one row per threshold.
@@ -59,12 +61,11 @@ def weighted_quantile(rows: DataFrame, value: str, weight: str, qs: list[float],
     group = group or []
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     v = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.sum(w).alias("w"), F.count("*").alias("n"))
-    up = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    run = v.withColumn("cw", F.sum("w").over(up)).withColumn("tw", F.sum("w").over(whole))
-    picks = [F.min(F.when(F.col("cw") >= q * F.col("tw") - 1e-12, F.col("v"))).alias(f"q{i}") for i, q in enumerate(qs)]
-    plain = [F.percentile("v", F.lit(q), F.col("n")).alias(f"p{i}") for i, q in enumerate(qs)]
-    out = run.groupBy(*group).agg(F.max("tw").alias("tw"), *picks, *plain)
+    run = prefix_sums(v, group, "v", ["w", "n"])
+    picks = [F.min(F.when(F.col("up_w") >= q * F.col("all_w") - 1e-12, F.col("v"))).alias(f"q{i}") for i, q in enumerate(qs)]
+    at = [F.lit(float(q)) * (F.col("all_n") - 1) for q in qs]
+    plain = [x for i, a in enumerate(at) for x in (F.min(F.when(F.col("up_n") > F.floor(a), F.col("v"))).alias(f"lo{i}"), F.min(F.when(F.col("up_n") > F.ceil(a), F.col("v"))).alias(f"hi{i}"), F.max(a - F.floor(a)).alias(f"part{i}"))]
+    out = run.groupBy(*group).agg(F.max("all_w").alias("tw"), *picks, *plain).select(*group, "tw", *[f"q{i}" for i in range(len(qs))], *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"p{i}") for i in range(len(qs))])
     each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.when(F.col("tw") > 0, F.col(f"q{i}")).otherwise(F.col(f"p{i}")).alias("quantile")) for i, q in enumerate(qs)])).alias("e")
     return out.select(*group, each).select(*group, "e.q", "e.quantile")
 
@@ -89,20 +90,28 @@ def operating_points(sweep: DataFrame, avg: str = "avg_pred", tail: str = "p95_p
 
 
 def threshold_grid(rows: DataFrame, score: str, n: int, anchors: list[float]) -> DataFrame:
-    """(tau): n quantiles of scores cut to [0, 1], with 0, 1 and the anchors."""
-    q = rows.where(~F.isnan(score)).agg(F.percentile_approx(score, [k / (n - 1) for k in range(n)], 10_000).alias("q"))
-    values = F.concat(F.transform("q", lambda x: F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0))), F.array(*[F.lit(float(a)) for a in [0, 1, *anchors]]))
-    return q.select(F.explode(F.array_distinct(values)).alias("tau"))
+    """(tau): n quantiles of scores cut to [0, 1], with 0, 1 and the anchors, each once. Null and NaN scores are left out."""
+    seen = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
+    q = exact_quantiles(seen, [], "s", "n", [k / (n - 1) for k in range(n)])
+    inside = [F.least(F.greatest(F.col(f"q{k}"), F.lit(0.0)), F.lit(1.0)) for k in range(n)]
+    return q.select(F.explode(F.array_distinct(F.array_compact(F.array(*inside, *[F.lit(float(a)) for a in [0, 1, *anchors]])))).alias("tau"))
 
 
 def interpolated_mean(curves: DataFrame, curve: str, x: str, y: str, grid: int = 501) -> DataFrame:
-    """(g, y): curves read at `grid` even places of [0, 1] by straight lines, ends held, then averaged."""
-    w = Window.partitionBy(curve).orderBy(x, y)
-    seg = curves.select(curve, F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"), F.row_number().over(w).alias("i"))
-    lo = F.when(F.col("i") == 1, F.lit(0)).otherwise(F.ceil(F.col("x0") * (grid - 1)).cast("int"))
-    hi = F.when(F.col("x1").isNull(), F.lit(grid - 1)).otherwise(F.ceil(F.col("x1") * (grid - 1)).cast("int") - 1)
-    at = seg.withColumn("lo", lo).withColumn("hi", F.least(hi, F.lit(grid - 1))).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    """(g, y): curves read at `grid` even places of [0, 1] by straight lines, ends held, then averaged.
+
+    A place is read between the last point at or before it and the first one behind it. Points are reduced to the first and last one between
+    neighbouring places, so what is put in order is at most `grid` rows a curve. Of points with equal x the greatest y is the last.
+    """
+    at = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    cell = F.greatest(F.ceil(F.col(x) * (grid - 1)).cast("int"), F.lit(0))
+    ends = curves.groupBy(curve, cell.alias("k")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    every = curves.select(curve).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    along = Window.partitionBy(curve).orderBy("k")
+    both = every.join(ends, [curve, "k"], "full_outer").select(
+        curve, "k", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("b"),
+    ).where(F.col("k") < grid)
     g = F.col("k") / (grid - 1)
-    inside = F.col("y0") + (F.col("y1") - F.col("y0")) * F.try_divide(g - F.col("x0"), F.col("x1") - F.col("x0"))
-    value = F.when(F.col("x1").isNull() | (g <= F.col("x0")), F.col("y0")).otherwise(F.coalesce(inside, F.col("y0")))
-    return at.select(g.alias("g"), value.alias("v")).groupBy("g").agg(F.avg("v").alias(y))
+    line = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.try_divide(g - F.col("a.x"), F.col("b.x") - F.col("a.x"))
+    value = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (g <= F.col("a.x")), F.col("a.y")).otherwise(F.coalesce(line, F.col("a.y")))
+    return both.select(g.alias("g"), value.alias("v")).groupBy("g").agg(F.avg("v").alias(y))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curves, merge, ranking, sweep
@@ -259,8 +259,7 @@ def group_eval_table(spark, sf_dir):
 
 @query(f"""WITH {RESIDUES}, r AS (SELECT *, dense_rank() OVER (PARTITION BY fold ORDER BY quantity DESC) AS d FROM res) SELECT fold, d AS rank, count(*) AS n FROM r GROUP BY ALL""")
 def interest_dense_rank(spark, sf_dir):
-    q = residues(spark, sf_dir).groupBy("fold", "quantity").agg(F.count("*").alias("n"))
-    return q.withColumn("rank", F.dense_rank().over(Window.partitionBy("fold").orderBy(F.desc("quantity"))).cast("long")).select("fold", "rank", "n")
+    return ranking.dense_ranks(residues(spark, sf_dir), ["fold"], "quantity").select("fold", "rank", "n")
 
 
 def entry(spark, sf_dir) -> DataFrame:

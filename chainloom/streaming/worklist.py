@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import row_places
+from ..plans.materialize import HOT_ROWS, columns, fresh
+
 
 def pending(items: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Items without an entry in the manifest; works on a stream of items against a static manifest, too."""
@@ -15,19 +18,14 @@ def manifest_rows(items: DataFrame, key: str, content: str, status: str = "done"
     return items.select(key, F.lit(status).alias("status"), F.sha1(F.col(content).cast("binary")).alias("hash"))
 
 
-def token_batches(items: DataFrame, key: str, length: str, max_tokens: int, max_items: int = 16) -> DataFrame:
-    """items with a batch number: by falling length, batches near max_tokens and of at most max_items.
+def token_batches(items: DataFrame, key: str, length: str, max_tokens: int, max_items: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """items with batch and part: by falling length, batches near max_tokens, in parts of at most max_items; ties go to the lower key.
 
-    Ranks and cumulative lengths run inside length values, offset by the totals of longer ones, so no task holds all items.
+    Places and cumulative costs come from row_places(), so no task holds all items, nor all of one length. A batch holds at most max_tokens / 2 items,
+    so numbering its parts is bounded. key tells items apart; items with a null length are left out; no items give no rows.
     """
-    from pyspark.sql import Window
-
-    cost = F.col(length) + 2
-    by = items.groupBy(length).agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, -1)
-    offs = by.withColumn("_off", F.coalesce(F.sum(F.col("_n") * cost).over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(length).orderBy(key)
-    t = items.join(offs, length).withColumn("_i", F.row_number().over(inside) - 1)
-    t = t.withColumn("_token", F.floor((F.col("_off") + F.col("_i") * cost) / max_tokens))
-    place = F.row_number().over(Window.partitionBy("_token").orderBy(F.desc(length), key)) - 1
-    return t.withColumn("batch", F.struct("_token", F.floor(place / max_items).alias("_part"))).select(*items.columns, F.col("batch._token").alias("batch"), F.col("batch._part").alias("part"))
+    (cost,) = fresh(items, prefix="_cost")
+    placed = row_places(items.withColumn(cost, (F.col(length) + 2).cast("long")), [], length, key, cost=cost, hot_rows=hot_rows)
+    t = placed.withColumn("batch", F.floor(F.col("before") / max_tokens))
+    first = Window.partitionBy("batch")
+    return t.select(*columns(items), "batch", F.floor((F.col("place") - F.min("place").over(first)) / max_items).alias("part"))
