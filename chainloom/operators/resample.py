@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def digest(seed: int, *keys: Column) -> Column:
+    """32 hex digits of the keys' text, which any engine with MD5 gives alike; null keys are the text "null"."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys]).cast("binary"))
+
+
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a hash of the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) from a hash of the keys, of 52 bits."""
+    return F.conv(F.substring(digest(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def signflip_test(diffs: DataFrame, fold: str, seed_col: str, diff: str, n_perm: int, seed: int = 1) -> DataFrame:
@@ -47,32 +52,44 @@ def hierarchical_bootstrap(diffs: DataFrame, fold: str, seed_col: str, diff: str
     return per.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) count of a uniform number."""
+#: Draws that one hash gives, of 32 bits each.
+DRAWS_PER_HASH = 4
+
+
+def poisson_edges() -> list[int]:
+    """Numbers of 32 bits below which a Poisson(1) count is at most 0, 1, 2, ...; beyond the last, no such number is left."""
     from math import exp, factorial
 
-    edge, out = 0.0, None
-    for k in range(most):
-        edge += exp(-1) / factorial(k)
-        out = F.when(u < edge, k) if out is None else out.when(u < edge, k)
-    return out.otherwise(most)
+    edges, total = [], 0.0
+    for k in range(13):
+        total += exp(-1) / factorial(k)
+        edges.append(round(total * (1 << 32)))
+    return edges
+
+
+def poisson_count(u: Column) -> Column:
+    """Poisson(1) count of a uniform number of 32 bits."""
+    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in poisson_edges()]), lambda e: e <= u))
 
 
-def bootstrap_rows(rows: DataFrame, unit: list[str], n_boot: int, seed: int = 3) -> DataFrame:
-    """rows for each draw `boot`, with `times`: how often their unit (a residue, or a chain with all of its) was drawn; Poisson counts."""
-    boots = rows.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("boot"))
-    t = rows.crossJoin(F.broadcast(boots)).withColumn("times", poisson_weight(uniform(seed, F.col("boot"), *[F.col(c) for c in unit])))
-    return t.where("times > 0")
+def draw_counts(unit: list[Column], n_boot: int, seed: int = 3) -> Column:
+    """array<int>: how often a unit (a residue, or a chain with all of its) is drawn in each of n_boot draws."""
+    hashes = F.transform(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)), lambda b: digest(seed, *unit, b))
+    each = lambda h: F.transform(F.array(*[F.lit(1 + 8 * i) for i in range(DRAWS_PER_HASH)]), lambda at: poisson_count(F.conv(F.substr(h, at, F.lit(8)), 16, 10).cast("long")))
+    return F.slice(F.flatten(F.transform(hashes, each)), 1, n_boot)
 
 
 def bootstrap_sums(rows: DataFrame, group: list[str], unit: list[str], by: list[str], weight: Column, n_boot: int, seed: int = 3) -> DataFrame:
-    """(group, boot, by, weight): for each draw of bootstrap_rows() the sums of weight times draws.
+    """(group, boot, by, weight): for each draw, the sums of weight times how often the unit was drawn, where that is not 0.
 
-    Rows are added up by unit before they meet the draws, and by draw before any shuffle, so what is sent does not grow with the units.
+    Rows are added up by unit first; each unit then meets its array of counts, and sums are partial before any shuffle, so what is sent grows with the
+    groups and draws, not with the units. Null units are one unit.
     """
     cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias("_w"))
-    return bootstrap_rows(cells, unit, n_boot, seed).groupBy(*group, "boot", *by).agg(F.sum(F.col("_w") * F.col("times")).alias("weight"))
+    drawn = cells.select(*group, *by, "_w", F.posexplode(draw_counts([F.col(c) for c in unit], n_boot, seed)).alias("boot", "times")).where("times > 0")
+    return drawn.groupBy(*group, "boot", *by).agg(F.sum(F.col("_w") * F.col("times")).alias("weight"))
 
 
 def random_labels(rows: DataFrame, share: float, *keys: str, seed: int = 4) -> DataFrame:
+    """rows with random_label: 1 for about this share of them, by a hash of the keys."""
     return rows.withColumn("random_label", (uniform(seed, *[F.col(k) for k in keys]) < share).cast("int"))

@@ -22,39 +22,39 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
-def _points(score: str, by: str = "fold", weight: str = "weight") -> str:
+def points_sql(score: str, by: str = "fold", weight: str = "weight", table: str = RESIDUES) -> str:
     """CTEs up to p(by, score, tp, fp, dtp, dfp, pos, neg)."""
-    return f"""{RESIDUES}, d AS (SELECT {by}, {score} AS s, sum({weight} * label)::DOUBLE AS dtp, sum({weight} * (1 - label))::DOUBLE AS dfp FROM res GROUP BY ALL),
+    return f"""{table}, d AS (SELECT {by}, {score} AS s, sum({weight} * label)::DOUBLE AS dtp, sum({weight} * (1 - label))::DOUBLE AS dfp FROM res GROUP BY ALL),
     p AS (SELECT *, sum(dtp) OVER up AS tp, sum(dfp) OVER up AS fp, sum(dtp) OVER (PARTITION BY {by}) AS pos, sum(dfp) OVER (PARTITION BY {by}) AS neg FROM d WINDOW up AS (PARTITION BY {by} ORDER BY s DESC)),
     q AS (SELECT *, tp / (tp + fp) AS precision, tp / nullif(pos, 0) AS recall FROM p),
     z AS (SELECT *, lag(precision, 1, 1.0) OVER (PARTITION BY {by} ORDER BY s DESC) AS p0, lag(recall, 1, 0.0) OVER (PARTITION BY {by} ORDER BY s DESC) AS r0 FROM q)"""
 
 
-_AREA = "SELECT {by}, round(coalesce(sum((recall - r0) * (precision + p0) / 2), 0), 6) AS aucpr, round(coalesce(sum((recall - r0) * precision), 0), 6) AS ap, count(*) AS n_points FROM z GROUP BY {by}"
+AREA = "SELECT {by}, round(coalesce(sum((recall - r0) * (precision + p0) / 2), 0), 6) AS aucpr, round(coalesce(sum((recall - r0) * precision), 0), 6) AS ap, count(*) AS n_points FROM z GROUP BY {by}"
 
 
-@query("WITH " + _points("score") + _AREA.format(by="fold").replace("SELECT", " SELECT", 1))
+@query("WITH " + points_sql("score") + AREA.format(by="fold").replace("SELECT", " SELECT", 1))
 def pr_auc_by_fold(spark, sf_dir):
     return rounded(curves.pr_summary(residues(spark, sf_dir), ["fold"], weight=weight_()))
 
 
-@query("WITH " + _points("tied", "split") + " " + _AREA.format(by="split"))
+@query("WITH " + points_sql("tied", "split") + " " + AREA.format(by="split"))
 def pr_auc_ties(spark, sf_dir):
     return rounded(curves.pr_summary(residues(spark, sf_dir), ["split"], score="tied", weight=weight_()))
 
 
-@query("WITH " + _points("quantity", "chain", "1.0") + " SELECT chain, round(coalesce(sum((recall - r0) * precision), 0), 6) AS ap FROM z GROUP BY chain")
+@query("WITH " + points_sql("quantity", "chain", "1.0") + " SELECT chain, round(coalesce(sum((recall - r0) * precision), 0), 6) AS ap FROM z GROUP BY chain")
 def avg_precision_per_chain(spark, sf_dir):
     return rounded(curves.pr_summary(residues(spark, sf_dir), ["chain"], score="quantity", buckets=2).select("chain", "ap"))
 
 
-@query("WITH " + _points("tied", "fold") + """, f AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM q)
+@query("WITH " + points_sql("tied", "fold") + """, f AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM q)
 SELECT fold, s AS threshold, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(f1, 12) DESC, s) AS r FROM f) WHERE r = 1""")
 def best_f1_threshold(spark, sf_dir):
     return rounded(curves.best_f1(residues(spark, sf_dir), ["fold"], score="tied", weight=weight_()), "threshold")
 
 
-_VAL = "WITH " + _points("tied", "split") + """, f AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM q WHERE split = 'val'),
+_VAL = "WITH " + points_sql("tied", "split") + """, f AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM q WHERE split = 'val'),
 t AS (SELECT s AS tau FROM f ORDER BY round(f1, 12) DESC, s LIMIT 1)"""
 
 
@@ -68,7 +68,7 @@ def prf_at_tau_from_other_split(spark, sf_dir):
     return rounded(c.select("split", "tau", "tp", "fp", "fn", "precision", "recall", "f1"), "tau")
 
 
-@query("WITH " + _points("score", "split") + " SELECT split, round(sum((dfp / neg) * (2 * tp - dtp) / pos / 2), 6) AS roc_auc FROM p GROUP BY split")
+@query("WITH " + points_sql("score", "split") + " SELECT split, round(sum((dfp / neg) * (2 * tp - dtp) / pos / 2), 6) AS roc_auc FROM p GROUP BY split")
 def roc_auc_weighted(spark, sf_dir):
     return rounded(curves.roc_auc(residues(spark, sf_dir), ["split"], weight=weight_()))
 
@@ -171,15 +171,29 @@ def _swept_on_grid(spark, sf_dir) -> DataFrame:
     return sweep.threshold_sweep(r, taus)
 
 
-@query()
+_GRID = f"""WITH {RESIDUES}, r AS (SELECT chain, label, weight AS w, score / 110000.0 AS s FROM res), t AS (SELECT DISTINCT tau FROM (SELECT unnest(list_concat(quantile_cont(least(greatest(s, 0), 1), {[k / 399 for k in range(400)]}), [0, 1, 0.35, 0.50, 0.65, 0.26, 0.0612])) AS tau FROM r)),
+l AS (SELECT chain, w, list(s) AS ss, list(label) AS ys FROM r GROUP BY chain, w), per AS (SELECT chain, w, tau, len(list_filter(list_zip(ss, ys), lambda z: z[1] >= tau AND z[2] = 1)) AS tp, len(list_filter(list_zip(ss, ys), lambda z: z[1] >= tau AND z[2] = 0)) AS fp, list_sum(ys) AS npos FROM l, t),
+k AS (SELECT tau, kind, w, CASE kind WHEN 'tp' THEN tp WHEN 'fp' THEN fp ELSE tp + fp END AS c FROM per, (SELECT unnest(['fp', 'pred']) AS kind)), g AS (SELECT tau, kind, c, sum(w) AS w FROM k GROUP BY ALL), o AS (SELECT *, sum(w) OVER (PARTITION BY tau, kind ORDER BY c) AS cw, sum(w) OVER (PARTITION BY tau, kind) AS tw FROM g),
+q AS (SELECT tau, kind, min(c) FILTER (cw >= 0.95 * tw - 1e-12)::DOUBLE AS p95 FROM o GROUP BY ALL),
+a AS (SELECT tau, kind, sum(w * c) / sum(w) AS avg, sum(CASE WHEN c > 3 THEN w ELSE 0 END) / sum(w) AS over, sum(CASE WHEN c >= 1 THEN w ELSE 0 END) / sum(w) AS any, avg(c) AS avg_raw, quantile_cont(c, 0.95) AS p95_raw, avg((c > 3)::INT) AS over_raw, avg((c >= 1)::INT) AS any_raw FROM k GROUP BY ALL),
+b AS (SELECT tau, sum(w * tp)::DOUBLE AS tp, sum(w * fp)::DOUBLE AS fp, sum(w * (npos - tp))::DOUBLE AS fn FROM per GROUP BY tau),
+s AS (SELECT b.tau, b.tp, b.fp, b.fn, coalesce(b.tp / nullif(b.tp + b.fp, 0), 0) AS precision, coalesce(b.tp / nullif(b.tp + b.fn, 0), 0) AS recall, n.avg AS avg_pred, nq.p95 AS p95_pred, n.over AS over_budget, f.avg AS avg_fp, fq.p95 AS p95_fp, f.any AS any_fp,
+n.avg_raw AS avg_pred_raw, n.p95_raw AS p95_pred_raw, n.over_raw AS over_budget_raw, f.avg_raw AS avg_fp_raw, f.p95_raw AS p95_fp_raw, f.any_raw AS any_fp_raw
+FROM b JOIN a n ON n.tau = b.tau AND n.kind = 'pred' JOIN q nq ON nq.tau = b.tau AND nq.kind = 'pred' JOIN a f ON f.tau = b.tau AND f.kind = 'fp' JOIN q fq ON fq.tau = b.tau AND fq.kind = 'fp')"""
+_LOADS = [f"{x}{raw}" for raw in ("", "_raw") for x in ("avg_pred", "p95_pred", "over_budget", "avg_fp", "p95_fp", "any_fp")]
+
+
+@query(_GRID + f" SELECT round(tau, 9) AS tau, tp, fp, fn, {', '.join(f'round({c}, 6) AS {c}' for c in ['precision', 'recall', *_LOADS])} FROM s")
 def threshold_sweep_p95(spark, sf_dir):
     """Candidates and false positives by threshold: mean, p95 and shares, weighted and raw, on the quantile grid."""
-    return rounded(_swept_on_grid(spark, sf_dir), "tau")
+    return rounded(_swept_on_grid(spark, sf_dir), "tau").withColumn("tau", F.round("tau", 9))
 
 
-@query()
+@query(_GRID + """, m AS (SELECT *, max(recall) OVER () AS top FROM s), c AS (SELECT 'conservative' AS point, tau, recall, avg_pred FROM (SELECT * FROM m WHERE recall >= 0.60 * top ORDER BY round(avg_pred, 9), recall DESC, tau DESC LIMIT 1)
+UNION ALL SELECT 'balanced', tau, recall, avg_pred FROM (SELECT * FROM m ORDER BY round(recall / ln(1 + avg_pred + 1e-6) - 0.005 * p95_pred, 9) DESC, recall DESC, tau DESC LIMIT 1)
+UNION ALL SELECT 'discovery', tau, recall, avg_pred FROM (SELECT * FROM m ORDER BY (avg_pred <= 15 AND p95_pred <= 30) DESC, recall DESC, tau DESC LIMIT 1)) SELECT point, round(tau, 9) AS tau, round(recall, 6) AS recall, round(avg_pred, 6) AS avg_pred FROM c""")
 def operating_points_p95(spark, sf_dir):
-    return sweep.operating_points(_swept_on_grid(spark, sf_dir))
+    return rounded(sweep.operating_points(_swept_on_grid(spark, sf_dir)), "tau").withColumn("tau", F.round("tau", 9))
 
 
 @query(f"""WITH {RESIDUES}, c AS (SELECT chain, sum(CASE WHEN score >= 40000 THEN 1 - label ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < 40000 THEN label ELSE 0 END)::BIGINT AS fn FROM res GROUP BY chain)

@@ -10,7 +10,7 @@ from ..sources import readers, writers
 from ..streaming import worklist
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
 from .materialize import written
-from .metric_queries import rounded, weight_
+from .metric_queries import AREA, points_sql, rounded, weight_
 from .registry import Registry
 
 query = Registry()
@@ -196,28 +196,49 @@ def leave_one_split_out(spark, sf_dir):
 def _ab(spark, sf_dir):
     from ..operators.merge import pair_models
 
-    return pair_models(runs(spark, sf_dir), ["fold", "seed"], "model", "purchase", "view", "value")
+    return written(pair_models(runs(spark, sf_dir), ["fold", "seed"], "model", "purchase", "view", "value"), "pairs")
 
 
-@query()
+_DIFFS = f"""WITH {RUNS}, d AS (SELECT fold, seed, avg(CASE WHEN model = 'purchase' THEN value END) - avg(CASE WHEN model = 'view' THEN value END) AS diff FROM runs GROUP BY ALL HAVING diff IS NOT NULL)"""
+_U = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(_DIFFS + f""", o AS (SELECT avg(m) AS d FROM (SELECT avg(diff) AS m FROM d GROUP BY fold)),
+s AS (SELECT perm, avg(m) AS s FROM (SELECT perm, fold, avg(CASE WHEN {_U.format("'1:' || perm || ':' || fold || ':' || seed")} < 0.5 THEN -diff ELSE diff END) AS m FROM d, range(200000) t(perm) GROUP BY perm, fold) GROUP BY perm)
+SELECT round(d, 6) AS d, count(*) AS n, round((sum((abs(s) >= abs(d) - 1e-12)::INT) + 1) / (count(*) + 1), 6) AS p_two, round((sum((s >= d - 1e-12)::INT) + 1) / (count(*) + 1), 6) AS p_greater, round((sum((s <= d + 1e-12)::INT) + 1) / (count(*) + 1), 6) AS p_less FROM s, o GROUP BY d""")
 def signflip_test(spark, sf_dir):
-    return resample.signflip_test(_ab(spark, sf_dir), "fold", "seed", "diff", 200_000)
+    return rounded(resample.signflip_test(_ab(spark, sf_dir), "fold", "seed", "diff", 200_000))
 
 
-@query()
+@query(_DIFFS + f""", f AS (SELECT fold, list(diff ORDER BY seed) AS diffs FROM d GROUP BY fold), a AS (SELECT list(diffs ORDER BY fold) AS folds FROM f),
+k AS (SELECT boot, k, folds[floor({_U.format("'2:' || boot || ':' || k")} * len(folds))::BIGINT + 1] AS diffs FROM a, range(50000) t(boot), (SELECT unnest(range(1, len(folds) + 1)) AS k FROM a)),
+m AS (SELECT boot, k, avg(diffs[floor({_U.format("'3:' || boot || ':' || k || ':' || j")} * len(diffs))::BIGINT + 1]) AS m FROM (SELECT *, unnest(range(1, len(diffs) + 1)) AS j FROM k) GROUP BY boot, k), b AS (SELECT avg(m) AS m FROM m GROUP BY boot)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b""")
 def hierarchical_bootstrap(spark, sf_dir):
-    return resample.hierarchical_bootstrap(_ab(spark, sf_dir), "fold", "seed", "diff", 50_000)
+    return rounded(resample.hierarchical_bootstrap(_ab(spark, sf_dir), "fold", "seed", "diff", 50_000))
 
 
-@query()
+@query(f"""WITH {RESIDUES}, c AS (SELECT split, chain, tied, label, sum(weight) AS w FROM res GROUP BY ALL), h AS (SELECT chain, b, md5('3:' || chain || ':' || b) AS h FROM (SELECT DISTINCT chain FROM c), range(50) t(b)),
+n AS (SELECT chain, (4 * b + i)::INT AS boot, len(list_filter({resample.poisson_edges()}::BIGINT[], lambda e: e <= ('0x' || substr(h, 1 + 8 * i, 8))::BIGINT)) AS times FROM h, range(4) t(i)),
+r AS (SELECT split, boot, tied, label, sum(w * times) AS weight FROM c JOIN n USING (chain) WHERE times > 0 GROUP BY ALL), d AS (SELECT split, boot, tied, sum(weight * label)::DOUBLE AS dtp, sum(weight * (1 - label))::DOUBLE AS dfp FROM r GROUP BY ALL),
+p AS (SELECT *, sum(dtp) OVER up AS tp, sum(dfp) OVER up AS fp, sum(dtp) OVER (PARTITION BY split, boot) AS pos FROM d WINDOW up AS (PARTITION BY split, boot ORDER BY tied DESC)), q AS (SELECT *, tp / (tp + fp) AS precision, tp / nullif(pos, 0) AS recall FROM p),
+z AS (SELECT *, lag(precision, 1, 1.0) OVER o AS p0, lag(recall, 1, 0.0) OVER o AS r0 FROM q WINDOW o AS (PARTITION BY split, boot ORDER BY tied DESC)), a AS (SELECT split, boot, coalesce(sum((recall - r0) * (precision + p0) / 2), 0) AS aucpr FROM z GROUP BY ALL)
+SELECT split, round(quantile_cont(aucpr, 0.025), 6) AS low, round(quantile_cont(aucpr, 0.975), 6) AS high, count(*) AS draws FROM a GROUP BY split""")
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of AUCPR over Poisson draws of chains, by split."""
-    r = written(resample.bootstrap_sums(residues(spark, sf_dir), ["split"], ["chain"], ["tied", "label"], weight_(), 200), "boot")
-    a = curves.pr_summary(r, ["split", "boot"], score="tied", weight=weight_(), buckets=4)
-    return a.groupBy("split").agg(F.percentile("aucpr", F.lit(0.025)).alias("low"), F.percentile("aucpr", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
+    return rounded(_intervals(spark, sf_dir, "split"))
 
 
-@query()
+def _intervals(spark, sf_dir, group: str):
+    r = written(resample.bootstrap_sums(residues(spark, sf_dir), [group], ["chain"], ["tied", "label"], weight_(), 200), "boot")
+    a = curves.pr_summary(r, [group, "boot"], score="tied", weight=weight_(), buckets=4)
+    return a.groupBy(group).agg(F.percentile("aucpr", F.lit(0.025)).alias("low"), F.percentile("aucpr", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
+
+
+_RANDOM = points_sql("score", table=f"""{RESIDUES.replace("res AS", "plain AS", 1)}, res AS (SELECT * REPLACE (({_U.format("'4:' || chain || ':' || pos")} < 0.3)::INT AS label) FROM plain)""", weight="1.0")
+
+
+@query("WITH " + _RANDOM + " " + AREA.format(by="fold"))
 def random_label_baseline(spark, sf_dir):
     """AUCPR against random labels is near their share."""
     r = resample.random_labels(residues(spark, sf_dir), 0.3, "chain", "pos")
@@ -260,7 +281,10 @@ def position_cell_parse(spark, sf_dir):
     return s.select("id", "cell", L.format_positions(L.positions(F.col("cell"))).alias("parsed"))
 
 
-@query()
+@query("WITH " + points_sql("tied", "seed") + """, c AS (SELECT seed, recall AS x, precision AS y, ceil(recall * 500) AS k FROM q WHERE recall IS NOT NULL), g AS (SELECT seed, g FROM (SELECT DISTINCT seed FROM c), range(501) t(g)),
+v AS (SELECT g.seed, g.g, max((x, y)) FILTER (k <= g.g) AS a, min((x, y)) FILTER (k > g.g) AS b FROM g JOIN c USING (seed) GROUP BY ALL),
+r AS (SELECT g, CASE WHEN a IS NULL THEN b[2] WHEN b IS NULL OR g / 500 <= a[1] THEN a[2] ELSE a[2] + (b[2] - a[2]) * (g / 500 - a[1]) / (b[1] - a[1]) END AS y FROM v)
+SELECT round(g / 500, 6) AS g, round(avg(y), 6) AS precision FROM r GROUP BY g""")
 def mean_pr_curve(spark, sf_dir):
     """PR curves of the seeds read at 501 recalls, averaged."""
     from ..operators.sweep import interpolated_mean

@@ -244,10 +244,21 @@ def test_operating_points_mind_the_tail(spark):
 
 
 def test_bootstrap_sums_are_those_of_the_drawn_rows(spark):
-    d = spark.createDataFrame([(i % 2, i // 4, i % 3 / 2, i % 5 % 2, 1.0 + i % 4) for i in range(120)], "g int, u int, v double, y int, w double")
-    want = resample.bootstrap_rows(d, ["u"], 7).groupBy("g", "boot", "v", "y").agg(F.sum(F.col("w") * F.col("times")).alias("weight"))
-    got = resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.select("boot").distinct().count() == 7
+    import hashlib
+
+    rows = [(i % 2, i // 4, i % 3 / 2, i % 5 % 2, 1.0 + i % 4) for i in range(120)]
+    d = spark.createDataFrame(rows, "g int, u int, v double, y int, w double")
+    edges, want = resample.poisson_edges(), {}
+    for g, u, v, y, w in rows:
+        for boot in range(7):
+            h = hashlib.md5(f"3:{u}:{boot // 4}".encode()).hexdigest()
+            times = sum(e <= int(h[boot % 4 * 8 : boot % 4 * 8 + 8], 16) for e in edges)
+            if times:
+                want[g, boot, v, y] = want.get((g, boot, v, y), 0) + w * times
+    got = {tuple(r)[:4]: r["weight"] for r in resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7).collect()}
+    assert got == want and {k[1] for k in got} == set(range(7))
+    shares = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(13)]
+    assert all(abs(e / 2**32 - s) < 1e-9 for e, s in zip(edges, shares)) and edges[-1] == 1 << 32
 
 
 def test_queries_draw_as_often_as_the_reference(spark, sf_dir, monkeypatch):
@@ -257,7 +268,7 @@ def test_queries_draw_as_often_as_the_reference(spark, sf_dir, monkeypatch):
     assert q["signflip_test"](spark, sf_dir).first()["n"] == 200_000
     assert {r["draws"] for r in q["bootstrap_ci"](spark, sf_dir).collect()} == {200}
     assert q["mean_pr_curve"](spark, sf_dir).count() == 501
-    monkeypatch.setattr(resample, "hierarchical_bootstrap", lambda diffs, fold, seed, diff, n_boot: drawn.append(n_boot))
+    monkeypatch.setattr(resample, "hierarchical_bootstrap", lambda diffs, fold, seed, diff, n_boot: (drawn.append(n_boot), diffs)[1])
     q["hierarchical_bootstrap"](spark, sf_dir)
     assert drawn == [50_000]
 
