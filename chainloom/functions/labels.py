@@ -27,6 +27,7 @@ def prefix(identifier: Column, last: bool = False) -> Column:
 
 
 def isoform_base(identifier: Column) -> Column:
+    """What stands before the first dash."""
     return F.substring_index(identifier, "-", 1)
 
 
@@ -101,7 +102,16 @@ def positions(cell: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x > 0)))
 
 
+def count_sites(cell: Column) -> Column:
+    """Sites of a cell: triplets count once for three quoted fields, numbers each, and other text by its tokens between commas; blank cells have none."""
+    cell = F.trim(F.coalesce(cell, F.lit("")))
+    quoted = F.regexp_count(cell, F.lit(r"'[^']*'"))
+    tokens = F.size(F.filter(F.split(F.regexp_replace(cell, r"[\[\](){}]", ""), r"[,;]"), lambda x: F.trim(x) != ""))
+    return F.when(quoted > 0, F.floor(quoted / 3)).when(F.regexp_count(cell, F.lit(r"\d+")) > 0, F.regexp_count(cell, F.lit(r"\d+"))).otherwise(tokens).cast("int")
+
+
 def format_positions(values: Column, shift: int = 0) -> Column:
+    """Positions, moved by shift, joined by commas."""
     return F.array_join(F.transform(values, lambda p: (p + shift).cast("string")), ", ")
 
 
@@ -132,8 +142,15 @@ def hits_at(scores: Column, numbers: Column, tau: float) -> Column:
     return F.transform(F.filter(F.arrays_zip(scores.alias("s"), used.alias("n")), lambda z: ~F.isnan(z["s"]) & (z["s"] >= tau)), lambda z: z["n"])
 
 
+def scaled(text: Column, factor: float) -> Column:
+    """A number in a text, times the factor; what is no number counts as 0."""
+    number = text.try_cast("double")
+    return F.when(number.isNull() | F.isnan(number), 0.0).otherwise(number) * factor
+
+
 def floor_scores(scores: Column, least: float) -> Column:
-    return F.transform(scores, lambda s: F.when(s >= least, s).otherwise(0.0))
+    """Scores with those below `least`, and null and NaN ones, as 0."""
+    return F.transform(scores, lambda s: F.when((s >= least) & ~F.isnan(s), s).otherwise(0.0))
 
 
 def channel(scores: Column, index: int = -1) -> Column:
@@ -147,6 +164,7 @@ def run_name(fields: dict[str, Column]) -> Column:
 
 
 def run_fields(name: Column) -> Column:
+    """map<key, value> of k=v parts that two underscores join."""
     return F.str_to_map(name, F.lit("__"), F.lit("="))
 
 
@@ -174,6 +192,7 @@ def command_flags(text: Column) -> Column:
 
 
 def log_weight(weight: Column, base: float, eps: float = 1e-12) -> Column:
+    """Logarithm of a weight, of eps where it is less."""
     return F.log(F.lit(float(base)), F.greatest(weight, F.lit(eps)))
 
 
@@ -194,4 +213,13 @@ def sites_in_text(text: Column) -> Column:
 
 
 def evidence_codes(text: Column) -> Column:
+    """Sorted distinct numbers after ECO:."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"ECO:(\d+)"), F.lit(1))))
+
+
+def log_metrics(out: Column) -> Column:
+    """struct<aucpr, hours, rows>: the last test AUCPR and the hours of a run's log, and the number of rows it names; null where the log has none."""
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(F.coalesce(out, F.lit("")), F.lit(pattern), F.lit(1)), F.lit(-1))
+    return F.struct(
+        last(r"test[^\n]*?AUCPR\s*[=:]\s*([0-9.]+(?:[eE]-?\d+)?)").try_cast("double").alias("aucpr"), last(r"DONE in\s+([0-9.]+)\s*h").try_cast("double").alias("hours"), last(r"\brows?\s*[=:]\s*(\d+)").try_cast("long").alias("rows"),
+    )

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import prefix_sums
+from ..plans.materialize import columns, fresh
+from .prefix import exact_quantiles, prefix_sums
 
 
 def chain_rollup(residues: DataFrame, chain: str = "chain", aa: str = "aa", label: str = "label") -> DataFrame:
@@ -52,6 +53,7 @@ def zero_filled(rows: DataFrame, key: str, domain: list) -> DataFrame:
 
 
 def capped_histogram(rows: DataFrame, value: str, cap: int) -> DataFrame:
+    """(bin, n) of values other than 0, those above the cap as the cap; null values are in none."""
     return rows.where(F.col(value) != 0).groupBy(F.least(F.col(value), F.lit(cap)).alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -61,6 +63,7 @@ def fixed_histogram(rows: DataFrame, group: list[str], value: str, low: float, h
 
 
 def box_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, low, q1, median, q3, high, mean) of the values that are not null."""
     q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     return rows.groupBy(*group).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.avg(value).alias("mean")).select(*group, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "mean")
 
@@ -80,9 +83,10 @@ def ecdf(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def majority_override(rows: DataFrame, group: str, code: str, digit: Column, missing: str = "not found") -> DataFrame:
     """rows with `repaired`: codes whose digit is not the group's most frequent one become `missing`; ties go to the lowest digit."""
-    known = rows.where(F.col(code) != missing).groupBy(group, digit.alias("_d")).agg(F.count("*").alias("_n"))
-    mode = known.groupBy(group).agg(F.min_by("_d", F.struct(-F.col("_n"), F.col("_d"))).alias("_mode"))
-    return rows.join(mode, group, "left").withColumn("repaired", F.when((F.col(code) == missing) | (digit == F.col("_mode")), F.col(code)).otherwise(missing)).withColumnRenamed("_mode", "mode")
+    known = rows.where(F.col(code) != missing).select(F.col(group), digit.alias("d")).groupBy(group, "d").agg(F.count("*").alias("n"))
+    (m,) = fresh(rows)
+    mode = known.groupBy(group).agg(F.min_by("d", F.struct(-F.col("n"), F.col("d"))).alias(m))
+    return rows.join(mode, group, "left").withColumn("repaired", F.when((F.col(code) == missing) | (digit == F.col(m)), F.col(code)).otherwise(missing)).withColumnRenamed(m, "mode")
 
 
 def leakage(rows: DataFrame, columns: list[str], split: str) -> DataFrame:
@@ -109,6 +113,7 @@ def hierarchical_weights(chains: DataFrame, top: str, mid: str, parent: str, str
 
 
 def component_class_matrix(rows: DataFrame, component: str, cls: str, weight: str, classes: list) -> DataFrame:
+    """(component, total, class_<c>): weight of each component, whole and by class; null weights count as nothing."""
     sums = [F.sum(F.when(F.col(cls) == c, F.col(weight)).otherwise(0.0)).alias(f"class_{c}") for c in classes]
     return rows.groupBy(component).agg(F.sum(weight).alias("total"), *sums)
 
@@ -125,12 +130,21 @@ def effective_size(rows: DataFrame, group: list[str], weight: str, mask: Column)
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+    """The first row of each key in the order, columns as they are; null keys are a key.
+
+    Partial aggregates of the least row, so the rows of a hot key are never in one task. Of rows that are equal in the order, the least in their other columns.
+    """
+    (r,) = fresh(rows)
+    plain = all(not t.startswith(("map", "variant")) and "map<" not in t for _, t in rows.dtypes)
+    if not plain:  # rows with maps have no order
+        return rows.withColumn(r, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(r) == 1).drop(r)
+    first = F.min(F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o"), F.struct(*columns(rows)).alias("row"))).alias(r)
+    return rows.groupBy(*key).agg(first).select(*[F.col(r)["row"].getField(c).alias(c) for c in rows.columns])
 
 
 def varies_within(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Rows of groups that hold more than one value."""
-    mixed = rows.groupBy(group).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).where("_a <> _b").select(group)
+    mixed = rows.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low <> high").select(group)
     return rows.join(mixed, group, "left_semi")
 
 
@@ -148,18 +162,20 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def sequence_collisions(rows: DataFrame, origin: str, sequence: str) -> DataFrame:
     """rows with `name`: the origin, with the first 8 digits of the sequence's SHA-1 where an origin has several sequences."""
-    many = rows.groupBy(origin).agg((F.min(sequence) != F.max(sequence)).alias("_many"))
+    (m,) = fresh(rows)
+    many = rows.groupBy(origin).agg((F.min(sequence) != F.max(sequence)).alias(m))
     tag = F.substring(F.sha1(F.col(sequence).cast("binary")), 1, 8)
-    return rows.join(many, origin).withColumn("name", F.when(F.col("_many"), F.concat_ws("_", F.col(origin).cast("string"), tag)).otherwise(F.col(origin).cast("string"))).drop("_many")
+    return rows.join(many, origin).withColumn("name", F.when(F.col(m), F.concat_ws("_", F.col(origin).cast("string"), tag)).otherwise(F.col(origin).cast("string"))).drop(m)
 
 
 def routed(items: DataFrame, inventory: DataFrame, key: str, kind: str, order: list[str], default: str) -> DataFrame:
     """items with `route`: the first kind of `order` that the inventory has for the key (or its lower case), else the default."""
-    have = inventory.groupBy(F.lower(key).alias("_k")).agg(F.collect_set(kind).alias("_have"))
+    k_, have_ = fresh(items, n=2)
+    have = inventory.groupBy(F.lower(key).alias(k_)).agg(F.collect_set(kind).alias(have_))
     route = F.lit(default)
     for k in reversed(order):
-        route = F.when(F.array_contains("_have", k), k).otherwise(route)
-    return items.join(have, F.lower(F.col(key)) == F.col("_k"), "left").withColumn("route", F.coalesce(route, F.lit(default))).drop("_k", "_have")
+        route = F.when(F.array_contains(have_, k), k).otherwise(route)
+    return items.join(have, F.lower(F.col(key)) == F.col(k_), "left").withColumn("route", F.coalesce(route, F.lit(default))).drop(k_, have_)
 
 
 def nonfinite(rows: DataFrame, policy: str, chain: str, score: str, weight: str) -> DataFrame:
@@ -168,8 +184,87 @@ def nonfinite(rows: DataFrame, policy: str, chain: str, score: str, weight: str)
     if policy == "c":
         return rows.where(~bad)
     fine = F.when(~bad, F.col(score))
-    by = [] if policy == "a" else [chain]
-    stats = rows.groupBy(*by).agg(F.coalesce(F.percentile(fine, F.lit(0.5)), F.lit(0.0)).alias("_m"), F.max(bad.cast("int")).alias("_any"))
-    j = rows.join(stats, by) if by else rows.crossJoin(F.broadcast(stats))
-    w = {"a": F.when(bad, 0.0).otherwise(F.col(weight)), "b": F.when(F.col("_any") == 1, 0.0).otherwise(F.col(weight)), "d": F.col(weight)}[policy]
-    return j.withColumn(weight, w).withColumn(score, F.when(bad, F.col("_m")).otherwise(F.col(score))).drop("_m", "_any")
+    if not rows.columns or policy not in ("a", "b", "d"):
+        raise ValueError(f"unknown policy {policy!r}")
+    m, some = fresh(rows, n=2)
+    if policy == "a":  # the median of all from counts of values, in ranges
+        seen = rows.where(~bad).groupBy(F.col(score).cast("double").alias("v")).agg(F.count("*").alias("n"))
+        stats = exact_quantiles(seen, [], "v", "n", [0.5]).agg(F.coalesce(F.max("q0"), F.lit(0.0)).alias(m), F.lit(0).alias(some))
+        j = rows.crossJoin(F.broadcast(stats))
+    else:
+        stats = rows.groupBy(chain).agg(F.coalesce(F.percentile(fine, F.lit(0.5)), F.lit(0.0)).alias(m), F.max(bad.cast("int")).alias(some))
+        j = rows.join(stats, chain)
+    w = {"a": F.when(bad, 0.0).otherwise(F.col(weight)), "b": F.when(F.col(some) == 1, 0.0).otherwise(F.col(weight)), "d": F.col(weight)}[policy]
+    return j.withColumn(weight, w).withColumn(score, F.when(bad, F.col(m)).otherwise(F.col(score))).drop(m, some)
+
+
+def class_by_split(chains: DataFrame, split: str, cls: str, length: str, positives: str) -> DataFrame:
+    """(split, class, chains, with_sites, residues, fraction): counts, chains with positives, and the share of positives."""
+    t = chains.groupBy(split, cls).agg(F.count("*").alias("chains"), F.sum((F.col(positives) > 0).cast("int")).alias("with_sites"), F.sum(length).alias("residues"), F.sum(positives).alias("_p"))
+    return t.select(split, cls, "chains", "with_sites", "residues", F.try_divide(F.col("_p"), F.col("residues")).alias("fraction"))
+
+
+def component_sizes(rows: DataFrame, component: str, weight: str) -> DataFrame:
+    """(component, n, weight): rows and weight of each component."""
+    return rows.groupBy(component).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+
+
+def coverage(rows: DataFrame, accession: str, structures: str, group: list[str]) -> DataFrame:
+    """(group, accessions, with_any, with_one, with_more, most): shares of accessions by the number of their structures, an array; null is none."""
+    n = F.coalesce(F.size(F.array_distinct(structures)), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    share = lambda c: F.avg(c.cast("int")).alias
+    return rows.groupBy(*group).agg(F.count(accession).alias("accessions"), share(n >= 1)("with_any"), share(n == 1)("with_one"), share(n >= 2)("with_more"), F.max(n).alias("most"))
+
+
+def source_by_split(chains: DataFrame, source: str, split: str, length: str) -> DataFrame:
+    """(source, split, chains, residues)."""
+    return chains.groupBy(source, split).agg(F.count("*").alias("chains"), F.sum(length).alias("residues"))
+
+
+def letter_distribution(residues: DataFrame, letter: str, label: str) -> DataFrame:
+    """(letter, n, positives, share, positive_share): of all positions, and of positive ones; shares are null where there are none."""
+    g = residues.groupBy(letter).agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
+    total = g.agg(F.sum("n").alias("_n"), F.sum("positives").alias("_p"))
+    return g.crossJoin(F.broadcast(total)).select(letter, "n", "positives", F.try_divide("n", "_n").alias("share"), F.try_divide("positives", "_p").alias("positive_share"))
+
+
+def with_positives(chains: DataFrame, positives: str) -> DataFrame:
+    """Chains that have a positive position; null counts as none."""
+    return chains.where(F.coalesce(F.col(positives), F.lit(0)) > 0)
+
+
+def code_distribution(rows: DataFrame, code: Column, novel: Column, missing: str = "No EC") -> DataFrame:
+    """(code, ord, n, share, n_novel, novel_share): codes 1 to 7 in order, then others, then `missing` for null; shares of all, and of novel rows."""
+    named = rows.select(F.coalesce(code.cast("string"), F.lit(missing)).alias("code"), F.coalesce(novel, F.lit(False)).cast("int").alias("new"))
+    g = named.groupBy("code").agg(F.count("*").alias("n"), F.sum("new").alias("n_novel"))
+    total = g.agg(F.sum("n").alias("_n"), F.sum("n_novel").alias("_v"))
+    return g.crossJoin(F.broadcast(total)).select("code", code_order(F.col("code"), missing).alias("ord"), "n", F.try_divide("n", "_n").alias("share"), "n_novel", F.try_divide("n_novel", "_v").alias("novel_share"))
+
+
+def code_order(code: Column, missing: str = "No EC") -> Column:
+    """Place of a class bucket: 1 to 7 by number, 8 for others, 9 for `missing`."""
+    return F.when(code.rlike("^[1-7]$"), code.try_cast("int")).when(code == missing, 9).otherwise(8)
+
+
+def split_order(split: Column) -> Column:
+    """Place of a split: by the number in its name, those without one behind."""
+    return F.coalesce(F.nullif(F.regexp_extract(split, r"(\d+)", 1), F.lit("")).try_cast("int"), F.lit(2**31 - 1))
+
+
+def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int, parts: int = 32) -> DataFrame:
+    """The first n rows of each group with their `rank`. Each of `parts` hashed parts of a group gives its own first n, so no task ranks a whole group."""
+    part, r = fresh(rows, n=2)
+    cut = rows.withColumn(part, F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if not t.startswith(("map", "variant"))]), F.lit(parts)))
+    cut = cut.withColumn(r, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))).where(F.col(r) <= n).drop(r, part)
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def top_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of the whole table with their `place`: a report, put in order in one task only once it is n rows."""
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def cluster_statistics(rows: DataFrame, cluster: str, members: list[str]) -> DataFrame:
+    """(cluster, n_<m> for each column m): distinct members of each cluster."""
+    return rows.groupBy(cluster).agg(*[F.count_distinct(m).alias(f"n_{m}") for m in members])

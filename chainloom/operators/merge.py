@@ -7,6 +7,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import col, fresh
+
 
 def merge_folds(rows: DataFrame, key: list[str], fold: str, score: str, how: str = "mean") -> DataFrame:
     """(key, score, n_folds, folds): one score per key from all folds that have it: mean, median, or that of the first fold."""
@@ -79,21 +81,34 @@ def label_diff(before: DataFrame, after: DataFrame, chain: str, pos: str, label:
 
 def enrich(rows: DataFrame, table: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """rows with blank columns filled from the table."""
-    t = table.select(*on, *[F.col(c).alias(f"_{c}") for c in columns])
-    j = rows.join(t, on, "left")
-    return j.select(*[F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    new = dict(zip(columns, fresh(rows, n=len(columns)), strict=True))
+    j = rows.join(table.select(*on, *[F.col(c).alias(new[c]) for c in columns]), on, "left")
+    return j.select(*[F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(new[c])).alias(c) if c in columns else col(c) for c in rows.columns])
 
 
 def with_fallback(rows: DataFrame, key: str, base: Column, columns: list[str]) -> DataFrame:
     """Blank columns of a record filled from the record that `base` names."""
-    parent = rows.select(F.col(key).alias("_base"), *[F.col(c).alias(f"_{c}") for c in columns])
-    j = rows.join(parent, base == F.col("_base"), "left")
-    return j.select(*[F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
+    b, *names = fresh(rows, n=len(columns) + 1)
+    new = dict(zip(columns, names, strict=True))
+    parent = rows.select(F.col(key).alias(b), *[F.col(c).alias(new[c]) for c in columns])
+    j = rows.join(parent, base == F.col(b), "left")
+    return j.select(*[F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col(new[c])).alias(c) if c in columns else col(c) for c in rows.columns])
 
 
 def parameter_grid(spark, axes: dict[str, list]) -> DataFrame:
+    """All combinations of a few values for each axis, as given by the caller."""
     out = None
     for name, values in axes.items():
         axis = spark.createDataFrame([(v,) for v in values], [name])
         out = axis if out is None else out.crossJoin(axis)
     return out
+
+
+def ordinal_join(labels: DataFrame, scores: DataFrame, chain: str, pos: str) -> DataFrame:
+    """Every labelled position with the scores that its chain has at the same place; null where there is none."""
+    return labels.join(scores, [chain, pos], "left")
+
+
+def score_coverage(rows: DataFrame, chain: str, score: str) -> DataFrame:
+    """(chain, n, covered, total): positions, those with a score, and the sum of scores, 0 without any."""
+    return rows.groupBy(chain).agg(F.count("*").alias("n"), F.count(score).alias("covered"), F.coalesce(F.sum(score), F.lit(0.0)).alias("total"))

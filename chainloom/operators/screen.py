@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audit import keep_first
+
 
 def novelty(rows: DataFrame, predicted: str, known: str) -> DataFrame:
     """rows with novel, n_novel, n_known, n_shared from two position arrays; nulls count as empty."""
@@ -33,7 +35,7 @@ def reference_member(rows: DataFrame, base: str, member: Column) -> DataFrame:
     """One row per base: the member that ends in -1, else of the least numeric suffix, else of the first name."""
     number = F.regexp_extract(member, r"-(\d+)$", 1).try_cast("int")
     order = [F.when(F.endswith(member, F.lit("-1")), 0).otherwise(1), F.coalesce(number, F.lit(1_000_000_000)), member]
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(base).orderBy(*order))).where("_r = 1").drop("_r")
+    return keep_first(rows, [base], order)
 
 
 def neighbour_positive(rows: DataFrame, chain: str, letter: str, pos: str, label: str, within: int = 10) -> DataFrame:
@@ -64,3 +66,9 @@ def loss_categories(sites: DataFrame, pairs: DataFrame, scores: DataFrame, tau:
 def explode_variants(records: DataFrame, accession: str, variants: str, carry: list[str]) -> DataFrame:
     """(variant, base, carry): distinct variant ids of each record."""
     return records.where(F.size(variants) >= 1).select(F.explode(F.array_distinct(variants)).alias("variant"), F.col(accession).alias("base"), *carry)
+
+
+def loss_events(categories: DataFrame, base: str = "base") -> DataFrame:
+    """(base, members, lost): bases of loss_categories() where a member has a site of the same letter that is not predicted."""
+    g = categories.groupBy(base).agg(F.count("*").alias("members"), F.sum("lost_aligned").alias("lost"))
+    return g.where("lost > 0")

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .audit import top_per_group
+
 
 def aligned_positions(q: str, t: str, match: float = 2.0, mismatch: float = -1.0, gap: float = -2.0, local: bool = False) -> list[tuple[int, int]]:
     """0-based (q, t) pairs of an optimal alignment with linear gaps; among equal ones diagonal, then up, then left.
@@ -71,8 +73,13 @@ def kmer_candidates(queries: DataFrame, targets: DataFrame, key: str, seq: str,
 
 
 def top_hits(hits: DataFrame, query: str, order: list[Column], n: int, keep: Column | None = None) -> DataFrame:
-    h = hits if keep is None else hits.where(keep)
-    return h.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= n)
+    """The first n hits of each query that `keep` holds for, with their `rank`; hits must not have such a column."""
+    return top_per_group(hits if keep is None else hits.where(keep), [query], order, n)
+
+
+def best_template(hits: DataFrame, query: str, target: str, identity: str, least: float, own: Column) -> DataFrame:
+    """The hit of each query with the greatest identity, of at least `least`, that is not its own (a hit to itself, or to a form of itself); ties go to the target."""
+    return top_hits(hits, query, [F.desc(identity), F.asc(target)], 1, (F.col(identity) >= least) & ~F.coalesce(own, F.lit(False)) & (F.col(query) != F.col(target)))
 
 
 def vote_weights(hits: DataFrame, query: str, score: str, cutoff: float = 60.0, denom: float = 2.0, pctl: float = 0.95, gamma: float = 1.0, top: int = 32, tie: str = "t") -> DataFrame:

@@ -40,11 +40,12 @@ def class_distribution_pct(spark, sf_dir):
     return rounded(audit.distribution(table(spark, sf_dir, "part"), ["p_type"], "p_retailprice"))
 
 
-@query(f"""WITH {CHAINS}, c AS (SELECT segment, count(*) FILTER (split = 'split0')::DOUBLE AS a, count(*) FILTER (split = 'split1')::DOUBLE AS b, count(*) FILTER (split = 'split2')::DOUBLE AS c FROM chains WHERE split IN ('split0', 'split1', 'split2') GROUP BY segment)
-SELECT segment, round(a / (a + b + c), 6) AS split0, round(b / (a + b + c), 6) AS split1, round(c / (a + b + c), 6) AS split2, a + b + c AS total FROM c""")
+_FIVE = [f"split{k}" for k in range(5)]
+
+
+@query(f"""WITH {CHAINS}, c AS (SELECT segment, {", ".join(f"count(*) FILTER (split = '{s}')::DOUBLE AS {s}" for s in _FIVE)}, count(*)::DOUBLE AS total FROM chains GROUP BY segment) SELECT segment, {", ".join(f"round({s} / total, 6) AS {s}" for s in _FIVE)}, total FROM c""")
 def class_by_split_pivot(spark, sf_dir):
-    three = ["split0", "split1", "split2"]
-    return rounded(audit.pivot_share(chains(spark, sf_dir).where(F.col("split").isin(three)), "segment", "split", three, F.count(F.lit(1))))
+    return rounded(audit.pivot_share(chains(spark, sf_dir), "segment", "split", _FIVE, F.count(F.lit(1))))
 
 
 @query("SELECT p_size, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 61))::INT AS p_size) LEFT JOIN (SELECT p_size, count(*) AS n FROM part GROUP BY 1) USING (p_size)")
@@ -80,9 +81,7 @@ def ecdf(spark, sf_dir):
 
 @query(f"WITH {RESIDUES} SELECT aa, count(*) AS n, sum(label)::BIGINT AS positives, round(count(*) / (SELECT count(*) FROM res), 6) AS share, round(sum(label) / (SELECT sum(label) FROM res), 6) AS positive_share FROM res GROUP BY aa")
 def residue_distribution(spark, sf_dir):
-    g = residues(spark, sf_dir).groupBy("aa").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
-    total = g.agg(F.sum("n").alias("_n"), F.sum("positives").alias("_p"))
-    return rounded(g.crossJoin(F.broadcast(total)).select("aa", "n", "positives", (F.col("n") / F.col("_n")).alias("share"), (F.col("positives") / F.col("_p")).alias("positive_share")))
+    return rounded(audit.letter_distribution(residues(spark, sf_dir), "aa", "label"))
 
 
 @query(f"""WITH {CHAINS}, d AS (SELECT cluster_1, substr(ec, 1, 1) AS d, count(*) AS n FROM chains GROUP BY ALL), m AS (SELECT cluster_1, d AS mode FROM (SELECT *, row_number() OVER (PARTITION BY cluster_1 ORDER BY n DESC, d) AS r FROM d) WHERE r = 1)
@@ -202,13 +201,13 @@ def varies_within_group(spark, sf_dir):
 
 @query(f"WITH {_ROLL} SELECT chain, split FROM roll WHERE npos > 0")
 def drop_without_positives(spark, sf_dir):
-    return _roll(spark, sf_dir).where("npos > 0").select("chain", "split")
+    return audit.with_positives(_roll(spark, sf_dir), "npos").select("chain", "split")
 
 
-@query("""SELECT coalesce(c_custkey, o_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'left' WHEN c_custkey IS NULL THEN 'right' ELSE 'both' END AS side FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey""")
+@query("""SELECT coalesce(c_custkey, o_custkey) AS key, CASE WHEN o_custkey IS NULL THEN 'left' WHEN c_custkey IS NULL THEN 'right' ELSE 'both' END AS side FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey""")
 def set_reconciliation(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     return audit.reconcile(a, b, "key")
 
 
@@ -222,11 +221,11 @@ def sequence_collisions(spark, sf_dir):
     return audit.sequence_collisions(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", "name")
 
 
-@query("""WITH h AS (SELECT lower(c_name) AS k, list(DISTINCT c_mktsegment) AS have FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)
+@query("""WITH h AS (SELECT lower(c_name) AS k, list(DISTINCT c_mktsegment) AS have FROM customer WHERE c_acctbal > 0 GROUP BY 1)
 SELECT c_custkey, CASE WHEN list_contains(have, 'BUILDING') THEN 'BUILDING' WHEN list_contains(have, 'MACHINERY') THEN 'MACHINERY' ELSE 'none' END AS route FROM customer LEFT JOIN h ON lower(c_name) = k""")
 def route_by_availability(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return audit.routed(c, c.where("c_custkey % 3 <> 0").select("c_name", "c_mktsegment"), "c_name", "c_mktsegment", ["BUILDING", "MACHINERY"], "none").select("c_custkey", "route")
+    return audit.routed(c, c.where("c_acctbal > 0").select("c_name", "c_mktsegment"), "c_name", "c_mktsegment", ["BUILDING", "MACHINERY"], "none").select("c_custkey", "route")
 
 
 _BAD = f"WITH {RESIDUES}, b AS (SELECT chain, pos, weight, CASE WHEN quantity >= 48 THEN 'nan'::DOUBLE ELSE quantity END AS s FROM res)"

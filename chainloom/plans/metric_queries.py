@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import curves, merge, ranking, sweep
+from ..operators import curves, evaluate, merge, ranking, sweep
+from ..operators.audit import keep_first
 from .bindings import RESIDUES, RUNS, residues, runs
 from .registry import Registry
 
@@ -102,10 +103,7 @@ def prec_rec_hit_at_k(spark, sf_dir):
 @query(f"""WITH {RESIDUES} SELECT chain, sum(CASE WHEN score >= 40000 THEN label ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN score >= 40000 THEN 1 - label ELSE 0 END)::DOUBLE AS fp, sum(CASE WHEN score < 40000 THEN label ELSE 0 END)::DOUBLE AS fn,
 sum(CASE WHEN score < 40000 THEN 1 - label ELSE 0 END)::DOUBLE AS tn, max(CASE WHEN score >= 40000 AND label = 0 THEN score END) AS max_fp FROM res GROUP BY chain""")
 def chain_confusion(spark, sf_dir):
-    r = residues(spark, sf_dir)
-    hit, y = curves.passes(F.col("score"), 40000.0), F.col("label") == 1
-    n = lambda c: F.sum(c.cast("int")).cast("double")
-    return r.groupBy("chain").agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), n(~hit & ~y).alias("tn"), F.max(F.when(hit & ~y, F.col("score"))).alias("max_fp"))
+    return evaluate.chain_confusion(residues(spark, sf_dir), ["chain"], 40000.0)
 
 
 @query(f"""WITH {RESIDUES}, r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY score DESC, pos) AS rank FROM res)
@@ -199,9 +197,8 @@ def operating_points_p95(spark, sf_dir):
 @query(f"""WITH {RESIDUES}, c AS (SELECT chain, sum(CASE WHEN score >= 40000 THEN 1 - label ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < 40000 THEN label ELSE 0 END)::BIGINT AS fn FROM res GROUP BY chain)
 SELECT chain, fp, fn, (fp + 2 * fn)::DOUBLE AS error FROM c ORDER BY error DESC, fn DESC, chain LIMIT 20""")
 def worst_cases(spark, sf_dir):
-    r, hit = residues(spark, sf_dir), curves.passes(F.col("score"), 40000.0)
-    c = r.groupBy("chain").agg(F.sum((hit & (F.col("label") == 0)).cast("int")).alias("fp"), F.sum((~hit & (F.col("label") == 1)).cast("int")).alias("fn"))
-    return c.withColumn("error", (F.col("fp") + 2 * F.col("fn")).cast("double")).orderBy(F.desc("error"), F.desc("fn"), "chain").limit(20)
+    c = evaluate.cases(evaluate.chain_confusion(residues(spark, sf_dir), ["chain"], 40000.0), "chain", "worst", 20)
+    return c.select("chain", F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"), "error")
 
 
 @query(f"WITH {RESIDUES} SELECT aa, pos, round(avg(score) + 1e-9, 6) AS score, count(DISTINCT fold) AS n_folds, array_to_string(list_sort(list(DISTINCT fold::VARCHAR)), ',') AS folds FROM res GROUP BY aa, pos")
@@ -215,12 +212,12 @@ def merge_folds_dedupe_median(spark, sf_dir):
     return merge.merge_folds(residues(spark, sf_dir), ["aa", "pos"], "fold", "score", "median")
 
 
-@query(f"""WITH {RUNS} SELECT config, seed, min(fold) AS label, round(avg(value), 6) AS score FROM runs WHERE fold = 1 GROUP BY config, seed HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM runs)""")
+@query(f"""WITH {RUNS} SELECT config, seed, fold AS label, round(avg(value), 6) AS score FROM runs GROUP BY config, seed, fold HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM runs)""")
 def ensemble_mean(spark, sf_dir):
     r = runs(spark, sf_dir)
     n = r.agg(F.count_distinct("model").alias("_n"))
-    rows = r.where("fold = 1").select("config", "seed", F.col("fold").alias("label"), "model", "value")
-    g = merge.ensemble_mean(rows.crossJoin(F.broadcast(n)), ["config", "seed", "_n"], "model", "value", "label", F.col("_n"))
+    rows = r.select("config", "seed", "fold", F.col("fold").alias("label"), "model", "value")
+    g = merge.ensemble_mean(rows.crossJoin(F.broadcast(n)), ["config", "seed", "fold", "_n"], "model", "value", "label", F.col("_n"))
     return rounded(g.select("config", "seed", "label", F.col("value").alias("score")))
 
 
@@ -237,18 +234,17 @@ def snr_vs_baseline(spark, sf_dir):
     return rounded(merge.snr(s("purchase"), s("view"), ["fold"]))
 
 
-@query(f"WITH {RUNS}, g AS (SELECT config, seed, count(DISTINCT fold) AS n_folds, count(*) AS n_runs, avg(value) AS value FROM runs WHERE model = 'click' GROUP BY ALL) SELECT config, seed, n_folds, n_runs, round(value, 6) AS value, CASE WHEN n_folds < 5 THEN 'missing_folds' WHEN n_runs > n_folds THEN 'duplicate_runs' ELSE 'ok' END AS status FROM g")
+@query(f"WITH {RUNS}, g AS (SELECT model, config, seed, count(DISTINCT fold) AS n_folds, count(*) AS n_runs, avg(value) AS value FROM runs GROUP BY ALL) SELECT model, config, seed, n_folds, n_runs, round(value, 6) AS value, CASE WHEN n_folds < 5 THEN 'missing_folds' WHEN n_runs > n_folds THEN 'duplicate_runs' ELSE 'ok' END AS status FROM g")
 def run_completeness(spark, sf_dir):
-    return rounded(merge.leaderboard(runs(spark, sf_dir).where("model = 'click'"), ["config"], "seed", "fold", "value", 5)[0])
+    return rounded(merge.leaderboard(runs(spark, sf_dir), ["model", "config"], "seed", "fold", "value", 5)[0])
 
 
-@query(f"""WITH {RUNS}, g AS (SELECT config, seed, count(DISTINCT fold) AS n_folds, count(*) AS n_runs, avg(value) AS value FROM runs GROUP BY ALL), o AS (SELECT *, CASE WHEN n_folds >= 5 THEN value END AS ok FROM g)
+@query(f"""WITH {RUNS}, r AS (SELECT DISTINCT ON (config, seed, fold) * FROM runs ORDER BY config, seed, fold, run), g AS (SELECT config, seed, count(DISTINCT fold) AS n_folds, count(*) AS n_runs, avg(value) AS value FROM r GROUP BY ALL), o AS (SELECT *, CASE WHEN n_folds >= 5 AND n_runs = n_folds THEN value END AS ok FROM g)
 SELECT config, count(ok) AS n_ok, round(avg(ok), 6) AS mean, round(stddev_samp(ok), 6) AS std FROM o GROUP BY config""")
 def config_leaderboard(spark, sf_dir):
-    per = runs(spark, sf_dir).dropDuplicates(["run"]).groupBy("config", "seed", "fold").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    g = per.groupBy("config", "seed").agg(F.count("*").alias("n_folds"), (F.sum("s") / F.sum("n")).alias("value"))
-    ok = F.when(F.col("n_folds") >= 5, F.col("value"))
-    return rounded(g.groupBy("config").agg(F.count(ok).alias("n_ok"), F.avg(ok).alias("mean"), F.stddev_samp(ok).alias("std")))
+    """Mean and deviation of each configuration over its complete seeds; of several runs of a fold the first counts."""
+    first = keep_first(runs(spark, sf_dir), ["config", "seed", "fold"], [F.col("run")])
+    return rounded(merge.leaderboard(first, ["config"], "seed", "fold", "value", 5)[1])
 
 
 @query(f"""WITH {RUNS}, g AS (SELECT fold, seed, avg(CASE WHEN model = 'purchase' THEN value END) AS a, avg(CASE WHEN model = 'view' THEN value END) AS b FROM runs GROUP BY ALL)
@@ -259,7 +255,7 @@ def ab_pairs(spark, sf_dir):
 
 @query(f"""WITH {RUNS} SELECT model, round(avg(value) FILTER (fold = 0), 6) AS "0", round(avg(value) FILTER (fold = 1), 6) AS "1", round(avg(value) FILTER (fold = 2), 6) AS "2", round(avg(value) FILTER (fold = 3), 6) AS "3", round(avg(value) FILTER (fold = 4), 6) AS "4" FROM runs GROUP BY model""")
 def model_by_fold_matrix(spark, sf_dir):
-    return rounded(runs(spark, sf_dir).groupBy("model").pivot("fold", [0, 1, 2, 3, 4]).agg(F.avg("value")))
+    return rounded(evaluate.pivot_mean(runs(spark, sf_dir), "model", "fold", [0, 1, 2, 3, 4], "value"))
 
 
 @query(f"""WITH {RESIDUES}, c AS (SELECT chain, split, weight, count(*) AS length, sum(label) AS npos FROM res GROUP BY ALL)

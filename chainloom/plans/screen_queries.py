@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import audit, curves, resample, screen, spatial, transfer
+from ..operators import audit, curves, merge, resample, screen, spatial, transfer
 from ..sources import readers, writers
 from ..streaming import worklist
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
@@ -184,11 +184,11 @@ def group_index(spark, sf_dir):
     return writers.group_index(table(spark, sf_dir, "part").select(F.col("p_brand").alias("base"), F.col("p_name").alias("member")), "base", "member", 2)
 
 
-@query("""WITH e AS (SELECT c_custkey AS entry, (c_custkey % 5)::INT AS split FROM customer UNION ALL SELECT o_custkey, (o_orderkey % 5)::INT FROM orders WHERE o_orderkey % 7 = 0), p AS (SELECT h::INT AS holdout, entry, split FROM e, range(5) t(h) WHERE split <> h)
+@query("""WITH e AS (SELECT c_custkey AS entry, (c_custkey % 5)::INT AS split FROM customer UNION ALL SELECT o_custkey, (o_orderkey % 5)::INT FROM orders), p AS (SELECT h::INT AS holdout, entry, split FROM e, range(5) t(h) WHERE split <> h)
 SELECT holdout, entry, min(split) AS split FROM p GROUP BY ALL""")
 def leave_one_split_out(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry"), (F.col("c_custkey") % 5).cast("int").alias("split"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("entry"), (F.col("o_orderkey") % 5).cast("int").alias("split"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entry"), (F.col("o_orderkey") % 5).cast("int").alias("split"))
     e = c.unionByName(o)
     return writers.reference_db(e, e.select("split"), "entry", "split").select("holdout", "entry", "split")
 
@@ -226,10 +226,10 @@ z AS (SELECT *, lag(precision, 1, 1.0) OVER o AS p0, lag(recall, 1, 0.0) OVER o
 SELECT split, round(quantile_cont(aucpr, 0.025), 6) AS low, round(quantile_cont(aucpr, 0.975), 6) AS high, count(*) AS draws FROM a GROUP BY split""")
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of AUCPR over Poisson draws of chains, by split."""
-    return rounded(_intervals(spark, sf_dir, "split"))
+    return rounded(intervals(spark, sf_dir, "split"))
 
 
-def _intervals(spark, sf_dir, group: str):
+def intervals(spark, sf_dir, group: str):
     r = written(resample.bootstrap_sums(residues(spark, sf_dir), [group], ["chain"], ["tied", "label"], weight_(), 200), "boot")
     a = curves.pr_summary(r, [group, "boot"], score="tied", weight=weight_(), buckets=4)
     return a.groupBy(group).agg(F.percentile("aucpr", F.lit(0.025)).alias("low"), F.percentile("aucpr", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
@@ -247,7 +247,7 @@ def random_label_baseline(spark, sf_dir):
 
 @query(f"WITH {CHAINS}, s AS (SELECT cluster_1, count(DISTINCT chain) AS chains, count(DISTINCT parent) AS parents FROM chains GROUP BY 1) SELECT cluster_1, chains, parents FROM s")
 def cluster_statistics(spark, sf_dir):
-    return chains(spark, sf_dir).groupBy("cluster_1").agg(F.count_distinct("chain").alias("chains"), F.count_distinct("parent").alias("parents"))
+    return audit.cluster_statistics(chains(spark, sf_dir), "cluster_1", ["chain", "parent"]).withColumnsRenamed({"n_chain": "chains", "n_parent": "parents"})
 
 
 @query("SELECT quality, toxic, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM labels), 6) AS pct FROM labels GROUP BY ALL")
@@ -265,13 +265,13 @@ def enrich_blank_fields(spark, sf_dir):
     return enrich(blank, r.groupBy("config").agg(F.min("model").alias("model")), ["config"], ["model"]).select("run", "model")
 
 
-@query(f"""WITH {RESIDUES}, a AS (SELECT chain, pos, label FROM res WHERE pos < 3), s AS (SELECT chain, pos, score FROM res WHERE pos <> 1)
+@query(f"""WITH {RESIDUES}, a AS (SELECT chain, pos, label FROM res), s AS (SELECT chain, pos, score FROM res WHERE label = 0)
 SELECT chain, count(*) AS n, count(score) AS covered, round(coalesce(sum(score), 0), 4) AS total FROM a LEFT JOIN s USING (chain, pos) GROUP BY chain""")
 def ordinal_residue_join(spark, sf_dir):
     """Annotated positions with the scores that there are, and their coverage."""
     r = residues(spark, sf_dir)
-    j = r.where("pos < 3").select("chain", "pos", "label").join(r.where("pos <> 1").select("chain", "pos", "score"), ["chain", "pos"], "left")
-    return j.groupBy("chain").agg(F.count("*").alias("n"), F.count("score").alias("covered"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 4).alias("total"))
+    j = merge.ordinal_join(r.select("chain", "pos", "label"), r.where("label = 0").select("chain", "pos", "score"), "chain", "pos")
+    return merge.score_coverage(j, "chain", "score").withColumn("total", F.round("total", 4))
 
 
 @query(f"""WITH {SCREENS} SELECT id, '[' || array_to_string(list_transform(list_sort(predicted), lambda p: '''0'', ''A'', ''' || p::VARCHAR || ''''), ', ') || ']' AS cell, array_to_string(list_sort(list_filter(predicted, lambda p: p > 0)), ', ') AS parsed FROM screens""")

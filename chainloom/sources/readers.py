@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import columns
+
 METADATA_13 = [f"c{i}" for i in range(1, 14)]
 
 
@@ -27,6 +29,7 @@ def residue_rows(blocks: DataFrame, exact: bool = False, integer_positions: bool
 
 
 def read_annotations(spark: SparkSession, path: str, **options) -> DataFrame:
+    """residue_rows() of annotation files."""
     return residue_rows(_blocks(spark, path), **options)
 
 
@@ -60,11 +63,16 @@ def a3m_columns(rows: DataFrame) -> DataFrame:
 
 
 def read_metadata_csv(spark: SparkSession, path: str, schema: str, key: str = "Sequence_ID") -> DataFrame:
-    """A CSV with a header, first row of each key in file order; the key column must be there."""
+    """A CSV with a header, first row of each key in the order of files and, within a file, of blocks and rows; the key column must be there.
+
+    Rows with a null key are one key. An empty file gives no rows.
+    """
     if key not in schema:
         raise ValueError(f"{key} is missing")
-    rows = spark.read.csv(path, header=True, schema=schema).withColumn("_o", F.monotonically_increasing_id())
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_o"))).where("_r = 1").drop("_r", "_o")
+    rows = spark.read.csv(path, header=True, schema=schema)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.struct(*columns(rows)).alias("row"), place.alias("at"))
+    return rows.groupBy(F.col("row")[key]).agg(F.min_by("row", "at").alias("row")).select("row.*")
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], types: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
@@ -105,8 +113,33 @@ def read_record_dump(spark: SparkSession, path: str, schema: str, shape: str) ->
     raise ValueError(f"unknown shape {shape!r}")
 
 
+def length_report(rows: DataFrame, arrays: list[str]) -> DataFrame:
+    """rows whose arrays differ in length, with `lengths`; a null array has length -1."""
+    n = F.array(*[F.coalesce(F.size(c), F.lit(-1)) for c in arrays])
+    return rows.withColumn("lengths", n).where(F.size(F.array_distinct("lengths")) > 1)
+
+
+def ragged_rows(stores: DataFrame, ids: str = "ids", offsets: str = "offsets", values: str = "values") -> DataFrame:
+    """(id, values) of ragged stores: row i of a store has the values from offsets[i] up to offsets[i + 1]."""
+    cut = F.transform(F.col(ids), lambda x, i: F.struct(x.alias("id"), F.slice(F.col(values), F.get(offsets, i) + 1, F.get(offsets, i + 1) - F.get(offsets, i)).alias("values")))
+    return stores.select(F.explode(cut).alias("r")).select("r.*")
+
+
+def split_db_rows(stores: DataFrame) -> DataFrame:
+    """(split, id, aa, labels, index_map map<int,int>, weight) of stores (split, ids, aa, labels, maps, weights), whose arrays run alongside each other."""
+    zipped = F.arrays_zip(F.col("ids"), F.col("aa"), F.col("labels"), F.col("maps"), F.col("weights"))
+    return stores.select("split", F.explode(zipped).alias("z")).select("split", F.col("z.ids").alias("id"), F.col("z.aa").alias("aa"), F.col("z.labels").alias("labels"), F.col("z.maps").alias("index_map"), F.coalesce(F.col("z.weights"), F.lit(1.0)).alias("weight"))
+
+
+def discover_runs(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """(run, file, fields map): folders below path that hold a file named `result`, with what their names say; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", result).load(path).select("path")
+    folder = F.element_at(F.split("path", "/"), -2)
+    return found.select(folder.alias("run"), F.col("path").alias("file"), F.str_to_map(folder, F.lit("__"), F.lit("=")).alias("fields"))
+
+
 def chain_scores(rows: DataFrame, on_mismatch: str = "cut") -> DataFrame:
-    """Long rows (pos, label, score) of array columns label and score; longer ones are cut, or rows left out ("drop")."""
+    """Long rows (pos, label, score) of array columns label and score; longer ones are cut, or rows left out ("drop"); see length_report()."""
     if on_mismatch == "drop":
         rows = rows.where(F.size("label") == F.size("score"))
     n = F.least(F.size("label"), F.size("score"))
@@ -117,10 +150,14 @@ def chain_scores(rows: DataFrame, on_mismatch: str = "cut") -> DataFrame:
 
 
 def union_shards(spark: SparkSession, paths: list[str], schema: str, key: str, shard: str = r"(\d+)") -> DataFrame:
-    """JSON shards with their number; of a key that several have, the last shard counts."""
-    rows = spark.read.json(paths, schema=schema).withColumn("shard", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), shard, 1).cast("int"))
-    w = Window.partitionBy(key).orderBy(F.desc("shard"))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """JSON shards with their number; of a key that several have, the last shard counts. Missing shards are passed over."""
+    rows = spark.read.option("ignoreMissingFiles", "true").json([p for p in paths if _there(spark, p)], schema=schema).withColumn("shard", F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), shard, 1).cast("int"))
+    return rows.select(F.struct(*columns(rows)).alias("row")).groupBy(F.col("row")[key]).agg(F.max_by("row", F.col("row.shard")).alias("row")).select("row.*")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at))
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -138,11 +175,13 @@ def first_class_code(desc: Column) -> Column:
 
 
 def all_class_codes(*arrays: Column) -> Column:
+    """All codes of the arrays, trimmed, each once, in order; null arrays have none."""
     joined = F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))
     return F.array_sort(F.array_distinct(F.filter(F.transform(joined, lambda c: F.trim(c)), lambda c: c != "")))
 
 
 def record_filter(score: Column, features: Column, least: float = 2, kind: str = "Active site") -> Column:
+    """Whether a record is scored above `least` and has a feature of this kind."""
     return (score > least) & F.exists(features, lambda f: f["type"] == kind)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import columns
+
 
 def annotation_blocks(residues: DataFrame) -> DataFrame:
     """(id, value): the text block of each chain, residues by position."""
@@ -14,6 +16,7 @@ def annotation_blocks(residues: DataFrame) -> DataFrame:
 
 
 def write_annotations(residues: DataFrame, path: str, split: str | None = None) -> None:
+    """Annotation blocks as text; with a split column, one folder for each of its values."""
     if split is None:
         annotation_blocks(residues).select("value").write.text(path)
     else:
@@ -22,14 +25,17 @@ def write_annotations(residues: DataFrame, path: str, split: str | None = None)
 
 
 def wrapped(sequence: Column, width: int) -> Column:
+    """A sequence in lines of this width."""
     return F.regexp_replace(F.regexp_replace(sequence, f"(.{{{width}}})", "$1\n"), r"\n$", "")
 
 
 def write_fasta(rows: DataFrame, path: str, key: str, sequence: str, width: int = 60) -> None:
+    """FASTA records as text."""
     rows.select(F.concat(F.lit(">"), F.col(key), F.lit("\n"), wrapped(F.col(sequence), width)).alias("value")).write.text(path)
 
 
 def write_summary(rows: DataFrame, path: str) -> None:
+    """A CSV with a header."""
     rows.write.csv(path, header=True)
 
 
@@ -39,6 +45,7 @@ def write_metrics(rows: DataFrame, path: str, key: str, columns: list[str]) -> N
 
 
 def write_scores(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Parquet, one folder for each value of the columns `by`."""
     rows.write.partitionBy(*by).parquet(path)
 
 
@@ -51,9 +58,9 @@ def group_index(rows: DataFrame, base: str, member: str, least: int) -> DataFram
 def reference_db(entries: DataFrame, splits: DataFrame, entry: str = "Entry", split: str = "split") -> DataFrame:
     """For each held-out split, entries of the others; an entry that several have is kept from the first."""
     hold = splits.select(F.col(split).alias("holdout")).distinct()
-    pairs = entries.join(hold, F.col(split) != F.col("holdout"))
-    w = Window.partitionBy("holdout", entry).orderBy(split)
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    pairs = entries.crossJoin(F.broadcast(hold)).where(F.col(split) != F.col("holdout"))  # splits are a handful
+    row = F.struct(*columns(entries))
+    return pairs.groupBy("holdout", F.col(entry).alias("key")).agg(F.min(F.struct(F.col(split).alias("first"), row.alias("row"))).alias("m")).select("holdout", *[F.col("m.row").getField(c).alias(c) for c in entries.columns])
 
 
 def universal(chains: DataFrame, residues: DataFrame, proteins: DataFrame, key: str = "id") -> DataFrame:
@@ -64,5 +71,22 @@ def universal(chains: DataFrame, residues: DataFrame, proteins: DataFrame, key:
     return chains.join(flat, key).join(proteins, key, "left")
 
 
-def cleaned_screen(rows: DataFrame, path: str, position_columns: list[str]) -> None:
-    rows.select(*[F.array_join(c, ", ").alias(c) if c in position_columns else F.col(c) for c in rows.columns]).write.csv(path, header=True, sep="\t")
+def cleaned_screen(rows: DataFrame, known: str, predicted: dict[str, str], drop: list[str]) -> DataFrame:
+    """rows with positions written as text, for each threshold name the columns novel_sites_<t>, n_novel_<t> and any_novel_<t>, and without helpers.
+
+    predicted: threshold name -> array column. Null arrays are empty.
+    """
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
+    text = lambda a: F.array_join(F.array_sort(a), ", ")
+    out = rows
+    for t, c in predicted.items():
+        new = F.array_except(empty(c), empty(known))
+        out = out.withColumn(f"novel_sites_{t}", text(new)).withColumn(f"n_novel_{t}", F.size(new)).withColumn(f"any_novel_{t}", F.size(new) > 0)
+    for c in [known, *predicted.values()]:
+        out = out.withColumn(c, text(empty(c)))
+    return out.drop(*drop)
+
+
+def write_cleaned_screen(rows: DataFrame, path: str, *args, **options) -> None:
+    """cleaned_screen() as tab-separated text with a header."""
+    cleaned_screen(rows, *args, **options).write.csv(path, header=True, sep="\t")

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from chainloom.plans import reference_queries
@@ -13,7 +14,7 @@ SQL = reference_queries.oracle_sql()
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 6) if isinstance(v, float) else v.tolist() if hasattr(v, "tolist") else v
+    plain = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else round(v, 6) if isinstance(v, float) else v.tolist() if hasattr(v, "tolist") else v
     return sorted((tuple(plain(x) for x in r) for r in frame.itertuples(index=False)), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
