@@ -17,9 +17,10 @@ def prefix_sums(cells: DataFrame, group: list[str], order: str, sums: list[str],
     quantiles; totals of buckets give offsets, and windows run inside a bucket. Null groups are a group. No cells give no rows.
     """
     b, cuts = fresh(cells, n=2, prefix="_bucket")
-    cells = cells.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
+    cells = written(cells.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))), "cells")
     x = F.col(order).cast("double")
     totals = cells.groupBy(*group).agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], 1000).alias(cuts), *[F.sum(s).alias(f"all_{s}") for s in sums])
+    totals = written(totals, "cuts")  # read twice below: approximate quantiles worked out twice may differ, and buckets with them
     on = lambda names: [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in names] or F.lit(True)
     placed = cells.alias("a").join(totals.alias("b"), on(group)).select("a.*", *[f"b.all_{s}" for s in sums], F.size(F.filter(F.col(f"b.{cuts}"), lambda c: c <= x)).alias(b))
     first = F.desc if descending else F.asc
@@ -69,12 +70,21 @@ def row_places(rows: DataFrame, group: list[str], value: str, tie: str, descendi
 
 
 def exact_quantiles(values: DataFrame, group: list[str], value: str, n: str, qs: list[float]) -> DataFrame:
-    """(group, q0, q1, ...): quantiles between neighbours by straight lines, of values that occur n times each."""
-    run = prefix_sums(values, group, value, [n])
-    up, whole, v = F.col(f"up_{n}"), F.col(f"all_{n}"), F.col(value).cast("double")
-    sides = []
-    for i, q in enumerate(qs):
-        at = F.lit(float(q)) * (whole - 1)
-        sides += [F.min(F.when(up > F.floor(at), v)).alias(f"lo{i}"), F.min(F.when(up > F.ceil(at), v)).alias(f"hi{i}"), F.max(at - F.floor(at)).alias(f"part{i}")]
-    picked = run.groupBy(*group).agg(*sides)
-    return picked.select(*group, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(qs))])
+    """(group, q0, q1, ...): quantiles between neighbours by straight lines, of values that occur n times each.
+
+    A value covers the places from up to down of its running counts; wanted places are joined to them by blocks of places.
+    """
+    run = prefix_sums(values, group, value, [n]).select(*group, F.col(value).cast("double").alias("v"), (F.col(f"up_{n}") - F.col(n)).alias("from"), (F.col(f"up_{n}") - 1).alias("to"), F.col(f"all_{n}").alias("whole"))
+    run = written(run, "places")
+    size = F.greatest(F.floor(F.col("whole") / len(qs)), F.lit(1))
+    rows = run.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor(F.col("to") / size))))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("whole") - 1)).alias("at")) for i, q in enumerate(qs)]))
+    wanted = run.select(*group, "whole").distinct().withColumn("w", at).select(*group, "whole", "w.i", "w.at")
+    ends = F.explode(F.array(F.floor("at"), F.ceil("at")))
+    wanted = wanted.withColumn("place", ends).withColumn("block", F.floor(F.col("place") / size))
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col("a.block") == F.col("b.block"), F.col("b.place").between(F.col("a.from"), F.col("a.to"))]
+    found = wanted.alias("b").join(rows.alias("a"), on).select(*[F.col(f"b.{g}").alias(g) for g in group], "b.i", "b.at", "a.v")
+    line = F.min("v") + (F.max("v") - F.min("v")) * F.max(F.col("at") - F.floor("at"))
+    each = found.groupBy(*group, "i").agg(line.alias("q"))
+    q = each.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("m"))
+    return q.select(*group, *[F.col("m")[i].alias(f"q{i}") for i in range(len(qs))])

@@ -68,25 +68,24 @@ def poisson_edges() -> list[int]:
 
 
 def poisson_count(u: Column) -> Column:
-    """Poisson(1) count of a uniform number of 32 bits."""
-    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in poisson_edges()]), lambda e: e <= u))
-
-
-def draw_counts(unit: list[Column], n_boot: int, seed: int = 3) -> Column:
-    """array<int>: how often a unit (a residue, or a chain with all of its) is drawn in each of n_boot draws."""
-    hashes = F.transform(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)), lambda b: digest(seed, *unit, b))
-    each = lambda h: F.transform(F.array(*[F.lit(1 + 8 * i) for i in range(DRAWS_PER_HASH)]), lambda at: poisson_count(F.conv(F.substr(h, at, F.lit(8)), 16, 10).cast("long")))
-    return F.slice(F.flatten(F.transform(hashes, each)), 1, n_boot)
+    """Poisson(1) count of a uniform number of 32 bits, as eight hex digits: their order is that of the numbers."""
+    edges = [f"{e:08x}" for e in poisson_edges() if e < 1 << 32]
+    out = F.when(u < edges[0], 0)
+    for k, edge in enumerate(edges[1:], 1):
+        out = out.when(u < edge, k)
+    return out.otherwise(len(edges))
 
 
 def bootstrap_sums(rows: DataFrame, group: list[str], unit: list[str], by: list[str], weight: Column, n_boot: int, seed: int = 3) -> DataFrame:
     """(group, boot, by, weight): for each draw, the sums of weight times how often the unit was drawn, where that is not 0.
 
-    Rows are added up by unit first; each unit then meets its array of counts, and sums are partial before any shuffle, so what is sent grows with the
-    groups and draws, not with the units. Null units are one unit.
+    A unit is a residue, or a chain with all of its. Rows are added up by unit first; each sum then meets its draws, four to a hash, and draws are added up before any
+    shuffle, so what is sent grows with the groups and draws, not with the units. Null units are one unit.
     """
     cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias("_w"))
-    drawn = cells.select(*group, *by, "_w", F.posexplode(draw_counts([F.col(c) for c in unit], n_boot, seed)).alias("boot", "times")).where("times > 0")
+    blocks = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)))).withColumn("_h", digest(seed, *[F.col(c) for c in unit], F.col("_b")))
+    draw = lambda i: F.struct((F.col("_b") * DRAWS_PER_HASH + i).alias("boot"), F.substring("_h", 1 + 8 * i, 8).alias("u"))
+    drawn = blocks.select(*group, *by, "_w", F.inline(F.array(*map(draw, range(DRAWS_PER_HASH))))).withColumn("times", poisson_count(F.col("u"))).where((F.col("times") > 0) & (F.col("boot") < n_boot))
     return drawn.groupBy(*group, "boot", *by).agg(F.sum(F.col("_w") * F.col("times")).alias("weight"))
 
 

@@ -90,11 +90,14 @@ def operating_points(sweep: DataFrame, avg: str = "avg_pred", tail: str = "p95_p
 
 
 def threshold_grid(rows: DataFrame, score: str, n: int, anchors: list[float]) -> DataFrame:
-    """(tau): n quantiles of scores cut to [0, 1], with 0, 1 and the anchors, each once. Null and NaN scores are left out."""
+    """(tau): n quantiles of scores cut to [0, 1], with 0, 1 and the anchors, each once, rounded to nine digits. Null and NaN scores are left out.
+
+    Without rounding, the last bits of a quantile would decide whether a score equal to it passes.
+    """
     seen = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
     q = exact_quantiles(seen, [], "s", "n", [k / (n - 1) for k in range(n)])
     inside = [F.least(F.greatest(F.col(f"q{k}"), F.lit(0.0)), F.lit(1.0)) for k in range(n)]
-    return q.select(F.explode(F.array_distinct(F.array_compact(F.array(*inside, *[F.lit(float(a)) for a in [0, 1, *anchors]])))).alias("tau"))
+    return q.select(F.explode(F.array_distinct(F.transform(F.array_compact(F.array(*inside, *[F.lit(float(a)) for a in [0, 1, *anchors]])), lambda x: F.round(x, 9)))).alias("tau"))
 
 
 def interpolated_mean(curves: DataFrame, curve: str, x: str, y: str, grid: int = 501) -> DataFrame:

@@ -169,7 +169,7 @@ def _swept_on_grid(spark, sf_dir) -> DataFrame:
     return sweep.threshold_sweep(r, taus)
 
 
-_GRID = f"""WITH {RESIDUES}, r AS (SELECT chain, label, weight AS w, score / 110000.0 AS s FROM res), t AS (SELECT DISTINCT tau FROM (SELECT unnest(list_concat(quantile_cont(least(greatest(s, 0), 1), {[k / 399 for k in range(400)]}), [0, 1, 0.35, 0.50, 0.65, 0.26, 0.0612])) AS tau FROM r)),
+_GRID = f"""WITH {RESIDUES}, r AS (SELECT chain, label, weight AS w, score / 110000.0 AS s FROM res), t AS (SELECT DISTINCT round(tau, 9) AS tau FROM (SELECT unnest(list_concat(quantile_cont(least(greatest(s, 0), 1), {[k / 399 for k in range(400)]}), [0, 1, 0.35, 0.50, 0.65, 0.26, 0.0612])) AS tau FROM r)),
 l AS (SELECT chain, w, list(s) AS ss, list(label) AS ys FROM r GROUP BY chain, w), per AS (SELECT chain, w, tau, len(list_filter(list_zip(ss, ys), lambda z: z[1] >= tau AND z[2] = 1)) AS tp, len(list_filter(list_zip(ss, ys), lambda z: z[1] >= tau AND z[2] = 0)) AS fp, list_sum(ys) AS npos FROM l, t),
 k AS (SELECT tau, kind, w, CASE kind WHEN 'tp' THEN tp WHEN 'fp' THEN fp ELSE tp + fp END AS c FROM per, (SELECT unnest(['fp', 'pred']) AS kind)), g AS (SELECT tau, kind, c, sum(w) AS w FROM k GROUP BY ALL), o AS (SELECT *, sum(w) OVER (PARTITION BY tau, kind ORDER BY c) AS cw, sum(w) OVER (PARTITION BY tau, kind) AS tw FROM g),
 q AS (SELECT tau, kind, min(c) FILTER (cw >= 0.95 * tw - 1e-12)::DOUBLE AS p95 FROM o GROUP BY ALL),
