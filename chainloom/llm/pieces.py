@@ -14,7 +14,7 @@ SPACE = "▁"
 _CUT = "\x00"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Bytes of segments and their values that a worker keeps; it starts anew beyond this, so memory is bounded.
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry takes besides its text and value.
 ENTRY_BYTES = 200
 
