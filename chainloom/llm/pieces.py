@@ -14,7 +14,7 @@ SPACE = "▁"
 _CUT = "\x00"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Bytes of segments and their values that a worker keeps; it starts anew beyond this, so memory is bounded.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 80 << 20
 #: What an entry takes besides its text and value.
 ENTRY_BYTES = 200
 
@@ -65,24 +65,27 @@ def segments(text: str, cuttable: bool = True) -> list[str]:
 class Cache(dict):
     """Segment -> what `make` (a list of new segments -> their values) gives, with bounded size.
 
-    What one call wants is held in any case: that is a slice of texts, or one text where it is longer.
+    When it is full it becomes the older half, and what is wanted again comes back from there; the older half before it goes. So frequent segments
+    stay. What one call wants is held in any case: that is a slice of texts, or one text where it is longer.
     """
 
     def __init__(self, make, most: int = CACHE_BYTES):
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
     def fill(self, wanted: Iterable[str]) -> None:
         wanted = set(wanted)
-        new = [s for s in wanted if s not in self]
-        if not new:
+        again = {s: self.older[s] for s in wanted if s not in self and s in self.older}
+        new = [s for s in wanted if s not in self and s not in again]
+        if not new and not again:
             return
-        made = self.make(new)
         size = lambda some: sum(ENTRY_BYTES + 2 * len(s) + memoryview(v).nbytes for s, v in some)
-        added = size(zip(new, made, strict=True))
-        if self.held + added > self.most:
+        again.update(zip(new, self.make(new) if new else [], strict=True))
+        added = size(again.items())
+        if self.held + added > self.most // 2:
             kept = {s: self[s] for s in wanted if s in self}
+            self.older = dict(self)
             self.clear()
             self.update(kept)
             self.held = size(kept.items())
-        self.update(zip(new, made, strict=True))
+        self.update(again)
         self.held += added
