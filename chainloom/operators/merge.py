@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +61,21 @@ def fold_overlap(a: DataFrame, b: DataFrame, key: str, fold: str) -> DataFrame:
 
 
 def best_schedule(overlap: DataFrame, n: int = 5) -> DataFrame:
-    """(perm, leak, aligned): the order of b's folds that leaves the least overlap outside the diagonal; ties go to the first order."""
-    spark = overlap.sparkSession
-    perms = spark.createDataFrame([(",".join(map(str, p)), i, j) for p in permutations(range(n)) for i, j in enumerate(p)], "perm string, fold_a int, fold_b int")
-    aligned = F.broadcast(perms).join(overlap.select(F.col("fold_a").cast("int").alias("fold_a"), F.col("fold_b").cast("int").alias("fold_b"), "n"), ["fold_a", "fold_b"], "left").groupBy("perm").agg(F.sum(F.coalesce("n", F.lit(0))).alias("aligned"))
-    total = overlap.agg(F.sum("n").alias("total"))
-    return aligned.crossJoin(F.broadcast(total)).select("perm", (F.col("total") - F.col("aligned")).alias("leak"), "aligned").orderBy("leak", "perm").limit(1)
+    """(perm, leak, aligned): the order of b's folds that leaves the least overlap outside the diagonal; ties go to the first order.
+
+    Folds of a are placed one after the other; of all orders of the same set of b's folds only the best goes on, so there are at most 2^n rows, not n!.
+    """
+    cells = overlap.select(F.col("fold_a").cast("int").alias("a"), F.col("fold_b").cast("int").alias("b"), F.col("n").cast("long").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    inside = F.col("a").between(0, n - 1) & F.col("b").between(0, n - 1)
+    cell = F.when(inside, F.struct((F.col("a") * n + F.col("b")).alias("key"), F.col("n").alias("value")))
+    start = cells.agg(F.map_from_entries(F.collect_list(cell)).alias("cells"), F.sum("n").alias("total"))
+    s = start.select("cells", "total", F.lit(0).cast("long").alias("cost"), F.array().cast("array<int>").alias("perm"))
+    for a in range(n):
+        free = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: ~F.array_contains("perm", b))
+        s = s.select("cells", "total", "cost", "perm", F.explode(free).alias("b"))
+        s = s.select("cells", "total", (F.col("cost") - F.coalesce(F.col("cells")[F.lit(a * n) + F.col("b")], F.lit(0))).alias("cost"), F.concat("perm", F.array("b")).alias("perm"))
+        s = s.groupBy(F.array_sort("perm").alias("folds")).agg(F.min(F.struct("cost", "perm")).alias("best"), F.first("cells").alias("cells"), F.first("total").alias("total")).select("cells", "total", "best.*")
+    return s.select(F.array_join("perm", ",").alias("perm"), (F.col("total") + F.col("cost")).alias("leak"), (-F.col("cost")).alias("aligned"))
 
 
 def label_diff(before: DataFrame, after: DataFrame, chain: str, pos: str, label: str) -> DataFrame:

@@ -3,62 +3,123 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import fresh
 from .audit import top_per_group
 
+#: Score of what no alignment reaches, and rows of aligned positions in a batch.
+LOWEST, ROWS_OUT = -1e30, 50_000
 
-def aligned_positions(q: str, t: str, match: float = 2.0, mismatch: float = -1.0, gap: float = -2.0, local: bool = False) -> list[tuple[int, int]]:
-    """0-based (q, t) pairs of an optimal alignment with linear gaps; among equal ones diagonal, then up, then left.
 
-    Rows of the table are filled by a running maximum, so each costs a few vector operations.
+def alignment(q: str, t: str, match: float = 2.0, mismatch: float = -1.0, gap: float = -2.0, local: bool = False, extend: float | None = None, matrix: dict[str, float] | None = None, other: float = 0.0) -> tuple[float, list[tuple[int, int]]]:
+    """Score and 0-based (q, t) pairs of an optimal alignment; among equal ones diagonal, then up, then left. An empty sequence: 0 and no pairs.
+
+    The first letter of a gap costs `gap`, each further one `extend` (not worse than `gap`, which it is if None). `matrix` scores pairs of letters ("AB",
+    in either order) in place of match and mismatch, `other` those it lacks. Rows are filled by running maxima. Every sqrt(n)-th row is kept, and
+    the rows between are worked out again on the way back: memory grows with m * sqrt(n).
     """
     n, m = len(q), len(t)
     if not n or not m:
-        return []
-    a, b = np.frombuffer(q.encode("utf-32-le"), dtype="<u4"), np.frombuffer(t.encode("utf-32-le"), dtype="<u4")
-    step = gap * np.arange(m + 1)
-    h = np.zeros((n + 1, m + 1))
+        return 0.0, []
+    extend = gap if extend is None else extend
+    if extend < gap:
+        raise ValueError("extend must not be worse than gap")
+    pair = (lambda c, k: match if c == k else mismatch) if matrix is None else (lambda c, k: matrix.get(c + k, matrix.get(k + c, other)))
+    kinds = sorted(set(t))
+    index = {c: i for i, c in enumerate(kinds)}
+    places, ramp, floor = np.array([index[c] for c in t]), extend * np.arange(m + 1), 0.0 if local else LOWEST
+    against = lru_cache(64)(lambda c: np.array([pair(c, k) for k in kinds], dtype=float)[places])
+
+    def fill(h: np.ndarray, f: np.ndarray, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = np.maximum(h + gap, f + extend)
+        best = np.maximum(f, floor)
+        best[1:] = np.maximum(best[1:], h[:-1] + against(c))
+        e = np.full(m + 1, LOWEST)
+        e[1:] = np.maximum.accumulate(best[:-1] - ramp[:-1]) + (gap - extend) + ramp[1:]
+        return np.maximum(best, e), f, e
+
+    h, f = np.zeros(m + 1), np.full(m + 1, LOWEST)
     if not local:
-        h[0], h[:, 0] = step, gap * np.arange(n + 1)
-    floor = 0.0 if local else -np.inf
-    for i in range(1, n + 1):
-        diag = h[i - 1, :-1] + np.where(a[i - 1] == b, match, mismatch)
-        best = np.empty(m + 1)
-        best[0] = h[i, 0]
-        best[1:] = np.maximum(np.maximum(diag, h[i - 1, 1:] + gap), floor)
-        h[i] = np.maximum(np.maximum.accumulate(best - step) + step, floor)
-        if not local:
-            h[i, 0] = gap * i
-    i, j = np.unravel_index(h.argmax(), h.shape) if local else (n, m)
-    out = []
-    while i > 0 and j > 0 and not (local and h[i, j] <= 0):
-        if abs(h[i, j] - h[i - 1, j - 1] - (match if a[i - 1] == b[j - 1] else mismatch)) < 1e-9:
-            i, j = i - 1, j - 1
-            out.append((int(i), int(j)))
-        elif abs(h[i, j] - h[i - 1, j] - gap) < 1e-9:
+        h[1:] = gap + ramp[:-1]
+    size, kept, score, end = isqrt(n), [], 0.0, (0, 0)
+    for i in range(n):
+        if i % size == 0:
+            kept.append((h, f, f))
+        h, f, _ = fill(h, f, q[i])
+        j = int(h.argmax())
+        if local and h[j] > score:
+            score, end = float(h[j]), (i + 1, j)
+    if not local:
+        score, end = float(h[m]), (n, m)
+    (i, j), block, state, out, near = end, -1, "pair", [], lambda x, y: abs(x - y) < 1e-9
+    while i > 0 and j > 0:
+        if (i - 1) // size != block:
+            block = (i - 1) // size
+            rows = [kept[block]]
+            for c in q[block * size : i]:
+                rows.append(fill(*rows[-1][:2], c))
+        up, (h, f, e) = rows[i - 1 - block * size][0], rows[i - block * size]
+        if state == "up":
+            state = "pair" if near(f[j], up[j] + gap) else "up"
             i -= 1
-        else:
+        elif state == "left":
+            state = "pair" if near(e[j], h[j - 1] + gap) else "left"
             j -= 1
-    return out[::-1]
+        elif local and h[j] <= 0:
+            break
+        elif near(h[j], up[j - 1] + pair(q[i - 1], t[j - 1])):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        else:
+            state = "up" if near(h[j], f[j]) else "left"
+    return score, out[::-1]
+
+
+def aligned_positions(q: str, t: str, *args, **options) -> list[tuple[int, int]]:
+    """The pairs of alignment()."""
+    return alignment(q, t, *args, **options)[1]
 
 
 def align_pairs(pairs: DataFrame, q: str, t: str, q_seq: str, t_seq: str, **options) -> DataFrame:
-    """(q, t, qpos, tpos, same): rows of aligned positions of each pair; null sequences align nowhere."""
+    """(q, t, qpos, tpos, same): rows of aligned positions of each pair, with the options of alignment(); null and empty sequences align nowhere."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = ["q", "t", "qpos", "tpos", "same"], []
         for f in frames:
-            rows = [(a, b, i, j, x[i] == y[j]) for a, b, x, y in f.itertuples(index=False) if x and y for i, j in aligned_positions(x, y, **options)]
-            yield pd.DataFrame(rows, columns=["q", "t", "qpos", "tpos", "same"])
+            for a, b, x, y in f.itertuples(index=False):
+                if x and y:
+                    rows += [(a, b, i, j, x[i] == y[j]) for i, j in aligned_positions(x, y, **options)]
+                if len(rows) >= ROWS_OUT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     kinds = dict(pairs.dtypes)
     return pairs.select(q, t, q_seq, t_seq).mapInPandas(run, f"q {kinds[q]}, t {kinds[t]}, qpos int, tpos int, same boolean")
 
 
+def align_scores(pairs: DataFrame, q: str, t: str, q_seq: str, t_seq: str, **options) -> DataFrame:
+    """(q, t, score, aligned, same) of each pair, with the options of alignment(): its score, aligned positions, and those of one letter; 0 of null and empty sequences."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for a, b, x, y in f.itertuples(index=False):
+                score, at = alignment(x or "", y or "", **options)
+                rows.append((a, b, score, len(at), sum(x[i] == y[j] for i, j in at)))
+            yield pd.DataFrame(rows, columns=["q", "t", "score", "aligned", "same"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(q, t, q_seq, t_seq).mapInPandas(run, f"q {kinds[q]}, t {kinds[t]}, score double, aligned int, same int")
+
+
 def kmer_candidates(queries: DataFrame, targets: DataFrame, key: str, seq: str, k: int = 4, least: int = 3, common: int = 10_000) -> DataFrame:
     """(q, t, shared): pairs that share `least` distinct k-mers or more, by an equi-join on k-mers.
 
@@ -82,17 +143,20 @@ def best_template(hits: DataFrame, query: str, target: str, identity: str, least
     return top_hits(hits, query, [F.desc(identity), F.asc(target)], 1, (F.col(identity) >= least) & ~F.coalesce(own, F.lit(False)) & (F.col(query) != F.col(target)))
 
 
-def vote_weights(hits: DataFrame, query: str, score: str, cutoff: float = 60.0, denom: float = 2.0, pctl: float = 0.95, gamma: float = 1.0, top: int = 32, tie: str = "t") -> DataFrame:
-    """hits of each query with their vote `w`: ((score - thr) / den)^gamma above thr = min(max / denom, percentile, max - eps).
+def vote_weights(hits: DataFrame, query: str, score: str, cutoff: float = 60.0, denom: float = 2.0, pctl: float = 0.95, gamma: float = 1.0, top: int = 32, tie: str = "t", template: str | None = None, exponent: float = 0.0, aligned: str | None = None, least: int = 9) -> DataFrame:
+    """hits of each query with their vote `w`: ((score - thr) / den)^gamma * template^exponent above thr = min(max / denom, percentile, max - eps).
 
-    The percentile is over all hits at or above the cutoff, of which the first `top` vote.
+    The percentile, and den = max(95th percentile - thr, 1), are over all hits. Of the hits at or above the cutoff the first `top` vote, and of these
+    those with `least` aligned positions or more, if `aligned` names such a column. Hits with a null score have no vote.
     """
-    good = hits.where(F.col(score) >= cutoff)
-    stats = hits.groupBy(query).agg(F.max(score).alias("_max"), F.percentile(score, F.lit(pctl)).alias("_p"))
-    thr = F.least(F.col("_max") / denom, F.col("_p"), F.col("_max") - 1e-6)
-    j = good.join(stats, query).withColumn("_thr", thr).where(F.col(score) > F.col("_thr"))
-    w = F.pow(F.greatest(F.lit(0.0), (F.col(score) - F.col("_thr")) / F.greatest(F.col("_p") - F.col("_thr"), F.lit(1.0))), F.lit(gamma))
-    return top_hits(j.withColumn("w", w), query, [F.desc(score), F.col(tie)], top).drop("_max", "_p", "_thr", "rank")
+    most, edge, high, thr = fresh(hits, n=4)
+    stats = hits.groupBy(query).agg(F.max(score).alias(most), F.percentile(score, F.lit(pctl)).alias(edge), F.percentile(score, F.lit(0.95)).alias(high))
+    above = hits.where(F.col(score) >= cutoff).join(stats, query).withColumn(thr, F.least(F.col(most) / denom, F.col(edge), F.col(most) - 1e-6)).where(F.col(score) > F.col(thr))
+    w = F.pow(F.greatest(F.lit(0.0), (F.col(score) - F.col(thr)) / F.greatest(F.col(high) - F.col(thr), F.lit(1.0))), F.lit(gamma))
+    if template:
+        w = w * F.pow(F.col(template), F.lit(exponent))
+    votes = top_hits(above.withColumn("w", w), query, [F.desc(score), F.col(tie)], top).drop(most, edge, high, thr, "rank")
+    return votes.where(F.col(aligned) >= least) if aligned else votes
 
 
 def weighted_vote(votes: DataFrame, key: list[str], w: str, label: str) -> DataFrame:
@@ -117,3 +181,16 @@ def average_propagation(votes: DataFrame, base: DataFrame, key: list[str], label
     """(key, label): base labels, or 1 where the mean label of the hits reaches tau."""
     m = votes.groupBy(*key).agg(F.avg(label).alias("_m"))
     return base.join(m, key, "left").select(*key, F.greatest(F.col(label), F.coalesce((F.col("_m") >= tau).cast("int"), F.lit(0))).alias(label))
+
+
+def cluster_propagation(votes: DataFrame, base: DataFrame, target: str, pos: str, hit: str, label: str, score: str, same: str, cutoff: float, tau: float) -> DataFrame:
+    """(target, pos, label): base labels, or 1 where the labels of same-letter votes, summed over a target's hits above the cutoff and divided by the number of these hits, reach tau.
+
+    votes has a row for each aligned position of a hit. Null scores are below any cutoff; targets without hits keep their labels.
+    """
+    good = votes.where(F.col(score) > cutoff)
+    total, n = fresh(base, n=2)
+    at = good.where(same).groupBy(target, pos).agg(F.sum(label).alias(total))
+    hits = good.groupBy(target).agg(F.count_distinct(hit).alias(n))
+    reached = F.coalesce(F.col(total) / F.col(n) >= tau, F.lit(False)).cast("int")
+    return base.join(at, [target, pos], "left").join(hits, target, "left").select(target, pos, F.greatest(F.col(label), reached).alias(label))

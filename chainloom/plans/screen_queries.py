@@ -106,6 +106,30 @@ def alignment_transfer(spark, sf_dir):
     return transfer.transfer_labels(pairs, labels, "same").where("label = 1").groupBy("q").agg(F.count("*").alias("n_transferred"))
 
 
+@query(f"""WITH {RESIDUES}, {CHAINS}, r AS (SELECT res.chain, pos, label, aa, parent AS base, price FROM res JOIN chains ON chains.chain = res.chain), ref AS (SELECT base, min(chain) AS ref FROM r GROUP BY base), b AS (SELECT r.* FROM r JOIN ref ON r.chain = ref.ref),
+v AS (SELECT b.chain AS target, b.pos, h.chain AS hit, h.label, h.aa = b.aa AS same FROM b JOIN r h ON h.base = b.base AND h.pos = b.pos AND h.chain <> b.chain WHERE h.price > 100000), n AS (SELECT target, count(DISTINCT hit) AS n FROM v GROUP BY target), s AS (SELECT target, pos, sum(label) AS s FROM v WHERE same GROUP BY ALL)
+SELECT b.chain AS target, b.pos, CASE WHEN label = 1 OR coalesce(s / n, 0) >= 0.05 THEN 1 ELSE 0 END AS label FROM b LEFT JOIN s ON s.target = b.chain AND s.pos = b.pos LEFT JOIN n ON n.target = b.chain""")
+def cluster_propagation(spark, sf_dir):
+    """Labels of a customer's other orders, line by line, averaged onto the first one."""
+    r = residues(spark, sf_dir).select("chain", "pos", "label", "aa").join(chains(spark, sf_dir).select("chain", F.col("parent").alias("base"), "price"), "chain")
+    ref = r.groupBy("base").agg(F.min("chain").alias("target"))
+    base = r.join(ref, "base").where("chain = target").select("base", "target", "pos", "label", F.col("aa").alias("target_aa"))
+    hits = r.select("base", F.col("chain").alias("hit"), "pos", "label", "aa", "price")
+    votes = hits.join(base.drop("label"), ["base", "pos"]).where("hit <> target").withColumn("same", F.col("aa") == F.col("target_aa"))
+    return transfer.cluster_propagation(votes, base, "target", "pos", "hit", "label", "price", "same", 100000.0, 0.05)
+
+
+@query()
+def template_hits(spark, sf_dir):
+    """The most alike other name of every part whose id is divisible by 20: k-mer candidates among all parts, local alignment with affine gaps."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"))
+    found = transfer.kmer_candidates(p.where("k % 20 = 0"), p, "k", "s", 4, 6, 500).select("q", "t")
+    pairs = found.join(p.select(F.col("k").alias("q"), F.col("s").alias("q_seq")), "q").join(p.select(F.col("k").alias("t"), F.col("s").alias("t_seq")), "t")
+    hits = transfer.align_scores(pairs, "q", "t", "q_seq", "t_seq", match=2.0, mismatch=-1.0, gap=-8.0, extend=-1.0, local=True).withColumn("identity", F.col("same") / F.col("aligned"))
+    best = transfer.best_template(hits.where("aligned >= 9"), "q", "t", "identity", 0.5, F.lit(False))
+    return rounded(best.select("q", "t", "score", "aligned", "same", "identity"))
+
+
 @query("""WITH g AS (SELECT DISTINCT p_partkey AS k, substr(s, i, 4) AS gram FROM (SELECT p_partkey, p_name AS s, unnest(range(1, greatest(len(p_name) - 3, 0) + 1)) AS i FROM part)), q AS (SELECT * FROM g WHERE k % 20 = 0)
 SELECT q.k AS q, g.k AS t, count(*) AS shared FROM q JOIN g USING (gram) WHERE q.k <> g.k GROUP BY ALL HAVING count(*) >= 6""")
 def kmer_candidates(spark, sf_dir):
