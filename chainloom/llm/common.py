@@ -44,6 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_B
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

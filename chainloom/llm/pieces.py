@@ -89,3 +89,8 @@ class Cache(dict):
             self.held = size(kept.items())
         self.update(again)
         self.held += added
+
+    def drop(self) -> None:
+        """Forget everything: at the end of a task, since a worker waits for other tasks with what it holds."""
+        self.clear()
+        self.older, self.held = {}, 0

@@ -24,6 +24,9 @@ from .trie import DoubleArray, alone, by_offset, lattice, like_lengths, stretche
 
 UNKNOWN_PENALTY = np.float32(10)
 
+#: Bytes of segments and their ids that a task keeps.
+TASK_CACHE_BYTES = 32 << 20
+
 
 class Unigram:
     """Encoder and decoder over a vocabulary; made once per worker."""
@@ -48,7 +51,7 @@ class Unigram:
             self.bytes_of[i] = bytes([b])
         self.is_byte = np.zeros(pieces.size, dtype=bool)
         self.is_byte[self.byte_ids] = True
-        self.cache = Cache(self.encode_segments)
+        self.cache = Cache(self.encode_segments, TASK_CACHE_BYTES)
 
     def encode_segments(self, texts: list[str]) -> list[bytes]:
         """int32 ids of each segment's best path, as bytes."""
@@ -171,6 +174,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 [b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(bytes_up_to[offsets[1:]] - bytes_up_to[offsets[:-1]]), pa.array(back, pa.bool_())],
                 ["doc_id", "ids", "n_tokens", "n_fallback", "round_trip"],
             )
+        m.cache.drop()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_fallback long, round_trip boolean")
 
