@@ -133,6 +133,26 @@ def kmer_candidates(queries: DataFrame, targets: DataFrame, key: str, seq: str,
     return qs.join(ts, ["gram", "salt"]).where("q <> t").groupBy("q", "t").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+#: Rows of a block of queries and of a block of targets.
+QUERY_BLOCK, TARGET_BLOCK = 1_000, 10_000
+
+
+def against_all(queries: DataFrame, targets: DataFrame, query: str, target: str, query_rows: int = QUERY_BLOCK, target_rows: int = TARGET_BLOCK) -> DataFrame:
+    """Every query with every target, all columns of both; the two tables must have no column in common.
+
+    Both are dealt out to blocks by a hash of their key, as many as their counted rows ask for, and blocks meet in an equi-join on the pair of
+    block numbers: a task holds some blocks, whatever the size of either side. Null keys have a block as well; repeated rows stay. An empty
+    table gives no rows.
+    """
+    qb, tb = fresh(queries, targets, n=2)
+    n_q, n_t = (-(-d.count() // rows) or 1 for d, rows in ((queries, query_rows), (targets, target_rows)))
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn(qb, number(query, n_q)).withColumn(tb, every(n_t))
+    right = targets.withColumn(tb, number(target, n_t)).withColumn(qb, every(n_q))
+    return left.join(right, [qb, tb]).drop(qb, tb)
+
+
 def top_hits(hits: DataFrame, query: str, order: list[Column], n: int, keep: Column | None = None) -> DataFrame:
     """The first n hits of each query that `keep` holds for, with their `rank`; hits must not have such a column."""
     return top_per_group(hits if keep is None else hits.where(keep), [query], order, n)

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from chainloom.functions import labels as L
-from chainloom.operators import audit, components, folds, lookup, prefix
+from chainloom.operators import audit, components, folds, lookup, prefix, transfer
 from chainloom.plans.materialize import fresh, spread_join
 from chainloom.sources import readers
 from chainloom.streaming import worklist
@@ -87,3 +87,14 @@ def test_readers_without_a_query(spark, tmp_path):
     assert readers.chain_scores(d).count() == 3 and readers.chain_scores(d, "drop").count() == 2
     one = spark.range(1)
     assert [one.select(L.count_sites(F.lit(c))).first()[0] for c in ("[('0','A','66'),('0','A','5')]", "5, 7, 9", "none here; x", "", None)] == [2, 3, 2, 0, 0]
+
+
+def test_queries_meet_all_targets_in_blocks(spark):
+    q = spark.createDataFrame([(i,) for i in [*range(25), 3, None]], "q int")
+    t = spark.createDataFrame([*[(i, i % 4) for i in [*range(40), 7]], (None, 1)], "t int, label int")
+    got = transfer.against_all(q, t, "q", "t", query_rows=4, target_rows=9)
+    count = lambda d: sorted(map(str, d.collect()))
+    assert count(got) == count(q.crossJoin(t))
+    assert got.columns == ["q", "t", "label"]
+    assert transfer.against_all(q, t.limit(0), "q", "t").count() == 0
+    assert transfer.against_all(q.limit(0), t, "q", "t").count() == 0
