@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_lists, language_id, media, mixing, quality_trees, secrets, simhash, token_counts, unigram
+from ..plans.materialize import shared_dir
+from . import chat, decision_lists, language_id, media, mixing, quality_trees, secrets, sharding, simhash, token_counts, unigram
 from .common import documents, ship_code
 
 POWER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 SWEEPS, SEED = 6, 17
+SHARDS = 24
 
 
 def model_path() -> str:
@@ -95,6 +98,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(messages))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document by a slot map that is edited to bytes, and its place within the shard. Law: sizes of shards are near equal."""
+    rows = sharding.sharded(documents(spark, sf_dir), SHARDS, f"{shared_dir(spark)}/chainloom-slot-map-{uuid.uuid4().hex}")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the documents after all stages."""
     import corpus_pipeline
@@ -103,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, pipeline)
+    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, op12_sharding, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -137,5 +146,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(block, '' ORDER BY turn,
 sum(chars)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, sum(tokens)::BIGINT AS n_tokens FROM e GROUP BY conv_id"""
 
 
+#: CRC-32 of a text in SQL: its table is worked out bit by bit, then bytes are folded over it.
+_CRC_TABLE = """crc_bits(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS crcs FROM crc_bits WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Needs crc_table.crcs in reach."""
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _sharding_sql() -> str:
+    """The pass over slots as a recursion, one step a slot that holds records."""
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+    recs AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + {sharding.OVERHEAD} AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS key FROM documents, crc_table),
+    slots AS MATERIALIZED (SELECT key % {sharding.SLOTS} AS virtual_slot, sum(size)::BIGINT AS bytes, (key % {sharding.SLOTS} % {SHARDS})::INT AS shard, row_number() OVER (ORDER BY sum(size) DESC, key % {sharding.SLOTS}) AS step FROM recs GROUP BY key % {sharding.SLOTS}),
+    fold(step, loads, virtual_slot, shard) AS (SELECT 0, (SELECT list(coalesce(b, 0)::BIGINT ORDER BY s) FROM range({SHARDS}) r(s) LEFT JOIN (SELECT shard, sum(bytes) AS b FROM slots GROUP BY shard) ON s = shard), NULL::BIGINT, NULL::INT
+    UNION ALL SELECT step, CASE WHEN moves THEN list_transform(loads, lambda x, i: x + CASE WHEN i = light THEN bytes WHEN i = shard + 1 THEN -bytes ELSE 0 END) ELSE loads END, virtual_slot, CASE WHEN moves THEN light - 1 ELSE shard END::INT
+    FROM (SELECT s.step, loads, s.virtual_slot, s.bytes, s.shard, list_position(loads, list_min(loads)) AS light, loads[s.shard + 1] * {SHARDS} > list_sum(loads) AND list_min(loads) + s.bytes < loads[s.shard + 1] AS moves FROM fold JOIN slots s ON s.step = fold.step + 1))
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, key, doc_id NULLS FIRST, text_crc32) - 1)::BIGINT AS slot, NULL::INT AS grown_shard, virtual_slot
+    FROM recs JOIN fold ON key % {sharding.SLOTS} = virtual_slot"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
+    return {"op12_sharding": _sharding_sql(), "op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
