@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import shared_dir
-from . import chat, decision_lists, language_id, media, mixing, quality_trees, secrets, sharding, simhash, token_counts, unigram
+from . import chat, decision_lists, language_id, lexical, media, mixing, quality_trees, secrets, sharding, simhash, token_counts, unigram
 from .common import documents, ship_code
 
 POWER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -104,6 +104,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the documents after all stages."""
     import corpus_pipeline
@@ -112,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, op12_sharding, pipeline)
+    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, op12_sharding, op13_lexical_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -168,5 +173,14 @@ def _sharding_sql() -> str:
     FROM recs JOIN fold ON key % {sharding.SLOTS} = virtual_slot"""
 
 
+_TERMS_SQL = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+_LEXICAL_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents), q AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+dt AS MATERIALIZED (SELECT r, doc_id, {_TERMS_SQL} FROM d), qt AS MATERIALIZED (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, {_TERMS_SQL} FROM q) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT r, doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), len AS MATERIALIZED (SELECT r, count(*) AS n FROM dt GROUP BY r), whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM len),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, n_docs),
+hits AS (SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_all))))::BIGINT AS score FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN len USING (r), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM hits WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_sharding": _sharding_sql(), "op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
+    return {"op12_sharding": _sharding_sql(), "op13_lexical_search": _LEXICAL_SQL, "op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
