@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import shared_dir
-from . import chat, decision_lists, language_id, lexical, media, mixing, quality_trees, secrets, sharding, simhash, token_counts, unigram
+from . import chat, decision_lists, language_id, lexical, media, mixing, quality_trees, repair, secrets, sharding, simhash, token_counts, unigram
 from .common import documents, ship_code
 
 POWER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
@@ -98,6 +98,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(messages))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): conversation rows, some of them dropped, emptied, without their ends, repeated or given to the user, by a checksum of id and turn."""
+    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = (F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20).alias("kind")
+    some = rows.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    some = some.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"))
+    return some.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after damage, and the cheapest edits that mend its structure."""
+    ship_code(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    found = repair.digest(repair.edited(damaged(rows)))
+    every = rows.groupBy("conv_id").agg(F.lit(1).alias("there")).drop("there").withColumnRenamed("conv_id", "id")
+    zeros = {n: F.lit(0).cast("long") for n in ("gaps", *repair.FAULTS, "illegal", "cost")} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(F.col("id").alias("conv_id"), *[F.coalesce(n, zero).alias(n) for n, zero in zeros.items()])
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document by a slot map that is edited to bytes, and its place within the shard. Law: sizes of shards are near equal."""
     rows = sharding.sharded(documents(spark, sf_dir), SHARDS, f"{shared_dir(spark)}/chainloom-slot-map-{uuid.uuid4().hex}")
@@ -117,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, op12_sharding, op13_lexical_search, pipeline)
+    ops = (op1_sentencepiece, op2_language_id, op3_source_mixing, op4_simhash, op5_quality_rules, op6_token_counts, op7_secret_scans, op8_quality_classifier, op9_media_columns, op10_chat_formatting, op11_conversation_repair, op12_sharding, op13_lexical_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
