@@ -193,6 +193,36 @@ def _sharding_sql() -> str:
     FROM recs JOIN fold ON key % {sharding.SLOTS} = virtual_slot"""
 
 
+_FLAT = "[\\x20\\x09-\\x0D]"
+
+
+def _repair_sql() -> str:
+    """One step a row, for all conversations at once; of each state the cheapest edits so far, of equal ones the least letters. States: 0 nothing, 1 s, 2 u, 3 a."""
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+    r AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc_table),
+    d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM r WHERE kind <> 0)),
+    f AS MATERIALIZED (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?]{_FLAT}*\\z') THEN 'truncated' END AS fault FROM d),
+    ins(p, q, letters, cost, lines) AS (VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 5, ['user:']), (1, 2, 'I', 5, ['user:']), (3, 2, 'I', 5, ['user:']), (2, 3, 'I', 5, ['assistant:']),
+        (0, 3, 'II', 10, ['user:', 'assistant:']), (1, 3, 'II', 10, ['user:', 'assistant:']), (2, 2, 'II', 10, ['assistant:', 'user:']), (3, 3, 'II', 10, ['user:', 'assistant:'])),
+    ops(q, s, letter, cost, needs, role) AS (VALUES (0, 0, 'D', 2, NULL, NULL), (1, 1, 'D', 2, NULL, NULL), (2, 2, 'D', 2, NULL, NULL), (3, 3, 'D', 2, NULL, NULL), (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (3, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL),
+        (0, 2, 'R', 1, NULL, 'user'), (1, 2, 'R', 1, NULL, 'user'), (3, 2, 'R', 1, NULL, 'user'), (2, 3, 'R', 1, NULL, 'assistant')),
+    steps AS MATERIALIZED (SELECT p, s, ins.letters || letter AS letters, letter, ins.cost + ops.cost AS cost, lines, needs, role FROM ins JOIN ops USING (q)),
+    walk(conv_id, n, state, cost, audit, lines) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM f
+    UNION ALL SELECT conv_id, n, state, cost, audit, lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+        SELECT w.conv_id, f.n, t.s AS state, w.cost + t.cost + CASE WHEN f.fault = 'truncated' AND t.letter <> 'D' THEN 5 ELSE 0 END AS cost, w.audit || t.letters AS audit,
+        w.lines || t.lines || CASE WHEN t.letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(t.role, f.role) || ':' || f.text] END AS lines
+        FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1 JOIN steps t ON t.p = w.state WHERE (t.letter = 'D' OR f.fault IS NULL OR f.fault = 'truncated') AND (t.needs IS NULL OR t.needs = f.initial))) WHERE best = 1),
+    ends AS (SELECT w.conv_id, w.cost + i.cost AS cost, w.audit || i.letters AS audit, w.lines || i.lines AS lines FROM walk w JOIN (SELECT conv_id, max(n) AS n FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n JOIN ins i ON i.p = w.state WHERE i.q IN (0, 3)
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + i.cost, w.audit || i.letters) = 1),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+    sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id::BIGINT AS conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 _TERMS_SQL = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
 _LEXICAL_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents), q AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
 dt AS MATERIALIZED (SELECT r, doc_id, {_TERMS_SQL} FROM d), qt AS MATERIALIZED (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, {_TERMS_SQL} FROM q) GROUP BY ALL),
@@ -203,4 +233,4 @@ SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NU
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_sharding": _sharding_sql(), "op13_lexical_search": _LEXICAL_SQL, "op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
+    return {"op11_conversation_repair": _repair_sql(), "op12_sharding": _sharding_sql(), "op13_lexical_search": _LEXICAL_SQL, "op3_source_mixing": _mixing_sql(), "op10_chat_formatting": _CHAT_SQL}
