@@ -6,10 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Residue groups in the order in which the first match decides; anything else is 7.
-CHEMOTYPES = (("I", "L", "M", "V", "W", "F"), ("A", "G", "P"), ("Q", "N"), ("K", "R"), ("S",), ("T",), ("D", "E"))
+CHEMOTYPES = ("ILMVWF", "AGP", "QN", "KR", "S", "T", "DE")
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 # How ambiguous letters are read.
 AMBIGUOUS = {"U": "C", "O": "K", "B": "D", "Z": "E", "J": "L", "X": "A"}
+# Coarse classes of residues, and the weight of two letters of one class and of a pair with X.
+COARSE = {"hyd": "AVLIMFWY", "pol": "GSTCNQP", "neg": "DE", "pos": "KRH"}
+SAME_CLASS, UNKNOWN_RESIDUE = 0.7, 0.6
 # Right-closed accessibility bins.
 RSA_BINS = ((0.05, "buried"), (0.2, "partly"), (0.5, "intermediate"), (None, "exposed"))
 
@@ -84,14 +87,12 @@ def rsa_bin(value: Column) -> Column:
 
 
 def sanitize(sequence: Column, unknown: str | None = "X") -> Column:
-    """Upper case with other letters as `unknown`; None: ambiguous letters are read by AMBIGUOUS, and what is left over goes."""
-    up = F.upper(sequence)
+    """Trimmed and upper case, with other letters as `unknown`; None: as it stands, ambiguous capitals read by AMBIGUOUS, and what is left over goes."""
     if unknown is not None:
-        return F.regexp_replace(up, f"[^{AMINO_ACIDS}]", unknown)
-    mapped = F.translate(up, "".join(AMBIGUOUS), "".join(AMBIGUOUS.values()))
+        return F.regexp_replace(F.upper(F.regexp_replace(sequence, r"^\s+|\s+$", "")), f"[^{AMINO_ACIDS}]", unknown)
+    mapped = F.translate(sequence, "".join(AMBIGUOUS), "".join(AMBIGUOUS.values()))
     return F.regexp_replace(mapped, f"[^{AMINO_ACIDS}]", "")
 
-
 def positions(cell: Column) -> Column:
     """Sorted distinct positions of a cell: triplets ('0', 'A', '66') give the third field, other text all its numbers; 0 goes."""
     triplet = r"'[^']*'\s*,\s*'[^']*'\s*,\s*'(\d+)'"
@@ -102,13 +103,27 @@ def positions(cell: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x > 0)))
 
 
+_ATOM = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[-+]?(?:0|[1-9]\d*)(?:\.\d*)?(?:[eE][-+]?\d+)?|None|True|False)"""
+_FLAT = rf"\s*(?:{_ATOM}\s*(?:,\s*{_ATOM}\s*)*,?\s*)?"
+_ITEM = rf"(?:{_ATOM}|\({_FLAT}\)|\[{_FLAT}\])"
+
+
 def count_sites(cell: Column) -> Column:
-    """Sites of a cell: triplets count once for three quoted fields, numbers each, and other text by its tokens between commas; blank cells have none."""
-    cell = F.trim(F.coalesce(cell, F.lit("")))
-    quoted = F.regexp_count(cell, F.lit(r"'[^']*'"))
-    tokens = F.size(F.filter(F.split(F.regexp_replace(cell, r"[\[\](){}]", ""), r"[,;]"), lambda x: F.trim(x) != ""))
-    return F.when(quoted > 0, F.floor(quoted / 3)).when(F.regexp_count(cell, F.lit(r"\d+")) > 0, F.regexp_count(cell, F.lit(r"\d+"))).otherwise(tokens).cast("int")
+    """Sites of a cell. A literal list (in brackets, or items between commas) of a length that three divides has a site for three items, another one for each
+    item that reads as a whole number, or, without such, for each item. Other text is cut at commas and counted likewise. Blank, nan and none have no sites.
 
+    Lists may hold lists of plain items; deeper ones are read as text.
+    """
+    cell = F.trim(F.coalesce(cell, F.lit("")))
+    inner = F.regexp_extract(cell, rf"^(?:\[(\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?)\]|\((\s*(?:{_ITEM}\s*,\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?)?)\)|({_ITEM}\s*,\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?))$", 0)
+    bare = F.when(inner.rlike(r"^\[.*\]$|^\(.*\)$") & ~inner.rlike(rf"^{_ITEM}\s*,"), F.substr(inner, F.lit(2), F.greatest(F.length(inner) - 2, F.lit(0)))).otherwise(inner)
+    items = F.regexp_extract_all(bare, F.lit(_ITEM), F.lit(0))
+    whole = lambda x: x.rlike(r"""^\s*[-+]?\d+(_\d+)*\s*$""")
+    number = lambda x: F.when(x.rlike("^['\"]"), whole(F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(x.rlike(r"^[-+\d]|^True$|^False$"))
+    count = lambda xs, test: F.greatest(F.size(F.filter(xs, test)), F.when(F.size(F.filter(xs, test)) == 0, F.size(xs)).otherwise(0))
+    tokens = F.filter(F.transform(F.split(cell, ","), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.when(F.size(items) % 3 == 0, F.floor(F.size(items) / 3)).otherwise(count(items, number))
+    return F.when(F.lower(cell).isin("", "nan", "none"), 0).when(inner != "", listed).otherwise(count(tokens, whole)).cast("int")
 
 def format_positions(values: Column, shift: int = 0) -> Column:
     """Positions, moved by shift, joined by commas."""
@@ -158,50 +173,23 @@ def channel(scores: Column, index: int = -1) -> Column:
     return F.transform(scores, lambda s: F.element_at(s, index))
 
 
-def run_name(fields: dict[str, Column]) -> Column:
-    """k=v parts joined by two underscores, blank values left out."""
-    return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in fields.items()])), "__")
-
-
-def run_fields(name: Column) -> Column:
-    """map<key, value> of k=v parts that two underscores join."""
-    return F.str_to_map(name, F.lit("__"), F.lit("="))
-
-
-def normal_list(text: Column) -> Column:
-    """Blank and nan become ""; separators of a list become dashes."""
-    clean = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(F.lower(clean).isin("", "nan", "none"), "").otherwise(F.regexp_replace(F.regexp_replace(clean, r"[\[\]()]", ""), r"[\s,\-]+", "-"))
-
-
-def log_status(out: Column, err: Column) -> Column:
-    """skipped > done or summary (failed with a traceback) > failed > incomplete."""
-    out, err = F.coalesce(out, F.lit("")), F.coalesce(err, F.lit(""))
-    both = F.concat(out, F.lit("\n"), err)
-    broken = both.rlike("Traceback|RuntimeError|CUDA out of memory|Error:")
-    done = out.rlike(r"DONE in|\[SUMMARY\]\s+(val|test|AUCPR)")
-    return F.when(out.contains("[SKIP]"), "skipped").when(done & both.contains("Traceback"), "failed").when(done, "success").when(broken, "failed").otherwise("incomplete")
-
-
-def command_flags(text: Column) -> Column:
-    """map of the flags on the [CMD] line: a bare flag is "true", values of a list are joined by spaces."""
-    line = F.regexp_extract(text, r"\[CMD\](.*)", 1)
-    found = F.regexp_extract_all(line, F.lit(r"(--[\w-]+(?: (?!--)\S+)*)"), F.lit(1))
-    entry = F.transform(found, lambda f: F.struct(F.regexp_extract(f, r"^--([\w-]+)", 1).alias("key"), F.when(f.contains(" "), F.regexp_extract(f, r"^\S+ (.*)$", 1)).otherwise("true").alias("value")))
-    return F.map_from_entries(entry)
-
-
 def log_weight(weight: Column, base: float, eps: float = 1e-12) -> Column:
     """Logarithm of a weight, of eps where it is less."""
     return F.log(F.lit(float(base)), F.greatest(weight, F.lit(eps)))
 
 
-def pair_weight(a: Column, b: Column) -> Column:
-    """1 for the same letter, 0.6 if one is X, 0.7 for one coarse class, else 0."""
-    cls = lambda c: chemotype(F.array(c))
-    return F.when(a == b, 1.0).when((a == "X") | (b == "X"), 0.6).when((cls(a) == cls(b)) & (cls(a) < 7), 0.7).otherwise(0.0)
+def coarse_class(letter: Column) -> Column:
+    """Coarse class of a residue letter, null for other letters and X."""
+    out = F.lit(None).cast("string")
+    for name, letters in COARSE.items():
+        out = F.when(letter.isin(*letters), name).otherwise(out)
+    return out
 
 
+def pair_weight(a: Column, b: Column) -> Column:
+    """1 for the same letter, 0.6 if one is X, 0.7 for two letters of one coarse class, else 0; 0 with a null."""
+    return F.when(a == b, 1.0).when((a == "X") | (b == "X"), UNKNOWN_RESIDUE).when(coarse_class(a) == coarse_class(b), SAME_CLASS).otherwise(0.0)
+
 def msa_row(aligned: Column) -> Column:
     """Alignment row with dots as gaps and without insertions (lower case)."""
     return F.regexp_replace(F.translate(aligned, ".", "-"), "[a-z]", "")
@@ -213,13 +201,12 @@ def sites_in_text(text: Column) -> Column:
 
 
 def evidence_codes(text: Column) -> Column:
-    """Sorted distinct numbers after ECO:."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"ECO:(\d+)"), F.lit(1))))
+    """Sorted distinct codes ECO:n of a text, as they stand."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(ECO:\d+)"), F.lit(1))))
 
 
-def log_metrics(out: Column) -> Column:
-    """struct<aucpr, hours, rows>: the last test AUCPR and the hours of a run's log, and the number of rows it names; null where the log has none."""
-    last = lambda pattern: F.try_element_at(F.regexp_extract_all(F.coalesce(out, F.lit("")), F.lit(pattern), F.lit(1)), F.lit(-1))
-    return F.struct(
-        last(r"test[^\n]*?AUCPR\s*[=:]\s*([0-9.]+(?:[eE]-?\d+)?)").try_cast("double").alias("aucpr"), last(r"DONE in\s+([0-9.]+)\s*h").try_cast("double").alias("hours"), last(r"\brows?\s*[=:]\s*(\d+)").try_cast("long").alias("rows"),
-    )
+def first_code(text: Column) -> Column:
+    """What stands before the first semicolon, trimmed; "not found" for null, blank and nan, or if nothing stands there."""
+    clean = F.trim(F.coalesce(text, F.lit("")))
+    first = F.trim(F.substring_index(clean, ";", 1))
+    return F.when((F.lower(clean) == "nan") | (first == ""), "not found").otherwise(first)

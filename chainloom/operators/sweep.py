@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .prefix import exact_quantiles, prefix_sums
 
 
-def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", label: str = "label", score: str = "score", weight: str = "weight", budget: int = 3) -> DataFrame:
-    """(tau, tp, fp, fn, precision, recall, avg_pred, p95_pred, over_budget, avg_fp, p95_fp, any_fp and the last six with _raw): one row per threshold.
+def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", label: str = "label", score: str = "score", weight: str = "weight", budget: int = 3, over: tuple[int, ...] = ()) -> DataFrame:
+    """(tau, tp, fp, fn, precision, recall, avg_pred, p95_pred, over_budget, avg_fp, p95_fp, any_fp, the last six with _raw, and over_<b> for each b of over): one row per threshold.
+
+    over_<b> is the weighted share of chains with more than b candidates, as over_budget is for `budget`.
 
     Rows fall into threshold buckets once. A chain's counts change only at its own buckets, so it adds its weight to a histogram
     (tau, count) at the ends of each run of thresholds with the same count; rows and chains are never multiplied by thresholds.
@@ -38,18 +40,19 @@ def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", la
     stats = seen.groupBy("i", "kind").agg(
         F.sum(F.col("w") * c).alias("sum"), ratio(F.sum(F.col("w") * c), F.sum("w")).alias("avg"), ratio(F.sum(F.col("n") * c), F.sum("n")).alias("avg_raw"),
         F.percentile("count", F.lit(0.95), F.col("n")).alias("p95_raw"), F.min(F.when((F.col("tw") > 0) & (F.col("cw") >= 0.95 * F.col("tw") - 1e-12), c)).cast("double").alias("p95"),
-        share(c > budget, "w").alias("over"), share(c > budget, "n").alias("over_raw"), share(c >= 1, "w").alias("any"), share(c >= 1, "n").alias("any_raw"),
+        share(c > budget, "w").alias("over"), share(c > budget, "n").alias("over_raw"), share(c >= 1, "w").alias("any"), share(c >= 1, "n").alias("any_raw"), *[share(c > b, "w").alias(f"over_{b}") for b in over],
     )
     of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
     p95 = lambda kind: F.coalesce(of(kind, "p95"), of(kind, "p95_raw"))
     wide = stats.groupBy("i").agg(
         of("tp", "sum").alias("tp"), of("fp", "sum").alias("fp"), of("pred", "avg").alias("avg_pred"), p95("pred").alias("p95_pred"), of("pred", "over").alias("over_budget"), of("fp", "avg").alias("avg_fp"), p95("fp").alias("p95_fp"), of("fp", "any").alias("any_fp"),
         *[of(k, f"{x}_raw").alias(f"{name}_raw") for k, x, name in (("pred", "avg", "avg_pred"), ("pred", "p95", "p95_pred"), ("pred", "over", "over_budget"), ("fp", "avg", "avg_fp"), ("fp", "p95", "p95_fp"), ("fp", "any", "any_fp"))],
+        *[of("pred", f"over_{b}").alias(f"over_{b}") for b in over],
     )
     out = wide.crossJoin(F.broadcast(per.agg(F.sum(F.col("w") * F.col("p")).alias("positives")))).withColumn("fn", F.col("positives") - F.col("tp"))
     tail = ["avg_pred", "p95_pred", "over_budget", "avg_fp", "p95_fp", "any_fp"]
     return out.select(
-        F.element_at(F.lit(taus), (F.col("i") + 1).cast("int")).alias("tau"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), *tail, *[f"{x}_raw" for x in tail],
+        F.element_at(F.lit(taus), (F.col("i") + 1).cast("int")).alias("tau"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), *tail, *[f"{x}_raw" for x in tail], *[f"over_{b}" for b in over],
     )
 
 
@@ -89,6 +92,23 @@ def operating_points(sweep: DataFrame, avg: str = "avg_pred", tail: str = "p95_p
     return every.groupBy("point").agg(F.max_by(F.struct("tau", recall, avg), "key").alias("m")).select("point", "m.tau", f"m.{recall}", f"m.{avg}")
 
 
+# Budgets of candidates a chain: the mean and p95 at most, and of chains with more than `b` candidates the share at most.
+BUDGETS = {"strict": {"avg": 3, "p95": 12, "b": 8, "share": 0.10}, "discover": {"avg": 8, "p95": 25, "b": 8, "share": 0.30}, "wide": {"avg": 15, "p95": 35, "b": 15, "share": 0.30}}
+
+
+def budget_points(sweep: DataFrame, budgets: dict[str, dict] | None = None, avg: str = "avg_pred", tail: str = "p95_pred", recall: str = "recall") -> DataFrame:
+    """(budget, tau, recall, avg): for each budget the threshold that keeps it with the most recall, then the fewest candidates, then the largest threshold.
+
+    sweep: a table of thresholds with over_<b> for the b of each budget. A budget that no threshold keeps has no row; a null or NaN load keeps none.
+    """
+    fits = [
+        F.when((F.col(avg) <= x["avg"]) & (F.col(tail) <= x["p95"]) & (F.col(f"over_{x['b']}") <= x["share"]), F.lit(name)) for name, x in (BUDGETS if budgets is None else budgets).items()
+    ]
+    each = sweep.select("tau", recall, avg, F.explode(F.array_compact(F.array(*fits))).alias("budget"))
+    key = F.struct(F.col(recall).alias("a"), (-F.col(avg)).alias("b"), F.col("tau").alias("c"))
+    return each.groupBy("budget").agg(F.max_by(F.struct("tau", recall, avg), key).alias("m")).select("budget", "m.tau", f"m.{recall}", f"m.{avg}")
+
+
 def threshold_grid(rows: DataFrame, score: str, n: int, anchors: list[float]) -> DataFrame:
     """(tau): n quantiles of scores cut to [0, 1], with 0, 1 and the anchors, each once, rounded to nine digits. Null and NaN scores are left out.
 

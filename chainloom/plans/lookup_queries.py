@@ -231,33 +231,16 @@ def shortest_chains(spark, sf_dir):
     return audit.top_per_group(_roll(spark, sf_dir).select("split", "chain", "length"), ["split"], [F.asc("length"), F.asc("chain")], 10)
 
 
-@query(f"""WITH {SCREENS} SELECT id, CASE WHEN len(predicted) = 0 THEN 0 ELSE len(predicted) END::INT AS n_sites FROM screens""")
-def cell_site_counts(spark, sf_dir):
-    """Sites counted in cells of triplets."""
-    s = screens(spark, sf_dir).select("id", F.concat(F.lit("["), F.array_join(F.transform("predicted", lambda p: F.concat(F.lit("('0', 'A', '"), p.cast("string"), F.lit("')"))), ", "), F.lit("]")).alias("cell"))
-    return s.select("id", L.count_sites(F.col("cell")).alias("n_sites"))
-
-
 @query(f"""WITH {SCREENS} SELECT id, array_to_string(list_sort(known), ', ') AS known, array_to_string(list_sort(predicted), ', ') AS predicted, array_to_string(list_sort(list_filter(predicted, lambda x: NOT list_contains(known, x))), ', ') AS novel_sites_t50,
 len(list_filter(predicted, lambda x: NOT list_contains(known, x)))::INT AS n_novel_t50, len(list_filter(predicted, lambda x: NOT list_contains(known, x))) > 0 AS any_novel_t50 FROM screens""")
 def cleaned_screen(spark, sf_dir):
     return writers.cleaned_screen(screens(spark, sf_dir).withColumn("helper", F.lit(1)), "known", {"t50": "predicted"}, ["helper"])
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 0.5 * coalesce(try_cast(split_part(text, ' ', 1) AS DOUBLE), 0) END AS scaled FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, 0.5 * coalesce(try_cast(split_part(text, ' ', 1) AS DOUBLE), 0) AS scaled FROM documents")
 def scaled_numbers(spark, sf_dir):
-    """The number that a text begins with, halved; 0 where it begins with none."""
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", L.scaled(F.substring_index("text", " ", 1), 0.5).alias("scaled"))
-
-
-@query("""WITH d AS (SELECT event_id, 'epoch 1 rows=' || user_id::VARCHAR || chr(10) || '[SUMMARY] test AUCPR=' || (CASE WHEN value < 50 THEN '0.25' ELSE '0.75' END) || CASE WHEN event_type = 'error' THEN '' ELSE chr(10) || 'DONE in ' || (event_id % 100)::VARCHAR || '.5 h' END AS out FROM events)
-SELECT event_id, nullif(regexp_extract(out, 'AUCPR=([0-9.]+)', 1), '')::DOUBLE AS aucpr, nullif(regexp_extract(out, 'DONE in ([0-9.]+) h', 1), '')::DOUBLE AS hours, nullif(regexp_extract(out, 'rows=(\\d+)', 1), '')::BIGINT AS "rows" FROM d""")
-def log_metrics(spark, sf_dir):
-    """Metrics, hours and row numbers out of run logs, one written for each event."""
-    e = table(spark, sf_dir, "events")
-    done = F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("\nDONE in "), (F.col("event_id") % 100).cast("string"), F.lit(".5 h")))
-    out = F.concat(F.lit("epoch 1 rows="), F.col("user_id").cast("string"), F.lit("\n[SUMMARY] test AUCPR="), F.when(F.col("value") < 50, "0.25").otherwise("0.75"), done)
-    return e.select("event_id", L.log_metrics(out).alias("m")).select("event_id", "m.aucpr", "m.hours", "m.rows")
+    """The number that a text begins with, halved; 0 where it begins with none, or is null."""
+    return table(spark, sf_dir, "documents").select("doc_id", L.scaled(F.substring_index("text", " ", 1), 0.5).alias("scaled"))
 
 
 @query("""WITH s AS (SELECT c_nationkey AS store, list(c_name ORDER BY c_custkey) AS ids, list(ceil(abs(c_acctbal)) % 4 ORDER BY c_custkey) AS n FROM customer GROUP BY 1), e AS (SELECT store, unnest(ids) AS id, unnest(n)::INT AS n, unnest(range(1, len(ids) + 1)) AS i FROM s)

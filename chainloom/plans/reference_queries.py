@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import audit_queries, lookup_queries, metric_queries, screen_queries
+from . import audit_queries, lookup_queries, metric_queries, screen_queries, value_queries
 from .metric_queries import entry  # noqa: F401
 
-_PARTS = (metric_queries.query, audit_queries.query, screen_queries.query, lookup_queries.query)
+_PARTS = (metric_queries.query, audit_queries.query, screen_queries.query, lookup_queries.query, value_queries.query)
 
 
 def queries() -> dict:

@@ -150,13 +150,6 @@ def spatial_contacts(spark, sf_dir):
     return spatial.contacts(_atoms(spark, sf_dir), "entry", "chain", 8.0, 2)
 
 
-@query(f"""WITH {RUNS}, n AS (SELECT run, 'version=' || model || '__fold=' || fold::VARCHAR || '__seed=' || seed::VARCHAR AS name FROM runs) SELECT run, name, split_part(split_part(name, '__', 1), '=', 2) AS version, CAST(split_part(split_part(name, '__', 2), '=', 2) AS INT) AS fold, CAST(split_part(split_part(name, '__', 3), '=', 2) AS INT) AS seed FROM n""")
-def run_name_decode(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    n = r.select("run", L.run_name({"version": F.col("model"), "fold": F.col("fold"), "seed": F.col("seed")}).alias("name")).withColumn("m", L.run_fields(F.col("name")))
-    return n.select("run", "name", F.col("m")["version"].alias("version"), F.col("m")["fold"].cast("int").alias("fold"), F.col("m")["seed"].cast("int").alias("seed"))
-
-
 @query(f"""WITH {CHAINS} SELECT chain, CASE WHEN regexp_matches(ec, '^\\d+\\.\\d+\\.\\d+(\\.|$)') THEN array_to_string(string_split(ec, '.')[1:3], '.') ELSE 'not found' END AS level3, nullif(regexp_extract(ec, '^\\s*(\\d+)', 1), '') AS top,
 CASE WHEN regexp_matches('C' || lpad((chain % 1000)::VARCHAR, 3, '0'), '^[A-Za-z0-9]{{4}}$') THEN 'PDB' ELSE 'AF' END AS source FROM chains""")
 def id_decompose(spark, sf_dir):

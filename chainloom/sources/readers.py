@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.logs import run_fields
 from ..plans.materialize import columns
 
 METADATA_13 = [f"c{i}" for i in range(1, 14)]
@@ -135,7 +136,7 @@ def discover_runs(spark: SparkSession, path: str, result: str) -> DataFrame:
     """(run, file, fields map): folders below path that hold a file named `result`, with what their names say; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", result).load(path).select("path")
     folder = F.element_at(F.split("path", "/"), -2)
-    return found.select(folder.alias("run"), F.col("path").alias("file"), F.str_to_map(folder, F.lit("__"), F.lit("=")).alias("fields"))
+    return found.select(folder.alias("run"), F.col("path").alias("file"), run_fields(folder).alias("fields"))
 
 
 def chain_scores(rows: DataFrame, on_mismatch: str = "cut") -> DataFrame:
@@ -169,9 +170,12 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_class_code(desc: Column) -> Column:
-    """First code by branch: recommended, alternative, includes, contains; else "not found". Branches are arrays of code arrays."""
-    head = lambda b: F.get(F.flatten(desc[b]), 0)
-    return F.coalesce(*[head(b) for b in ("recommended", "alternative", "includes", "contains")], F.lit("not found"))
+    """First code by branch: recommended, alternative, includes, contains, fragments; else "not found".
+
+    Branches are arrays of code arrays, null for names without codes. Of a branch the first name with a code array counts; if that is empty, the next branch does.
+    """
+    head = lambda b: F.get(F.get(F.filter(desc[b], lambda codes: codes.isNotNull()), 0), 0)
+    return F.coalesce(*[head(b) for b in ("recommended", "alternative", "includes", "contains", "fragments")], F.lit("not found"))
 
 
 def all_class_codes(*arrays: Column) -> Column:

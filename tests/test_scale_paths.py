@@ -75,18 +75,18 @@ def test_readers_without_a_query(spark, tmp_path):
         (tmp_path / f"shard{n}.json").write_text("\n".join(map(json.dumps, rows)))
     shards = readers.union_shards(spark, [str(tmp_path / f"shard{n}.json") for n in (1, 2, 3)], "k string, v int", "k")
     assert {(r["k"], r["v"], r["shard"]) for r in shards.collect()} == {("a", 2, 2), ("b", 3, 2)}
-    run = tmp_path / "runs" / "version=x__fold=2"
+    run = tmp_path / "runs" / "cnn__version=x__fold=2"
     run.mkdir(parents=True)
     (run / "result.json").write_text("{}")
     (r,) = readers.discover_runs(spark, str(tmp_path / "runs"), "result.json").collect()
-    assert (r["run"], r["fields"]) == ("version=x__fold=2", {"version": "x", "fold": "2"})
+    assert (r["run"], r["fields"]) == ("cnn__version=x__fold=2", {"model_name": "cnn", "version": "x", "cv_fold": "2"})
     s = spark.createDataFrame([("s1", ["p", "q"], ["MK", "A"], [[0, 1], [0]], [{0: 1}, {}], [2.0, None])], "split string, ids array<string>, aa array<string>, labels array<array<int>>, maps array<map<int,int>>, weights array<double>")
     assert {(r["id"], r["aa"], tuple(r["labels"]), r["weight"]) for r in readers.split_db_rows(s).collect()} == {("p", "MK", (0, 1), 2.0), ("q", "A", (0,), 1.0)}
     d = spark.createDataFrame([([1, 0], [0.5, 0.1]), ([1], [0.5, 0.2]), (None, [0.1])], "label array<int>, score array<double>")
     assert sorted(r["lengths"] for r in readers.length_report(d, ["label", "score"]).collect()) == [[-1, 1], [1, 2]]
     assert readers.chain_scores(d).count() == 3 and readers.chain_scores(d, "drop").count() == 2
     one = spark.range(1)
-    assert [one.select(L.count_sites(F.lit(c))).first()[0] for c in ("[('0','A','66'),('0','A','5')]", "5, 7, 9", "none here; x", "", None)] == [2, 3, 2, 0, 0]
+    assert [one.select(L.count_sites(F.lit(c))).first()[0] for c in ("[('0','A','66'),('0','A','5')]", "5, 7, 9", "none here; x", "", None)] == [2, 1, 1, 0, 0]
 
 
 def test_queries_meet_all_targets_in_blocks(spark):
