@@ -189,11 +189,12 @@ def incremental_antijoin(spark, sf_dir):
     return worklist.pending(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item")), done, "item")
 
 
-@query("""WITH t AS (SELECT doc_id, n_chars, floor(coalesce(sum(n_chars + 2) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000)::BIGINT AS batch FROM documents)
-SELECT doc_id, batch, floor((row_number() OVER (PARTITION BY batch ORDER BY n_chars DESC, doc_id) - 1) / 16)::BIGINT AS part FROM t""")
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, n_chars + 2 AS cost, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS p FROM documents WHERE n_chars IS NOT NULL),
+walk(p, batch, used, n) AS (SELECT 0::BIGINT, -1::BIGINT, 0::BIGINT, 16 UNION ALL SELECT t.p, CASE WHEN n >= 16 OR used + cost > 20000 THEN batch + 1 ELSE batch END, CASE WHEN n >= 16 OR used + cost > 20000 THEN cost ELSE used + cost END, CASE WHEN n >= 16 OR used + cost > 20000 THEN 1 ELSE n + 1 END FROM walk JOIN t ON t.p = walk.p + 1)
+SELECT doc_id, batch FROM t JOIN walk USING (p)""")
 def token_batches(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return worklist.token_batches(d, "doc_id", "n_chars", 20000).select("doc_id", "batch", "part")
+    return worklist.token_batches(d, "doc_id", "n_chars", 20000).select("doc_id", "batch")
 
 
 @query("SELECT p_brand AS base, count(DISTINCT p_name)::INT AS n, array_to_string(list_sort(list(DISTINCT p_name)), ',') AS members FROM part GROUP BY p_brand HAVING count(DISTINCT p_name) >= 2")

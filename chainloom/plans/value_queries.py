@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import logs
 from ..operators import sweep
+from ..sources import dumps
 from .bindings import RESIDUES, residues, table
+from .materialize import shared_dir
 from .metric_queries import _GRID, rounded
 from .registry import Registry
 
@@ -122,3 +126,15 @@ def budget_points(spark, sf_dir):
     r = residues(spark, sf_dir).withColumn("score", F.col("score") / 110000.0)
     taus = [t["tau"] for t in sweep.threshold_grid(r, "score", 400, [0.35, 0.50, 0.65, 0.26, 0.0612]).collect()]
     return rounded(sweep.budget_points(sweep.threshold_sweep(r, taus, over=(8, 15))), "tau").withColumn("tau", F.round("tau", 9))
+
+
+@query("""SELECT o_orderkey, 'x}{"' || o_orderpriority || '\\[' AS note, o_orderkey % 3 AS part, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS customer FROM orders""")
+def record_dump(spark, sf_dir):
+    """Orders written as JSON objects after one another, some with line ends and lists between them, and read back."""
+    o = table(spark, sf_dir, "orders")
+    note = F.concat(F.lit('x}{"'), "o_orderpriority", F.lit("\\["))
+    record = F.to_json(F.struct("o_orderkey", note.alias("note"), F.struct((F.col("o_orderkey") % 3).alias("part"), F.array(F.lit("]"), F.lit("}")).alias("odd")).alias("more"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("customer")))
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("[ "), record, F.lit(" , 4, \"{\" ]\n"))).when(F.col("o_orderkey") % 7 == 1, F.concat(record, F.lit("\n\t"))).otherwise(record)
+    path = f"{shared_dir(spark)}/chainloom-dump-{uuid.uuid4().hex}"
+    o.select(text).write.option("lineSep", " ").text(path)
+    return dumps.read_records(spark, path, "o_orderkey:long, note:string, more:struct<part:long>, customer:long").select("o_orderkey", "note", "more.part", "customer")

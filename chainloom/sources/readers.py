@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logs import run_fields
 from ..plans.materialize import columns
+from .dumps import read_records
 
 METADATA_13 = [f"c{i}" for i in range(1, 14)]
 
@@ -100,18 +101,8 @@ def read_dictionary_json(spark: SparkSession, path: str, value_schema: str) -> D
 
 
 def read_record_dump(spark: SparkSession, path: str, schema: str, shape: str) -> DataFrame:
-    """Records of a dump: "results" ({results: [...]} or a list), "lines" (one a line) or "joined" (objects after each other)."""
-    if shape == "lines":
-        return spark.read.json(path, schema=schema)
-    if shape == "results":
-        raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-        listed = F.when(F.startswith("v", F.lit("[")), F.from_json("v", f"array<struct<{schema}>>")).otherwise(F.coalesce(F.from_json("v", f"struct<results:array<struct<{schema}>>>")["results"], F.array(F.from_json("v", f"struct<{schema}>"))))
-        return raw.select(F.explode(listed).alias("r")).select("r.*")
-    if shape == "joined":
-        raw = spark.read.option("lineSep", "}{").text(path).select(F.trim("value").alias("v"))
-        whole = F.concat(F.when(F.startswith("v", F.lit("{")), "").otherwise("{"), F.col("v"), F.when(F.endswith("v", F.lit("}")) & (F.regexp_count("v", F.lit(r"\{")) <= F.regexp_count("v", F.lit(r"\}"))), "").otherwise("}"))
-        return raw.select(F.from_json(whole, f"struct<{schema}>").alias("r")).where("r is not null").select("r.*")
-    raise ValueError(f"unknown shape {shape!r}")
+    """Records of a dump: "results" ({results: [...]} or a list), "lines" (one a line) or "joined" (objects after each other); the last two and lists by dumps.read_records()."""
+    return spark.read.json(path, schema=schema) if shape == "lines" else read_records(spark, path, schema, shape)
 
 
 def length_report(rows: DataFrame, arrays: list[str]) -> DataFrame:

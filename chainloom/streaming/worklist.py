@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.prefix import row_places
-from ..plans.materialize import HOT_ROWS, columns, fresh
+from ..operators.packing import token_batches  # noqa: F401  batches of what is pending
 
 
 def pending(items: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
@@ -16,16 +15,3 @@ def pending(items: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 
 def manifest_rows(items: DataFrame, key: str, content: str, status: str = "done") -> DataFrame:
     return items.select(key, F.lit(status).alias("status"), F.sha1(F.col(content).cast("binary")).alias("hash"))
-
-
-def token_batches(items: DataFrame, key: str, length: str, max_tokens: int, max_items: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """items with batch and part: by falling length, batches near max_tokens, in parts of at most max_items; ties go to the lower key.
-
-    Places and cumulative costs come from row_places(), so no task holds all items, nor all of one length. A batch holds at most max_tokens / 2 items,
-    so numbering its parts is bounded. key tells items apart; items with a null length are left out; no items give no rows.
-    """
-    (cost,) = fresh(items, prefix="_cost")
-    placed = row_places(items.withColumn(cost, (F.col(length) + 2).cast("long")), [], length, key, cost=cost, hot_rows=hot_rows)
-    t = placed.withColumn("batch", F.floor(F.col("before") / max_tokens))
-    first = Window.partitionBy("batch")
-    return t.select(*columns(items), "batch", F.floor((F.col("place") - F.min("place").over(first)) / max_items).alias("part"))
