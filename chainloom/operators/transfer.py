@@ -8,10 +8,10 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import fresh
+from ..plans.materialize import fresh, written
 from .audit import top_per_group
 
 #: Score of what no alignment reaches, and rows of aligned positions in a batch.
@@ -121,16 +121,21 @@ def align_scores(pairs: DataFrame, q: str, t: str, q_seq: str, t_seq: str, **opt
 
 
 def kmer_candidates(queries: DataFrame, targets: DataFrame, key: str, seq: str, k: int = 4, least: int = 3, common: int = 10_000) -> DataFrame:
-    """(q, t, shared): pairs that share `least` distinct k-mers or more, by an equi-join on k-mers.
+    """(q, t, shared): pairs that share `least` distinct k-mers or more.
 
-    K-mers are salted beyond `common` targets: their queries are repeated for each salt, so no task holds a frequent k-mer.
+    A query with n k-mers shares one of its rarest n - least + 1 with each such target, so only these are joined; what a pair shares is then counted over both sets. K-mers
+    are salted beyond `common` targets: their queries are repeated for each salt. Null and short sequences have none; keys tell rows apart on each side.
     """
-    grams = lambda d, n: d.where(F.length(seq) >= k).select(F.col(key).alias(n), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(F.col(seq), i, F.lit(k))))).alias("gram"))
-    t, q = grams(targets, "t"), grams(queries, "q")
-    salts = t.groupBy("gram").agg(F.ceil(F.count("*") / common).cast("int").alias("salts"))
-    ts = t.join(salts, "gram").withColumn("salt", F.pmod(F.xxhash64("t"), F.col("salts")).cast("int")).select("t", "gram", "salt")
-    qs = q.join(salts, "gram").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("q", "gram", "salt")
-    return qs.join(ts, ["gram", "salt"]).where("q <> t").groupBy("q", "t").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    sets = lambda d, n: d.where(F.length(seq) >= k).select(F.col(key).alias(n), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(F.col(seq), i, F.lit(k)))).alias(f"{n}_grams"))
+    t, q = sets(targets, "t"), sets(queries, "q").where(F.size("q_grams") >= least)
+    grams = t.select("t", F.explode("t_grams").alias("gram"))
+    salts = written(grams.groupBy("gram").agg(F.count("*").alias("n"), F.ceil(F.count("*") / common).cast("int").alias("salts")), "grams")
+    rare = q.select("q", F.size("q_grams").alias("size"), F.explode("q_grams").alias("gram")).join(salts, "gram", "left")
+    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("n", F.lit(0)), "gram"))).where(F.col("rank") <= F.col("size") - least + 1)  # the k-mers of one sequence
+    ts = grams.join(salts, "gram").withColumn("salt", F.pmod(F.xxhash64("t"), F.col("salts")).cast("int")).select("t", "gram", "salt")
+    qs = rare.where("salts is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("q", "gram", "salt")
+    pairs = qs.join(ts, ["gram", "salt"]).where("q <> t").select("q", "t").distinct()
+    return pairs.join(q, "q").join(t, "t").select("q", "t", F.size(F.array_intersect("q_grams", "t_grams")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 #: Rows of a block of queries and of a block of targets.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import audit, curves, merge, resample, screen, spatial, transfer
+from ..operators import audit, curves, merge, resample, screen, search, spatial, transfer
 from ..sources import readers, writers
 from ..streaming import worklist
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
@@ -96,12 +96,12 @@ def knn_weighted_vote(spark, sf_dir):
 
 @query()
 def alignment_transfer(spark, sf_dir):
-    """Labels of an order's lines, read as letters, carried to the orders of the same customer by global alignment."""
+    """Labels of an order's lines, read as letters, carried to the orders of the same customer by local alignment with affine gaps and a matrix."""
     r = residues(spark, sf_dir)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chain"), F.col("o_custkey").alias("base"))
     s = r.groupBy("chain").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "aa"))).getField("aa"), "").alias("seq")).join(o, "chain")
     ref = s.groupBy("base").agg(F.min_by(F.struct(F.col("chain").alias("t"), F.col("seq").alias("t_seq")), "chain").alias("r")).select("base", "r.*")
-    pairs = transfer.align_pairs(s.join(ref, "base").where("chain <> t"), "chain", "t", "seq", "t_seq", match=1.0, mismatch=0.0, gap=0.0)
+    pairs = transfer.align_pairs(s.join(ref, "base").where("chain <> t"), "chain", "t", "seq", "t_seq", matrix=search.class_matrix(), gap=search.GAP, extend=search.EXTEND, local=True)
     labels = r.select(F.col("chain").alias("t"), F.col("pos").alias("tpos"), "label")
     return transfer.transfer_labels(pairs, labels, "same").where("label = 1").groupBy("q").agg(F.count("*").alias("n_transferred"))
 
@@ -121,12 +121,10 @@ def cluster_propagation(spark, sf_dir):
 
 @query()
 def template_hits(spark, sf_dir):
-    """The most alike other name of every part whose id is divisible by 20: k-mer candidates among all parts, local alignment with affine gaps."""
+    """The most alike other name of every part whose id is divisible by 20, by a search with seeds and affine gaps among all parts."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"))
-    found = transfer.kmer_candidates(p.where("k % 20 = 0"), p, "k", "s", 4, 6, 500).select("q", "t")
-    pairs = found.join(p.select(F.col("k").alias("q"), F.col("s").alias("q_seq")), "q").join(p.select(F.col("k").alias("t"), F.col("s").alias("t_seq")), "t")
-    hits = transfer.align_scores(pairs, "q", "t", "q_seq", "t_seq", match=2.0, mismatch=-1.0, gap=-8.0, extend=-1.0, local=True).withColumn("identity", F.col("same") / F.col("aligned"))
-    best = transfer.best_template(hits.where("aligned >= 9"), "q", "t", "identity", 0.5, F.lit(False))
+    hits = search.search(p.where("k % 20 = 0"), p, "k", "s", search.letter_matrix("abcdefghijklmnopqrstuvwxyz ", 2.0, -1.0), other=-1.0, word=4, least=8.0, drop=8.0, trigger=14.0, cutoff=20.0)
+    best = transfer.best_template(hits.where("aligned >= 9").withColumn("identity", F.col("same") / F.col("aligned")), "q", "t", "identity", 0.5, F.lit(False))
     return rounded(best.select("q", "t", "score", "aligned", "same", "identity"))
 
 
