@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import fresh, written
 from .audit import keep_first
+from .transfer import column_vote
+
+#: Sequences of one block of a group; pairs of blocks are dealt out.
+PAIR_BLOCK = 200
 
 
 def novelty(rows: DataFrame, predicted: str, known: str) -> DataFrame:
@@ -26,9 +31,10 @@ def novelty_summary(novel: DataFrame, group: list[str]) -> DataFrame:
 def set_scores(rows: DataFrame, group: list[str]) -> DataFrame:
     """(group, precision, recall, f1): macro means of set overlaps; empty sets give 0."""
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    t = rows.withColumn("_p", ratio("n_shared", "n_predicted")).withColumn("_r", ratio("n_shared", "n_known"))
-    t = t.withColumn("_f", F.coalesce(F.try_divide(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")), F.lit(0.0)))
-    return t.groupBy(*group).agg(F.avg("_p").alias("precision"), F.avg("_r").alias("recall"), F.avg("_f").alias("f1"))
+    p, r, f = fresh(rows, n=3)
+    t = rows.withColumn(p, ratio("n_shared", "n_predicted")).withColumn(r, ratio("n_shared", "n_known"))
+    t = t.withColumn(f, F.coalesce(F.try_divide(2 * F.col(p) * F.col(r), F.col(p) + F.col(r)), F.lit(0.0)))
+    return t.groupBy(*group).agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f).alias("f1"))
 
 
 def reference_member(rows: DataFrame, base: str, member: Column) -> DataFrame:
@@ -72,3 +78,63 @@ def loss_events(categories: DataFrame, base: str = "base") -> DataFrame:
     """(base, members, lost): bases of loss_categories() where a member has a site of the same letter that is not predicted."""
     g = categories.groupBy(base).agg(F.count("*").alias("members"), F.sum("lost_aligned").alias("lost"))
     return g.where("lost > 0")
+
+
+def sequence_pairs(sequences: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(base, q, t, q_seq, t_seq): every pair of different sequences (base, id, seq) of a base, once, q before t.
+
+    A base's sequences fall into blocks of about `block` by a hash of the id, and pairs of blocks are the join key: a base of any size is many tasks, each with two blocks.
+    """
+    n = sequences.groupBy("base").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    placed = sequences.join(n, "base").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    left = placed.select("base", F.col("id").alias("q"), F.col("seq").alias("q_seq"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("base", "q", "q_seq", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b")
+    right = left.select("base", F.col("q").alias("t"), F.col("q_seq").alias("t_seq"), "low", "high", F.col("b").alias("t_b"))
+    both = left.join(right, ["base", "low", "high"]).where((F.col("q") < F.col("t")) & ((F.col("low") == F.col("high")) | (F.col("b") != F.col("t_b"))))
+    return both.select("base", "q", "t", "q_seq", "t_seq")
+
+
+def member_losses(members: DataFrame, sites: DataFrame, align, block: int = PAIR_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((base, source, target, pos, target_pos), (base, members, reason)): losses between any two members of a base, both ways, and the bases without a comparison.
+
+    members: (base, member, seq); of a member with several rows the least sequence counts. sites: (base, member, pos), predicted positions from 0. A site of `source` is lost in `target` if it is aligned to
+    the same letter there, which is no predicted site. align: pairs (base, q, t, q_seq, t_seq) -> (base, q, t, qpos, tpos) of aligned positions with the same letter. Sequences are aligned once for each pair of
+    different ones of a base, used in both directions and by all members that share them. A base with one member, or with a member without a sequence, is compared not at all.
+    Null bases and members are left out; sites outside a sequence are aligned to nothing; an empty table gives no rows.
+    """
+    one = members.where(F.col("base").isNotNull() & F.col("member").isNotNull()).groupBy("base", "member").agg(F.min("seq").alias("seq"), F.count_if(F.col("seq").isNull()).alias("lacks"))
+    sizes = one.groupBy("base").agg(F.count("*").alias("members"), F.count_if(F.coalesce(F.col("seq"), F.lit("")) == "").alias("lacks"))
+    reason = F.when(F.col("members") < 2, "one member").when(F.col("lacks") > 0, "no sequence")
+    sizes = written(sizes.withColumn("reason", reason), "sizes")
+    good = one.join(sizes.where("reason is null").select("base"), "base")
+    named = written(good.select("base", "member", F.md5(F.col("seq").cast("binary")).alias("id"), "seq"), "members")
+    distinct = named.groupBy("base", "id").agg(F.min("seq").alias("seq"))
+    there = sites.select("base", "member", F.col("pos").cast("int").alias("pos")).distinct()
+    found = written(named.join(there, ["base", "member"]).select("base", "member", "id", "pos"), "sites")
+    same = align(sequence_pairs(distinct, block)).select("base", "q", "t", "qpos", "tpos")
+    both = same.unionByName(same.select("base", F.col("t").alias("q"), F.col("q").alias("t"), F.col("tpos").alias("qpos"), F.col("qpos").alias("tpos")))
+    inside = named.groupBy("base", "id").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("length")).where("n > 1")
+    own = found.join(inside, ["base", "id"]).where((F.col("pos") >= 0) & (F.col("pos") < F.col("length"))).select("base", F.col("id").alias("q"), F.col("id").alias("t"), F.col("pos").alias("qpos"), F.col("pos").alias("tpos")).distinct()
+    at = found.select("base", F.col("id").alias("q"), F.col("pos").alias("qpos"), F.col("member").alias("source"))
+    reached = both.unionByName(own).join(at, ["base", "q", "qpos"]).join(named.select("base", F.col("id").alias("t"), F.col("member").alias("target")), ["base", "t"]).where("source <> target")
+    kept = found.select("base", F.col("member").alias("target"), F.col("pos").alias("tpos"))
+    lost = reached.join(kept, ["base", "target", "tpos"], "left_anti").select("base", "source", "target", F.col("qpos").alias("pos"), F.col("tpos").alias("target_pos"))
+    return lost, sizes.where("reason is not null").select("base", "members", "reason")
+
+
+# Least members of a column, and places around a site in which another one of its letter speaks against it.
+QUORUM, NEARBY = 2, 10
+
+
+def column_proposals(votes: DataFrame, positives: DataFrame, group: list[str], tau: float, quorum: int = QUORUM, nearby: int = NEARBY) -> DataFrame:
+    """(member, pos): sites that the columns of alignments propose to their members, each once.
+
+    votes: (group, col, member, pos, aa, label), a row for each member's letter in a column. The commonest letter of a column (of equally common ones the first by alphabet) with `quorum` members and a mean label
+    of tau or more is proposed to all members that have it there, unless another positive of that member (member, pos, aa) with the same letter lies within `nearby` places. Such
+    positives are met by buckets of that width, own and neighbouring ones, in an anti-join: no window over a chain. Null letters have no vote; repeated rows vote each; empty tables give no rows.
+    """
+    best = column_vote(votes.where(F.col("aa").isNotNull()), [*group, "col"], "aa", "label", quorum, tau).select(*group, "col", "aa")
+    named = [F.col(f"v.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*group, "col", "aa"]]
+    wanted = votes.alias("v").join(best.alias("b"), named, "left_semi").select("member", "pos", "aa").distinct()
+    near = positives.select(F.col("member").alias("of"), F.col("pos").alias("at"), F.col("aa").alias("letter"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("pos") / nearby) + i)).alias("bucket"))
+    close = (F.col("member") == F.col("of")) & (F.col("aa") == F.col("letter")) & (F.floor(F.col("pos") / nearby) == F.col("bucket")) & (F.col("pos") != F.col("at")) & (F.abs(F.col("pos") - F.col("at")) <= nearby)
+    return wanted.join(near, close, "left_anti").select("member", "pos").distinct()

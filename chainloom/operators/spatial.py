@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import col, fresh
 from .components import component_roots
 
 XYZ = ("x", "y", "z")
 
 
-def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs of rows of a and b, columns prefixed a_ and b_, at most `radius` apart (with their distance). Rows with null coordinates pair with none.
+def within(a: DataFrame, b: DataFrame, radius: float, keys: list[str] | None = None, closed: bool = True) -> DataFrame:
+    """Pairs of rows of a and b that agree in `keys`, columns prefixed a_ and b_, at most `radius` apart (less, unless closed), with their `distance`.
 
-    The side b is repeated over 27 cells, a is not; both are joined by cell.
+    The side b is repeated over 27 cells, a is not; both are joined by the keys and the cell, so only points of one entry in neighbouring cells ever meet. Rows with a
+    null key or coordinate pair with none; repeated rows pair each; empty tables give no rows.
     """
+    keys = keys or []
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], *[cell(c).alias(f"_{c}") for c in XYZ])
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], *[cell(c).alias(f"_{c}") for c in XYZ], F.explode(shifts).alias("s"))
-    right = right.withColumns({"_x": F.col("_x") + F.col("s.i"), "_y": F.col("_y") + F.col("s.j"), "_z": F.col("_z") + F.col("s.k")}).drop("s")
+    left = a.select(*[col(c).alias(f"a_{c}") for c in a.columns])
+    names = fresh(left, b, n=len(keys) + 3)
+    on, cells = names[: len(keys)], names[len(keys) :]
+    left = left.select("*", *[col(f"a_{k}").alias(n) for k, n in zip(keys, on, strict=True)], *[cell(f"a_{c}").alias(n) for c, n in zip(XYZ, cells, strict=True)])
+    shifts = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(XYZ, s, strict=True)]) for s in product((-1, 0, 1), repeat=3)])
+    right = b.select(*[col(c).alias(f"b_{c}") for c in b.columns], *[col(k).alias(n) for k, n in zip(keys, on, strict=True)], F.explode(shifts).alias(cells[0] + "s"))
+    right = right.select("*", *[(cell(f"b_{c}") + col(cells[0] + "s")[c]).alias(n) for c, n in zip(XYZ, cells, strict=True)]).drop(cells[0] + "s")
     d = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), F.lit(2.0)) for c in XYZ), F.lit(0.0)))
-    return left.join(right, ["_x", "_y", "_z"]).drop("_x", "_y", "_z").withColumn("distance", d).where(F.col("distance") <= radius)
+    near = left.join(right, names).drop(*names).withColumn("distance", d)
+    return near.where(F.col("distance") <= radius if closed else F.col("distance") < radius)
 
 
 def contacts(atoms: DataFrame, entry: str, chain: str, radius: float, least: int) -> DataFrame:
-    """(entry, chain_a, chain_b, n): chain pairs of an entry with `least` or more atom pairs within the radius."""
-    p = within(atoms, atoms, radius).where((F.col(f"a_{entry}") == F.col(f"b_{entry}")) & (F.col(f"a_{chain}") < F.col(f"b_{chain}")))
+    """(entry, chain_a, chain_b, n): chain pairs of an entry with `least` or more atom pairs less than the radius apart. Rows with a null entry or chain touch nothing."""
+    p = within(atoms.select(entry, chain, *XYZ), atoms.select(entry, chain, *XYZ), radius, [entry], closed=False).where(F.col(f"a_{chain}") < F.col(f"b_{chain}"))
     return p.groupBy(F.col(f"a_{entry}").alias(entry), F.col(f"a_{chain}").alias("chain_a"), F.col(f"b_{chain}").alias("chain_b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def nearest_same_letter(a: DataFrame, b: DataFrame, key: str, letter: str, label: str, radius: float = 2.0) -> DataFrame:
-    """(key, label): labels of a, or 1 where a point of b with the same letter and label 1 is within the radius."""
-    p = within(a, b, radius).where(F.col(f"a_{letter}") == F.col(f"b_{letter}"))
-    got = p.groupBy(F.col(f"a_{key}").alias(key)).agg(F.max(f"b_{label}").alias("_l"))
-    return a.join(got, key, "left").select(key, F.greatest(F.col(label), F.coalesce("_l", F.lit(0))).alias(label))
+# Radii of alpha carbons and of heavy atoms, how many pairs of residues make a contact by each, and the heavy elements.
+ALPHA_RADIUS, HEAVY_RADIUS, ALPHA_LEAST, HEAVY_LEAST = 8.0, 4.0, 4, 10
+HEAVY = ("C", "N", "O", "S")
+
+
+def chain_contacts(atoms: DataFrame, entry: str, chain: str, residue: str, name: str, element: str) -> DataFrame:
+    """(entry, chain_a, chain_b, alpha, heavy): chains in contact: by residue pairs whose alpha carbons (name CA) are less than 8 apart, 4 or more, or of these by pairs with heavy atoms at most 4 apart, 10 or more.
+
+    Rows with a null entry, chain or coordinate touch nothing; repeated atoms of a residue count once for a pair of residues.
+    """
+    at = [entry, chain, residue, *XYZ]
+    key = [F.col(f"a_{entry}").alias(entry), F.col(f"a_{chain}").alias("chain_a"), F.col(f"b_{chain}").alias("chain_b"), F.col(f"a_{residue}").alias("residue_a"), F.col(f"b_{residue}").alias("residue_b")]
+    ordered = F.col(f"a_{chain}") < F.col(f"b_{chain}")
+    alphas, heavies = atoms.where(F.col(name) == "CA").select(*at), atoms.where(F.col(element).isin(*HEAVY)).select(*at)
+    alpha = within(alphas, alphas, ALPHA_RADIUS, [entry], closed=False).where(ordered).select(*key).distinct()
+    heavy = within(heavies, heavies, HEAVY_RADIUS, [entry]).where(ordered).select(*key).distinct().withColumn("heavy", F.lit(1))
+    pairs = alpha.join(heavy, [entry, "chain_a", "chain_b", "residue_a", "residue_b"], "left")
+    counts = pairs.groupBy(entry, "chain_a", "chain_b").agg(F.count("*").alias("alpha"), F.count("heavy").alias("heavy"))
+    return counts.where((F.col("alpha") >= ALPHA_LEAST) | (F.col("heavy") >= HEAVY_LEAST))
+
+
+def nearest_same_letter(a: DataFrame, b: DataFrame, key: str, letter: str, label: str, radius: float = 2.0, entry: list[str] | None = None) -> DataFrame:
+    """(key, label): labels of a, or 1 where a point of b with the same letter and label 1 is within the radius; entry: columns of structures that lie in one frame.
+
+    key tells the rows of a apart; rows with a null letter or coordinate keep their label; an empty b changes nothing.
+    """
+    (got,) = fresh(a)
+    p = within(a, b, radius, entry).where(F.col(f"a_{letter}") == F.col(f"b_{letter}"))
+    hit = p.groupBy(F.col(f"a_{key}").alias(key)).agg(F.max(f"b_{label}").alias(got))
+    return a.join(hit, key, "left").select(key, F.greatest(F.col(label), F.coalesce(got, F.lit(0))).alias(label))
 
 
 def largest_contact_component(atoms: DataFrame, entry: str, chain: str, radius: float, least: int) -> DataFrame:

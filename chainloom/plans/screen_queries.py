@@ -143,7 +143,7 @@ def _atoms(spark, sf_dir):
 _ATOMS = "WITH a AS (SELECT label % 2 AS entry, label::VARCHAR AS chain, vec_id AS atom, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings)"
 
 
-@query(_ATOMS + """ SELECT a.entry, a.chain AS chain_a, b.chain AS chain_b, count(*) AS n FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 8 GROUP BY ALL HAVING count(*) >= 2""")
+@query(_ATOMS + """ SELECT a.entry, a.chain AS chain_a, b.chain AS chain_b, count(*) AS n FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 8 GROUP BY ALL HAVING count(*) >= 2""")
 def spatial_contacts(spark, sf_dir):
     return spatial.contacts(_atoms(spark, sf_dir), "entry", "chain", 8.0, 2)
 
@@ -309,8 +309,44 @@ def mean_pr_curve(spark, sf_dir):
     return rounded(interpolated_mean(p, "seed", "recall", "precision", 501))
 
 
-@query("WITH RECURSIVE " + _ATOMS.removeprefix("WITH ") + """, e AS (SELECT a.entry, a.chain AS u, b.chain AS v FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 2 GROUP BY ALL HAVING count(*) >= 1),
+@query("WITH RECURSIVE " + _ATOMS.removeprefix("WITH ") + """, e AS (SELECT a.entry, a.chain AS u, b.chain AS v FROM a JOIN a b ON a.entry = b.entry AND a.chain < b.chain AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 2 GROUP BY ALL HAVING count(*) >= 1),
 g AS (SELECT entry, u, v FROM e UNION SELECT entry, v, u FROM e), c(entry, chain, root) AS (SELECT DISTINCT entry, chain, chain FROM a UNION SELECT c.entry, g.v, c.root FROM c JOIN g ON c.entry = g.entry AND c.chain = g.u WHERE c.root < g.v),
 m AS (SELECT entry, chain, min(root) AS root FROM c GROUP BY ALL), s AS (SELECT entry, root, row_number() OVER (PARTITION BY entry ORDER BY count(*) DESC, root) AS r FROM m GROUP BY entry, root) SELECT m.entry, m.chain FROM m JOIN s USING (entry, root) WHERE r = 1""")
 def largest_contact_component(spark, sf_dir):
     return spatial.largest_contact_component(_atoms(spark, sf_dir), "entry", "chain", 2.0, 1)
+
+
+@query(f"""WITH {RESIDUES}, {CHAINS}, r AS (SELECT parent AS base, res.chain AS member, pos, aa, score >= 30000 AS hit FROM res JOIN chains ON chains.chain = res.chain)
+SELECT a.base, a.member AS source, b.member AS target, a.pos, b.pos AS target_pos FROM r a JOIN r b ON a.base = b.base AND a.member <> b.member AND a.pos = b.pos AND a.aa = b.aa WHERE a.hit AND NOT b.hit""")
+def member_losses(spark, sf_dir):
+    """Sites of an order that another order of the same customer has with the same letter, but not predicted, between all of them; letters are aligned place by place."""
+    r = residues(spark, sf_dir).select("chain", "pos", "aa", "score").join(chains(spark, sf_dir).select("chain", F.col("parent").alias("base")), "chain")
+    members = r.groupBy("base", F.col("chain").alias("member")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "aa"))).getField("aa"), "").alias("seq"))
+    sites = r.where("score >= 30000").select("base", F.col("chain").alias("member"), "pos")
+
+    def by_place(pairs):
+        at = F.explode(F.sequence(F.lit(0), F.least(F.length("q_seq"), F.length("t_seq")) - 1)).alias("qpos")
+        each = pairs.select("base", "q", "t", "q_seq", "t_seq", at)
+        return each.where(F.substr("q_seq", F.col("qpos") + 1, F.lit(1)) == F.substr("t_seq", F.col("qpos") + 1, F.lit(1))).withColumn("tpos", F.col("qpos"))
+
+    return screen.member_losses(members, sites, by_place)[0]
+
+
+@query(f"""WITH {RESIDUES}, v AS (SELECT fold, pos AS col, aa, count(*) AS votes, avg(label) AS share FROM res GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY fold, col ORDER BY votes DESC, aa) AS r FROM v),
+w AS (SELECT res.* FROM res JOIN m ON m.fold = res.fold AND m.col = res.pos AND m.aa = res.aa WHERE r = 1 AND votes >= 2 AND share >= 0.3)
+SELECT DISTINCT chain AS member, pos FROM w WHERE NOT EXISTS (SELECT 1 FROM res p WHERE p.chain = w.chain AND p.aa = w.aa AND p.label = 1 AND p.pos <> w.pos AND abs(p.pos - w.pos) <= 3)""")
+def column_proposals(spark, sf_dir):
+    """Sites that columns of a fold propose to its chains, but for those near another positive of the same letter."""
+    r = residues(spark, sf_dir)
+    votes = r.select("fold", F.col("pos").alias("col"), F.col("chain").alias("member"), "pos", "aa", "label")
+    return screen.column_proposals(votes, r.where("label = 1").select(F.col("chain").alias("member"), "pos", "aa"), ["fold"], 0.3, nearby=3)
+
+
+@query(_ATOMS + """, b AS (SELECT entry, chain, atom // 3 AS residue, CASE WHEN atom % 3 = 0 THEN 'CA' ELSE 'N' END AS name, CASE WHEN atom % 5 = 0 THEN 'H' ELSE 'C' END AS element, x, y, z FROM a),
+p AS (SELECT a.entry, a.chain AS ca, b.chain AS cb, a.residue AS ra, b.residue AS rb, a.name AS na, b.name AS nb, a.element AS ea, b.element AS eb, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM b a JOIN b ON a.entry = b.entry AND a.chain < b.chain),
+k AS (SELECT entry, ca, cb, ra, rb, max((na = 'CA' AND nb = 'CA' AND d < 8)::INT) AS alpha, max((ea = 'C' AND eb = 'C' AND d <= 4)::INT) AS heavy FROM p GROUP BY ALL)
+SELECT entry, ca AS chain_a, cb AS chain_b, count(*) AS alpha, sum(heavy)::BIGINT AS heavy FROM k WHERE alpha = 1 GROUP BY ALL HAVING count(*) >= 4 OR sum(heavy) >= 10""")
+def chain_contacts(spark, sf_dir):
+    """Contacts of chains by alpha carbons and heavy atoms of their residues."""
+    a = _atoms(spark, sf_dir).select("entry", "chain", *spatial.XYZ, F.floor(F.col("atom") / 3).alias("residue"), F.when(F.col("atom") % 3 == 0, "CA").otherwise("N").alias("name"), F.when(F.col("atom") % 5 == 0, "H").otherwise("C").alias("element"))
+    return spatial.chain_contacts(a, "entry", "chain", "residue", "name", "element")
