@@ -23,9 +23,7 @@ _P = "__rule_"
 
 
 def _without(text: Column, chars: str) -> Column:
-    for c in chars:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+    return F.translate(text, chars, "")
 
 
 def _repeat_words(windows: Column) -> Column:
