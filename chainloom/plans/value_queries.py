@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import logs
 from ..operators import sweep
-from ..sources import dumps
+from ..sources import dumps, stores
+from ..streaming import worklist
 from .bindings import RESIDUES, residues, table
 from .materialize import shared_dir
 from .metric_queries import _GRID, rounded
@@ -138,3 +139,36 @@ def record_dump(spark, sf_dir):
     path = f"{shared_dir(spark)}/chainloom-dump-{uuid.uuid4().hex}"
     o.select(text).write.option("lineSep", " ").text(path)
     return dumps.read_records(spark, path, "o_orderkey:long, note:string, more:struct<part:long>, customer:long").select("o_orderkey", "note", "more.part", "customer")
+
+
+@query("""SELECT c_name AS id, (c_custkey % 4)::INT AS n, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey::DOUBLE END AS first, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_nationkey + c_custkey % 4 - 1)::DOUBLE END AS last FROM customer""")
+def store_round_trip(spark, sf_dir):
+    """Arrays of customers written to a store of ragged arrays and read back by ranges."""
+    c = table(spark, sf_dir, "customer")
+    n = (F.col("c_custkey") % 4).cast("int")
+    values = F.when(n > 0, F.sequence(F.col("c_nationkey").cast("long"), F.col("c_nationkey").cast("long") + n - 1)).otherwise(F.array().cast("array<bigint>"))
+    path = f"{shared_dir(spark)}/chainloom-store-{uuid.uuid4().hex}"
+    stores.write_store(c.select(F.col("c_name").alias("id"), values.cast("array<float>").alias("values")), path, part_bytes=1 << 20)
+    return stores.read_store(spark, path).select("id", F.size("values").alias("n"), F.get("values", 0).cast("double").alias("first"), F.try_element_at("values", F.lit(-1)).cast("double").alias("last"))
+
+
+@query("""WITH g AS (SELECT DISTINCT p_brand AS base, p_name AS line FROM part), n AS (SELECT base, count(*) AS n FROM g GROUP BY base HAVING count(*) >= 3) SELECT base, n, line FROM n JOIN g USING (base)""")
+def group_files(spark, sf_dir):
+    """A file of part names for each brand with three or more, read back by the index."""
+    path = f"{shared_dir(spark)}/chainloom-groups-{uuid.uuid4().hex}"
+    stores.write_groups(table(spark, sf_dir, "part"), "p_brand", "p_name", path, least=3)
+    return stores.read_groups(spark, path).select("base", "n", "line")
+
+
+_STEPS = """e AS (SELECT user_id AS item, event_id AS "at", md5((value > 80)::VARCHAR) AS hash, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status FROM events),
+l AS (SELECT *, last_value(CASE WHEN status IS NULL THEN hash END IGNORE NULLS) OVER (PARTITION BY item ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM e),
+r AS (SELECT *, lag(coalesce(status, 'new')) OVER (PARTITION BY item ORDER BY "at") AS before FROM l WHERE status IS NULL OR hash = known)"""
+
+
+@query(f"""WITH {_STEPS} SELECT item, "at", CASE WHEN known IS NULL THEN 'new' WHEN known <> hash THEN 'changed' ELSE 'again' END AS reason FROM r WHERE status IS NULL AND (known IS NULL OR known <> hash OR before = 'failed')""")
+def due_items(spark, sf_dir):
+    """What is due of each user's events: contents that are new or changed, and those whose last outcome is a failure."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    steps = e.select(F.col("user_id").alias("item"), F.col("event_id").alias("at"), F.md5((F.col("value") > 80).cast("string").cast("binary")).alias("hash"), status.alias("status"))
+    return worklist.due(steps, "item").select("item", "at", "reason")

@@ -1,12 +1,16 @@
 """Files of any layout, cut anywhere, against plain readers."""
 
 import gzip
+import io
 import json
+import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom.sources import dumps, readers
+from chainloom.sources import dumps, readers, stores
 
 
 @pytest.fixture
@@ -85,3 +89,124 @@ def test_a_long_file_lies_in_many_ranges(spark, tmp_path, cut):
     assert sorted(json.loads(r["text"])["n"] for r in found.collect()) == list(range(2000))
     pieces = dumps._pieces(spark, str(tmp_path / "x.json"))
     assert pieces.select("block").distinct().count() > 10 and pieces.agg(F.max(F.length("text"))).first()[0] < 100
+
+
+# ---------------------------------------------------------------- stores and files of groups
+
+
+class Counting:
+    """A file that counts the bytes that are read."""
+
+    def __init__(self, data):
+        self.f, self.n = io.BytesIO(data), 0
+
+    def seek(self, *a):
+        return self.f.seek(*a)
+
+    def tell(self):
+        return self.f.tell()
+
+    def seekable(self):
+        return True
+
+    def read(self, *a):
+        out = self.f.read(*a)
+        self.n += len(out)
+        return out
+
+
+def store_of(rows, **names):
+    out = io.BytesIO()
+    arrays = {"ids": np.array([r[0] for r in rows], dtype="U8"), "offsets": np.cumsum([0, *(len(r[1]) for r in rows)]), "values": np.concatenate([*(r[1] for r in rows), []]).astype(np.float16)}
+    np.savez(out, **{names.get(k, k): v for k, v in arrays.items()})
+    return out.getvalue()
+
+
+ROWS = [(f"r{i}", [float(j % 7) for j in range(i * 37 % 101)]) for i in range(200)]
+
+
+def test_store_rows_are_plain_slices_and_a_filter_reads_fewer_bytes():
+    data = store_of(ROWS)
+    read = {}
+    for wanted in (None, frozenset(["r3", "r4", "r150"])):
+        f = Counting(data)
+        arrays = stores.blocks(f)
+        f.n = 0
+        got = [(i, v.tolist()) for ids, values in stores.store_rows(f, arrays, 0, len(ROWS), wanted, 256) for i, v in zip(ids, values, strict=True)]
+        assert got == [r for r in ROWS if wanted is None or r[0] in wanted]
+        read[wanted] = f.n
+    few = sum(len(v) for i, v in ROWS if i in ("r3", "r4", "r150")) * 2
+    values = sum(len(v) for _, v in ROWS) * 2
+    assert read[frozenset(["r3", "r4", "r150"])] == read[None] - values + few
+    f = Counting(data)
+    arrays = stores.blocks(f)
+    f.n = 0
+    cut = stores.cuts(f, arrays["offsets"], 500)
+    sizes = [sum(len(v) for _, v in ROWS[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    assert cut[0] == 0 and cut[-1] == len(ROWS) and max(sizes) <= 700 and len(sizes) > 10 and f.n < 8 * 10 * len(cut)
+
+
+def test_store_files(spark, tmp_path):
+    (tmp_path / "a.npz").write_bytes(store_of(ROWS))
+    (tmp_path / "b.npz").write_bytes(store_of([]))
+    d = stores.read_store(spark, str(tmp_path), part_bytes=1000)
+    assert sorted((r["id"], r["values"]) for r in d.collect()) == sorted(ROWS) and d.rdd.getNumPartitions() > 10
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = stores.read_store(spark, str(tmp_path)).where(F.col("id").isin("r3", "r9") & (F.size("values") > 0))
+        assert sorted((r["id"], r["values"]) for r in some.collect()) == [r for r in ROWS if r[0] in ("r3", "r9")]
+        assert stores.read_store(spark, str(tmp_path)).where("id = 'no'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    (tmp_path / "c.npz").write_bytes(store_of([("x", [1.0])], ids="names"))
+    assert stores.read_store(spark, str(tmp_path / "c.npz"), ids="names").first()["id"] == "x"
+    squeezed = io.BytesIO()
+    np.savez_compressed(squeezed, ids=np.array(["x"]))
+    with pytest.raises(ValueError, match="compressed"):
+        stores.blocks(io.BytesIO(squeezed.getvalue()))
+
+
+def test_written_stores_read_back(spark, tmp_path):
+    d = spark.createDataFrame([*ROWS, ("r0", [9.0]), (None, None)], "id string, values array<float>").repartition(3)
+    for _ in range(2):  # the second takes the place of the first
+        stores.write_store(d, str(tmp_path / "s"), part_bytes=2000)
+    got = sorted((r["id"], r["values"]) for r in stores.read_store(spark, str(tmp_path / "s")).collect())
+    assert got == sorted([*ROWS, ("r0", [9.0]), ("", [])])
+    names = os.listdir(tmp_path / "s")
+    assert len(names) > 3 and all(n.endswith(".npz") for n in names)
+
+
+def test_files_of_groups(spark, tmp_path):
+    rows = [("a", "x2"), ("a", "x1"), ("a", "x1"), ("b", "y"), ("c d/é", "z1"), ("c d/é", "z2"), (None, "n"), ("e", None)]
+    d = spark.createDataFrame(rows, "base string, line string")
+    path = str(tmp_path / "g")
+    for _ in range(2):
+        stores.write_groups(d, "base", "line", path, least=2)
+    got = {r["base"]: (r["n"], r["file"]) for r in spark.read.csv(f"{path}/index.tsv", sep="\t", header=True, schema="base string, n long, file string").collect()}
+    assert {b: n for b, (n, _) in got.items()} == {"a": 2, "c d/é": 2}
+    assert open(f"{path}/{got['a'][1]}").read() == "x1\nx2\n" and open(f"{path}/{got['c d/é'][1]}").read() == "z1\nz2\n"
+    assert sorted(x for _, _, files in os.walk(path) for x in files if x.endswith(".txt")) == sorted(f.split("/")[-1] for _, f in got.values())
+    assert not os.path.exists(f"{path}/{stores.ATTEMPTS}")
+    assert sorted((r["base"], r["line"]) for r in stores.read_groups(spark, path).where("base = 'a'").collect()) == [("a", "x1"), ("a", "x2")]
+
+
+def test_an_attempt_that_fails_leaves_nothing(tmp_path):
+    def batch(*lines):
+        return pa.RecordBatch.from_arrays([pa.array(["a"] * len(lines)), pa.array(lines)], names=["base", "line"])
+
+    def broken():
+        yield batch("1", "2", "3")
+        raise OSError("lost")
+
+    w = stores.GroupWriter(str(tmp_path / "g"), True, 2, ".txt")
+    with pytest.raises(OSError):
+        w.write(broken())
+    again, second = w.write(iter([batch("1", "2"), batch("3")])), w.write(iter([batch("1", "2", "3")]))  # the second is a speculative copy
+    w.commit([again, None])
+    files = [os.path.join(d, f) for d, _, fs in os.walk(tmp_path / "g") for f in fs]
+    assert sorted(f.split("/")[-1] for f in files) == ["a.txt", "index.tsv"] and second.files == 1
+    assert open(next(f for f in files if f.endswith("a.txt"))).read() == "1\n2\n3\n"
+    w = stores.GroupWriter(str(tmp_path / "h"), True, 2, ".txt")
+    w.write(iter([batch("1", "2")]))
+    w.abort([None])
+    assert not [f for _, _, fs in os.walk(tmp_path / "h") for f in fs]
