@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import audit, evaluate, lookup, screen, transfer
+from ..operators import audit, containment, evaluate, lookup, screen, transfer
 from ..sources import readers, writers
 from . import screen_queries
 from .audit_queries import _MATRIX, _ROLL, _SHARED, _roll, connected_components, serpentine_folds
@@ -112,6 +112,20 @@ def grid_gaps(spark, sf_dir):
     return lookup.grid_gaps(runs(spark, sf_dir), "config", ["model", "fold"])
 
 
+_SECOND = "regexp_extract(p_name, '^\\S+ (\\S+)', 1)"
+
+
+@query(f"WITH k AS (SELECT DISTINCT {_SECOND} AS key FROM part WHERE {_SECOND} <> '') SELECT p_partkey AS id, key, CASE WHEN key = split_part(p_name, ' ', 1) THEN 'both' ELSE 'contained' END AS found FROM part JOIN k ON contains(p_name, key)")
+def contained_keys(spark, sf_dir):
+    """Second words of part names that stand anywhere in a part's name, and whether a join by the first word finds them as well."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    keys = p.select(F.regexp_extract("p_name", r"^\S+ (\S+)", 1).alias("key"))
+    found = containment.containing(p, "p_partkey", "p_name", keys, "key")
+    joined = lookup.by_prefix(p.withColumnRenamed("p_partkey", "id"), "p_name", r"^(\S+)", keys.where("key <> ''").distinct(), "key").select("id", "key")
+    apart = containment.disagreements(found, joined)
+    return apart.select("id", "key", F.col("only").alias("found")).unionByName(found.join(joined, ["id", "key"], "left_semi").select("id", "key", F.lit("both").alias("found")))
+
+
 @query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON TRY_CAST(regexp_extract(c_name, '#(\\d+)$', 1) AS BIGINT) = o_custkey")
 def prefix_key_join(spark, sf_dir):
     """Orders of the customers whose number stands in their name."""

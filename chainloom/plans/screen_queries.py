@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import audit, curves, merge, resample, screen, search, spatial, transfer
+from ..operators import audit, curves, merge, resample, screen, search, spatial, transfer, votes
 from ..sources import readers, writers
 from ..streaming import worklist
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
@@ -84,14 +84,10 @@ v AS (SELECT q, t, label, greatest(0, (score - thr) / greatest(pc - thr, 1)) AS
 
 @query(_KNN + " SELECT q, round(sum(w * (label % 2)) / sum(w), 6) AS score FROM v WHERE r <= 32 GROUP BY q")
 def knn_weighted_vote(spark, sf_dir):
-    """Every vector whose id is divisible by 20 against all: the stated query set, in blocks."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("n", dot(F.col("v"), F.col("v")))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    p = transfer.against_all(q, e, "q", "vec_id").where("q <> vec_id").select("q", F.col("vec_id").alias("t"), "label", (100 * dot(F.col("qv"), F.col("v")) / F.sqrt(F.col("qn") * F.col("n"))).alias("score"))
-    votes = transfer.vote_weights(p, "q", "score", cutoff=10.0)
-    return rounded(transfer.weighted_vote(votes.withColumn("y", F.col("label") % 2), ["q"], "w", "y"))
+    """Every vector whose id is divisible by 20 against all: the stated query set, in blocks, with merged summaries of scores."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), F.col("embedding").alias("v"))
+    q, t = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "v"), e.select(F.col("vec_id").alias("t"), "v", "label")
+    return rounded(transfer.weighted_vote(votes.vector_votes(q, t, cutoff=10.0), ["q"], "w", "label"))
 
 
 @query()
