@@ -175,7 +175,7 @@ def channel(scores: Column, index: int = -1) -> Column:
 
 def log_weight(weight: Column, base: float, eps: float = 1e-12) -> Column:
     """Logarithm of a weight, of eps where it is less."""
-    return F.log(F.lit(float(base)), F.greatest(weight, F.lit(eps)))
+    return F.log(float(base), F.greatest(weight, F.lit(eps)))
 
 
 def coarse_class(letter: Column) -> Column:

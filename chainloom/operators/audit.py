@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import columns, fresh
+from ..plans.materialize import col, columns, free_names, fresh
 from .prefix import exact_quantiles, prefix_sums
 
 
@@ -18,22 +18,25 @@ def chain_rollup(residues: DataFrame, chain: str = "chain", aa: str = "aa", labe
 
 def overview(chains: DataFrame, split: str, length: str, positives: str, weight: str) -> DataFrame:
     """One row per split and one for "all"."""
+    (g,) = fresh(chains)
     t = chains.groupingSets([[split], []], split).agg(
-        F.grouping(split).alias("_g"), F.count("*").alias("chains"), F.sum(length).alias("residues"), F.sum(positives).alias("positives"), F.avg(length).alias("mean_length"),
+        F.grouping(split).alias(g), F.count("*").alias("chains"), F.sum(length).alias("residues"), F.sum(positives).alias("positives"), F.avg(length).alias("mean_length"),
         F.percentile(length, F.lit(0.25)).alias("p25"), F.percentile(length, F.lit(0.75)).alias("p75"), F.sum(weight).alias("weight"),
     )
-    return t.select(F.when(F.col("_g") == 1, "all").otherwise(F.col(split).cast("string")).alias(split), "chains", "residues", "positives", "mean_length", "p25", "p75", "weight", F.try_divide(F.col("positives"), F.col("residues")).alias("fraction"))
+    return t.select(F.when(F.col(g) == 1, "all").otherwise(F.col(split).cast("string")).alias(split), "chains", "residues", "positives", "mean_length", "p25", "p75", "weight", F.try_divide(F.col("positives"), F.col("residues")).alias("fraction"))
 
 
 def distribution(rows: DataFrame, key: list[str], weight: str | None = None) -> DataFrame:
     """(key, n, pct[, weight, weight_pct]); totals come from the grouped table."""
     aggs = [F.count("*").alias("n")] + ([F.sum(weight).alias("weight")] if weight else [])
+    free_names(rows.select(*key), "n", "pct", *(["weight", "weight_pct"] if weight else []))
     g = rows.groupBy(*key).agg(*aggs)
-    total = g.agg(F.sum("n").alias("_n"), *([F.sum("weight").alias("_w")] if weight else []))
-    out = g.crossJoin(F.broadcast(total)).withColumn("pct", 100.0 * F.col("n") / F.col("_n"))
+    n, w = fresh(g, n=2)
+    total = g.agg(F.sum("n").alias(n), *([F.sum("weight").alias(w)] if weight else []))
+    out = g.crossJoin(F.broadcast(total)).withColumn("pct", 100.0 * F.col("n") / F.col(n))  # one row
     if weight:
-        out = out.withColumn("weight_pct", 100.0 * F.try_divide(F.col("weight"), F.col("_w")))
-    return out.drop("_n", "_w")
+        out = out.withColumn("weight_pct", 100.0 * F.try_divide(F.col("weight"), F.col(w)))
+    return out.drop(n, w)
 
 
 def pivot_share(rows: DataFrame, key: str, columns: str, values: list, measure: Column, normalise: bool = True) -> DataFrame:
@@ -70,8 +73,9 @@ def box_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def frequency_rollup(rows: DataFrame, part: str, label: str) -> DataFrame:
     """(part, label, n, share): shares of each label within a part, and overall with part "all"."""
-    n = rows.groupingSets([[part, label], [label]], part, label).agg(F.grouping(part).alias("_g"), F.count("*").alias("n"))
-    n = n.select(F.when(F.col("_g") == 1, "all").otherwise(F.col(part).cast("string")).alias(part), label, "n")
+    (g,) = fresh(rows)
+    n = rows.groupingSets([[part, label], [label]], part, label).agg(F.grouping(part).alias(g), F.count("*").alias("n"))
+    n = n.select(F.when(F.col(g) == 1, "all").otherwise(F.col(part).cast("string")).alias(part), label, "n")
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(part)))
 
 
@@ -98,18 +102,21 @@ def leakage(rows: DataFrame, columns: list[str], split: str) -> DataFrame:
 
 def overlap_report(rows: DataFrame, entry: str, split: str) -> DataFrame:
     """(entry, n, splits): entries in more than one split."""
-    pairs = rows.groupBy(entry, split).agg(F.count("*").alias("_n"))
-    return pairs.groupBy(entry).agg(F.sum("_n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(split).cast("string"))), ",").alias("splits"), F.count("*").alias("n_splits")).where("n_splits > 1")
+    (n,) = fresh(rows)
+    pairs = rows.groupBy(entry, split).agg(F.count("*").alias(n))
+    return pairs.groupBy(entry).agg(F.sum(n).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(split).cast("string"))), ",").alias("splits"), F.count("*").alias("n_splits")).where("n_splits > 1")
 
 
 def hierarchical_weights(chains: DataFrame, top: str, mid: str, parent: str, structure: str, cap: int = 100) -> DataFrame:
     """chains and w_top = min(cap, mids of the top), w_mid, w_seq, w_struct: each level shares out the one above; null becomes 1."""
-    mids = chains.select(top, mid).distinct().groupBy(top).agg(F.least(F.count("*"), F.lit(cap)).cast("double").alias("w_top"), F.count("*").alias("_mids"))
-    parents = chains.select(mid, parent).distinct().groupBy(mid).agg(F.count("*").alias("_parents"))
-    structures = chains.select(mid, parent, structure).distinct().groupBy(mid, parent).agg(F.count("*").alias("_structs"))
+    free_names(chains, "w_top", "w_mid", "w_seq", "w_struct")
+    n_mid, n_parent, n_struct = fresh(chains, n=3)
+    mids = chains.select(top, mid).distinct().groupBy(top).agg(F.least(F.count("*"), F.lit(cap)).cast("double").alias("w_top"), F.count("*").alias(n_mid))
+    parents = chains.select(mid, parent).distinct().groupBy(mid).agg(F.count("*").alias(n_parent))
+    structures = chains.select(mid, parent, structure).distinct().groupBy(mid, parent).agg(F.count("*").alias(n_struct))
     t = chains.join(mids, top, "left").join(parents, mid, "left").join(structures, [mid, parent], "left")
-    t = t.withColumn("w_mid", F.col("w_top") / F.col("_mids")).withColumn("w_seq", F.col("w_mid") / F.col("_parents")).withColumn("w_struct", F.col("w_seq") / F.col("_structs"))
-    return t.select(*chains.columns, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("w_top", "w_mid", "w_seq", "w_struct")])
+    t = t.withColumn("w_mid", F.col("w_top") / F.col(n_mid)).withColumn("w_seq", F.col("w_mid") / F.col(n_parent)).withColumn("w_struct", F.col("w_seq") / F.col(n_struct))
+    return t.select(*columns(chains), *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("w_top", "w_mid", "w_seq", "w_struct")])
 
 
 def component_class_matrix(rows: DataFrame, component: str, cls: str, weight: str, classes: list) -> DataFrame:
@@ -200,8 +207,9 @@ def nonfinite(rows: DataFrame, policy: str, chain: str, score: str, weight: str)
 
 def class_by_split(chains: DataFrame, split: str, cls: str, length: str, positives: str) -> DataFrame:
     """(split, class, chains, with_sites, residues, fraction): counts, chains with positives, and the share of positives."""
-    t = chains.groupBy(split, cls).agg(F.count("*").alias("chains"), F.sum((F.col(positives) > 0).cast("int")).alias("with_sites"), F.sum(length).alias("residues"), F.sum(positives).alias("_p"))
-    return t.select(split, cls, "chains", "with_sites", "residues", F.try_divide(F.col("_p"), F.col("residues")).alias("fraction"))
+    (p,) = fresh(chains)
+    t = chains.groupBy(split, cls).agg(F.count("*").alias("chains"), F.sum((F.col(positives) > 0).cast("int")).alias("with_sites"), F.sum(length).alias("residues"), F.sum(positives).alias(p))
+    return t.select(split, cls, "chains", "with_sites", "residues", F.try_divide(F.col(p), F.col("residues")).alias("fraction"))
 
 
 def component_sizes(rows: DataFrame, component: str, weight: str) -> DataFrame:
@@ -254,8 +262,9 @@ def split_order(split: Column) -> Column:
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int, parts: int = 32) -> DataFrame:
     """The first n rows of each group with their `rank`. Each of `parts` hashed parts of a group gives its own first n, so no task ranks a whole group."""
+    free_names(rows, "rank")
     part, r = fresh(rows, n=2)
-    cut = rows.withColumn(part, F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if not t.startswith(("map", "variant"))]), F.lit(parts)))
+    cut = rows.withColumn(part, F.pmod(F.xxhash64(*[col(c) for c, t in rows.dtypes if not t.startswith(("map", "variant"))]), F.lit(parts)))
     cut = cut.withColumn(r, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))).where(F.col(r) <= n).drop(r, part)
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
 

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import written
-
-BUCKETS = 64
+from .prefix import BUCKETS, buckets_for
 
 
 def points(rows: DataFrame, group: list[str], label: str = "label", score: str = "score", weight: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -21,7 +20,8 @@ def points(rows: DataFrame, group: list[str], label: str = "label", score: str =
     clean = rows.select(*group, F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("y"), w.alias("w")).where("score is not null and not isnan(score) and y is not null and w <> 0")
     by_score = clean.groupBy(*group, "score").agg(F.sum(F.col("w") * F.col("y")).alias("dtp"), F.sum(F.col("w") * (1 - F.col("y"))).alias("dfp"))
     by_score = written(by_score, "scores")
-    cuts = by_score.groupBy(*group).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 1000).alias("cuts"), F.sum("dtp").alias("pos"), F.sum("dfp").alias("neg"))
+    buckets = buckets_for(by_score.count(), buckets)
+    cuts = by_score.groupBy(*group).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], max(1000, 16 * buckets)).alias("cuts"), F.sum("dtp").alias("pos"), F.sum("dfp").alias("neg"))
     cuts = written(cuts, "cuts")  # read twice below: approximate quantiles worked out twice may differ, and buckets with them
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     placed = by_score.alias("a").join(cuts.alias("b"), on if on else F.lit(True)).select(*[F.col(f"a.{g}").alias(g) for g in group], "score", "dtp", "dfp", "pos", "neg", F.size(F.filter("cuts", lambda c: c <= F.col("score"))).alias("bucket"))

@@ -97,15 +97,16 @@ def ratio_split(rows: DataFrame, component: str, weight: str, shares: dict[str,
     Cumulative weights run within 256 hash ranges, offset by the ranges before.
     """
     h = hashed_order(F.col(component), seed)
-    t = rows.groupBy(component).agg(F.sum(weight).alias("_w")).withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 2))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    b = t.groupBy("_b").agg(F.sum("_w").alias("_bw")).withColumn("_off", F.coalesce(F.sum("_bw").over(before), F.lit(0.0))).drop("_bw")
-    total = t.agg(F.sum("_w").alias("_t"))
-    inside = Window.partitionBy("_b").orderBy("_h", component).rowsBetween(Window.unboundedPreceding, -1)
-    share = (F.col("_off") + F.coalesce(F.sum("_w").over(inside), F.lit(0.0))) / F.col("_t")
+    w_, h_, b_, sum_, off_, all_ = fresh(rows, n=6, prefix="_part")
+    t = rows.groupBy(component).agg(F.sum(weight).alias(w_)).withColumn(h_, h).withColumn(b_, F.substring(h_, 1, 2))
+    before = Window.orderBy(b_).rowsBetween(Window.unboundedPreceding, -1)
+    b = t.groupBy(b_).agg(F.sum(w_).alias(sum_)).withColumn(off_, F.coalesce(F.sum(sum_).over(before), F.lit(0.0))).drop(sum_)
+    total = t.agg(F.sum(w_).alias(all_))
+    inside = Window.partitionBy(b_).orderBy(h_, component).rowsBetween(Window.unboundedPreceding, -1)
+    share = (F.col(off_) + F.coalesce(F.sum(w_).over(inside), F.lit(0.0))) / F.col(all_)
     edge, out = 0.0, None
     for name, s in list(shares.items())[:-1]:
         edge += s
         out = F.when(share < edge, name) if out is None else out.when(share < edge, name)
     out = out.otherwise(list(shares)[-1]) if out is not None else F.lit(next(iter(shares)))
-    return t.join(F.broadcast(b), "_b").crossJoin(F.broadcast(total)).select(component, out.alias("set"))
+    return t.join(F.broadcast(b), b_).crossJoin(F.broadcast(total)).select(component, out.alias("set"))

@@ -6,11 +6,12 @@ Null keys match nothing. Rows of the left side that repeat keep their rows. Empt
 from __future__ import annotations
 
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import col, columns, fresh
+from ..plans.materialize import BROADCAST_ROWS, col, columns, fresh, written
 
 
 def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -48,11 +49,14 @@ def join_report(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return both.groupBy(side.alias("side")).agg(F.count("*").alias("keys"), F.coalesce(F.sum("a"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("right_rows"))
 
 
-def two_hop(rows: DataFrame, key: str, first: DataFrame, middle: str, second: DataFrame, last: str) -> DataFrame:
+def two_hop(rows: DataFrame, key: str, first: DataFrame, middle: str, second: DataFrame, last: str, check: bool = False) -> DataFrame:
     """rows with middle and last, looked up one after the other, and `missing`: "first" or "second" where a hop finds nothing.
 
-    first: (key, middle), second: (middle, last), each key once.
+    first: (key, middle), second: (middle, last), each key once; with check, a repeated one is an error, without, it repeats rows.
     """
+    if check:
+        _unique(first.where(F.col(key).isNotNull()), [key], "first")
+        _unique(second.where(F.col(middle).isNotNull()), [middle], "second")
     out = rows.join(first.select(key, middle), key, "left").join(second.select(middle, last), middle, "left")
     missing = F.when(F.col(middle).isNull(), "first").when(F.col(last).isNull(), "second")
     return out.select(*columns(rows), middle, last, missing.alias("missing"))
@@ -60,21 +64,24 @@ def two_hop(rows: DataFrame, key: str, first: DataFrame, middle: str, second: Da
 
 def ownership_count(rows: DataFrame, owner: str, structures: str) -> DataFrame:
     """(structure, owners): how many owners have each structure of an array column; repeats within an owner count once."""
-    pairs = rows.select(F.col(owner).alias("_owner"), F.explode(structures).alias("structure")).where("structure is not null and _owner is not null").distinct()
+    pairs = rows.select(F.col(owner).alias("owner"), F.explode(structures).alias("structure")).where("structure is not null and owner is not null").distinct()
     return pairs.groupBy("structure").agg(F.count("*").alias("owners"))
 
 
 def exclusive_structures(rows: DataFrame, owner: str, structures: str, inventory: DataFrame | None = None) -> DataFrame:
     """(owner, structure): structures that exactly one owner has, and that the inventory (structure), if given, holds."""
-    pairs = rows.select(F.col(owner).alias(owner), F.explode(structures).alias("structure")).where(F.col("structure").isNotNull() & F.col(owner).isNotNull())
-    alone = pairs.groupBy("structure").agg(F.min(owner).alias(owner), F.max(owner).alias("_other")).where(F.col(owner) == F.col("_other"))
+    pairs = rows.select(F.col(owner).alias("first"), F.explode(structures).alias("structure")).where("structure is not null and first is not null")
+    alone = pairs.groupBy("structure").agg(F.min("first").alias("first"), F.max("first").alias("last")).where("first = last").select("structure", F.col("first").alias(owner))
     if inventory is not None:
         alone = alone.join(inventory.select("structure").distinct(), "structure", "left_semi")
     return alone.select(owner, "structure")
 
 
-def with_alias(rows: DataFrame, key: str, table: DataFrame, value: str, alias: DataFrame, other: str) -> DataFrame:
-    """rows with value, looked up by key, else by the key that alias (key, other) names, and `found`: "key", "alias" or null."""
+def with_alias(rows: DataFrame, key: str, table: DataFrame, value: str, alias: DataFrame, other: str, check: bool = False) -> DataFrame:
+    """rows with value, looked up by key, else by the key that alias (key, other) names, and `found`: "key", "alias" or null. With check, a key that table or alias repeats is an error; without, it repeats rows."""
+    if check:
+        _unique(table.where(F.col(key).isNotNull()), [key], "value")
+        _unique(alias.where(F.col(key).isNotNull()), [key], "alias")
     direct, by_alias, o = fresh(rows, n=3)
     t = table.select(F.col(key).alias(key), F.col(value).alias(direct))
     out = rows.join(t, key, "left").join(alias.select(F.col(key), F.col(other).alias(o)), key, "left")
@@ -83,8 +90,11 @@ def with_alias(rows: DataFrame, key: str, table: DataFrame, value: str, alias: D
     return out.select(*columns(rows), F.coalesce(direct, by_alias).alias(value), found.alias("found"))
 
 
-def cached_or(rows: DataFrame, key: str, length: str, cache: DataFrame, fallback: DataFrame, value: str) -> DataFrame:
-    """rows with value, from the cache (key, length, value) where the lengths agree, else from the fallback (key, value), and `origin`."""
+def cached_or(rows: DataFrame, key: str, length: str, cache: DataFrame, fallback: DataFrame, value: str, check: bool = False) -> DataFrame:
+    """rows with value, from the cache (key, length, value) where the lengths agree, else from the fallback (key, value), and `origin`. With check, a key that one of them repeats is an error; without, it repeats rows."""
+    if check:
+        _unique(cache.where(F.col(key).isNotNull()), [key], "cache")
+        _unique(fallback.where(F.col(key).isNotNull()), [key], "fallback")
     n, a, b = fresh(rows, n=3)
     out = rows.join(cache.select(F.col(key), F.col(length).alias(n), F.col(value).alias(a)), key, "left").join(fallback.select(F.col(key), F.col(value).alias(b)), key, "left")
     valid = F.col(n) == F.col(length)
@@ -106,8 +116,12 @@ def weight_of(rows: DataFrame, key: str, weights: DataFrame, weight: str, names:
 
 
 def grid_gaps(rows: DataFrame, unit: str, axes: list[str]) -> DataFrame:
-    """(unit, axes): combinations of the axes' values that a unit has no row for. Axes are a small parameter grid; units are not multiplied but by it."""
-    grid = reduce(lambda a, b: a.crossJoin(b), [F.broadcast(rows.select(x).where(F.col(x).isNotNull()).distinct()) for x in axes])
+    """(unit, axes): combinations of the axes' values that a unit has no row for. Axes are a small parameter grid; units are not multiplied but by it. More than BROADCAST_ROWS combinations are an error."""
+    values = [written(rows.select(x).where(F.col(x).isNotNull()).distinct(), "axis") for x in axes]
+    size = prod(v.count() for v in values)
+    if size > BROADCAST_ROWS:
+        raise ValueError(f"{size} combinations of {', '.join(axes)}")
+    grid = reduce(lambda a, b: a.crossJoin(b), [F.broadcast(v) for v in values])
     every = rows.select(unit).where(F.col(unit).isNotNull()).distinct().crossJoin(F.broadcast(grid))
     return every.join(rows.select(unit, *axes).distinct(), [unit, *axes], "left_anti")
 

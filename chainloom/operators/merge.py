@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..plans.materialize import col, fresh
 
 
-def merge_folds(rows: DataFrame, key: list[str], fold: str, score: str, how: str = "mean") -> DataFrame:
-    """(key, score, n_folds, folds): one score per key from all folds that have it: mean, median, or that of the first fold."""
+def merge_folds(rows: DataFrame, key: list[str], fold: str, score: str, how: str = "mean", weight: str | None = None) -> DataFrame:
+    """(key, score[, weight], n_folds, folds): one score per key from all folds that have it: mean, median, or that of the first fold; and the mean weight.
+
+    Null scores and weights count in no mean; null keys are a key; repeated rows count each; no rows give none.
+    """
     value = {"mean": F.avg(score), "median": F.percentile(score, F.lit(0.5)), "first": F.min_by(score, fold)}[how]
-    return rows.groupBy(*key).agg(value.alias(score), F.count_distinct(fold).alias("n_folds"), F.array_join(F.array_sort(F.collect_set(F.col(fold).cast("string"))), ",").alias("folds"))
+    carried = [F.avg(weight).alias(weight)] if weight else []
+    return rows.groupBy(*key).agg(value.alias(score), *carried, F.count_distinct(fold).alias("n_folds"), F.array_join(F.array_sort(F.collect_set(F.col(fold).cast("string"))), ",").alias("folds"))
 
 
 def ensemble_mean(rows: DataFrame, key: list[str], model: str, score: str, label: str, n_models: int | Column) -> DataFrame:
-    """(key, label, score): keys that every model has with one label, scores averaged."""
-    g = rows.groupBy(*key).agg(F.count_distinct(model).alias("_m"), F.min(label).alias(label), F.max(label).alias("_l"), F.avg(score).alias(score))
-    return g.where((F.col("_m") == n_models) & F.col(label).eqNullSafe(F.col("_l"))).drop("_m", "_l")
+    """(key, label, score): keys that every model has with one label, scores averaged. Null keys are a key; repeated rows count each in the mean; no rows give none."""
+    m, most = fresh(rows, n=2)
+    g = rows.groupBy(*key).agg(F.count_distinct(model).alias(m), F.min(label).alias(label), F.max(label).alias(most), F.avg(score).alias(score))
+    return g.where((F.col(m) == n_models) & F.col(label).eqNullSafe(F.col(most))).drop(m, most)
 
 
 def seed_summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -119,3 +124,15 @@ def ordinal_join(labels: DataFrame, scores: DataFrame, chain: str, pos: str) ->
 def score_coverage(rows: DataFrame, chain: str, score: str) -> DataFrame:
     """(chain, n, covered, total): positions, those with a score, and the sum of scores, 0 without any."""
     return rows.groupBy(chain).agg(F.count("*").alias("n"), F.count(score).alias("covered"), F.coalesce(F.sum(score), F.lit(0.0)).alias("total"))
+
+
+def length_mismatches(labels: DataFrame, scores: DataFrame, chain: str, pos: str) -> DataFrame:
+    """(chains, equal, longer, shorter, unscored, unlabelled): one row: how many chains have as many scores as labels, more, fewer, none, and how many have scores alone.
+
+    Null chains are left out; a place that repeats counts once; empty tables give zeros.
+    """
+    n = lambda d, name: d.where(F.col(chain).isNotNull()).groupBy(F.col(chain).alias("c")).agg(F.count_distinct(pos).alias(name))
+    both = n(labels, "a").join(n(scores, "b"), "c", "full_outer")
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    a, b = F.col("a"), F.col("b")
+    return both.agg(F.count("*").alias("chains"), count(a == b).alias("equal"), count(b > a).alias("longer"), count(b < a).alias("shorter"), count(b.isNull()).alias("unscored"), count(a.isNull()).alias("unlabelled"))

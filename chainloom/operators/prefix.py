@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import HOT_ROWS, col, fresh, small, written
+from ..plans.materialize import HOT_ROWS, col, free_names, fresh, small, written
 
-BUCKETS = 64
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
+
+
+def buckets_for(rows: int, least: int = BUCKETS) -> int:
+    """Buckets of about BUCKET_ROWS rows each, `least` of them at least."""
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def prefix_sums(cells: DataFrame, group: list[str], order: str, sums: list[str], descending: bool = False, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """cells with up_<s>, the sum of s up to each cell in the order, itself included, and all_<s>, that of the group.
 
     cells: one row per (group, order[, tie]), the order numeric; rows with a null or NaN order are left out. Cells fall into buckets cut at approximate
-    quantiles; totals of buckets give offsets, and windows run inside a bucket. Null groups are a group. No cells give no rows.
+    quantiles, as many as the counted cells ask for; totals of buckets give offsets, and windows run inside a bucket. Null groups are a group. No cells give no rows.
     """
     b, cuts = fresh(cells, n=2, prefix="_bucket")
     cells = written(cells.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))), "cells")
+    buckets = buckets_for(cells.count(), buckets)
     x = F.col(order).cast("double")
-    totals = cells.groupBy(*group).agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], 1000).alias(cuts), *[F.sum(s).alias(f"all_{s}") for s in sums])
+    totals = cells.groupBy(*group).agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], max(1000, 16 * buckets)).alias(cuts), *[F.sum(s).alias(f"all_{s}") for s in sums])
     totals = written(totals, "cuts")  # read twice below: approximate quantiles worked out twice may differ, and buckets with them
     on = lambda names: [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in names] or F.lit(True)
     placed = cells.alias("a").join(totals.alias("b"), on(group)).select("a.*", *[f"b.all_{s}" for s in sums], F.size(F.filter(F.col(f"b.{cuts}"), lambda c: c <= x)).alias(b))
@@ -44,7 +50,8 @@ def row_places(rows: DataFrame, group: list[str], value: str, tie: str, descendi
     Rows are counted by value; counts give the place at which each value begins. Rows of a value with more than hot_rows rows are cut into ranges of the
     tie, so that no task ranks them all. tie is a number or a string and tells the rows of a group apart. Rows with a null value are left out.
     """
-    t, v, c, n, cut = fresh(rows, n=5, prefix="_place")
+    free_names(rows, "place", *(["before"] if cost else []))
+    t, v, c, n, cut, number, total = fresh(rows, n=7, prefix="_place")
     rows = rows.where(F.col(value).isNotNull()).withColumn(t, monotone(tie, dict(rows.dtypes)[tie])).withColumn(v, F.col(value).cast("double"))
     many = rows.groupBy(*group, v).count().where(F.col("count") > hot_rows)
     many = written(many.select(*group, v, F.col("count").alias(n)), "hot-values")
@@ -56,16 +63,16 @@ def row_places(rows: DataFrame, group: list[str], value: str, tie: str, descendi
         ranges = written(ranges, "tie-ranges")
         rows = rows.join(small(ranges), [*group, v], "left").withColumn(c, F.coalesce(F.size(F.filter(cut, lambda x: x <= F.col(t))), F.lit(0)))
         rows = rows.withColumn(c, F.greatest(c, F.lit(0))).drop(cut)
-    add = [F.count("*").alias("_n"), *([F.sum(cost).alias("_cost")] if cost else [])]
+    add = [F.count("*").alias(number), *([F.sum(cost).alias(total)] if cost else [])]
     cells = rows.groupBy(*group, v, c).agg(*add)
-    sums = ["_n", *(["_cost"] if cost else [])]
+    sums = [number, *([total] if cost else [])]
     begin = prefix_sums(cells, group, v, sums, descending, tie=c).select(*group, v, c, *[(F.col(f"up_{s}") - F.col(s)).alias(f"at{s}") for s in sums])
     inside = Window.partitionBy(*group, v, c).orderBy(tie)
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in [*group, v, c]]
     joined = rows.alias("a").join(begin.alias("b"), on).select("a.*", *[f"b.at{s}" for s in sums])
-    out = joined.withColumn("place", F.col("at_n") + F.row_number().over(inside) - 1)
+    out = joined.withColumn("place", F.col(f"at{number}") + F.row_number().over(inside) - 1)
     if cost:
-        out = out.withColumn("before", F.col("at_cost") + F.coalesce(F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        out = out.withColumn("before", F.col(f"at{total}") + F.coalesce(F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return out.drop(t, v, c, *[f"at{s}" for s in sums])
 
 

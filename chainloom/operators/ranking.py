@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import free_names
 from .prefix import prefix_sums
 
 
 def ranked(rows: DataFrame, chain: list[str], score: str = "score", pos: str = "pos") -> DataFrame:
     """rows and their rank from 1; null and NaN scores come last."""
+    free_names(rows, "rank")
     clean = F.when(~F.isnan(score), F.col(score))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*chain).orderBy(clean.desc_nulls_last(), F.col(pos))))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import BROADCAST_ROWS, fresh, written
+
 
 def digest(seed: int, *keys: Column) -> Column:
     """32 hex digits of the keys' text, which any engine with MD5 gives alike; null keys are the text "null"."""
@@ -16,11 +18,19 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def few(pairs: DataFrame) -> DataFrame:
+    """A table of (fold, seed) pairs, written; more than BROADCAST_ROWS are an error."""
+    pairs = written(pairs, "pairs")
+    if pairs.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} pairs")
+    return pairs
+
+
 def signflip_test(diffs: DataFrame, fold: str, seed_col: str, diff: str, n_perm: int, seed: int = 1) -> DataFrame:
     """(d, n, p_two, p_greater, p_less): the mean of fold means against random signs of each pair; p with one added."""
     observed = diffs.groupBy(fold).agg(F.avg(diff).alias("m")).agg(F.avg("m").alias("d"))
     spark = diffs.sparkSession
-    flips = spark.range(n_perm).withColumnRenamed("id", "perm").crossJoin(F.broadcast(diffs.select(fold, seed_col, diff)))
+    flips = spark.range(n_perm).withColumnRenamed("id", "perm").crossJoin(F.broadcast(few(diffs.select(fold, seed_col, diff))))  # counted
     sign = F.when(uniform(seed, F.col("perm"), F.col(fold), F.col(seed_col)) < 0.5, -1.0).otherwise(1.0)
     stars = flips.groupBy("perm", fold).agg(F.avg(sign * F.col(diff)).alias("m")).groupBy("perm").agg(F.avg("m").alias("s"))
     t = stars.crossJoin(F.broadcast(observed))
@@ -34,6 +44,7 @@ def hierarchical_bootstrap(diffs: DataFrame, fold: str, seed_col: str, diff: str
 
     diffs is the small table of (fold, seed) pairs.
     """
+    diffs = few(diffs.select(fold, seed_col, diff))
     cells = diffs.groupBy(fold).agg(F.array_sort(F.collect_list(F.struct(F.col(seed_col).alias("s"), F.col(diff).alias("d")))).alias("pairs"))
     folds = cells.agg(F.array_sort(F.collect_list(F.struct(F.col(fold).alias("f"), "pairs"))).alias("folds"))
     draws = diffs.sparkSession.range(n_boot).withColumnRenamed("id", "boot").crossJoin(F.broadcast(folds))
@@ -82,11 +93,12 @@ def bootstrap_sums(rows: DataFrame, group: list[str], unit: list[str], by: list[
     A unit is a residue, or a chain with all of its. Rows are added up by unit first; each sum then meets its draws, four to a hash, and draws are added up before any
     shuffle, so what is sent grows with the groups and draws, not with the units. Null units are one unit.
     """
-    cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias("_w"))
-    blocks = cells.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)))).withColumn("_h", digest(seed, *[F.col(c) for c in unit], F.col("_b")))
-    draw = lambda i: F.struct((F.col("_b") * DRAWS_PER_HASH + i).alias("boot"), F.substring("_h", 1 + 8 * i, 8).alias("u"))
-    drawn = blocks.select(*group, *by, "_w", F.inline(F.array(*map(draw, range(DRAWS_PER_HASH))))).withColumn("times", poisson_count(F.col("u"))).where((F.col("times") > 0) & (F.col("boot") < n_boot))
-    return drawn.groupBy(*group, "boot", *by).agg(F.sum(F.col("_w") * F.col("times")).alias("weight"))
+    w, b, h, u, times = fresh(rows, n=5, prefix="_draw")
+    cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias(w))
+    blocks = cells.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)))).withColumn(h, digest(seed, *[F.col(c) for c in unit], F.col(b)))
+    draw = lambda i: F.struct((F.col(b) * DRAWS_PER_HASH + i).alias("boot"), F.substring(h, 1 + 8 * i, 8).alias(u))
+    drawn = blocks.select(*group, *by, w, F.inline(F.array(*map(draw, range(DRAWS_PER_HASH))))).withColumn(times, poisson_count(F.col(u))).where((F.col(times) > 0) & (F.col("boot") < n_boot))
+    return drawn.groupBy(*group, "boot", *by).agg(F.sum(F.col(w) * F.col(times)).alias("weight"))
 
 
 def random_labels(rows: DataFrame, share: float, *keys: str, seed: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import fresh, written
+from ..plans.materialize import free_names, fresh, written
 from .audit import keep_first
 from .transfer import column_vote
 
@@ -15,6 +15,7 @@ PAIR_BLOCK = 200
 
 def novelty(rows: DataFrame, predicted: str, known: str) -> DataFrame:
     """rows with novel, n_novel, n_known, n_shared from two position arrays; nulls count as empty."""
+    free_names(rows, "novel", "n_novel", "n_known", "n_shared", "n_predicted")
     p, k = F.coalesce(F.col(predicted), F.array().cast("array<int>")), F.coalesce(F.col(known), F.array().cast("array<int>"))
     t = rows.withColumn("novel", F.array_sort(F.array_except(p, k))).withColumn("n_known", F.size(F.array_distinct(k))).withColumn("n_shared", F.size(F.array_intersect(p, k)))
     return t.withColumn("n_novel", F.size("novel")).withColumn("n_predicted", F.size(F.array_distinct(p)))

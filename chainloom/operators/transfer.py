@@ -204,8 +204,9 @@ def column_vote(columns: DataFrame, group: list[str], letter: str, label: str, q
 
 def average_propagation(votes: DataFrame, base: DataFrame, key: list[str], label: str, tau: float) -> DataFrame:
     """(key, label): base labels, or 1 where the mean label of the hits reaches tau."""
-    m = votes.groupBy(*key).agg(F.avg(label).alias("_m"))
-    return base.join(m, key, "left").select(*key, F.greatest(F.col(label), F.coalesce((F.col("_m") >= tau).cast("int"), F.lit(0))).alias(label))
+    (mean,) = fresh(base)
+    m = votes.groupBy(*key).agg(F.avg(label).alias(mean))
+    return base.join(m, key, "left").select(*key, F.greatest(F.col(label), F.coalesce((F.col(mean) >= tau).cast("int"), F.lit(0))).alias(label))
 
 
 def cluster_propagation(votes: DataFrame, base: DataFrame, target: str, pos: str, hit: str, label: str, score: str, same: str, cutoff: float, tau: float) -> DataFrame:

@@ -71,6 +71,13 @@ def fresh(*frames: DataFrame, n: int = 1, prefix: str = "_x") -> list[str]:
     return out
 
 
+def free_names(df: DataFrame, *names: str) -> None:
+    """An error if df has a column of one of these names, which an operator adds."""
+    taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if taken:
+        raise ValueError(f"the table has columns named {', '.join(taken)}, which are added here: rename them first")
+
+
 def col(name: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import columns
 
+#: Splits that a reference table is made for, each a copy of the others' entries.
+MOST_SPLITS = 100
+
 
 def annotation_blocks(residues: DataFrame) -> DataFrame:
     """(id, value): the text block of each chain, residues by position."""
@@ -57,8 +60,11 @@ def group_index(rows: DataFrame, base: str, member: str, least: int) -> DataFram
 
 def reference_db(entries: DataFrame, splits: DataFrame, entry: str = "Entry", split: str = "split") -> DataFrame:
     """For each held-out split, entries of the others; an entry that several have is kept from the first."""
-    hold = splits.select(F.col(split).alias("holdout")).distinct()
-    pairs = entries.crossJoin(F.broadcast(hold)).where(F.col(split) != F.col("holdout"))  # splits are a handful
+    names = [r[0] for r in splits.select(split).where(F.col(split).isNotNull()).distinct().limit(MOST_SPLITS + 1).collect()]
+    if len(names) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    hold = F.array(*map(F.lit, names)) if names else F.array().cast(f"array<{dict(entries.dtypes)[split]}>")
+    pairs = entries.withColumn("holdout", F.explode(F.filter(hold, lambda h: h != F.col(split))))
     row = F.struct(*columns(entries))
     return pairs.groupBy("holdout", F.col(entry).alias("key")).agg(F.min(F.struct(F.col(split).alias("first"), row.alias("row"))).alias("m")).select("holdout", *[F.col("m.row").getField(c).alias(c) for c in entries.columns])
 
