@@ -14,16 +14,23 @@ from chainloom.sources import dumps, readers, stores
 
 
 @pytest.fixture
-def cut(spark):
-    """Set the bytes of a range of a file."""
+def cut(spark, monkeypatch):
+    """Set the bytes of a range of a dump; tables that are written meanwhile are read as ever."""
+    first_pass = dumps._pieces
 
     def put(n):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
-        spark.conf.set("spark.sql.files.openCostInBytes", "0")
-
-    yield put
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    spark.conf.unset("spark.sql.files.openCostInBytes")
+        def small(*args):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            try:
+                return first_pass(*args)
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+
+        monkeypatch.setattr(dumps, "_pieces", small)
+
+    return put
 
 
 def decoded(text, shape):
