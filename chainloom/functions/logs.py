@@ -71,7 +71,7 @@ def run_fields(path: Column) -> Column:
 
 
 #: A word of a command line: plain letters, quoted stretches, escaped letters.
-_WORD = r"""(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""
+_WORD = r"""(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')++"""
 
 
 def command_flags(text: Column) -> Column:
@@ -81,7 +81,7 @@ def command_flags(text: Column) -> Column:
     Of a repeated flag the last counts. No such line gives an empty map.
     """
     line = F.trim(_found(text, r"(?m)^\[CMD\]\s+(.*)$"))
-    whole = line.rlike(rf"^(?:\s*{_WORD})*\s*$")
+    whole = line.rlike(rf"^(?:\s*+{_WORD})*+\s*+$")  # possessive: an open quote fails at once
     words = F.transform(F.when(whole, F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda w: F.regexp_replace(w, r""""((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)""", "$1$2$3"))
     is_flag = lambda w: F.startswith(w, F.lit("--"))
     flags_at = F.filter(F.transform(words, lambda w, i: F.when(is_flag(w), i)), lambda i: i.isNotNull())
