@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.get(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(group)), 0)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row: inside functions of arrays, an expression that is named twice is worked out twice, for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def last_of_each(entries: Column) -> Column:
     """A map of (key, value) structs in which the last of a key counts."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"])))
+    later = lambda all_, i: F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1)))
+    return _once(entries, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(later(all_, i), lambda x: x["key"] == e["key"]))))
 
 
 def _entry(key: Column, value: Column) -> Column:
@@ -80,20 +88,32 @@ def command_flags(text: Column) -> Column:
     Words are split as a shell does: quotes and backslashes hold them together and go (inside double quotes a backslash stays). If quotes do not close, only cmd is given.
     Of a repeated flag the last counts. No such line gives an empty map.
     """
-    line = F.trim(_found(text, r"(?m)^\[CMD\]\s+(.*)$"))
+    return _once(F.trim(_found(text, r"(?m)^\[CMD\]\s+(.*)$")), lambda line: _once(_shell_words(line), lambda words: last_of_each(_flags(line, words))))
+
+
+def _shell_words(line: Column) -> Column:
+    """The words of a line without quotes and backslashes; none if a quote does not close."""
     whole = line.rlike(rf"^(?:\s*+{_WORD})*+\s*+$")  # possessive: an open quote fails at once
-    words = F.transform(F.when(whole, F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda w: F.regexp_replace(w, r""""((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)""", "$1$2$3"))
-    is_flag = lambda w: F.startswith(w, F.lit("--"))
-    flags_at = F.filter(F.transform(words, lambda w, i: F.when(is_flag(w), i)), lambda i: i.isNotNull())
+    words = F.when(whole, F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(words, lambda w: F.regexp_replace(w, r""""((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)""", "$1$2$3"))
+
+
+def _flags(line: Column, words: Column) -> Column:
+    """(key, value) structs: the line as cmd, then its flags in order; none for a null line."""
+
+    def read(flags_at: Column) -> Callable[[Column, Column], Column]:
+        def one(at: Column, n: Column) -> Column:
+            key = F.substr(F.get(words, at), F.lit(3))
+            end = F.coalesce(F.get(flags_at, n + 1), F.size(words))
+            values = F.slice(words, at + 2, F.greatest(end - at - 1, F.lit(0)))
+            return _entry(key, F.when(key == "hidden_dims", normal_list(F.array_join(values, " "))).when(F.size(values) == 0, "true").otherwise(F.get(values, 0)))
 
-    def read(at: Column, n: Column) -> Column:
-        key = F.substr(F.get(words, at), F.lit(3))
-        end = F.coalesce(F.get(flags_at, n + 1), F.size(words))
-        values = F.slice(words, at + 2, F.greatest(end - at - 1, F.lit(0)))
-        return _entry(key, F.when(key == "hidden_dims", normal_list(F.array_join(values, " "))).when(F.size(values) == 0, "true").otherwise(F.get(values, 0)))
+        return one
 
+    flags_at = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit("--")), i)), lambda i: i.isNotNull())
+    flags = _once(flags_at, lambda places: F.transform(places, read(places)))
     none = F.array().cast("array<struct<key:string,value:string>>")
-    return last_of_each(F.when(line.isNull(), none).otherwise(F.concat(F.array(_entry(F.lit("cmd"), line)), F.transform(flags_at, read))))
+    return F.when(line.isNull(), none).otherwise(F.concat(F.array(_entry(F.lit("cmd"), line)), flags))
 
 
 def aucpr(out: Column, subset: str) -> Column:
