@@ -40,20 +40,18 @@ def _small_star(edges: DataFrame, hub_rows: int) -> tuple[DataFrame, DataFrame]:
     return hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), low
 
 
-def component_roots(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, hub_rows: int = HOT_ROWS) -> DataFrame:
+def component_roots(edges: DataFrame, u: str = "u", v: str = "v", hub_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) for every node of an edge other than the root itself; root is the smallest node.
 
     Nulls and self-loops in edges tie nothing and are left out; repeated edges count once; no edges
-    give no rows. Rounds grow with the logarithm of the diameter; every round is written to the shared folder, so a lost
+    give no rows. Rounds go on until none changes an edge and grow with the logarithm of the diameter; roots only ever get smaller, so they end. Every round is written to the shared folder, so a lost
     executor costs one round. Smallest neighbours are partial aggregates; a node with more than hub_rows edges is joined to its
     own by broadcast, so the edges of a hub stay where they are.
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpointed(e)
     seen = _signature(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         star, low = _large_star(e, hub_rows)
         large = checkpointed(star)
         star, low2 = _small_star(large, hub_rows)
@@ -64,8 +62,6 @@ def component_roots(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: in
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
