@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
@@ -32,7 +32,7 @@ from .common import as_bytes, slices
 
 SEED = 42
 #: Node pairs that go down together at most; bounds the memory of a task.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 #: Fingerprints of a group, on average, up to which blocks are not made finer.
 GROUP = 2048
 
@@ -257,14 +257,15 @@ def _join_groups(budget: int, wide_budgets: tuple[int, ...] = (0,), wide_words:
         new = np.ones(t.num_rows, dtype=bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         group, value = np.cumsum(new), t.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((value, group))
+        node = t.column("node").to_numpy()
+        order = np.lexsort((node, value, group))  # ties by node, so that the forest does not hang on the order in which rows came
         wide = None
         if wide_words:
             sig = t.column("sig").combine_chunks()
             sig = sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig
             wide = np.frombuffer(b"".join(sig.to_pylist()), dtype="<u8").reshape(-1, wide_words)[order]
         i, j = forest_edges(group[order], value[order], budget, wide, wide_budgets)
-        node = t.column("node").to_numpy()[order]
+        node = node[order]
         far = np.zeros(len(i), dtype=np.int64) if wide is None else np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(far)], ["u", "v", "far"])
 
@@ -292,7 +293,8 @@ def near_links(fps: DataFrame, n: int, budget: int = 4, split_over: int = 8192,
 
     n is the number of nodes, for the plan of blocks. fps must be cheap to read twice. Only rows of one seed meet. With signatures of wide_words
     64-bit words, links differ in at most the last of wide_budgets bits of them; far is that distance. Groups above split_over are dealt out
-    as pairs of hashed chunks; nothing is capped.
+    as pairs of hashed chunks; nothing is capped. With signatures, which spanning forest of a group is found hangs on what its task holds, so their
+    number of partitions is fixed: equal nodes give equal links, in every run.
     """
     plan = block_plan(budget, n)
     seed = "seed" if "seed" in fps.columns else F.lit(0).alias("seed")
@@ -306,7 +308,8 @@ def near_links(fps: DataFrame, n: int, budget: int = 4, split_over: int = 8192,
         *carried, "block", "part", F.when(F.col("chunks") > 2, F.least(own, "other")).otherwise(0).alias("ci"), F.when(F.col("chunks") > 2, F.greatest(own, "other")).otherwise(0).alias("cj"),
     )
     group = ["block", "part", "ci", "cj"]
-    return spread.repartition(*group).sortWithinPartitions(*group).mapInArrow(_join_groups(budget, wide_budgets, wide_words), "u long, v long, far long")
+    fixed = [int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if wide_words else []
+    return spread.repartition(*fixed, *group).sortWithinPartitions(*group).mapInArrow(_join_groups(budget, wide_budgets, wide_words), "u long, v long, far long")
 
 
 def _component_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -392,6 +395,12 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, content long, words binary, fps array<long>, sig binary"), "sketches")
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts, one row for each `words`, with a number `node` that hangs on `words` alone: its hash, counted up where two share one."""
+    among = Window.partitionBy("node").orderBy("words")
+    return texts.withColumn("node", F.xxhash64("words")).withColumn("node", F.col("node") + (F.row_number().over(among) - 1))
+
+
 def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     """(node, grams array<long>), once per node, of (node, text)."""
 
@@ -418,12 +427,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Texts of the same words are one node. Nodes that agree in a fingerprint of short shingles up to SHORT_BUDGET bits, for one of SEEDS seeds, and in their
     signatures up to the last of WIDE_BUDGETS bits, are candidates; a spanning forest of them per group is kept. Then links are confirmed by the exact
     similarity of their shingle sets: first the closest link of each node, then all others whose ends are not tied yet. Every link is exact; of the pairs at the
-    threshold a few in a hundred are no candidates. Texts without a word, null ones too, are one node. content is a hash of the text, root a number of the
+    threshold a few in a hundred are no candidates. The order and partitioning of docs play no part. Texts without a word, null ones too, are one node. content is a hash of the text, root a number of the
     component, component_id its smallest id. An empty table gives no rows; repeated ids and rows keep theirs.
     """
     rows = _sketches(docs, id_col, text_col, k)
     nodes = rows.groupBy("words").agg(F.min(F.struct("doc_id", "content")).alias("of"), F.first("fps").alias("fps"), F.first("sig").alias("sig"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "words", F.col("of.doc_id").alias("first"), F.col("of.content").alias("content"), "fps", "sig"), "simhash-nodes")
+    nodes = written(_numbered(nodes).select("node", "words", F.col("of.doc_id").alias("first"), F.col("of.content").alias("content"), "fps", "sig"), "simhash-nodes")
     seeded = nodes.select("node", "sig", F.posexplode("fps").alias("seed", "fp"))
     found = near_links(seeded, nodes.count(), SHORT_BUDGET, split_over, WIDE_BUDGETS, WIDE)
     links = written(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.min("far").alias("far")), "simhash-links")

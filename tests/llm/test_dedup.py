@@ -114,8 +114,8 @@ def grams(text, k=5):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-def test_similar_texts_are_those_of_exact_similarity(spark):
-    """Edited copies at all similarities: components of found links are within those of all pairs, and nearly all pairs are in them."""
+def edited_copies():
+    """Texts of random words, and copies with 0 to 20 words changed."""
     rng = random.Random(3)
     vocabulary = [f"w{n}" for n in range(800)]
     texts = []
@@ -126,6 +126,18 @@ def test_similar_texts_are_those_of_exact_similarity(spark):
             for _ in range(edits):
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             texts.append(" ".join(w))
+    return texts
+
+
+def test_the_order_of_rows_plays_no_part(spark):
+    d = spark.createDataFrame(list(enumerate(edited_copies())), "doc_id long, text string")
+    runs = [{tuple(r) for r in simhash.similar(x, split_over=7).collect()} for x in (d.repartition(5), d.orderBy(d.doc_id.desc()).coalesce(2))]
+    assert runs[0] == runs[1]
+
+
+def test_similar_texts_are_those_of_exact_similarity(spark):
+    """Edited copies at all similarities: components of found links are within those of all pairs, and nearly all pairs are in them."""
+    texts = edited_copies()
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(d, split_over=7).collect()}
     sets = [grams(t) for t in texts]
