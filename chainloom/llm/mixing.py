@@ -96,30 +96,36 @@ def with_cells(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(table) if small else table, list(DIMS), "left")
 
 
-def weights(rows: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6) -> DataFrame:
-    """calibrated() cells of measured() rows, raked to the given targets, or to shares to the given powers."""
+def weights(rows: DataFrame, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6) -> tuple[DataFrame, list[float]]:
+    """(calibrated() cells of measured() rows, residual after each sweep), raked to the given targets, or to shares to the given powers.
+
+    mix() and sample() take the cells as `table`, so a user can look at the last residual before drawing. Without rows there are no cells.
+    """
     cells = checkpointed(cells_of(rows))
-    return calibrated(rake(cells, tempered_targets(cells, power) if targets is None else targets, sweeps)[0])
+    raked, residuals = rake(cells, tempered_targets(cells, power) if targets is None else targets, sweeps)
+    return calibrated(raked), residuals
 
 
-def mix(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, **names) -> DataFrame:
+def mix(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, table: DataFrame | None = None, **names) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, ratio, probability, sampled): one row per row of docs.
 
-    targets: for each of source, lang and topic a table (value, target) with target shares; or power, for tempered shares of what is there.
+    targets: for each of source, lang and topic a table (value, target) with target shares; or power, for tempered shares of what is there;
+    or table, the cells that weights() gave.
     Documents without a token are in no cell with tokens unless others share it; alone they have ratio and probability 0. Null texts have no
     token. Repeated rows get the same draw; rows with a null id share one draw. Texts are counted whole; an empty table gives no rows.
     """
     rows = measured(docs, topic, **names)
-    table = weights(rows, power, targets, sweeps)
+    table = weights(rows, power, targets, sweeps)[0] if table is None else table
     out = with_cells(rows, table).withColumns({"ratio": F.coalesce("ratio", F.lit(0.0)), "probability": F.coalesce("probability", F.lit(0.0))})
     return out.select("doc_id", *DIMS, "n_tokens", F.round("ratio", 6).alias("ratio"), F.round("probability", 6).alias("probability"), (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Rows of docs drawn with their calibrated probability, columns as they are, whatever their names. Null, repeated and empty rows as in mix()."""
+def sample(docs: DataFrame, topic: Column, power: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, sweeps: int = 6, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", table: DataFrame | None = None) -> DataFrame:
+    """Rows of docs drawn with their calibrated probability, columns as they are, whatever their names. Targets, null, repeated and empty rows as in mix()."""
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col}
     *cell, p = fresh(docs, n=len(DIMS) + 1)
-    table = weights(measured(docs, topic, **names), power, targets, sweeps).select(*[F.col(d).alias(c) for d, c in zip(DIMS, cell, strict=True)], F.col("probability").alias(p))
+    table = weights(measured(docs, topic, **names), power, targets, sweeps)[0] if table is None else table
+    table = table.select(*[F.col(d).alias(c) for d, c in zip(DIMS, cell, strict=True)], F.col("probability").alias(p))
     own = {"source": col(source_col), "lang": col(lang_col), "topic": topic}
     match = [_named(own[d]) == F.col(c) for d, c in zip(DIMS, cell, strict=True)]
     few = table.count() <= BROADCAST_CELLS
