@@ -191,15 +191,14 @@ def predict(net: GatedNetwork, texts: list[bytes], most: int = 1024) -> tuple[np
 def train(labelled: DataFrame, per_language: int = 400, windows: int = 4, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> tuple[list[str], GatedNetwork | None]:
     """Languages in order, and a network over them, from about per_language documents of each language and `windows` windows of each.
 
-    With many languages fewer are taken of each, at least one, so that about `most` windows in all come to the driver. Documents are taken by hash of their id, so the sample is the same at any partitioning. Rows with a null id, text or language are left
+    With many languages fewer are taken of each, so that about `most` windows in all come to the driver: the bound of the sample. With more languages
+    than that, languages none of whose documents are drawn are not learned. Documents are taken by hash of their id, so the sample is the same at any partitioning. Rows with a null id, text or language are left
     out. Without labelled rows there are no languages and no network.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     counted = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n")))
     n_langs = counted.count()
-    if n_langs > most:
-        raise ValueError(f"{n_langs} languages are more than the {most} windows to learn from")
-    each = min(float(per_language), max(1.0, most / (windows * max(1, n_langs))))
+    each = min(float(per_language), most / (windows * max(1, n_langs)))
     share = counted.select("lang", (F.lit(each) / F.col("n")).alias("share"))
     share = F.broadcast(share) if n_langs <= BROADCAST_LANGUAGES else share
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))

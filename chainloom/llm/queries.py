@@ -34,7 +34,7 @@ def form() -> Column:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids, counts and round trip of the unigram encoding of every document."""
+    """Ids, counts and round trip of the unigram encoding of every document. The vocabulary has no probabilities and is not trained here: scores follow Zipf's law of the rank."""
     return unigram.encode(documents(spark, sf_dir), model_path())
 
 
