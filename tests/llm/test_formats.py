@@ -128,6 +128,12 @@ def test_mixing_meets_given_targets_and_tells_what_is_left(spark):
     assert all(abs(weight[r["source"], r["lang"], r["topic"]] - r["weight"]) < 1e-9 for r in table.collect())
     unmet = targets | {"lang": share("lang", en=0.5, fr=0.5)}
     assert mixing.rake(cells, unmet, 3)[1][-1] > 0.1
+    cells, left = mixing.weights(mixing.measured(d, chat.F.col("kind")), targets=targets, sweeps=60)
+    assert left == residuals
+    want = sorted(map(tuple, mixing.mix(d, chat.F.col("kind"), targets=targets, sweeps=60).collect()))
+    assert sorted(map(tuple, mixing.mix(d, chat.F.col("kind"), table=cells).collect())) == want
+    drawn = sorted(r["doc_id"] for r in mixing.sample(d, chat.F.col("kind"), table=cells).collect())
+    assert drawn == sorted(w[0] for w in want if w[-1]) and 0 < len(drawn) < 400
 
 
 def test_media_round_trip(spark, docs, none):
@@ -266,18 +272,3 @@ def test_chat_parts_and_mask(spark):
     (m,) = c["loss"]
     assert c["formatted"][m["start"] : m["start"] + m["length"]].startswith("<\\\\\\[\\x]") and c["formatted"].count(chat.CLOSE) == 3
     assert out[None]["n_turns"] == 1
-
-
-def test_pipeline_on_the_smallest_tables(spark):
-    import corpus_pipeline
-
-    docs, columns = corpus_pipeline.documents(spark, SF), None
-    before = docs.count()
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        columns = docs.columns
-        docs = corpus_pipeline.written(stage(spark, docs, SF), "test")
-        assert 0 < docs.count() <= before
-        before = docs.count()
-        if n < 4:
-            assert docs.columns == columns
-    assert docs.where("not round_trip").count() == 0
