@@ -108,3 +108,16 @@ def test_kmer_candidates_with_salts(spark, least):
     for common in (10_000, 4):
         assert {tuple(r) for r in transfer.kmer_candidates(d, d, "k", "s", 3, least, common).collect()} == want
     assert transfer.kmer_candidates(d, d, "k", "s", 3, least).select(F.max("shared")).first()[0] > 0
+
+
+def test_pairs_of_copies_in_blocks(spark):
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i, rng.choice(["AABBA", "ABBAB", "BBBBB", "AABBA", None])) for i in range(60)], "k int, s string")
+    rows = {r["k"]: r["s"] for r in d.collect() if r["s"]}
+    grams = {k: {s[i : i + 3] for i in range(3)} for k, s in rows.items()}
+    want = {(a, b, len(grams[a] & grams[b])) for a in rows for b in rows if a != b and a % 3 == 0 and grams[a] & grams[b]}
+    found = transfer.kmer_texts(d.where("k % 3 = 0"), d, "s", 3, 1).drop("grams")
+    assert found.count() <= 9 and found.count() == found.select("q", "t").distinct().count()
+    for block in (3, 4_096):
+        got = [tuple(r) for r in transfer.pairs_of_rows(found, d.where("k % 3 = 0"), d, "k", "s", block).collect()]
+        assert len(got) == len(want) and set(got) == want
