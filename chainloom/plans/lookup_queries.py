@@ -10,6 +10,7 @@ from ..sources import readers, writers
 from . import screen_queries
 from .audit_queries import _MATRIX, _ROLL, _SHARED, _roll, connected_components, serpentine_folds
 from .bindings import CHAINS, RESIDUES, RUNS, SCREENS, chains, residues, runs, screens, table
+from .materialize import written
 from .metric_queries import AREA, points_sql, rounded
 from .registry import Registry
 
@@ -172,10 +173,8 @@ def top_hit_selection(spark, sf_dir):
     """The best template of each query part: of another brand, with 9 of 10 grams shared."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"), F.col("p_brand").alias("b"))
     q = p.where("k % 20 = 0")
-    hits = transfer.kmer_candidates(q, p, "k", "s", 4, 6, 500)
-    n = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 3, F.lit(1))), lambda i: F.substring("s", i, F.lit(4)))))
-    sized = hits.join(q.select(F.col("k").alias("q"), n.alias("grams"), F.col("b").alias("q_base")), "q").join(p.select(F.col("k").alias("t"), F.col("b").alias("t_base")), "t")
-    best = transfer.best_template(sized.withColumn("identity", F.col("shared") / F.col("grams")), "q", "t", "identity", 0.9, F.col("q_base") == F.col("t_base"))
+    pairs = transfer.kmer_texts(q, p, "s", 4, 6, 500).withColumn("identity", F.col("shared") / F.col("grams")).where("identity >= 0.9")
+    best = transfer.best_of_texts(written(pairs, "hits"), q, p, "k", "s", "identity", "b")
     return rounded(q.where(F.length("s") >= 4).select(F.col("k").alias("q")).join(best.select("q", "t", "identity"), "q", "left"))
 
 

@@ -121,3 +121,28 @@ def test_pairs_of_copies_in_blocks(spark):
     for block in (3, 4_096):
         got = [tuple(r) for r in transfer.pairs_of_rows(found, d.where("k % 3 = 0"), d, "k", "s", block).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("family", [None, "f"])
+def test_best_of_texts_is_the_best_of_rows(spark, family):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abcde"), rng.choice(["x", "y", "z", None]) if i % 4 else "x") for i in range(80)]
+    d = spark.createDataFrame(rows, "k int, s string, f string")
+    q = d.where("k % 2 = 0")
+    ids = {r["s"]: r["id"] for r in transfer.texts(d, "s").collect()}
+    rank = {(a, b): rng.choice([0.5, 0.7, 1.0]) for a in "abcde" for b in "abcde" if rng.random() < 0.6}
+    pairs = spark.createDataFrame([(ids[a], ids[b], v) for (a, b), v in rank.items()], "q string, t string, v double")
+    want = set()
+    for k, s, f in rows:
+        hits = [(-rank[s, y], j) for j, y, g in rows if (s, y) in rank and k % 2 == 0 and (j != k if family is None else None not in (f, g) and f != g)]
+        if hits:
+            want.add((k, min(hits)[1], -min(hits)[0]))
+    got = [tuple(r) for r in transfer.best_of_texts(pairs, q, d, "k", "s", "v", family).select("q", "t", "v").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_top_hits_without_a_brand_are_none(spark, tmp_path):
+    rows = [(0, "red bolt nut", None), (1, "red bolt nut", "b"), (20, "hot iron ring", "a"), (21, "hot iron ring", None), (22, "hot iron ring", "a"), (40, "new cold rod", "a"), (41, "new cold rod", "b"), (42, "new cold rod", "c")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in reference_queries.queries()["top_hit_selection"](spark, str(tmp_path)).collect()}
+    assert got == {(0, None, None), (20, None, None), (40, 41, 1.0)}
