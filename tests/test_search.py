@@ -123,6 +123,15 @@ def test_pairs_of_copies_in_blocks(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_searches_compare_copies_once(spark):
+    d = spark.createDataFrame([(i, ["red bolt", "red bolts", "hot plate"][i % 3]) for i in range(90)], "k int, s string")
+    options = {"other": -1.0, "word": 4, "least": 8.0, "drop": 8.0, "trigger": 14.0, "cutoff": 14.0}
+    matrix = search.letter_matrix("abcdefghijklmnopqrstuvwxyz ")
+    found = search.search_texts(transfer.texts(d, "s"), transfer.texts(d, "s"), "id", "s", matrix, **options)
+    assert found.count() == 5  # three texts with themselves, two of them with each other
+    assert {(r["q"], r["t"]) for r in search.search(d, d, "k", "s", matrix, **options).collect()} == {(a, b) for a in range(90) for b in range(90) if a != b and (a % 3 == 2) == (b % 3 == 2)}
+
+
 @pytest.mark.parametrize("family", [None, "f"])
 def test_best_of_texts_is_the_best_of_rows(spark, family):
     rng = random.Random(7)
