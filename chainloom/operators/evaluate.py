@@ -47,7 +47,7 @@ def fold_table(rows: DataFrame, fold: str, chain: str, split: str, k: int, label
     Of equally frequent splits the first in order counts.
     """
     w = F.col(weight).cast("double")
-    both = rows.withColumn(fold, F.col(fold).cast("string")).unionByName(rows.withColumn(fold, F.lit("all")))
+    both = rows.withColumn(fold, F.explode(F.array(F.col(fold).cast("string"), F.lit("all"))))  # rows stay where they are: no second shuffle by chain
     chains = both.groupBy(fold, split, chain).agg(F.lit(1).alias("one")).groupBy(fold, split).agg(F.count("*").alias("n"))
     size = chains.groupBy(fold).agg(F.sum("n").alias("n"), F.min_by(split, F.struct(-F.col("n"), F.col(split))).alias("split"))
     auc = curves.pr_summary(both, [fold], label=label, score=score, weight=w).select(fold, "aucpr")

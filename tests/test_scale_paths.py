@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from chainloom.functions import labels as L
-from chainloom.operators import audit, components, folds, lookup, prefix, transfer
-from chainloom.plans.materialize import fresh, spread_join
+from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, transfer
+from chainloom.plans.materialize import dealt, fresh, spread_join
 from chainloom.sources import readers
 from chainloom.streaming import worklist
 
@@ -98,3 +98,19 @@ def test_queries_meet_all_targets_in_blocks(spark):
     assert got.columns == ["q", "t", "label"]
     assert transfer.against_all(q, t.limit(0), "q", "t").count() == 0
     assert transfer.against_all(q.limit(0), t, "q", "t").count() == 0
+
+
+def test_tasks_hold_as_many_rows_whatever_the_table(spark):
+    d = spark.range(10_000).withColumn("k", F.col("id") % 500)
+    assert dealt(d, "k", 1_000, 100).rdd.getNumPartitions() == 10 and dealt(d.unionByName(d), "k", 1_000, 100).rdd.getNumPartitions() == 20
+    assert dealt(d, "k", 1_000, 100).select("k", F.spark_partition_id().alias("p")).distinct().count() == 500
+    assert dealt(d, "k").rdd.getNumPartitions() == d.rdd.getNumPartitions()
+
+
+def test_folds_and_all_of_them_come_from_one_reading(spark):
+    rows = [(c, p, f, "ab"[c % 2], (c + p) % 2, p / 7, 1.0) for c in range(6) for p in range(4) for f in (c % 3,)]
+    d = spark.createDataFrame(rows, "chain int, pos int, fold int, split string, label int, score double, weight double").repartition(3, "chain")
+    mine = evaluate.fold_table(d, "fold", "chain", "split", 1)
+    got = {r["fold"]: r["n"] for r in mine.collect()}
+    assert got == {"0": 2, "1": 2, "2": 2, "all": 6}
+    assert "Union" not in mine._jdf.queryExecution().optimizedPlan().toString()
