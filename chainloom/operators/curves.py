@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import written
-from .prefix import BUCKETS, buckets_for
+from .prefix import BUCKETS, at_most, buckets_for
 
 
 def points(rows: DataFrame, group: list[str], label: str = "label", score: str = "score", weight: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -24,7 +24,7 @@ def points(rows: DataFrame, group: list[str], label: str = "label", score: str =
     cuts = by_score.groupBy(*group).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], max(1000, 16 * buckets)).alias("cuts"), F.sum("dtp").alias("pos"), F.sum("dfp").alias("neg"))
     cuts = written(cuts, "cuts")  # read twice below: approximate quantiles worked out twice may differ, and buckets with them
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    placed = by_score.alias("a").join(cuts.alias("b"), on if on else F.lit(True)).select(*[F.col(f"a.{g}").alias(g) for g in group], "score", "dtp", "dfp", "pos", "neg", F.size(F.filter("cuts", lambda c: c <= F.col("score"))).alias("bucket"))
+    placed = by_score.alias("a").join(cuts.alias("b"), on if on else F.lit(True)).select(*[F.col(f"a.{g}").alias(g) for g in group], "score", "dtp", "dfp", "pos", "neg", at_most(F.col("cuts"), F.col("score"), buckets).alias("bucket"))
     totals = placed.groupBy(*group, "bucket").agg(F.sum("dtp").alias("btp"), F.sum("dfp").alias("bfp"))
     above = Window.partitionBy(*group).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "bucket", F.coalesce(F.sum("btp").over(above), F.lit(0.0)).alias("otp"), F.coalesce(F.sum("bfp").over(above), F.lit(0.0)).alias("ofp"))

@@ -15,6 +15,12 @@ def buckets_for(rows: int, least: int = BUCKETS) -> int:
     return max(least, -(-rows // BUCKET_ROWS))
 
 
+def at_most(sorted_values: Column, x: Column, size: int) -> Column:
+    """How many entries of an ascending array of up to `size` numbers are x or less, by a binary search: no pass over the array for each row."""
+    powers = [1 << k for k in reversed(range(max(size, 1).bit_length()))]
+    return F.aggregate(F.lit(powers), F.lit(0), lambda n, step: F.when((n + step <= F.size(sorted_values)) & (F.get(sorted_values, n + step - 1) <= x), n + step).otherwise(n))
+
+
 def prefix_sums(cells: DataFrame, group: list[str], order: str, sums: list[str], descending: bool = False, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """cells with up_<s>, the sum of s up to each cell in the order, itself included, and all_<s>, that of the group.
 
@@ -28,7 +34,7 @@ def prefix_sums(cells: DataFrame, group: list[str], order: str, sums: list[str],
     totals = cells.groupBy(*group).agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], max(1000, 16 * buckets)).alias(cuts), *[F.sum(s).alias(f"all_{s}") for s in sums])
     totals = written(totals, "cuts")  # read twice below: approximate quantiles worked out twice may differ, and buckets with them
     on = lambda names: [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in names] or F.lit(True)
-    placed = cells.alias("a").join(totals.alias("b"), on(group)).select("a.*", *[f"b.all_{s}" for s in sums], F.size(F.filter(F.col(f"b.{cuts}"), lambda c: c <= x)).alias(b))
+    placed = cells.alias("a").join(totals.alias("b"), on(group)).select("a.*", *[f"b.all_{s}" for s in sums], at_most(F.col(f"b.{cuts}"), x, buckets).alias(b))
     first = F.desc if descending else F.asc
     before = Window.partitionBy(*group).orderBy(first(b)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*group, b).agg(*[F.sum(s).alias(f"in_{s}") for s in sums]).select(*group, b, *[F.coalesce(F.sum(f"in_{s}").over(before), F.lit(0)).alias(f"off_{s}") for s in sums])
@@ -61,8 +67,8 @@ def row_places(rows: DataFrame, group: list[str], value: str, tie: str, descendi
         pieces = int(many.agg(F.max(n)).first()[0] // hot_rows) + 1
         ranges = rows.join(small(many), [*group, v]).groupBy(*group, v).agg(F.percentile_approx(t, [k / pieces for k in range(1, pieces)], 10_000).alias(cut))
         ranges = written(ranges, "tie-ranges")
-        rows = rows.join(small(ranges), [*group, v], "left").withColumn(c, F.coalesce(F.size(F.filter(cut, lambda x: x <= F.col(t))), F.lit(0)))
-        rows = rows.withColumn(c, F.greatest(c, F.lit(0))).drop(cut)
+        rows = rows.join(small(ranges), [*group, v], "left").withColumn(c, F.when(F.col(cut).isNull(), 0).otherwise(at_most(F.col(cut), F.col(t), pieces)))
+        rows = rows.drop(cut)
     add = [F.count("*").alias(number), *([F.sum(cost).alias(total)] if cost else [])]
     cells = rows.groupBy(*group, v, c).agg(*add)
     sums = [number, *([total] if cost else [])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import exact_quantiles, prefix_sums
+from .prefix import at_most, exact_quantiles, prefix_sums
 
 
 def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", label: str = "label", score: str = "score", weight: str = "weight", budget: int = 3, over: tuple[int, ...] = ()) -> DataFrame:
@@ -19,7 +19,7 @@ def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", la
     """
     taus = sorted({float(t) for t in taus})
     s = F.when(~F.isnan(score), F.col(score).cast("double"))
-    bucket = F.coalesce(F.size(F.filter(F.lit(taus), lambda t: t <= s)), F.lit(0))
+    bucket = at_most(F.lit(taus), s, len(taus))
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     per = rows.select(F.col(chain).alias("c"), w.alias("w"), F.col(label).alias("y"), bucket.alias("b")).groupBy("c", "w", "b").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n"))
     down = Window.partitionBy("c", "w").orderBy(F.desc("b"))

@@ -114,3 +114,12 @@ def test_folds_and_all_of_them_come_from_one_reading(spark):
     got = {r["fold"]: r["n"] for r in mine.collect()}
     assert got == {"0": 2, "1": 2, "2": 2, "all": 6}
     assert "Union" not in mine._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_places_in_sorted_values(spark):
+    for cuts in ([], [1.0], [1.0, 1.0, 2.0], [float(x) for x in range(407)]):
+        xs = [-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 405.5, 406.0, 1e9, float("inf"), None]
+        d = spark.createDataFrame([(x, cuts) for x in xs], "x double, cuts array<double>")
+        got = [r[0] for r in d.select(prefix.at_most(F.col("cuts"), F.col("x"), len(cuts))).collect()]
+        assert got == [0 if x is None else sum(c <= x for c in cuts) for x in xs]
