@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.materialize import BROADCAST_ROWS, fresh, written
+from ..plans.materialize import BROADCAST_ROWS, col, fresh, written
 
 
 def digest(seed: int, *keys: Column) -> Column:
@@ -87,18 +93,54 @@ def poisson_count(u: Column) -> Column:
     return out.otherwise(len(edges))
 
 
+#: Sums of draws that a task holds at once.
+SUM_CELLS = 1 << 22
+
+
 def bootstrap_sums(rows: DataFrame, group: list[str], unit: list[str], by: list[str], weight: Column, n_boot: int, seed: int = 3) -> DataFrame:
     """(group, boot, by, weight): for each draw, the sums of weight times how often the unit was drawn, where that is not 0.
 
-    A unit is a residue, or a chain with all of its. Rows are added up by unit first; each sum then meets its draws, four to a hash, and draws are added up before any
-    shuffle, so what is sent grows with the groups and draws, not with the units. Null units are one unit.
+    A unit is a residue, or a chain with all of its. Rows are added up by unit first. The hashes of a unit, four draws to a hash, are worked out once for all of its sums, which then meet all draws as rows
+    of a matrix; matrices are added up by (group, by) before any shuffle, so what is sent grows with the groups and draws, not with the units. Null units are one unit.
     """
-    w, b, h, u, times = fresh(rows, n=5, prefix="_draw")
-    cells = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).alias(w))
-    blocks = cells.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS_PER_HASH)))).withColumn(h, digest(seed, *[F.col(c) for c in unit], F.col(b)))
-    draw = lambda i: F.struct((F.col(b) * DRAWS_PER_HASH + i).alias("boot"), F.substring(h, 1 + 8 * i, 8).alias(u))
-    drawn = blocks.select(*group, *by, w, F.inline(F.array(*map(draw, range(DRAWS_PER_HASH))))).withColumn(times, poisson_count(F.col(u))).where((F.col(times) > 0) & (F.col("boot") < n_boot))
-    return drawn.groupBy(*group, "boot", *by).agg(F.sum(F.col(w) * F.col(times)).alias("weight"))
+    w, h, n, sums, cells, boot = fresh(rows, n=6, prefix="_draw")
+    keys = [*group, *by]
+    each = rows.groupBy(*group, *unit, *by).agg(F.sum(weight).cast("double").alias(w))
+    one = each.groupBy(*group, *unit).agg(F.collect_list(F.struct(*[col(c) for c in by], w)).alias(cells))
+    hashes = F.concat(*[digest(seed, *[col(c) for c in unit], F.lit(b)) for b in range(-(-n_boot // DRAWS_PER_HASH))])
+    kinds = {f.name: f.dataType for f in each.schema.fields}
+    edges = np.array([e for e in poisson_edges() if e < 1 << 32], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = max(1, SUM_CELLS // n_boot)
+            for at in range(0, batch.num_rows, size):
+                yield from some(batch.slice(at, size))
+
+    def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(batch.schema.get_field_index(cells))
+        unit_at, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
+        frame = {c: batch.column(batch.schema.get_field_index(c)).take(unit_at) for c in group} | {c: flat.field(c) for c in by}
+        words = np.frombuffer(bytes.fromhex("".join(batch.column(batch.schema.get_field_index(h)).to_pylist())), dtype=">u4").reshape(batch.num_rows, -1)[:, :n_boot]
+        times = np.searchsorted(edges, words.ravel().astype(np.int64), side="right").reshape(words.shape).astype(np.float64)
+        table = pa.table(frame | {n: pa.array(np.arange(len(unit_at)))})
+        found = table.group_by(keys, use_threads=False).aggregate([(n, "list")])
+        u, x, there = unit_at.to_numpy(), flat.field(w).fill_null(0.0).to_numpy(), flat.field(w).is_valid().to_numpy(zero_copy_only=False)
+        total = np.zeros((len(found), n_boot))
+        for i, members in enumerate(found.column(f"{n}_list").to_pylist()):
+            m = np.array(members)
+            for part in range(0, len(m), size_of):
+                k = m[part : part + size_of]
+                k = k[there[k]]
+                total[i] += x[k] @ times[u[k]]
+        lengths = pa.array(np.arange(0, total.size + 1, n_boot), pa.int32())
+        out = [found.column(c).combine_chunks() for c in keys]
+        yield pa.RecordBatch.from_arrays([*out, pa.ListArray.from_arrays(lengths, pa.array(total.ravel()))], names=[*keys, sums])
+
+    size_of = max(1, SUM_CELLS // n_boot)
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in keys] + [T.StructField(sums, T.ArrayType(T.DoubleType()))])
+    drawn = one.select(*[col(c) for c in group], cells, hashes.alias(h)).mapInArrow(run, schema)
+    return drawn.select(*[col(c) for c in keys], F.posexplode(sums).alias(boot, w)).where(F.col(w) != 0).groupBy(*group, F.col(boot).cast("long").alias("boot"), *by).agg(F.sum(w).alias("weight"))
 
 
 def random_labels(rows: DataFrame, share: float, *keys: str, seed: int = 4) -> DataFrame:

@@ -1,11 +1,12 @@
 """The ways that hot keys, hubs and hot values take give what the plain ways give; readers that have no query."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from chainloom.functions import labels as L
-from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, transfer
+from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, resample, transfer
 from chainloom.plans.materialize import dealt, fresh, spread_join
 from chainloom.sources import readers
 from chainloom.streaming import worklist
@@ -123,3 +124,20 @@ def test_places_in_sorted_values(spark):
         d = spark.createDataFrame([(x, cuts) for x in xs], "x double, cuts array<double>")
         got = [r[0] for r in d.select(prefix.at_most(F.col("cuts"), F.col("x"), len(cuts))).collect()]
         assert got == [0 if x is None else sum(c <= x for c in cuts) for x in xs]
+
+
+def test_draws_of_a_unit_are_worked_out_once(spark, monkeypatch):
+    d = spark.createDataFrame([("ab"[u % 2], u % 30, u % 4 / 2, u % 3 == 0, float(u % 5) if u % 7 else None) for u in range(200)], "g string, u int, v double, y boolean, w double")
+    hashed = resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7)
+    want = {tuple(r)[:4]: r["weight"] for r in hashed.collect()}
+    draws = {u: [int(hashlib.md5(f"3:{u}:{b // 4}".encode()).hexdigest()[8 * (b % 4) : 8 * (b % 4) + 8], 16) for b in range(7)] for u in range(30)}
+    plain = {}
+    for r in d.where("w is not null").collect():
+        for b in range(7):
+            key = (r["g"], b, r["v"], r["y"])
+            plain[key] = plain.get(key, 0.0) + r["w"] * sum(e <= draws[r["u"]][b] for e in resample.poisson_edges())
+    assert want == {k: v for k, v in plain.items() if v}
+    monkeypatch.setattr(resample, "SUM_CELLS", 21)
+    assert {tuple(r)[:4]: r["weight"] for r in resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7).collect()} == want
+    text = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in text.splitlines() if "Generate explode" in x and "sequence" in x]  # no row for each hash of each sum
