@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..plans.materialize import written
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*("|\\?\Z)|[{}\[\]]', re.S)
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 _COLON = re.compile(r"\s*:\s*")
+#: Runs of characters that neither end a string nor are a bracket, a colon, a space or in "results": one of them stands for them all.
+_PLAIN = re.compile(r'[^"\\{}\[\]:\sresult]+')
 #: A list under the key "results" is "R" on the stack of open brackets.
 _MARK = {"{": "{", "[": "[", "R": "R"}
 
@@ -57,6 +60,30 @@ def reduced(closes: int, opens: str, found: list[tuple[int, str]]) -> tuple[int,
     return closes, opens
 
 
+@lru_cache(1 << 16)
+def _effect(shape: str, in_string: bool) -> tuple[int, str, bool]:
+    """reduced() of a piece on an empty stack, and whether a string is open at its end; pieces that differ in plain characters only share it."""
+    found, string = brackets(shape, in_string)
+    return (*reduced(0, "", found), string)
+
+
+@lru_cache(1 << 16)
+def _borders(shape: str, in_string: bool, now: str) -> tuple[int, int, bool, bool, bool]:
+    """Which bracket of a piece begins a record, as top-level object or in a list, and in results (-1: none), whether one ends, and whether a list of results begins, where `now` is the stack."""
+    starts, ends, listed = {}, {}, False
+    for at, (_, x) in enumerate(brackets(shape, in_string)[0]):
+        if x in _MARK:
+            if x == "{" and now in ("", "[", "R", "{R"):
+                starts["results" if now == "{R" else "joined"] = at
+            listed |= x == "R" and now == "{"
+            now += x
+        else:
+            was, now = now, now[:-1]
+            if x == "}" and was:
+                ends["results" if now == "{R" else "joined"] = now in ("", "[", "R", "{R")
+    return starts.get("joined", -1), starts.get("results", -1), ends.get("joined", False), ends.get("results", False), listed
+
+
 def on(stack: str, closes: int, opens: str) -> str:
     """A stack after closes and opens; what closes an empty stack is passed over."""
     return stack[: max(0, len(stack) - closes)] + opens
@@ -71,18 +98,19 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, states = None, {}
         for batch in batches:
-            out = []
-            for file, block, seq, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out = {name: [] for name in ("a", "b", "a_end", "b_end")}
+            texts = [x + "}" for x in batch.column(3).to_pylist()]
+            for file, block, text in zip(*(batch.column(i).to_pylist() for i in range(2)), texts, strict=True):
                 if where != (file, block):
                     where, states = (file, block), {"a": (False, 0, ""), "b": (True, 0, "")}
-                row = {"file": file, "block": block, "seq": seq, "text": text + "}"}
+                shape = _PLAIN.sub("x", text)
                 for name, (string, closes, opens) in states.items():
-                    row[name] = {"string": string, "closes": closes, "opens": opens}
-                    found, string = brackets(row["text"], string)
-                    states[name] = (string, *reduced(closes, opens, found))
-                    row[f"{name}_end"] = dict(zip(("string", "closes", "opens"), states[name], strict=True))
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    out[name].append((string, closes, opens))
+                    c, o, string = _effect(shape, string)
+                    states[name] = (string, closes + max(0, c - len(opens)), on(opens, c, o))
+                    out[f"{name}_end"].append(states[name])
+            sides = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out[name], strict=True), side, strict=True)], names=[f.name for f in side]) if texts else pa.array([], side) for name in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), *sides], names=schema.names)
 
     kind = "struct<string:boolean,closes:int,opens:string>"
     return written(raw.mapInArrow(read, f"file string, block long, seq long, text string, a {kind}, b {kind}, a_end {kind}, b_end {kind}"), "pieces")
@@ -113,27 +141,17 @@ def dump_records(spark: SparkSession, path: str, shape: str = "joined") -> DataF
     if shape not in ("joined", "results"):
         raise ValueError(f"unknown shape {shape!r}")
     pieces = _pieces(spark, path)
-    placed = pieces.join(_ranges(pieces), ["file", "block"])
+    side = F.when(F.col("string"), F.col("b")).otherwise(F.col("a"))
+    placed = pieces.join(_ranges(pieces), ["file", "block"]).select("file", "block", "seq", "text", side.alias("side"), "stack").select("file", "block", "seq", "text", "side.string", "side.closes", "side.opens", "stack")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of each piece: where a record would begin and whether one ends, as top-level object, in a list, and in results."""
         for rows in batches:
             out = []
-            for text, a, b, string, stack in zip(rows["text"], rows["a"], rows["b"], rows["string"], rows["stack"], strict=True):
-                side = b if string else a
-                now, found = on(stack, side["closes"], side["opens"]), brackets(text, bool(side["string"]))[0]
-                starts, ends, listed = {}, {}, False
-                for at, x in found:
-                    if x in _MARK:
-                        if x == "{" and now in ("", "[", "R", "{R"):
-                            starts["results" if now == "{R" else "joined"] = at
-                        listed |= x == "R" and now == "{"
-                        now += x
-                    else:
-                        was, now = now, now[:-1]
-                        if x == "}" and was:
-                            ends["results" if now == "{R" else "joined"] = now in ("", "[", "R", "{R")
-                out.append((*(starts.get(k, -1) for k in ("joined", "results")), *(ends.get(k, False) for k in ("joined", "results")), listed))
+            for text, string, closes, opens, stack in zip(rows["text"], rows["string"], rows["closes"], rows["opens"], rows["stack"], strict=True):
+                joined, results, *rest = _borders(_PLAIN.sub("x", text), bool(string), on(stack, closes, opens))
+                found = brackets(text, bool(string))[0] if joined >= 0 or results >= 0 else []
+                out.append((*(found[k][0] if k >= 0 else -1 for k in (joined, results)), *rest))
             marks = pd.DataFrame(out, columns=["start_joined", "start_results", "ends_joined", "ends_results", "listed"])
             yield pd.concat([rows[["file", "block", "seq", "text"]].reset_index(drop=True), marks], axis=1)
 

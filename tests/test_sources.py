@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import os
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -217,3 +218,15 @@ def test_an_attempt_that_fails_leaves_nothing(tmp_path):
     w.write(iter([batch("1", "2")]))
     w.abort([None])
     assert not [f for _, _, fs in os.walk(tmp_path / "h") for f in fs]
+
+
+def test_shapes_of_pieces_do_what_the_pieces_do():
+    rng = random.Random(11)
+    for _ in range(20_000):
+        text = "".join(rng.choice(['"', "\\", "{", "}", "[", "]", ":", " ", '"results"', "a", "bc", "r", "1", "\u00e9", "\n"]) for _ in range(rng.randint(0, 12)))
+        shape, now, closes = dumps._PLAIN.sub("x", text), rng.choice(["", "{", "[{", "{R"]), rng.randint(0, 2)
+        for string in (False, True):
+            found, end = dumps.brackets(text, string)
+            c, o, open_ = dumps._effect(shape, string)
+            assert open_ == end and dumps.reduced(closes, now, found) == (closes + max(0, c - len(now)), dumps.on(now, c, o))
+            assert [x for _, x in found] == [x for _, x in dumps.brackets(shape, string)[0]]
