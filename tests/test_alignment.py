@@ -109,3 +109,13 @@ def test_best_schedule_against_all_orders(spark, seed):
     want = min((total - sum(cells.get((a, b), 0) for a, b in enumerate(p)), ",".join(map(str, p))) for p in permutations(range(4)))
     got = merge.best_schedule(frame, 4).collect()
     assert [(r.leak, r.perm, r.aligned) for r in got] == [(*want, total - want[0])]
+
+
+def test_few_cells_give_what_arrays_give(monkeypatch):
+    rng = random.Random(13)
+    texts = [("".join(rng.choices("ACDEF", k=rng.randint(0, 9))), "".join(rng.choices("ACDEF", k=rng.randint(0, 9)))) for _ in range(300)]
+    for options in ({}, {"local": True}, {"gap": -3.3, "extend": -0.7, "matrix": {"AC": 1.1, "AA": 2.3, "EF": -0.4}, "other": -0.1, "local": True}):
+        small = [transfer.alignment(a, b, **options) for a, b in texts]
+        monkeypatch.setattr(transfer, "FEW_CELLS", 0)
+        assert small == [transfer.alignment(a, b, **options) for a, b in texts]
+        monkeypatch.undo()
