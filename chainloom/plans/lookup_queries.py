@@ -261,14 +261,10 @@ SELECT id, n::INT AS n, coalesce(sum(n) OVER (PARTITION BY store ORDER BY i ROWS
 def ragged_store_rows(spark, sf_dir):
     """Rows read back out of offsets and values of a store for each nation; values are their own places."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", (F.ceil(F.abs("c_acctbal")) % 4).cast("int").alias("n"))
-    s = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "n"))).alias("r"))
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["n"]))
-    store = s.select(F.col("r.c_name").alias("ids"), F.aggregate("r", F.array(F.lit(0)), grow).alias("offsets"))
-    store = store.withColumn("values", F.when(F.element_at("offsets", -1) > 0, F.sequence(F.lit(0), F.element_at("offsets", -1) - 1)).otherwise(F.array().cast("array<int>")))
-    rows = readers.ragged_rows(store)
-    back = rows.select("id", F.size("values").alias("n"), F.get("values", 0).alias("first"))
-    ends = store.select(F.explode(F.arrays_zip("ids", F.slice("offsets", 1, F.size("ids")).alias("first"))).alias("z")).select(F.col("z.ids").alias("id"), F.col("z.first").alias("at"))
-    return back.join(ends, "id").select("id", "n", F.coalesce("first", "at").alias("first"))
+    store = readers.ragged_pieces(c, "c_nationkey", "c_custkey", "c_name", "n")
+    places = F.when(F.col("size") > 0, F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = readers.ragged_rows(store.withColumn("values", places), begin="begin")
+    return rows.select("id", F.size("values").alias("n"), F.coalesce(F.get("values", F.lit(0)), "at").cast("int").alias("first"))
 
 
 # ---------------------------------------------------------------- evaluation

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import run_fields
+from ..operators.prefix import row_places
 from ..plans.materialize import columns
 from .dumps import read_records
 
@@ -111,12 +112,28 @@ def length_report(rows: DataFrame, arrays: list[str]) -> DataFrame:
     return rows.withColumn("lengths", n).where(F.size(F.array_distinct("lengths")) > 1)
 
 
-def ragged_rows(stores: DataFrame, ids: str = "ids", offsets: str = "offsets", values: str = "values") -> DataFrame:
-    """(id, values) of ragged stores: row i of a store has the values from offsets[i] up to offsets[i + 1]."""
-    cut = F.transform(F.col(ids), lambda x, i: F.struct(x.alias("id"), F.slice(F.col(values), F.get(offsets, i) + 1, F.get(offsets, i + 1) - F.get(offsets, i)).alias("values")))
+def ragged_rows(stores: DataFrame, ids: str = "ids", offsets: str = "offsets", values: str = "values", begin: str | None = None) -> DataFrame:
+    """(id, values) of ragged stores: row i of a store has the values from offsets[i] up to offsets[i + 1].
+
+    A store may come in pieces, each a row with offsets from 0 of its own; `begin` is then the place of a piece's first value in the whole store, and `at`, that of each row's first value, is added.
+    """
+    at = [] if begin is None else [lambda i: (F.col(begin) + F.get(offsets, i)).alias("at")]
+    cut = F.transform(F.col(ids), lambda x, i: F.struct(x.alias("id"), F.slice(F.col(values), F.get(offsets, i) + 1, F.get(offsets, i + 1) - F.get(offsets, i)).alias("values"), *[f(i) for f in at]))
     return stores.select(F.explode(cut).alias("r")).select("r.*")
 
 
+def ragged_pieces(rows: DataFrame, store: str, order: str, id_col: str, n: str, piece: int = 4096) -> DataFrame:
+    """(store, ids, offsets, begin, size): rows with n values each as stores in pieces of `piece` rows, in the order of a unique number; no store is one row.
+
+    offsets has an entry more than ids and counts from the piece's first value, whose place in the store is begin; size is the number of the piece's values. Rows with a null order are left out; a null n counts as 0.
+    """
+    cost = rows.select(store, order, F.col(id_col).alias("id"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n"))
+    placed = row_places(cost, [store], order, order, descending=False, cost="n")
+    r = placed.groupBy(store, F.floor(F.col("place") / piece).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("place", "before", "n", "id"))).alias("r"), F.min("before").alias("begin"), F.sum("n").alias("size"))
+    starts = F.transform("r", lambda x: x["before"] - F.col("begin"))
+    return r.select(store, F.col("r.id").alias("ids"), F.transform(F.concat(starts, F.array("size")), lambda x: x.cast("int")).alias("offsets"), "begin", "size")
+
+
 def split_db_rows(stores: DataFrame) -> DataFrame:
     """(split, id, aa, labels, index_map map<int,int>, weight) of stores (split, ids, aa, labels, maps, weights), whose arrays run alongside each other."""
     zipped = F.arrays_zip(F.col("ids"), F.col("aa"), F.col("labels"), F.col("maps"), F.col("weights"))

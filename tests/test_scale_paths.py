@@ -141,3 +141,19 @@ def test_draws_of_a_unit_are_worked_out_once(spark, monkeypatch):
     assert {tuple(r)[:4]: r["weight"] for r in resample.bootstrap_sums(d, ["g"], ["u"], ["v", "y"], F.col("w"), 7).collect()} == want
     text = hashed._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in text.splitlines() if "Generate explode" in x and "sequence" in x]  # no row for each hash of each sum
+
+
+def test_ragged_stores_come_in_pieces(spark):
+    n = {("a", k): k * 7 % 4 for k in range(1, 24)} | {("b", 5): 0, ("b", 9): 0, (None, 1): 2}
+    rows = spark.createDataFrame([(s, k, f"{s}{k}" if k != 9 else "b5", v) for (s, k), v in n.items()], "store string, k long, name string, n int")
+    for piece, pieces in ((4, {"a": 6, "b": 1, None: 1}), (4096, {"a": 1, "b": 1, None: 1})):
+        p = readers.ragged_pieces(rows, "store", "k", "name", "n", piece)
+        assert {r["store"]: r["count"] for r in p.groupBy("store").count().collect()} == pieces and p.where((F.size("ids") > piece) | (F.size("offsets") != F.size("ids") + 1)).count() == 0
+        values = F.when(F.col("size") > 0, F.sequence(F.col("begin"), F.col("begin") + F.col("size") - 1)).otherwise(F.array().cast("array<bigint>"))
+        got = sorted((r["id"], r["at"], r["values"]) for r in readers.ragged_rows(p.withColumn("values", values), begin="begin").collect())
+        want, at = [], {}
+        for (s, k), v in sorted(n.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+            first = at.get(s, 0)
+            want.append((f"{s}{k}" if k != 9 else "b5", first, list(range(first, first + v))))
+            at[s] = first + v
+        assert got == sorted(want)
