@@ -86,8 +86,8 @@ def sequence_pairs(sequences: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 
     A base's sequences fall into blocks of about `block` by a hash of the id, and pairs of blocks are the join key: a base of any size is many tasks, each with two blocks.
     """
-    n = sequences.groupBy("base").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = sequences.join(n, "base").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    n = sequences.groupBy("base").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1")  # most bases have one block: what is joined stays small
+    placed = sequences.join(n, "base", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     left = placed.select("base", F.col("id").alias("q"), F.col("seq").alias("q_seq"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("base", "q", "q_seq", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b")
     right = left.select("base", F.col("q").alias("t"), F.col("q_seq").alias("t_seq"), "low", "high", F.col("b").alias("t_b"))
     both = left.join(right, ["base", "low", "high"]).where((F.col("q") < F.col("t")) & ((F.col("low") == F.col("high")) | (F.col("b") != F.col("t_b"))))
@@ -99,26 +99,27 @@ def member_losses(members: DataFrame, sites: DataFrame, align, block: int = PAIR
 
     members: (base, member, seq); of a member with several rows the least sequence counts. sites: (base, member, pos), predicted positions from 0. A site of `source` is lost in `target` if it is aligned to
     the same letter there, which is no predicted site. align: pairs (base, q, t, q_seq, t_seq) -> (base, q, t, qpos, tpos) of aligned positions with the same letter. Sequences are aligned once for each pair of
-    different ones of a base, used in both directions and by all members that share them. A base with one member, or with a member without a sequence, is compared not at all.
+    different ones of a base, used in both directions and by all members that share them. A member's sites go as one array, and both tables are read once. A base with one member, or with a member without a sequence, is compared not at all.
     Null bases and members are left out; sites outside a sequence are aligned to nothing; an empty table gives no rows.
     """
+    hits = sites.where(F.col("base").isNotNull() & F.col("member").isNotNull()).groupBy("base", "member").agg(F.collect_set(F.col("pos").cast("int")).alias("hits"))
     one = members.where(F.col("base").isNotNull() & F.col("member").isNotNull()).groupBy("base", "member").agg(F.min("seq").alias("seq"), F.count_if(F.col("seq").isNull()).alias("lacks"))
+    one = written(one.join(hits, ["base", "member"], "left").select("base", "member", F.md5(F.col("seq").cast("binary")).alias("id"), "seq", "lacks", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")), "members")
     sizes = one.groupBy("base").agg(F.count("*").alias("members"), F.count_if(F.coalesce(F.col("seq"), F.lit("")) == "").alias("lacks"))
     reason = F.when(F.col("members") < 2, "one member").when(F.col("lacks") > 0, "no sequence")
     sizes = written(sizes.withColumn("reason", reason), "sizes")
-    good = one.join(sizes.where("reason is null").select("base"), "base")
-    named = written(good.select("base", "member", F.md5(F.col("seq").cast("binary")).alias("id"), "seq"), "members")
-    distinct = named.groupBy("base", "id").agg(F.min("seq").alias("seq"))
-    there = sites.select("base", "member", F.col("pos").cast("int").alias("pos")).distinct()
-    found = written(named.join(there, ["base", "member"]).select("base", "member", "id", "pos"), "sites")
-    same = align(sequence_pairs(distinct, block)).select("base", "q", "t", "qpos", "tpos")
+    named = one.join(sizes.where("reason is not null").select("base"), "base", "left_anti")
+    distinct = written(named.groupBy("base", "id").agg(F.min("seq").alias("seq"), F.count("*").alias("n")), "sequences")
+    half = F.unhex("id").alias("id")  # from here on ids are 16 bytes, not 32 letters: they are most of what is shuffled
+    found = named.select("base", "member", half, F.explode("hits").alias("pos"))
+    same = align(sequence_pairs(distinct.select("base", "id", "seq"), block)).select("base", F.unhex("q").alias("q"), F.unhex("t").alias("t"), "qpos", "tpos")
     both = same.unionByName(same.select("base", F.col("t").alias("q"), F.col("q").alias("t"), F.col("tpos").alias("qpos"), F.col("qpos").alias("tpos")))
-    inside = named.groupBy("base", "id").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("length")).where("n > 1")
+    inside = distinct.where("n > 1").select("base", half, F.length("seq").alias("length"))
     own = found.join(inside, ["base", "id"]).where((F.col("pos") >= 0) & (F.col("pos") < F.col("length"))).select("base", F.col("id").alias("q"), F.col("id").alias("t"), F.col("pos").alias("qpos"), F.col("pos").alias("tpos")).distinct()
     at = found.select("base", F.col("id").alias("q"), F.col("pos").alias("qpos"), F.col("member").alias("source"))
-    reached = both.unionByName(own).join(at, ["base", "q", "qpos"]).join(named.select("base", F.col("id").alias("t"), F.col("member").alias("target")), ["base", "t"]).where("source <> target")
-    kept = found.select("base", F.col("member").alias("target"), F.col("pos").alias("tpos"))
-    lost = reached.join(kept, ["base", "target", "tpos"], "left_anti").select("base", "source", "target", F.col("qpos").alias("pos"), F.col("tpos").alias("target_pos"))
+    targets = named.select("base", F.unhex("id").alias("t"), F.col("member").alias("target"), "hits")
+    reached = both.unionByName(own).join(at, ["base", "q", "qpos"]).join(targets, ["base", "t"]).where("source <> target")
+    lost = reached.where(~F.array_contains("hits", F.col("tpos").cast("int"))).select("base", "source", "target", F.col("qpos").alias("pos"), F.col("tpos").alias("target_pos"))
     return lost, sizes.where("reason is not null").select("base", "members", "reason")
 
 

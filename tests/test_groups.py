@@ -54,6 +54,21 @@ def test_losses_between_all_members_both_ways(spark):
     assert screen.member_losses(d.where("false"), s, align)[0].count() == 0
 
 
+def test_losses_read_members_and_sites_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(r):
+        seen.add(1)
+        return r
+
+    members = spark.sparkContext.parallelize([(b, f"m{i}", "MKVA"[: 3 + i % 2]) for b in ("p", "q") for i in range(4)], 2).map(counted)
+    sites = spark.sparkContext.parallelize([(b, f"m{i}", i) for b in ("p", "q") for i in range(4)], 2).map(counted)
+    align = lambda p: p.select("base", "q", "t", F.explode(F.sequence(F.lit(0), F.least(F.length("q_seq"), F.length("t_seq")) - 1)).alias("qpos")).withColumn("tpos", F.col("qpos"))
+    lost, _ = screen.member_losses(spark.createDataFrame(members, "base string, member string, seq string"), spark.createDataFrame(sites, "base string, member string, pos int"), align)
+    # m3's site 3 lies in m1 too; all others lie in every sequence
+    assert lost.count() == lost.distinct().count() == 2 * (3 + 3 + 3 + 1) and seen.value == 16
+
+
 def test_proposals_are_those_of_a_plain_loop(spark):
     rng = random.Random(5)
     votes = [("f", c, m, c + 3 * m % 5, rng.choice("AC"), int(rng.random() < 0.5)) for c in range(60) for m in range(4) if rng.random() < 0.8] + [("f", 1, 1, 1, None, 1)]
