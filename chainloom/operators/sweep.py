@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
 from .prefix import at_most, exact_quantiles, prefix_sums
 
 
@@ -15,6 +16,7 @@ def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", la
 
     Rows fall into threshold buckets once. A chain's counts change only at its own buckets, so it adds its weight to a histogram
     (tau, count) at the ends of each run of thresholds with the same count; rows and chains are never multiplied by thresholds.
+    The ends are written, a row for each place where a count changes: all that follows is worked out from them, and rows are read once.
     Averages, shares and p95 over chains are weighted (weights below 0 count as 0), those with _raw are not; NaN scores pass no threshold.
     """
     taus = sorted({float(t) for t in taus})
@@ -24,14 +26,16 @@ def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", la
     per = rows.select(F.col(chain).alias("c"), w.alias("w"), F.col(label).alias("y"), bucket.alias("b")).groupBy("c", "w", "b").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n"))
     down = Window.partitionBy("c", "w").orderBy(F.desc("b"))
     up_to = down.rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("w", "b", F.lag("b").over(down).alias("above"), F.coalesce(F.lead("b").over(down), F.lit(0)).alias("below"), F.sum("p").over(up_to).alias("p"), F.sum("n").over(up_to).alias("n"))
+    run = per.select("w", "b", F.lag("b").over(down).alias("above"), F.coalesce(F.lead("b").over(down), F.lit(0)).alias("below"), F.sum("p").over(up_to).alias("p"), F.sum("n").over(up_to).alias("n"), F.col("p").alias("own"))
     counts = lambda p, n: [("tp", p), ("fp", n - p), ("pred", n)]
-    span = lambda lo, hi, p, n: [F.struct(F.lit(k).alias("kind"), x.cast("long").alias("count"), at.alias("at"), F.lit(sign).alias("sign")) for k, x in counts(p, n) for at, sign in ((lo, 1), (hi, -1))]
+    span = lambda lo, hi, p, n: [F.struct(F.lit(k).alias("kind"), x.cast("long").alias("count"), at.alias("at"), F.lit(sign).alias("sign"), F.col("w").alias("w")) for k, x in counts(p, n) for at, sign in ((lo, 1), (hi, -1))]
     top = F.when(F.col("above").isNull(), F.array(*span(F.col("b"), F.lit(len(taus)), F.lit(0), F.lit(0)))).otherwise(F.array())
-    ends = run.select("w", F.explode(F.concat(F.array(*span(F.col("below"), F.col("b"), F.col("p"), F.col("n"))), top)).alias("e")).select("w", "e.*")
+    own = F.struct(F.lit("own").alias("kind"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("at"), F.lit(1).alias("sign"), (F.col("w") * F.col("own")).alias("w"))
+    ends = run.select(F.explode(F.concat(F.array(*span(F.col("below"), F.col("b"), F.col("p"), F.col("n")), own), top)).alias("e")).select("e.*")
     steps = ends.groupBy("kind", "count", "at").agg(F.sum(F.col("w") * F.col("sign")).alias("dw"), F.sum("sign").alias("dn"))
+    steps = written(steps, "steps")
     along = Window.partitionBy("kind", "count").orderBy("at")
-    held = steps.select("kind", "count", "at", F.coalesce(F.lead("at").over(along), F.lit(len(taus))).alias("to"), F.sum("dw").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("w"), F.sum("dn").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    held = steps.where("kind <> 'own'").select("kind", "count", "at", F.coalesce(F.lead("at").over(along), F.lit(len(taus))).alias("to"), F.sum("dw").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("w"), F.sum("dn").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
     hist = held.where("n > 0 and at < to").select("kind", "count", F.greatest("w", F.lit(0.0)).alias("w"), "n", F.explode(F.sequence("at", F.col("to") - 1)).alias("i"))
     less = Window.partitionBy("kind", "i")
     seen = hist.withColumn("cw", F.sum("w").over(less.orderBy("count").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tw", F.sum("w").over(less))
@@ -49,7 +53,7 @@ def threshold_sweep(rows: DataFrame, taus: list[float], chain: str = "chain", la
         *[of(k, f"{x}_raw").alias(f"{name}_raw") for k, x, name in (("pred", "avg", "avg_pred"), ("pred", "p95", "p95_pred"), ("pred", "over", "over_budget"), ("fp", "avg", "avg_fp"), ("fp", "p95", "p95_fp"), ("fp", "any", "any_fp"))],
         *[of("pred", f"over_{b}").alias(f"over_{b}") for b in over],
     )
-    out = wide.crossJoin(F.broadcast(per.agg(F.sum(F.col("w") * F.col("p")).alias("positives")))).withColumn("fn", F.col("positives") - F.col("tp"))
+    out = wide.crossJoin(F.broadcast(steps.where("kind = 'own'").agg(F.sum("dw").alias("positives")))).withColumn("fn", F.col("positives") - F.col("tp"))
     tail = ["avg_pred", "p95_pred", "over_budget", "avg_fp", "p95_fp", "any_fp"]
     return out.select(
         F.element_at(F.lit(taus), (F.col("i") + 1).cast("int")).alias("tau"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), *tail, *[f"{x}_raw" for x in tail], *[f"over_{b}" for b in over],

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from chainloom.functions import labels as L
-from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, resample, transfer
+from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, resample, sweep, transfer
 from chainloom.plans.materialize import dealt, fresh, spread_join
 from chainloom.sources import readers
 from chainloom.streaming import worklist
@@ -108,6 +108,21 @@ def test_tasks_hold_as_many_rows_whatever_the_table(spark):
     assert dealt(d, "k").rdd.getNumPartitions() == d.rdd.getNumPartitions()
 
 
+def test_sweeps_read_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(r):
+        seen.add(1)
+        return r
+
+    rows = spark.sparkContext.parallelize([(c, 1.0 + c % 3, int(i % 3 == 0), i / 7) for c in range(6) for i in range(5)], 2).map(counted)
+    s = sweep.threshold_sweep(spark.createDataFrame(rows, "chain int, weight double, label int, score double"), [0.1, 0.5])
+    # of a chain, the places 0 and 3 are positives; 0 passes no threshold and 3 passes 0.1 only
+    assert sorted(map(tuple, s.select("tau", "tp", "fp", "fn").collect())) == [(0.1, 12.0, 36.0, 12.0), (0.5, 0.0, 12.0, 24.0)]
+    assert {r["point"]: r["tau"] for r in sweep.operating_points(s).collect()} == {"conservative": 0.1, "balanced": 0.1, "discovery": 0.1}
+    assert seen.value == 30
+
+
 def test_folds_and_all_of_them_come_from_one_reading(spark):
     rows = [(c, p, f, "ab"[c % 2], (c + p) % 2, p / 7, 1.0) for c in range(6) for p in range(4) for f in (c % 3,)]
     d = spark.createDataFrame(rows, "chain int, pos int, fold int, split string, label int, score double, weight double").repartition(3, "chain")
