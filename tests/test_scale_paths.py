@@ -6,7 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from chainloom.functions import labels as L
-from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, resample, sweep, transfer
+from chainloom.operators import audit, components, evaluate, folds, lookup, prefix, ranking, resample, sweep, transfer
+from chainloom.plans import bindings, reference_queries
 from chainloom.plans.materialize import dealt, fresh, spread_join
 from chainloom.sources import readers
 from chainloom.streaming import worklist
@@ -108,6 +109,17 @@ def test_tasks_hold_as_many_rows_whatever_the_table(spark):
     assert dealt(d, "k").rdd.getNumPartitions() == d.rdd.getNumPartitions()
 
 
+def test_chains_of_a_large_table_are_dealt_out(spark, sf_dir, monkeypatch):
+    """Ranks and sweeps stay in the tasks that their rows are dealt into, with the same results."""
+    names = ["operating_points", "pareto_frontier", "threshold_sweep", "max_precision_at_k", "top1_success", "topk_confusion"]
+    results = lambda: [sorted(map(str, reference_queries.queries()[n](spark, sf_dir).collect())) for n in names]
+    plain = results()
+    monkeypatch.setattr(bindings, "dealt", lambda rows, key: dealt(rows, key, 400, 100))
+    r = ranking.ranked(bindings.residues(spark, sf_dir), ["chain"]).groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(r) >= 14 and max(x[0] for x in r) < 600
+    assert results() == plain
+
+
 def test_sweeps_read_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
