@@ -104,20 +104,22 @@ def member_losses(members: DataFrame, sites: DataFrame, align, block: int = PAIR
     """
     hits = sites.where(F.col("base").isNotNull() & F.col("member").isNotNull()).groupBy("base", "member").agg(F.collect_set(F.col("pos").cast("int")).alias("hits"))
     one = members.where(F.col("base").isNotNull() & F.col("member").isNotNull()).groupBy("base", "member").agg(F.min("seq").alias("seq"), F.count_if(F.col("seq").isNull()).alias("lacks"))
-    one = written(one.join(hits, ["base", "member"], "left").select("base", "member", F.md5(F.col("seq").cast("binary")).alias("id"), "seq", "lacks", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")), "members")
+    one = written(one.join(hits, ["base", "member"], "left").select("base", "member", F.unhex(F.md5(F.col("seq").cast("binary"))).alias("id"), "seq", "lacks", F.coalesce("hits", F.array().cast("array<int>")).alias("hits")), "members")
     sizes = one.groupBy("base").agg(F.count("*").alias("members"), F.count_if(F.coalesce(F.col("seq"), F.lit("")) == "").alias("lacks"))
     reason = F.when(F.col("members") < 2, "one member").when(F.col("lacks") > 0, "no sequence")
     sizes = written(sizes.withColumn("reason", reason), "sizes")
     named = one.join(sizes.where("reason is not null").select("base"), "base", "left_anti")
     distinct = written(named.groupBy("base", "id").agg(F.min("seq").alias("seq"), F.count("*").alias("n")), "sequences")
-    half = F.unhex("id").alias("id")  # from here on ids are 16 bytes, not 32 letters: they are most of what is shuffled
-    found = named.select("base", "member", half, F.explode("hits").alias("pos"))
-    same = align(sequence_pairs(distinct.select("base", "id", "seq"), block)).select("base", F.unhex("q").alias("q"), F.unhex("t").alias("t"), "qpos", "tpos")
-    both = same.unionByName(same.select("base", F.col("t").alias("q"), F.col("q").alias("t"), F.col("tpos").alias("qpos"), F.col("qpos").alias("tpos")))
-    inside = distinct.where("n > 1").select("base", half, F.length("seq").alias("length"))
+    found = named.select("base", "member", "id", F.explode("hits").alias("pos"))
+    # ids are 16 bytes, and 32 letters only where pairs are aligned: they are most of what is shuffled
+    letters = lambda c: F.lower(F.hex(c)).alias(c)
+    pairs = sequence_pairs(distinct.select("base", "id", "seq"), block).select("base", letters("q"), letters("t"), "q_seq", "t_seq")
+    ways = [F.struct(F.unhex(q).alias("q"), F.unhex(t).alias("t"), F.col(f"{q}pos").alias("qpos"), F.col(f"{t}pos").alias("tpos")) for q, t in ("qt", "tq")]
+    both = align(pairs).select("base", F.explode(F.array(*ways)).alias("way")).select("base", "way.*")  # both ways from one alignment
+    inside = distinct.where("n > 1").select("base", "id", F.length("seq").alias("length"))
     own = found.join(inside, ["base", "id"]).where((F.col("pos") >= 0) & (F.col("pos") < F.col("length"))).select("base", F.col("id").alias("q"), F.col("id").alias("t"), F.col("pos").alias("qpos"), F.col("pos").alias("tpos")).distinct()
     at = found.select("base", F.col("id").alias("q"), F.col("pos").alias("qpos"), F.col("member").alias("source"))
-    targets = named.select("base", F.unhex("id").alias("t"), F.col("member").alias("target"), "hits")
+    targets = named.select("base", F.col("id").alias("t"), F.col("member").alias("target"), "hits")
     reached = both.unionByName(own).join(at, ["base", "q", "qpos"]).join(targets, ["base", "t"]).where("source <> target")
     lost = reached.where(~F.array_contains("hits", F.col("tpos").cast("int"))).select("base", "source", "target", F.col("qpos").alias("pos"), F.col("tpos").alias("target_pos"))
     return lost, sizes.where("reason is not null").select("base", "members", "reason")

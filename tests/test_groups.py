@@ -69,6 +69,23 @@ def test_losses_read_members_and_sites_once(spark):
     assert lost.count() == lost.distinct().count() == 2 * (3 + 3 + 3 + 1) and seen.value == 16
 
 
+def test_losses_align_each_pair_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def align(pairs):
+        def at(p):
+            seen.add(1)
+            assert p["q"] < p["t"] and {len(p["q"]), len(p["t"])} == {32}
+            return [(p["base"], p["q"], p["t"], i, i) for i, (a, b) in enumerate(zip(p["q_seq"], p["t_seq"], strict=False)) if a == b]
+
+        return spark.createDataFrame(pairs.rdd.flatMap(at), "base string, q string, t string, qpos int, tpos int")
+
+    members = [("p", "a", "MKV"), ("p", "b", "MKVA"), ("p", "c", "MKA"), ("p", "d", "MKV")]
+    lost, _ = screen.member_losses(spark.createDataFrame(members, "base string, member string, seq string"), spark.createDataFrame([("p", "a", 2), ("p", "c", 0)], "base string, member string, pos int"), align)
+    assert sorted(map(tuple, lost.collect())) == [("p", "a", "b", 2, 2), ("p", "a", "d", 2, 2), ("p", "c", "a", 0, 0), ("p", "c", "b", 0, 0), ("p", "c", "d", 0, 0)]
+    assert seen.value == 3
+
+
 def test_proposals_are_those_of_a_plain_loop(spark):
     rng = random.Random(5)
     votes = [("f", c, m, c + 3 * m % 5, rng.choice("AC"), int(rng.random() < 0.5)) for c in range(60) for m in range(4) if rng.random() < 0.8] + [("f", 1, 1, 1, None, 1)]
