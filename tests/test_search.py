@@ -123,6 +123,14 @@ def test_pairs_of_copies_in_blocks(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_pairs_of_many_copies_are_not_held_at_once(spark):
+    n = 8_192
+    d = spark.range(n).select(F.col("id").alias("k"), F.lit("red bolt").alias("s"))
+    pairs = transfer.kmer_candidates(d, d, "k", "s", 4, 5)
+    pairs.write.format("noop").mode("overwrite").save()
+    assert tuple(pairs.agg(F.count("*"), F.sum("q"), F.sum("t"), F.min("shared"), F.max("shared")).first()) == (n * (n - 1), n * (n - 1) ** 2 // 2, n * (n - 1) ** 2 // 2, 5, 5)
+
+
 def test_searches_compare_copies_once(spark):
     d = spark.createDataFrame([(i, ["red bolt", "red bolts", "hot plate"][i % 3]) for i in range(90)], "k int, s string")
     options = {"other": -1.0, "word": 4, "least": 8.0, "drop": 8.0, "trigger": 14.0, "cutoff": 14.0}
