@@ -127,6 +127,9 @@ def test_pairs_of_many_copies_are_not_held_at_once(spark):
     n = 8_192
     d = spark.range(n).select(F.col("id").alias("k"), F.lit("red bolt").alias("s"))
     pairs = transfer.kmer_candidates(d, d, "k", "s", 4, 5)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    outer, inner = plan.index("Generate explode(t_keys"), plan.index("Generate explode(q_keys")
+    assert "SortMergeJoin" in plan[outer:inner] and "Sort [" in plan[outer:inner]
     pairs.write.format("noop").mode("overwrite").save()
     assert tuple(pairs.agg(F.count("*"), F.sum("q"), F.sum("t"), F.min("shared"), F.max("shared")).first()) == (n * (n - 1), n * (n - 1) ** 2 // 2, n * (n - 1) ** 2 // 2, 5, 5)
 
